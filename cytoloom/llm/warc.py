@@ -21,19 +21,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import new_path, table
+from .base import materialise, new_path, table
 
 MAGIC = "WARC/1.0\r\n"
 END = "\r\n\r\n"
 REVISIT_BYTES = 100
+#: Up to so many digests that occur twice (about 100 bytes each) their table is broadcast, and payloads stay where they are; beyond, both sides are shuffled.
+BROADCAST_ROWS = 200_000
 
 
-def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, payload, digest, payload_bytes, refers_to); refers_to is null for responses. The group's smallest id is found from digests alone, and only digests that occur twice are joined."""
     url = F.col("url").cast("string") if "url" in pages.columns else F.lit(None).cast("string")
     p = pages.select(F.col("page_id").cast("long"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     first = p.where(F.col("payload_bytes") >= revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = materialise(first, "digests")
+    if first.count() <= broadcast_rows:
+        first = F.broadcast(first)
     refers = F.when(F.col("page_id").isNull() | (F.col("page_id") > F.col("first_id")), F.col("first_id"))
     return p.join(first, "digest", "left").select("page_id", "url", "payload", "digest", "payload_bytes", refers.alias("refers_to"))
 
@@ -106,7 +111,7 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
     field = lambda name, what: F.nullif(F.regexp_extract(F.col("head"), rf"(?m)^{name}: {what}\r?$", 1), F.lit(""))
     s = raw.select("file", "block", "i", "value", head.alias("head"), body.cast("long").alias("body"), size.alias("size"))
     s = s.withColumn("length", field("Content-Length", r"(\d+)").try_cast("long"))
-    whole = (F.col("body") + F.col("length") + len(END) == F.col("size")) | (F.col("body") + F.col("length") == F.col("size"))
+    whole = F.col("body") + F.col("length") + len(END) == F.col("size")
     payload = F.when(whole, F.substring(F.col("value").cast("binary"), F.col("body").cast("int") + 1, F.col("length").cast("int")))
     s = s.select(
         "file", "block", "i", "size", "body", "length", whole.alias("whole"), "value", payload.alias("payload"), field("WARC-Type", r"(\w+)").alias("record_type"), field("WARC-Record-ID", r"<urn:page:(\d+)>").try_cast("long").alias("page_id"),
@@ -130,14 +135,15 @@ def _located(s: DataFrame) -> DataFrame:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """The true records: page_id, record_type, refers_to, payload_bytes, payload_digest (of the payload as read for responses, as declared for revisits), digest_ok."""
     digest, n = F.sha2("payload", 256), F.octet_length("payload").cast("long")
-    found = _located(segments(spark, path).withColumn("read_digest", digest).withColumn("read_bytes", n).drop("payload", "value"))
-    good = reachable(found)
+    found = materialise(_located(segments(spark, path).withColumn("read_digest", digest).withColumn("read_bytes", n).drop("payload", "value")), "segments")
+    good = materialise(reachable(found), "records")
     r = found.join(good, ["file", "m"], "left_semi")
     revisit = F.col("record_type") == "revisit"
     out = lambda d: d.select("page_id", "record_type", "refers_to", F.when(revisit, F.col("said_bytes")).otherwise(F.col("read_bytes")).alias("payload_bytes"), F.when(revisit, F.col("said_digest")).otherwise(F.col("read_digest")).alias("payload_digest"), F.when(revisit, F.lit(True)).otherwise(F.col("read_digest") == F.col("said_digest")).alias("digest_ok"))
-    cut = r.where(~F.col("whole")).select("file").distinct()
-    glued = _glue(spark, path, cut, good)
-    return out(r.where("whole")).unionByName(out(glued.withColumn("read_digest", digest).withColumn("read_bytes", n)))
+    cut = [x[0] for x in r.where("NOT whole").select("file").distinct().collect()]  # names of archives, of which there are as many as tasks wrote
+    if not cut:
+        return out(r)
+    return out(r.where("whole")).unionByName(out(_glue(spark, path, cut, good).withColumn("read_digest", digest).withColumn("read_bytes", n)))
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -150,10 +156,10 @@ def reachable(found: DataFrame) -> DataFrame:
     return chain.groupBy("file", "block").cogroup(placed.groupBy("file", "block")).applyInPandas(_mark, "file string, m long")
 
 
-def _glue(spark: SparkSession, path: str, files: DataFrame, good: DataFrame) -> DataFrame:
+def _glue(spark: SparkSession, path: str, files: list[str], good: DataFrame) -> DataFrame:
     """Records whose payload holds version lines: payloads put together from the segments up to the successor. Only files that have such records are read again."""
-    s = _located(segments(spark, path).join(files, "file", "left_semi").drop("payload")).join(good.withColumn("true", F.lit(True)), ["file", "m"], "left")
-    s = s.where("NOT whole OR true IS NULL").withColumn("owner", F.last(F.when(F.col("true"), F.col("m")), ignorenulls=True).over(Window.partitionBy("file").orderBy("m")))
+    s = _located(segments(spark, path).where(F.col("file").isin(files)).drop("payload")).join(good.withColumn("hit", F.lit(True)), ["file", "m"], "left")
+    s = s.where("NOT whole OR hit IS NULL").withColumn("owner", F.last(F.when(F.col("hit"), F.col("m")), ignorenulls=True).over(Window.partitionBy("file").orderBy("m")))
     fields = ["record_type", "page_id", "said_digest", "said_bytes", "refers_to", "body", "length"]
     g = s.where("owner IS NOT NULL").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("p"), *[F.min_by(c, "m").alias(c) for c in fields])
     whole = F.array_join(F.transform("p", lambda x: x["value"]), MAGIC).cast("binary")
