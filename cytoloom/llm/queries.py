@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_quotes, language_id, licence_scan, packing, quality_rules, token_counts, warc
+from . import chat_quotes, language_id, licence_scan, packing, quality_rules, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_length_histogram": token_counts.query,
         "op5_language_id": language_id.query,
         "op6_rule_ledger": quality_rules.query,
+        "op7_index_family": suffix_dedup.query,
         "op8_licence_sentences": licence_scan.query,
         "op10_warc_chain": warc.query,
     }
