@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_quotes, language_id, licence_scan, packing, quality_rules, suffix_dedup, token_counts, warc
+from . import chat_quotes, language_id, licence_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_rule_ledger": quality_rules.query,
         "op7_index_family": suffix_dedup.query,
         "op8_licence_sentences": licence_scan.query,
+        "op9_grouped_prefix_join": ngram_join.query,
         "op10_warc_chain": warc.query,
     }
 
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quotation_links": chat_quotes.ORACLE,
         "op6_rule_ledger": quality_rules.ORACLE,
         "op8_licence_sentences": licence_scan.oracle(),
+        "op9_grouped_prefix_join": ngram_join.ORACLE,
         "op10_warc_chain": warc.ORACLE,
     }
