@@ -32,6 +32,8 @@ SHINGLE, THRESHOLD = 4, 85
 COUNTERS, SLICES, BITMAP, NEEDED_BITS = 1 << 22, 64, 1024, 1 << 26
 #: Lists up to this length give all pairs at once.
 SHORT = 4
+#: Salts of the leaders that the entries of a longer list are first compared with; largest side of a tile in the second comparison.
+LEADERS, TILE = (0, 12345), 1000
 POSTINGS_PER_SHARD = 1_000_000
 
 
@@ -174,17 +176,18 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     length = np.repeat(size, size)
     a, b = [], []
     for gap in range(1, SHORT):
-        at = np.flatnonzero((t[gap:] == t[:-gap]) & ((length[gap:] <= SHORT) | (gap == 1)))
+        at = np.flatnonzero((t[gap:] == t[:-gap]) & (length[gap:] <= SHORT))
         a.append(g[at])
         b.append(g[at + gap])
     long = np.flatnonzero(length > SHORT)
     if len(long):
         lt, lg = t[long], g[long]
-        order = np.lexsort((mix(lg.astype(np.uint64)), lt))
         lead_at = np.flatnonzero(np.concatenate([[True], lt[1:] != lt[:-1]]))
-        lead = np.repeat(lg[order][lead_at], np.diff(np.append(lead_at, len(lt))))  # the same leader wherever it occurs
-        a.append(np.minimum(lead, lg)[lead != lg])
-        b.append(np.maximum(lead, lg)[lead != lg])
+        for salt in LEADERS:  # the same leaders wherever they occur
+            order = np.lexsort((mix(lg.astype(np.uint64) + np.uint64(salt)), lt))
+            lead = np.repeat(lg[order][lead_at], np.diff(np.append(lead_at, len(lt))))
+            a.append(np.minimum(lead, lg)[lead != lg])
+            b.append(np.maximum(lead, lg)[lead != lg])
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
     return pd.DataFrame({"kind": np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(long), np.int32)]), "a": np.concatenate([pairs[0], t[long].astype(np.int64)]), "b": np.concatenate([pairs[1], g[long]])})
 
@@ -208,6 +211,51 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").where(near).select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, gap double")
 
 
+def _tiles(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs in one list, of different components, that the bounds leave. Lists are cut into tiles, whose pairs are compared in place; only what the bounds leave is a row."""
+    m = mixed.join(nodes.select("node", F.col("n").alias("size"), "bits"), "node")
+    place = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / TILE)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(c) / TILE) - 1).cast("int")))
+    cols = ["token", "i", "j", "side", "node", "comp", "size", "bits"]
+    left = m.where("comp <> main").withColumn("i", place("n_other")).withColumn("j", every("n_all")).withColumn("side", F.lit(0))
+    right = m.withColumn("j", place("n_all")).withColumn("i", every("n_other")).withColumn("side", F.lit(1))
+
+    def compare(x: pd.DataFrame) -> pd.DataFrame:
+        k = int((x["side"].to_numpy() == 0).sum())
+        node, comp, size = (x[c].to_numpy() for c in ("node", "comp", "size"))
+        bits = np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1)
+        a, b = [], []
+        step = max(1, (1 << 20) // max(1, (len(x) - k) * bits.shape[1]))
+        for at in range(0, k, step):
+            to = min(k, at + step)
+            u, v = size[at:to, None], size[None, k:]
+            ok = (comp[at:to, None] != comp[None, k:]) & (100 * np.minimum(u, v) >= THRESHOLD * np.maximum(u, v))
+            p, q = np.nonzero(ok)
+            far = np.bitwise_count(bits[at + p] ^ bits[k + q]).sum(axis=1)
+            keep = far <= (100 - THRESHOLD) * (size[at + p] + size[k + q]) // (100 + THRESHOLD)
+            a.append(node[at + p[keep]])
+            b.append(node[k + q[keep]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in it:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            key = pdf[["token", "i", "j"]].to_numpy()
+            edge = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            cuts = [0, *edge.tolist()]
+            done = [compare(pdf.iloc[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+            held = pdf.iloc[cuts[-1] :]
+            if done:
+                yield pd.concat(done, ignore_index=True).drop_duplicates()
+        if held is not None and len(held):
+            yield compare(held)
+
+    both = left.select(cols).unionByName(right.select(cols))
+    n = int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "side").mapInPandas(run, "a long, b long")
+
+
 def _elements(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, elements as sorted 48-bit hashes) of the nodes given, from their least documents. A bit filter of fixed size keeps most other documents from being read twice; what passes by chance joins nothing."""
     word = 1 << 16
@@ -318,15 +366,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     comp = components(links)
 
     # second links: what else may join two components
-    label = entries.join(comp, "node", "left").join(nodes.select("node", "n"), "node").select("token", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    label = materialise(label, "labels")
-    main = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    mixed = materialise(label.join(main.select("token", "main"), "token"), "mixed")
-    other = mixed.where("comp <> main").toDF("token", "x", "nx", "cx", "main")
-    size = (100 * F.least("n", "nx") >= THRESHOLD * F.greatest("n", "nx")) & (F.col("comp") != F.col("cx"))
-    cross = other.drop("main").join(mixed, "token").where(size).select(F.col("x").alias("a"), F.col("node").alias("b"))
+    label = materialise(entries.join(comp, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")), "labels")
+    kinds = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
+    main = kinds.groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("n_all"), F.max("k").alias("n_main"), F.sum("h").alias("h")).where("kinds > 1")
+    main = main.groupBy("n_all", "h").agg(F.min_by(F.struct("token", "main", "n_main"), "token").alias("x")).select("x.token", "x.main", "n_all", (F.col("n_all") - F.col("x.n_main")).alias("n_other"))  # equal lists are gone through once
+    cross = _tiles(label.join(main, "token"), nodes)
     far = wide.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = materialise(_verified(_plausible(_ordered(cross.unionByName(far)), nodes), elements), "links")
+    more = materialise(_verified(_ordered(cross.unionByName(_plausible(_ordered(far), nodes).select("a", "b"))), elements), "links")
     bridge = more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     joined = components(bridge)
 
