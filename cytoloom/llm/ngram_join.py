@@ -33,7 +33,7 @@ COUNTERS, SLICES, BITMAP, NEEDED_BITS = 1 << 22, 64, 1024, 1 << 26
 #: Lists up to this length give all pairs at once.
 SHORT = 4
 #: Salts of the leaders that the entries of a longer list are first compared with; largest side of a tile in the second comparison.
-LEADERS, TILE = (0, 12345), 1000
+LEADERS, TILE = (0, 12345, 67890, 424242), 1000
 POSTINGS_PER_SHARD = 1_000_000
 
 
@@ -211,8 +211,8 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one("a"), "a").join(one("b"), "b").where(near).select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, gap double")
 
 
-def _tiles(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs in one list, of different components, that the bounds leave. Lists are cut into tiles, whose pairs are compared in place; only what the bounds leave is a row."""
+def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b): pairs in one list, of different components, that the bounds leave. Lists are cut into tiles, whose pairs are compared in place; only what the bounds leave is a row (with nearest, only the nearest for each entry outside the list's main component)."""
     m = mixed.join(nodes.select("node", F.col("n").alias("size"), "bits"), "node")
     place = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / TILE)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), (F.ceil(F.col(c) / TILE) - 1).cast("int")))
@@ -233,8 +233,13 @@ def _tiles(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
             p, q = np.nonzero(ok)
             far = np.bitwise_count(bits[at + p] ^ bits[k + q]).sum(axis=1)
             keep = far <= (100 - THRESHOLD) * (size[at + p] + size[k + q]) // (100 + THRESHOLD)
-            a.append(node[at + p[keep]])
-            b.append(node[k + q[keep]])
+            p, q, far = p[keep], q[keep], far[keep]
+            if nearest and len(p):
+                o = np.lexsort((far, p))
+                o = o[np.concatenate([[True], p[o][1:] != p[o][:-1]])]
+                p, q = p[o], q[o]
+            a.append(node[at + p])
+            b.append(node[k + q])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,30 +359,39 @@ def cluster(docs: DataFrame) -> DataFrame:
     inside = nodes.select("grp", "node", F.lag("node").over(Window.partitionBy("grp").orderBy("node")).alias("b")).where("b IS NOT NULL").select(F.col("node").alias("a"), "b")
     pairs = materialise(_plausible(_ordered(across.unionByName(inside)), nodes), "pairs")
 
-    # sets of all nodes that a later step may ask for
     entries = lists.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp")).join(nodes.select("grp", "node"), "grp").select("token", "node")
     entries = materialise(entries.unionByName(nodes.join(many.select("grp"), "grp").select(F.col("grp").alias("token"), "node")), "entries")
     wide = near.join(many.select(F.col("grp").alias("a"), F.lit(1).alias("ma")), "a", "left").join(many.select(F.col("grp").alias("b"), F.lit(1).alias("mb")), "b", "left").where("ma = 1 OR mb = 1")
     members = nodes.select("grp", "node")
     wide = materialise(wide.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")), "wide")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(entries.select("node")).union(wide.select("a")).union(wide.select("b")).distinct()
-    elements = materialise(_elements(texts, nodes.join(asked, "node", "left_semi")).join(asked, "node", "left_semi").dropDuplicates(["node"]), "elements")
-    links = materialise(_verified(pairs, elements), "links")
-    comp = components(links)
-
-    # second links: what else may join two components
-    label = materialise(entries.join(comp, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")), "labels")
-    kinds = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
-    main = kinds.groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("n_all"), F.max("k").alias("n_main"), F.sum("h").alias("h")).where("kinds > 1")
-    main = main.groupBy("n_all", "h").agg(F.min_by(F.struct("token", "main", "n_main"), "token").alias("x")).select("x.token", "x.main", "n_all", (F.col("n_all") - F.col("x.n_main")).alias("n_other"))  # equal lists are gone through once
-    cross = _tiles(label.join(main, "token"), nodes)
-    far = wide.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    more = materialise(_verified(_ordered(cross.unionByName(_plausible(_ordered(far), nodes).select("a", "b"))), elements), "links")
-    bridge = more.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    joined = components(bridge)
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        elements = materialise(_elements(texts, nodes.join(need, "node", "left_semi")), "elements")
+        return materialise(_verified(pairs, elements), "links")
+
+    comp = components(linked(pairs))
+
+    # second links: what else may join two components. First the nearest of each entry outside the largest component, then all that is left
+    for nearest in (True, False):
+        label = materialise(entries.join(comp, "node", "left").select("token", "node", F.coalesce("comp", "node").alias("comp")), "labels")
+        kinds = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
+        main = kinds.groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("n_all"), F.max("k").alias("n_main"), F.sum("h").alias("h")).where("kinds > 1")
+        main = main.groupBy("n_all", "h").agg(F.min_by(F.struct("token", "main", "n_main"), "token").alias("x")).select("x.token", "x.main", "n_all", (F.col("n_all") - F.col("x.n_main")).alias("n_other"))  # equal lists are gone through once
+        cross = _tiles(label.join(main, "token"), nodes, nearest)
+        if not nearest:
+            far = wide.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+            cross = cross.unionByName(_plausible(_ordered(far), nodes).select("a", "b"))
+        cross = materialise(_ordered(cross), "cross")
+        if cross.isEmpty():
+            continue
+        bridge = linked(cross).join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        over = components(bridge)
+        named = comp.join(over.toDF("comp", "over"), "comp", "left").select("node", F.coalesce("over", "comp").alias("comp"))
+        comp = materialise(named.unionByName(over.join(comp, "node", "left_anti")), "comps")
 
     # least document of each component
-    whole = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp")).join(joined.toDF("comp", "over"), "comp", "left").select("node", "rep", F.coalesce("over", "comp").alias("comp"))
+    whole = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
     least = whole.join(whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("node", "component_id")
     return d.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
