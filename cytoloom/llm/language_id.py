@@ -195,6 +195,19 @@ def fit(labelled: list[tuple[str, str]]) -> Model | None:
     return m
 
 
+def judge(m: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, rejected, cross-entropy and letters of each text."""
+    n = len(texts)
+    if m is None:
+        return ["und"] * n, np.zeros(n), np.ones(n, bool), np.full(n, np.nan), np.zeros(n, np.int64)
+    h, letters, size = m.score(texts)
+    j = h.argmin(axis=1)
+    best, ok = h[np.arange(n), j], letters > 0
+    odds = np.exp2(-(h - best[:, None]) * np.minimum(size, 8)[:, None])
+    rejected = best > m.mean[j] + m.slack[j] + WIDTH * m.spread[j] / np.sqrt(np.maximum(size, 1))
+    return [m.langs[i] if y else "und" for i, y in zip(j, ok, strict=True)], np.where(ok, 1 / odds.sum(axis=1), 0.0), np.where(ok, rejected, True), best, letters
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """Language, score (0 to 1: how far the winner's probability a symbol stands above the others'), and whether the text is rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -203,19 +216,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         m = shared.value
         for b in blocks(batches):
             texts = [x or "" for x in b.column(1).to_pylist()]
-            n = len(texts)
-            lang, score, rejected, best, letters = [None] * n, np.zeros(n), np.ones(n, bool), np.full(n, np.nan), np.zeros(n, np.int64)
-            if m is not None:
-                h, letters, size = m.score(texts)
-                j = h.argmin(axis=1)
-                best = h[np.arange(n), j]
-                odds = np.exp2(-(h - best[:, None]) * np.minimum(size, 8)[:, None])
-                score = 1 / odds.sum(axis=1)
-                rejected = best > m.mean[j] + m.slack[j] + WIDTH * m.spread[j] / np.sqrt(np.maximum(size, 1))
-                lang = [m.langs[i] for i in j]
-            ok = letters > 0 if m is not None else np.zeros(n, bool)
+            lang, score, rejected, best, letters = judge(m, texts)
+            ok = letters > 0 if m is not None else np.zeros(len(texts), bool)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([x if y else "und" for x, y in zip(lang, ok, strict=True)], pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, rejected, True)), pa.array(np.where(ok, best, np.nan), mask=~ok), pa.array(letters.astype(np.int64))],
+                [b.column(0), b.column(2), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected), pa.array(np.where(ok, best, np.nan), mask=~ok), pa.array(letters.astype(np.int64))],
                 [f.split()[0] for f in _OUT.split(", ")],
             )
 
@@ -226,5 +230,19 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(sample(docs)))
 
 
+def accepted(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, that are not rejected. No join: rows are judged as they pass."""
+    model = fit(sample(docs))
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in blocks(batches, at):
+            if m is not None:
+                yield b.filter(pa.array(~judge(m, [x or "" for x in b.column(at).to_pylist()])[2]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))

@@ -396,6 +396,13 @@ def cluster(docs: DataFrame) -> DataFrame:
     return d.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with all their columns, less those linked to a document with a smaller id. Rows with a null doc_id stay; of rows with equal ids one stays."""
+    gone = cluster(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(table(spark, sf_dir, "documents"))
 

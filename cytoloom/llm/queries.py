@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_quotes, language_id, licence_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, warc
+from . import chat_quotes, decontamination, language_id, licence_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, warc
+
+
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
     return {
         "op1_concat_and_cut": packing.query,
+        "op2_latent_retrieval": decontamination.query,
         "op3_quotation_links": chat_quotes.query,
         "op4_length_histogram": token_counts.query,
         "op5_language_id": language_id.query,
@@ -16,6 +23,7 @@ def queries() -> dict:
         "op8_licence_sentences": licence_scan.query,
         "op9_grouped_prefix_join": ngram_join.query,
         "op10_warc_chain": warc.query,
+        "pipeline": _pipeline,
     }
 
 

@@ -114,32 +114,50 @@ class Chunk:
         self.shard = shard[self.uniq]
 
 
-_CHUNK = "chunk long, ids binary, sizes binary, text binary, n_bytes long"
+_CHUNK = "chunk long, ids binary, sizes binary, text binary, n_bytes long, rest binary"
 
 
-def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False) -> DataFrame:
+    """Chunks of documents; with carry, all columns but text go along as an Arrow table."""
+    others = [c for c in docs.columns if c != "text"] if carry else []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z, part, n = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
         ids: list[int] = []
         held: list[bytes] = []
+        rest: list[pa.RecordBatch] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            row = [(part << 32) + n, np.array(ids, np.int64).tobytes(), np.array([len(x) for x in held], np.int64).tobytes(), z.compress(b"".join(held)), size]
-            return pa.RecordBatch.from_arrays([pa.array([row[0]], pa.int64()), *(pa.array([x], pa.binary()) for x in row[1:4]), pa.array([size], pa.int64())], [f.split()[0] for f in _CHUNK.split(", ")])
+            row = ((part << 32) + n, np.array(ids, np.int64).tobytes(), np.array([len(x) for x in held], np.int64).tobytes(), z.compress(b"".join(held)), size, _stream(rest) if rest else None)
+            return _arrow([row], _CHUNK)
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True):
+            begin = 0
+            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True)):
                 ids.append(LAST if i is None else i)
                 held.append(t)
                 size += len(t)
                 if size >= chunk_bytes:
+                    if others:
+                        rest.append(pa.RecordBatch.from_arrays(b.columns[2:], others).slice(begin, k + 1 - begin))
                     yield out()
-                    ids, held, size, n = [], [], 0, n + 1
+                    ids, held, rest, size, n, begin = [], [], [], 0, n + 1, k + 1
+            if others and begin < b.num_rows:
+                rest.append(pa.RecordBatch.from_arrays(b.columns[2:], others).slice(begin))
         if ids:
             yield out()
 
-    return materialise(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _CHUNK), "chunks", "none")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
+    return materialise(rows.mapInArrow(run, _CHUNK), "chunks", "none")
+
+
+def _stream(parts: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema) as w:
+        for x in parts:
+            w.write_batch(x)
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
 
 
 class Family:
@@ -279,9 +297,9 @@ def _state(r: dict, c: Chunk, shards: int) -> np.ndarray:
     return state
 
 
-def removed(docs: DataFrame, emit, schema: str, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Finds the bytes to remove. emit(ids, texts, covered, ends) makes output rows of a chunk; covered has a flag for each byte."""
-    chunks = pack_chunks(docs, chunk_bytes)
+def removed(docs: DataFrame, emit, schema: str, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
+    """Finds the bytes to remove. emit(ids, texts, covered, ends, rest) makes output rows of a chunk; covered has a flag for each byte."""
+    chunks = pack_chunks(docs, chunk_bytes, carry)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     shards = max(8, -(-total // shard_bytes))
     blob = "shard int, chunk long, blob binary"
@@ -294,7 +312,7 @@ def removed(docs: DataFrame, emit, schema: str, batches: int = BATCHES, chunk_by
                 yield _arrow(rows, blob)
 
     held = chunks.drop("n_bytes")
-    states = held.mapInArrow(send, blob).groupBy("shard").applyInPandas(_shard(batches), "chunk long, shard int, state binary")
+    states = held.drop("rest").mapInArrow(send, blob).groupBy("shard").applyInPandas(_shard(batches), "chunk long, shard int, state binary")
     states = materialise(states, "states").groupBy("chunk").agg(F.collect_list(F.struct("shard", "state")).alias("states"))
 
     def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +331,7 @@ def removed(docs: DataFrame, emit, schema: str, batches: int = BATCHES, chunk_by
             if rows:
                 yield _arrow(rows, blob)
 
-    masks = held.join(states, "chunk").mapInArrow(ask, blob).groupBy("shard").applyInPandas(_windows, "chunk long, mask binary")
+    masks = held.drop("rest").join(states, "chunk").mapInArrow(ask, blob).groupBy("shard").applyInPandas(_windows, "chunk long, mask binary")
     masks = materialise(masks, "masks").groupBy("chunk").agg(F.collect_list("mask").alias("masks"))
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +358,7 @@ def removed(docs: DataFrame, emit, schema: str, batches: int = BATCHES, chunk_by
                     q = (c.at[mine[lo[j] : hi[j]]][:, None] + p[None, :]).ravel()
                     np.add.at(delta, q, 1)
                     np.add.at(delta, q + WIDTH, -1)
-            yield from emit(c.ids, c.raw, np.cumsum(delta[:-1]) > 0, c.ends)
+            yield from emit(c.ids, c.raw, np.cumsum(delta[:-1]) > 0, c.ends, r["rest"])
 
     return held.join(states, "chunk", "left").join(masks, "chunk", "left").mapInArrow(cut, schema)
 
@@ -363,13 +381,13 @@ def _each(ids: np.ndarray, raw: bytes, covered: np.ndarray, ends: np.ndarray) ->
 
 
 def _digests(*a) -> Iterator[pa.RecordBatch]:
-    rows = [(i, n, r, s, hashlib.sha256(kept).hexdigest()) for i, n, r, s, kept in _each(*a)]
+    rows = [(i, n, r, s, hashlib.sha256(kept).hexdigest()) for i, n, r, s, kept in _each(*a[:4])]
     if rows:
         yield _arrow(rows, _DIGEST)
 
 
 def _kept(*a) -> Iterator[pa.RecordBatch]:
-    rows = [(i, n, r, kept) for i, n, r, _, kept in _each(*a)]
+    rows = [(i, n, r, kept) for i, n, r, _, kept in _each(*a[:4])]
     if rows:
         yield _arrow(rows, _TEXTS)
 
@@ -383,5 +401,28 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     return removed(docs, _kept, _TEXTS, **how)
 
 
+def rewrite(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs, with all their columns, less the repeated bytes of text (and less characters of which only a part is left). n_chars, where there is one, follows. Rows of which nothing but white space is left go."""
+    schema, names = docs.schema, docs.columns
+
+    def emit(ids, raw, covered, ends, rest) -> Iterator[pa.RecordBatch]:
+        other = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(rest)).read_all() if rest else None
+        texts = [kept.decode("utf-8", "ignore") for *_, kept in _each(ids, raw, covered, ends)]
+        lost = np.array([r > 0 for _, _, r, _, _ in _each(ids, raw, covered, ends)])
+        keep = ~(lost & np.array([not t.strip() for t in texts]))
+        cols = []
+        for c in names:
+            if c == "text":
+                cols.append(pa.array(texts, pa.string()))
+            elif c == "n_chars" and pa.types.is_integer(other[c].type):
+                old = other[c].to_pylist()
+                cols.append(pa.array([len(t) if x else y for t, x, y in zip(texts, lost, old, strict=True)], other[c].type))
+            else:
+                cols.append(other[c].combine_chunks())
+        yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(keep))
+
+    return removed(docs, emit, schema, carry=True, **how)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
