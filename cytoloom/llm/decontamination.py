@@ -221,28 +221,31 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
                     r, c = np.nonzero(cos >= COSINE)
                     if not len(r):
                         continue
-                    # shared terms bound the subsequence: drop what can't reach it
+                    # terms shared, and their weight, bound the subsequence and the answer's share: drop what can't reach both
+                    doc = np.searchsorted(ends, wa, "right")
+                    lo, hi = np.maximum(starts[doc], wa - size // 4), np.minimum(ends[doc], wb + size // 4)
                     for i in np.unique(c):
                         idx = members[i]
                         item = items[idx][1]
-                        flag = np.zeros(len(latent), bool)
-                        flag[item] = True
-                        flag[0] = False
+                        value = np.zeros((len(latent), 2))
+                        value[item, 0] = 1
+                        value[rare[idx][0], 1] = rare[idx][1]
                         rows = r[c == i]
+                        k = hi[rows] - lo[rows]
+                        first = np.cumsum(k) - k
+                        bound = np.add.reduceat(value[t[np.repeat(lo[rows] - first, k) + np.arange(k.sum())]], first, axis=0)
+                        rows = rows[(bound[:, 0] >= SUBSEQUENCE * len(item)) & (bound[:, 1] >= ANSWER)]
                         for row in rows[np.argsort(-cos[rows, i], kind="stable")]:
-                            d = int(np.searchsorted(ends, wa[row], "right"))
+                            d = int(doc[row])
                             if best.get((d, idx), (0,))[0] >= len(item):
                                 continue
-                            lo, hi = max(int(starts[d]), int(wa[row]) - size // 4), min(int(ends[d]), int(wb[row]) + size // 4)
-                            text = t[lo:hi]
-                            if np.count_nonzero(flag[text]) < SUBSEQUENCE * len(item):
-                                continue
+                            text = t[lo[row] : hi[row]]
                             length, p, q2 = lcs(item, text)
                             if length < SUBSEQUENCE * len(item) or length <= best.get((d, idx), (0,))[0]:
                                 continue
                             answer = float(rare[idx][1][np.isin(rare[idx][0], text[p:q2])].sum())
                             if answer >= ANSWER:
-                                best[d, idx] = (length, float(cos[row, i]), answer, lo + p - int(starts[d]))
+                                best[d, idx] = (length, float(cos[row, i]), answer, int(lo[row]) + p - int(starts[d]))
             if best:
                 out = [(ids[d].as_py(), items[i][0], cos, n_lcs, len(items[i][1]), ans, at) for (d, i), (n_lcs, cos, ans, at) in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], [f.split()[0] for f in _HITS.split(", ")])
