@@ -123,6 +123,30 @@ class Prefixes:
         self.group = (size << np.uint64(47) | key >> np.uint64(17)).astype(np.int64)  # groups sort by size
 
 
+def bitmaps(d: np.ndarray, g: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity of the elements that share a hash's low bits: two sets differ in at least as many elements as their bitmaps in bits. Of BITMAP bits, or the power of two above twice the set's size."""
+    bit = np.bincount(d * BITMAP + (g & np.uint64(BITMAP - 1)).astype(np.int64), minlength=len(n) * BITMAP)[: len(n) * BITMAP] & 1
+    out = [x.tobytes() for x in np.packbits(bit.astype(np.uint8).reshape(len(n), BITMAP), axis=1)]
+    for i in np.flatnonzero(2 * n > BITMAP):
+        size = 1 << int(2 * n[i] - 1).bit_length()
+        a, b = np.searchsorted(d, [i, i + 1])
+        out[i] = np.packbits((np.bincount((g[a:b] & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+    return out
+
+
+def _matrix(bits: list[bytes], size: int) -> np.ndarray:
+    """Bitmaps of one length as 64-bit words, folded to `size` bytes (halves of a parity bitmap add up by xor)."""
+    m = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+    while m.shape[1] > size:
+        m = m[:, : m.shape[1] // 2] ^ m[:, m.shape[1] // 2 :]
+    return np.ascontiguousarray(m).view(np.uint64)
+
+
+def _lengths(bits: list[bytes]) -> dict[int, np.ndarray]:
+    n = np.fromiter(map(len, bits), np.int64, len(bits))
+    return {int(x): np.flatnonzero(n == x) for x in np.unique(n)}
+
+
 _DOCS = "doc_id long, n long, node long, grp long, bits binary"
 
 
@@ -133,9 +157,8 @@ def measured(texts: DataFrame, classes) -> DataFrame:
         for b in blocks(batches):
             d, g, n = shingle_sets(text_bytes(b.column(1)))
             p = Prefixes(d, g, n, classes.value)
-            bit = np.bincount(d * BITMAP + (g & np.uint64(BITMAP - 1)).astype(np.int64), minlength=len(n) * BITMAP)[: len(n) * BITMAP] & 1
-            bits = np.packbits(bit.astype(np.uint8).reshape(len(n), BITMAP), axis=1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(set_keys(d, g, n).view(np.int64)), pa.array(p.group), pa.array([x.tobytes() for x in bits], pa.binary())], [f.split()[0] for f in _DOCS.split(", ")])
+            bits = bitmaps(d, g, n)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(set_keys(d, g, n).view(np.int64)), pa.array(p.group), pa.array(bits, pa.binary())], [f.split()[0] for f in _DOCS.split(", ")])
 
     return texts.mapInArrow(run, _DOCS)
 
@@ -200,8 +223,14 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             if not b.num_rows:
                 continue
             na, nb = b.column(2).to_numpy(), b.column(3).to_numpy()
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
-            far = np.bitwise_count(x ^ y).sum(axis=1).astype(np.int64)
+            x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
+            far = np.empty(b.num_rows, np.int64)
+            ly = _lengths(y)
+            for u, i in _lengths(x).items():
+                for v, j in ly.items():
+                    k = np.intersect1d(i, j, assume_unique=True)
+                    if len(k):
+                        far[k] = np.bitwise_count(_matrix([x[r] for r in k], min(u, v)) ^ _matrix([y[r] for r in k], min(u, v))).sum(axis=1)
             most = (100 - THRESHOLD) * (na + nb) // (100 + THRESHOLD)
             ok = (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb)) & (far <= most)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(far[ok] / (most[ok] + 1.0))], ["a", "b", "gap"])
@@ -223,23 +252,30 @@ def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     def compare(x: pd.DataFrame) -> pd.DataFrame:
         k = int((x["side"].to_numpy() == 0).sum())
         node, comp, size = (x[c].to_numpy() for c in ("node", "comp", "size"))
-        bits = np.frombuffer(b"".join(x["bits"]), np.uint64).reshape(len(x), -1)
+        bits = x["bits"].tolist()
         a, b = [], []
-        step = max(1, (1 << 20) // max(1, (len(x) - k) * bits.shape[1]))
-        for at in range(0, k, step):
-            to = min(k, at + step)
-            u, v = size[at:to, None], size[None, k:]
-            ok = (comp[at:to, None] != comp[None, k:]) & (100 * np.minimum(u, v) >= THRESHOLD * np.maximum(u, v))
-            p, q = np.nonzero(ok)
-            far = np.bitwise_count(bits[at + p] ^ bits[k + q]).sum(axis=1)
-            keep = far <= (100 - THRESHOLD) * (size[at + p] + size[k + q]) // (100 + THRESHOLD)
-            p, q, far = p[keep], q[keep], far[keep]
-            if nearest and len(p):
-                o = np.lexsort((far, p))
-                o = o[np.concatenate([[True], p[o][1:] != p[o][:-1]])]
-                p, q = p[o], q[o]
-            a.append(node[at + p])
-            b.append(node[k + q])
+        right = _lengths(bits[k:])
+        for lu, iu in _lengths(bits[:k]).items():
+            for lv, iv in right.items():
+                if max(lu, lv) > 2 * min(lu, lv):
+                    continue  # sizes too far apart to link
+                iv = iv + k
+                bu, bv = (_matrix([bits[r] for r in i], min(lu, lv)) for i in (iu, iv))
+                step = max(1, (1 << 20) // max(1, len(iv) * bv.shape[1]))
+                for at in range(0, len(iu), step):
+                    i = iu[at : at + step]
+                    u, v = size[i, None], size[None, iv]
+                    ok = (comp[i, None] != comp[None, iv]) & (100 * np.minimum(u, v) >= THRESHOLD * np.maximum(u, v))
+                    p, q = np.nonzero(ok)
+                    far = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bu[at + p[z : z + 4096]] ^ bv[q[z : z + 4096]]).sum(axis=1) for z in range(0, len(p), 4096))])
+                    keep = far <= (100 - THRESHOLD) * (size[i[p]] + size[iv[q]]) // (100 + THRESHOLD)
+                    p, q, far = p[keep], q[keep], far[keep]
+                    if nearest and len(p):
+                        o = np.lexsort((far, p))
+                        o = o[np.concatenate([[True], p[o][1:] != p[o][:-1]])]
+                        p, q = p[o], q[o]
+                    a.append(node[i[p]])
+                    b.append(node[iv[q]])
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}) if a else pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -45,6 +45,12 @@ def corpus(seed):
                     p = r.randrange(len(b))
                     b[p : p + r.randint(0, 2)] = text(r.randint(0, 2))
                 docs.append(" ".join(b))
+    book = [f"v{r.randrange(9000)}" for _ in range(2500)]  # long texts: wide bitmaps
+    for k in (0, 0, 3, 40, 160, 240, 300, 420, 700):
+        b = list(book)
+        for _ in range(k):
+            b[r.randrange(len(b))] = f"u{r.randrange(9000)}"
+        docs.append(" ".join(b[: r.randint(2300, 2500)]))
     chain = text(150)  # a chain whose ends do not link
     for _ in range(25):
         chain = [*chain[3:], *text(3)]
