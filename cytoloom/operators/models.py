@@ -1 +1,218 @@
+"""Statistical models: O144 to O162. Small dense problems, one a feature or context, in numpy inside applyInPandas; the rest are aggregates."""
 
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..plans.registry import PATIENTS, query
+from .aggregates import average_rank
+
+
+def logit(x: np.ndarray, y: np.ndarray, l2: float = 0.0, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients (intercept first), their covariance and the log likelihood, by Newton's method."""
+    x = np.column_stack([np.ones(len(y)), x])
+    w = np.ones(len(y)) if weight is None else weight
+    b, ridge = np.zeros(x.shape[1]), l2 * np.diag([0.0] + [1.0] * (x.shape[1] - 1))
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        h = x.T @ (x * (w * p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(b))
+        step = np.linalg.solve(h, x.T @ (w * (y - p)) - ridge @ b)
+        b = b + step
+        if np.abs(step).max() < 1e-9:
+            break
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ b, -30, 30))), 1e-12, 1 - 1e-12)
+    return b, np.linalg.inv(h), float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+
+
+def cox(x: np.ndarray, time: np.ndarray, event: np.ndarray, l2: float = 0.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """Proportional hazards with Efron ties: coefficients, covariance and partial log likelihood."""
+    o = np.argsort(-time, kind="stable")
+    x, time, event = x[o], time[o], event[o].astype(bool)
+    b = np.zeros(x.shape[1])
+    for _ in range(40):
+        r = np.exp(np.clip(x @ b, -30, 30))
+        s0, s1 = np.cumsum(r), np.cumsum(r[:, None] * x, axis=0)
+        s2 = np.cumsum(r[:, None, None] * x[:, :, None] * x[:, None, :], axis=0)
+        ll, g, h = -0.5 * l2 * b @ b, -l2 * b, l2 * np.eye(len(b)) + 1e-9 * np.eye(len(b))
+        for t in np.unique(time[event]):
+            last, d = np.searchsorted(-time, -t, "right") - 1, np.flatnonzero((time == t) & event)
+            e0, e1, e2 = r[d].sum(), (r[d, None] * x[d]).sum(axis=0), (r[d, None, None] * x[d][:, :, None] * x[d][:, None, :]).sum(axis=0)
+            ll += (x[d] @ b).sum()
+            g = g + x[d].sum(axis=0)
+            for j in range(len(d)):
+                f = j / len(d)
+                z0, z1, z2 = s0[last] - f * e0, s1[last] - f * e1, s2[last] - f * e2
+                ll -= math.log(z0)
+                g = g - z1 / z0
+                h = h + z2 / z0 - np.outer(z1, z1) / z0**2
+        step = np.linalg.solve(h, g)
+        b = b + step
+        if np.abs(step).max() < 1e-9:
+            break
+    return b, np.linalg.inv(h), float(ll)
+
+
+def p_of_z(z: float) -> float:
+    return math.erfc(abs(z) / math.sqrt(2))
+
+
+def fit_models(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
+    """O144, O145, O146: per group the effect of value on y (logistic) or on time and event (Cox): coefficient, standard error, Wald p, likelihood-ratio p against no effect. Groups that can't be fitted give nulls."""
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.dropna().sort_values(list(p.columns))
+        x = p["value"].to_numpy(float)
+        row = [*key, len(p), None, None, None, None]
+        if len(p) >= 5 and x.std() > 0:
+            x = ((x - x.mean()) / x.std())[:, None]
+            try:
+                if kind == "logistic":
+                    y = p["y"].to_numpy(float)
+                    b, v, ll = logit(x, y)
+                    b, v, base = b[1], v[1, 1], logit(x[:, :0], y)[2]
+                else:
+                    t, e = p["time"].to_numpy(float), p["event"].to_numpy(bool)
+                    b, v, ll = cox(x, t, e)
+                    b, v, base = b[0], v[0, 0], cox(0 * x, t, e)[2]
+                row[-4:] = [float(b), float(math.sqrt(v)), p_of_z(b / math.sqrt(v)), p_of_z(math.sqrt(max(0, 2 * (ll - base))))]
+            except (np.linalg.LinAlgError, ValueError):
+                pass
+        return pd.DataFrame([row], columns=[*keys, "n", "coef", "se", "wald_p", "lrt_p"])
+
+    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    cols = ["value", "y"] if kind == "logistic" else ["value", "time", "event"]
+    wanted = df.select(*keys, *cols)
+    return wanted.groupBy(*keys).applyInPandas(lambda key, p: run(key, p[cols]), f"{fields}, n long, coef double, se double, wald_p double, lrt_p double")
+
+
+def folds(df: DataFrame, keys: list[str], stratum: str, unit: str, k: int = 5, repeats: int = 5, seed: int = 1) -> DataFrame:
+    """O147, O148: stratified folds of each repeat, dealt by a seeded hash of the unit."""
+    d = df.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    w = Window.partitionBy(*keys, "repeat", stratum).orderBy(F.xxhash64(F.lit(seed), "repeat", unit), unit)
+    return d.withColumn("fold", (F.row_number().over(w) - 1) % k)
+
+
+def cv_auc(df: DataFrame, keys: list[str]) -> DataFrame:
+    """O147, O149: out-of-fold AUC of a class-balanced, L2-regularised logistic model on value, per repeat; scaled by the training folds."""
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.dropna().sort_values(["fold", "value", "y"])
+        x, y, f = p["value"].to_numpy(float), p["y"].to_numpy(float), p["fold"].to_numpy()
+        out = np.full(len(y), np.nan)
+        for k in np.unique(f):
+            tr, te = f != k, f == k
+            if len(np.unique(y[tr])) < 2 or x[tr].std() == 0:
+                continue
+            m, s = x[tr].mean(), x[tr].std()
+            w = np.where(y[tr] == 1, 0.5 / y[tr].mean(), 0.5 / (1 - y[tr].mean()))
+            b = logit(((x[tr] - m) / s)[:, None], y[tr], 1.0, w)[0]
+            out[te] = b[0] + b[1] * (x[te] - m) / s
+        ok = np.isfinite(out)
+        score = None
+        if 0 < y[ok].sum() < ok.sum():
+            r = pd.Series(out[ok]).rank().to_numpy()
+            n1 = y[ok].sum()
+            score = float((r[y[ok] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (ok.sum() - n1)))
+        return pd.DataFrame([[*key, score]], columns=[*keys, "repeat", "oof_auc"])
+
+    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    d = folds(df, keys, "y", "patient_id").select(*keys, "repeat", "value", "y", "fold")
+    r = d.groupBy(*keys, "repeat").applyInPandas(lambda key, p: run(key, p[["value", "y", "fold"]]), f"{fields}, repeat int, oof_auc double")
+    return r.groupBy(*keys).agg(F.avg("oof_auc").alias("oof_auc"), F.stddev_samp("oof_auc").alias("oof_auc_repeat_sd"), F.count("oof_auc").alias("n_repeats"))
+
+
+def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
+    """O150: ROC AUC by average ranks, average precision by running sums, and accuracy measures at 0.5."""
+    d = df.where(F.col(score).isNotNull()).withColumn("_r", average_rank(score, *keys))
+    w = Window.partitionBy(*keys).orderBy(F.desc(score))
+    d = d.withColumn("_tp", F.sum(F.col(positive).cast("int")).over(w)).withColumn("_n", F.count(F.lit(1)).over(w))
+    n1, n0 = F.count_if(positive), F.count_if(~F.col(positive))
+    hit = F.col(score) >= 0.5
+    sens, spec = F.try_divide(F.count_if(hit & F.col(positive)), n1), F.try_divide(F.count_if(~hit & ~F.col(positive)), n0)
+    return d.groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col(positive), F.col("_r"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"), F.try_divide(F.sum(F.when(F.col(positive), F.col("_tp") / F.col("_n"))), n1).alias("average_precision"), sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced_accuracy"))
+
+
+def concordance(df: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """O151: share of comparable pairs (the earlier time an event) whose higher score fails first; equal scores count half."""
+    a = df.where("event").select(*keys, F.col("time").alias("ta"), F.col(score).alias("sa"))
+    b = df.select(*keys, F.col("time").alias("tb"), F.col(score).alias("sb"))
+    j = a.join(b, keys).where("ta < tb")
+    return j.groupBy(*keys).agg(F.avg(F.when(F.col("sa") > F.col("sb"), 1.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(0.0)).alias("c_index"), F.count(F.lit(1)).alias("n_pairs"))
+
+
+def paired_shift(df: DataFrame, keys: list[str], delta: str, n_boot: int = 200, seed: int = 1) -> DataFrame:
+    """O159: mean, median and sd of paired differences, effect size, t and Wilcoxon signed-rank p (normal approximations), bootstrap interval of the median."""
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        d = np.sort(p[delta].dropna().to_numpy(float))
+        n = len(d)
+        row = [*key, n] + [None] * 7
+        if n >= 3 and d.std() > 0:
+            sd = d.std(ddof=1)
+            nz = d[d != 0]
+            r = pd.Series(np.abs(nz)).rank().to_numpy()
+            wp, mu, var = r[nz > 0].sum(), len(nz) * (len(nz) + 1) / 4, (r**2).sum() / 4
+            rng = np.random.default_rng(seed)
+            boot = np.median(rng.choice(d, (n_boot, n)), axis=1)
+            row[-7:] = [d.mean(), float(np.median(d)), sd, d.mean() / sd, p_of_z(d.mean() / (sd / math.sqrt(n))), p_of_z((wp - mu) / math.sqrt(var)), float(np.quantile(boot, 0.025))]
+        return pd.DataFrame([row], columns=[*keys, "n", "mean", "median", "sd", "dz", "t_p", "wilcoxon_p", "median_low"])
+
+    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, delta).groupBy(*keys).applyInPandas(run, f"{fields}, n long, mean double, median double, sd double, dz double, t_p double, wilcoxon_p double, median_low double")
+
+
+def _brands(t) -> DataFrame:
+    s = t("supplier").select(F.col("s_suppkey").alias("patient_id"), (F.col("s_acctbal") > 4500).cast("int").alias("y"))
+    return t.features().join(s, "patient_id")
+
+
+@query("o144_logistic_models")
+def _o144(t):
+    return fit_models(_brands(t), ["feature"], "logistic")
+
+
+@query("o145_cox_models")
+def _o145(t):
+    return fit_models(t.patients().select("cohort", F.col("marker").alias("value"), "time", "event"), ["cohort"], "cox")
+
+
+@query("o147_cross_validated_auc")
+def _o147(t):
+    return cv_auc(_brands(t), ["feature"])
+
+
+@query("o150_auc_metrics", f"WITH {PATIENTS}, s AS (SELECT cohort, event, (marker + 1000) / 11000 AS s FROM patients), r AS (SELECT *, rank() OVER (PARTITION BY cohort ORDER BY s) + (count(*) OVER (PARTITION BY cohort, s) - 1) / 2.0 AS r, sum(event::INT) OVER (PARTITION BY cohort ORDER BY s DESC) / count(*) OVER (PARTITION BY cohort ORDER BY s DESC)::DOUBLE AS prec FROM s), g AS (SELECT cohort, count(*) FILTER (WHERE event) AS n1, count(*) FILTER (WHERE NOT event) AS n0, sum(r) FILTER (WHERE event) AS rs, sum(prec) FILTER (WHERE event) AS ap, count(*) FILTER (WHERE event AND s >= 0.5) AS tp, count(*) FILTER (WHERE NOT event AND s < 0.5) AS tn FROM r GROUP BY 1) SELECT cohort, round((rs - n1 * (n1 + 1) / 2.0) / (n1 * n0), 9) AS auc, round(ap / n1, 9) AS average_precision, round(tp / n1::DOUBLE, 9) AS sensitivity, round(tn / n0::DOUBLE, 9) AS specificity FROM g")
+def _o150(t):
+    g = auc(t.patients().withColumn("s", (F.col("marker") + 1000) / 11000), ["cohort"], "s", "event")
+    return g.select("cohort", *[F.round(c, 9).alias(c) for c in ("auc", "average_precision", "sensitivity", "specificity")])
+
+
+@query("o151_concordance", f"WITH {PATIENTS} SELECT a.cohort, round(avg(CASE WHEN a.marker > b.marker THEN 1.0 WHEN a.marker = b.marker THEN 0.5 ELSE 0.0 END), 9) AS c_index, count(*) AS n_pairs FROM patients a JOIN patients b ON a.cohort = b.cohort AND a.event AND a.time < b.time GROUP BY 1")
+def _o151(t):
+    return concordance(t.patients(), ["cohort"], "marker").withColumn("c_index", F.round("c_index", 9))
+
+
+@query("o153_context_quality", f"WITH {PATIENTS} SELECT cohort, count(*) AS n, count(*) FILTER (WHERE event) AS events, least(count(*) FILTER (WHERE event), count(*) FILTER (WHERE NOT event)) AS min_class, least(count(*) FILTER (WHERE event), count(*) FILTER (WHERE NOT event)) >= 5 AND count(*) >= 30 AS can_fit FROM patients GROUP BY 1")
+def _o153(t):
+    e, ne = F.count_if("event"), F.count_if(~F.col("event"))
+    return t.patients().groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), e.alias("events"), F.least(e, ne).alias("min_class"), ((F.least(e, ne) >= 5) & (F.count(F.lit(1)) >= 30)).alias("can_fit"))
+
+
+@query("o159_paired_shift")
+def _o159(t):
+    at = F.struct("o_orderdate", "o_orderkey")
+    d = t("orders").groupBy("o_custkey").agg((F.max_by("o_totalprice", at) - F.min_by("o_totalprice", at)).alias("delta"))
+    c = t("customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("cohort"))
+    return paired_shift(d.join(c, "o_custkey"), ["cohort"], "delta")
+
+
+@query("o160_direction_consistency", "WITH f AS (SELECT user_id, value - 50 AS v FROM events), m AS (SELECT user_id, sign(avg(v)) AS s FROM f GROUP BY 1) SELECT user_id, round(avg((sign(v) = s)::INT), 9) AS consistency, any_value(-s)::DOUBLE AS favourable FROM f JOIN m USING (user_id) GROUP BY 1")
+def _o160(t):
+    f = t("events").select("user_id", (F.col("value") - 50).alias("v"))
+    m = f.groupBy("user_id").agg(F.signum(F.avg("v")).alias("s"))
+    return f.join(m, "user_id").groupBy("user_id").agg(F.round(F.avg((F.signum("v") == F.col("s")).cast("double")), 9).alias("consistency"), F.first(-F.col("s")).alias("favourable"))

@@ -1 +1,164 @@
+"""Spatial and graph operators: O055, O056, O133 to O143."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans.registry import CELLS, query
+
+
+def radius_pairs(cells: DataFrame, r: float, group: str = "sample_id") -> DataFrame:
+    """O055, O137: ordered pairs of cells of one group within r: an equi-join on grid squares of side r, one side copied to the nine squares around it. No group is gathered in a task."""
+    g = cells.withColumn("gx", F.floor(F.col("x") / r)).withColumn("gy", F.floor(F.col("y") / r))
+    a = g.select(group, "gx", "gy", F.col("cell_id").alias("a"), F.col("phenotype").alias("pa"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    b = g.withColumn("o", F.explode(off)).select(group, (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"), F.col("cell_id").alias("b"), F.col("phenotype").alias("pb"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    return a.join(b, [group, "gx", "gy"]).where((F.col("a") != F.col("b")) & (dx * dx + dy * dy <= r * r)).select(group, "a", "b", "pa", "pb")
+
+
+def neighbour_counts(pairs: DataFrame, group: str = "sample_id") -> DataFrame:
+    """O135: neighbours of each label around each cell."""
+    return pairs.groupBy(group, "a", "pa", "pb").agg(F.count(F.lit(1)).alias("n"))
+
+
+def triads(counts: DataFrame, group: str = "sample_id", least: int = 1) -> DataFrame:
+    """O136: centres with both labels near (two for the same label), per unordered pair of labels."""
+    x = counts.select(group, "a", "pa", F.col("pb").alias("n1"), F.col("n").alias("k1"))
+    y = counts.select(group, "a", F.col("pb").alias("n2"), F.col("n").alias("k2"))
+    j = x.join(y, [group, "a"]).where("n1 < n2 OR (n1 = n2 AND k1 >= 2)")
+    return j.groupBy(group, F.col("pa").alias("centre"), "n1", "n2").agg(F.count_distinct("a").alias("n")).where(F.col("n") >= least)
+
+
+def diversity(counts: DataFrame, group: str = "sample_id") -> DataFrame:
+    """O138: richness, Shannon and Renyi-2 diversity of each cell's neighbourhood, itself not counted."""
+    tot = F.sum("n")
+    return counts.groupBy(group, "a").agg(F.count(F.lit(1)).alias("richness"), (F.log(tot) - F.sum(F.col("n") * F.log("n")) / tot).alias("shannon"), (2 * F.log(tot) - F.log(F.sum(F.col("n") * F.col("n")))).alias("renyi2"))
+
+
+def infiltration(pairs: DataFrame, base: list[str], immune: list[str], group: str = "sample_id") -> DataFrame:
+    """O139: for base cells, edges to immune cells over edges to base cells + 1."""
+    e = pairs.where(F.col("pa").isin(base)).groupBy(group, "a").agg(F.count_if(F.col("pb").isin(immune)).alias("i"), F.count_if(F.col("pb").isin(base)).alias("b"))
+    return e.select(group, "a", (F.col("i") / (F.col("b") + 1)).alias("ratio"))
+
+
+def nearest_distances(cells: DataFrame, group: str = "sample_id", block: int = 512) -> DataFrame:
+    """O056, O134: distance from each cell to the nearest other cell of each label; numpy in blocks of rows, so a group needs memory in proportion to its cells."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy, lab = pdf[["x", "y"]].to_numpy(float), pdf["phenotype"].to_numpy()
+        out = []
+        for to in sorted(set(lab)):
+            at = np.flatnonzero(lab == to)
+            best = np.empty(len(xy))
+            for i in range(0, len(xy), block):
+                d = ((xy[i : i + block, None, :] - xy[None, at, :]) ** 2).sum(axis=2)
+                d[np.arange(i, min(i + block, len(xy)))[:, None] == at[None, :]] = np.inf
+                best[i : i + block] = d.min(axis=1)
+            ok = np.isfinite(best)
+            out.append(pd.DataFrame({group: pdf[group].to_numpy()[ok], "pa": lab[ok], "pb": to, "distance": np.sqrt(best[ok])}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({group: [], "pa": [], "pb": [], "distance": []})
+
+    return cells.select(group, "x", "y", "phenotype").groupBy(group).applyInPandas(one, f"{group} long, pa string, pb string, distance double")
+
+
+def permutation_scores(cells: DataFrame, pairs: DataFrame, n_perm: int = 50, seed: int = 1, group: str = "sample_id") -> DataFrame:
+    """O140: observed share of neighbours of a label around a label, less its mean under shuffled labels, and z. Shuffles are seeded by the group."""
+
+    def run(key: tuple, c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        names, code = np.unique(c["phenotype"].to_numpy().astype(str), return_inverse=True)
+        place = {x: i for i, x in enumerate(c["cell_id"])}
+        a, b, k = e["a"].map(place).to_numpy(int), e["b"].map(place).to_numpy(int), len(names)
+        share = lambda z: (t := np.bincount(z[a] * k + z[b], minlength=k * k).reshape(k, k).astype(float)) / np.maximum(t.sum(axis=1, keepdims=True), 1)
+        seen, rng = share(code), np.random.default_rng([seed, int(key[0])])
+        perm = np.stack([share(rng.permutation(code)) for _ in range(n_perm)])
+        diff, sd = seen - perm.mean(axis=0), perm.std(axis=0, ddof=1)
+        i, j = np.divmod(np.arange(k * k), k)
+        z = np.divide(diff, sd, out=np.full_like(diff, np.nan), where=sd > 0)
+        return pd.DataFrame({group: key[0], "pa": names[i], "pb": names[j], "observed": seen.ravel(), "diff": diff.ravel(), "z": z.ravel()})
+
+    order = cells.select(group, "cell_id", "phenotype")
+    return order.groupBy(group).cogroup(pairs.toDF("g", "a", "b", "pa", "pb").groupBy("g")).applyInPandas(run, f"{group} long, pa string, pb string, observed double, diff double, z double")
+
+
+def ripley(cells: DataFrame, radii: list[float], group: str = "sample_id") -> DataFrame:
+    """O142: Ripley's K with translation correction and its deviation from randomness, for radii up to .45 of the shorter side."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf.sort_values(["x", "y"])[["x", "y"]].to_numpy(float)
+        n, side = len(xy), np.ptp(xy, axis=0)
+        rows = []
+        for r in radii:
+            if n < 2 or r > 0.45 * side.min():
+                continue
+            k = 0.0
+            for i in range(0, n, 512):
+                d = np.abs(xy[i : i + 512, None, :] - xy[None, :, :])
+                near = (d**2).sum(axis=2) <= r * r
+                near[np.arange(min(512, n - i)), np.arange(i, min(i + 512, n))] = False
+                k += (near / ((side[0] - d[..., 0]) * (side[1] - d[..., 1])).clip(1e-12)).sum()
+            k *= (side.prod() / n) ** 2
+            rows.append((pdf[group].iloc[0], r, k, k - np.pi * r * r))
+        return pd.DataFrame(rows, columns=[group, "radius", "k", "deviation"])
+
+    return cells.select(group, "x", "y").groupBy(group).applyInPandas(run, f"{group} long, radius double, k double, deviation double")
+
+
+_PAIRS = f"{CELLS}, pr AS (SELECT a.sample_id, a.cell_id AS a, b.cell_id AS b, a.phenotype AS pa, b.phenotype AS pb FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.cell_id <> b.cell_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0)"
+_NEAR = _PAIRS + ", nc AS (SELECT sample_id, a, pa, pb, count(*) AS n FROM pr GROUP BY ALL)"
+
+
+@query("o055_radius_join", f"WITH {_PAIRS} SELECT sample_id, pa, pb, count(*) AS n FROM pr GROUP BY ALL")
+def _o055(t):
+    return radius_pairs(t.cells(), 2.0).groupBy("sample_id", "pa", "pb").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("o056_nearest_neighbour", f"WITH {CELLS}, d AS (SELECT a.sample_id, a.cell_id, a.phenotype AS pa, b.phenotype AS pb, sqrt(min((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y))) AS d FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.cell_id <> b.cell_id GROUP BY ALL) SELECT sample_id, pa, pb, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS sd, round(max(d), 6) AS most, round(median(d), 6) AS median FROM d GROUP BY ALL")
+def _o056(t):
+    d = F.col("distance")
+    return nearest_distances(t.cells()).groupBy("sample_id", "pa", "pb").agg(F.count(d).alias("n"), F.round(F.avg(d), 6).alias("mean"), F.round(F.stddev_samp(d), 6).alias("sd"), F.round(F.max(d), 6).alias("most"), F.round(F.median(d), 6).alias("median"))
+
+
+@query("o133_tissue_area", f"WITH {CELLS} SELECT sample_id, round(greatest((max(x) - min(x)) * (max(y) - min(y)) * 1e-6, 1e-12), 9) AS area, count(*) AS n FROM cells GROUP BY 1")
+def _o133(t):
+    box = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y")) * 1e-6
+    return t.cells().groupBy("sample_id").agg(F.round(F.greatest(box, F.lit(1e-12)), 9).alias("area"), F.count(F.lit(1)).alias("n"))
+
+
+@query("o135_neighbour_counts", f"WITH {_NEAR} SELECT pa, pb, n, count(*) AS cells FROM nc GROUP BY ALL")
+def _o135(t):
+    return neighbour_counts(radius_pairs(t.cells(), 2.0)).groupBy("pa", "pb", "n").agg(F.count(F.lit(1)).alias("cells"))
+
+
+@query("o136_triads", f"WITH {_NEAR} SELECT x.sample_id, x.pa AS centre, x.pb AS n1, y.pb AS n2, count(DISTINCT x.a) AS n FROM nc x JOIN nc y ON x.sample_id = y.sample_id AND x.a = y.a AND (x.pb < y.pb OR (x.pb = y.pb AND x.n >= 2)) GROUP BY ALL")
+def _o136(t):
+    return triads(neighbour_counts(radius_pairs(t.cells(), 2.0)))
+
+
+@query("o138_local_diversity", f"WITH {_NEAR}, v AS (SELECT sample_id, a, count(*) AS richness, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS shannon, 2 * ln(sum(n)) - ln(sum(n * n)) AS renyi FROM nc GROUP BY ALL) SELECT sample_id, round(avg(richness), 6) AS richness, round(avg(shannon), 6) AS shannon, round(avg(renyi), 6) AS renyi2 FROM v GROUP BY 1")
+def _o138(t):
+    v = diversity(neighbour_counts(radius_pairs(t.cells(), 2.0)))
+    return v.groupBy("sample_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("richness", "shannon", "renyi2")])
+
+
+@query("o139_infiltration", f"WITH {_PAIRS}, e AS (SELECT sample_id, a, count(*) FILTER (WHERE pb IN ('SMALL')) / (count(*) FILTER (WHERE pb IN ('ECONOMY', 'LARGE')) + 1)::DOUBLE AS r FROM pr WHERE pa IN ('ECONOMY', 'LARGE') GROUP BY ALL) SELECT c.sample_id, round(avg(coalesce(r, 0)), 9) AS ratio FROM cells c LEFT JOIN e ON e.sample_id = c.sample_id AND e.a = c.cell_id WHERE phenotype IN ('ECONOMY', 'LARGE') GROUP BY 1")
+def _o139(t):
+    c, base = t.cells(), ["ECONOMY", "LARGE"]
+    r = infiltration(radius_pairs(c, 2.0), base, ["SMALL"]).withColumnRenamed("a", "cell_id")
+    return c.where(F.col("phenotype").isin(base)).join(r, ["sample_id", "cell_id"], "left").groupBy("sample_id").agg(F.round(F.avg(F.coalesce("ratio", F.lit(0.0))), 9).alias("ratio"))
+
+
+@query("o140_interaction_permutations")
+def _o140(t):
+    c = t.cells()
+    return permutation_scores(c, radius_pairs(c, 2.0))
+
+
+@query("o142_ripley")
+def _o142(t):
+    return ripley(t.cells(), [2.0, 4.0, 6.0])
