@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .base import materialise, table, text_bytes
 
 WIDTH, GRAM, BATCHES = 50, 24, 8
-CHUNK_BYTES, SHARD_BYTES, STEP = 8 << 20, 24 << 20, 1 << 19
+CHUNK_BYTES, SHARD_BYTES, STEP = 4 << 20, 12 << 20, 1 << 18
 LAST = np.iinfo(np.int64).max
 _R = 0x9E3779B97F4A7C15 | 1
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
