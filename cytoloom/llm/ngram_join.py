@@ -32,6 +32,8 @@ SHINGLE, THRESHOLD = 4, 85
 COUNTERS, SLICES, BITMAP, NEEDED_BITS = 1 << 22, 64, 1024, 1 << 26
 #: Lists up to this length give all pairs at once.
 SHORT = 4
+#: Size codes (2000 times the logarithm of the size) of linked sets differ by no more, rounding included.
+BAND = int(2000 * np.log(100 / THRESHOLD)) + 2
 #: Salts of the leaders that the entries of a longer list are first compared with; largest side of a tile in the second comparison.
 LEADERS, TILE = (0, 12345, 67890, 424242), 1000
 POSTINGS_PER_SHARD = 1_000_000
@@ -194,21 +196,28 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     new = np.ones(len(t), bool)
     new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
     t, g = t[new], g[new]
-    first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, np.int64)
+    # a list ends where the next size is too far to link; each such run is a list of its own
+    code = g >> 47
+    start = np.ones(len(t), bool)
+    start[1:] = (t[1:] != t[:-1]) | (code[1:] - code[:-1] > BAND)
+    first = np.flatnonzero(start)
     size = np.diff(np.append(first, len(t)))
     length = np.repeat(size, size)
+    t = np.repeat(mix(t[first] ^ mix(g[first].astype(np.uint64))), size)
     a, b = [], []
     for gap in range(1, SHORT):
-        at = np.flatnonzero((t[gap:] == t[:-gap]) & (length[gap:] <= SHORT))
+        at = np.flatnonzero((t[gap:] == t[:-gap]) & (length[gap:] <= SHORT) & (code[gap:] - code[:-gap] <= BAND))
         a.append(g[at])
         b.append(g[at + gap])
     long = np.flatnonzero(length > SHORT)
     if len(long):
         lt, lg = t[long], g[long]
-        lead_at = np.flatnonzero(np.concatenate([[True], lt[1:] != lt[:-1]]))
+        band = mix(lt + (lg >> 47).astype(np.uint64) // np.uint64(BAND))  # leaders by size
         for salt in LEADERS:  # the same leaders wherever they occur
-            order = np.lexsort((mix(lg.astype(np.uint64) + np.uint64(salt)), lt))
-            lead = np.repeat(lg[order][lead_at], np.diff(np.append(lead_at, len(lt))))
+            order = np.lexsort((mix(lg.astype(np.uint64) + np.uint64(salt)), band))
+            lead_at = np.flatnonzero(np.concatenate([[True], band[order][1:] != band[order][:-1]]))
+            lead = np.empty(len(lg), np.int64)
+            lead[order] = np.repeat(lg[order][lead_at], np.diff(np.append(lead_at, len(lt))))
             a.append(np.minimum(lead, lg)[lead != lg])
             b.append(np.maximum(lead, lg)[lead != lg])
     pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
