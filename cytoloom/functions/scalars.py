@@ -144,8 +144,8 @@ def _o129(t):
     return t("part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_size").alias("size"))).alias("key"), uid.alias("uid"), F.split(uid, r"\|", 3)[2].alias("feature"))
 
 
-@query("o131_display", "SELECT event_type, count(*) FILTER (WHERE value > 50) || ' (' || printf('%.1f', 100.0 * count(*) FILTER (WHERE value > 50) / count(*)) || '%)' AS n_pct, printf('%.1f', median(value)) || ' (' || printf('%.1f', quantile_cont(value, 0.25)) || '-' || printf('%.1f', quantile_cont(value, 0.75)) || ')' AS spread FROM events GROUP BY 1")
+@query("o131_display", "SELECT event_type, count(*) FILTER (WHERE value > 50) || ' (' || printf('%.1f', 100.0 * count(*) FILTER (WHERE value > 50) / count(*)) || '%)' AS n_pct, printf('%.4f', median(value)) || ' (' || printf('%.4f', quantile_cont(value, 0.25)) || '-' || printf('%.4f', quantile_cont(value, 0.75)) || ')' AS spread FROM events GROUP BY 1")
 def _o131(t):
     n = F.count_if(F.col("value") > 50)
     q = [F.percentile("value", F.lit(p)) for p in (0.5, 0.25, 0.75)]
-    return t("events").groupBy("event_type").agg(F.format_string("%d (%.1f%%)", n, 100.0 * n / F.count(F.lit(1))).alias("n_pct"), F.format_string("%.1f (%.1f-%.1f)", *q).alias("spread"))
+    return t("events").groupBy("event_type").agg(F.format_string("%d (%.1f%%)", n, 100.0 * n / F.count(F.lit(1))).alias("n_pct"), F.format_string("%.4f (%.4f-%.4f)", *q).alias("spread"))

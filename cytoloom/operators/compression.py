@@ -139,7 +139,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def _pairs(t) -> DataFrame:
     f = t.features().withColumn("root", F.substring_index("feature", "_", 1))
-    return spearman_pairs(f, ["root"]).select("root", "a", "b", F.round("rho", 9).alias("rho"))
+    return spearman_pairs(f, ["root"], 5).select("root", "a", "b", F.round("rho", 9).alias("rho"))
 
 
 def _per_root(t, fn, schema: str, columns: list[str]) -> DataFrame:

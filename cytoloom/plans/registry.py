@@ -39,7 +39,7 @@ class Tables:
     def cells(self) -> DataFrame:
         """Cells: one line item each; the supplier is the sample, the part's type the phenotype."""
         p = self("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("phenotype"))
-        key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.round(F.col("l_extendedprice") * 100).cast("long"))
         return self("lineitem").join(p, "l_partkey").select(F.col("l_suppkey").alias("sample_id"), key.alias("cell_id"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 2000).alias("y"), F.when(F.col("l_linestatus") == "O", "Tumor").otherwise("Stroma").alias("region"), "phenotype")
 
     def features(self) -> DataFrame:
@@ -58,7 +58,7 @@ class Tables:
         return self("customer").join(o, F.col("c_custkey") == F.col("o_custkey")).select(F.col("c_custkey").alias("patient_id"), F.col("c_mktsegment").alias("cohort"), F.col("time").cast("double").alias("time"), (F.col("last") == "F").alias("event"), F.col("c_acctbal").alias("marker"))
 
 
-CELLS = "cells AS (SELECT l_suppkey AS sample_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS cell_id, l_quantity AS x, l_extendedprice / 2000 AS y, CASE WHEN l_linestatus = 'O' THEN 'Tumor' ELSE 'Stroma' END AS region, p_type AS phenotype FROM lineitem JOIN part ON p_partkey = l_partkey)"
+CELLS = "cells AS (SELECT l_suppkey AS sample_id, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT, round(l_extendedprice * 100)::BIGINT) AS cell_id, l_quantity AS x, l_extendedprice / 2000 AS y, CASE WHEN l_linestatus = 'O' THEN 'Tumor' ELSE 'Stroma' END AS region, p_type AS phenotype FROM lineitem JOIN part ON p_partkey = l_partkey)"
 FEATURES = "fb AS (SELECT l_suppkey AS patient_id, p_brand, avg(l_quantity) AS qty, sum(l_discount) AS disc FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL), features AS (SELECT patient_id, 'qty_' || p_brand AS feature, qty AS value FROM fb UNION ALL SELECT patient_id, 'disc_' || p_brand, disc FROM fb)"
 EVIDENCE = "evidence AS (SELECT p_brand AS context, p_partkey AS feature, p_type AS source, round((round(p_retailprice, 2) % 100) / 100, 4) AS oof, p_size / 100.0::DOUBLE AS sd, p_partkey % 3 AS transform FROM part)"
 PATIENTS = "oo AS (SELECT o_custkey, date_diff('day', min(o_orderdate), max(o_orderdate)) AS time, arg_max(o_orderstatus, (o_orderdate, o_orderkey)) AS last FROM orders GROUP BY ALL), patients AS (SELECT c_custkey AS patient_id, c_mktsegment AS cohort, time::DOUBLE AS time, last = 'F' AS event, c_acctbal AS marker FROM customer JOIN oo ON c_custkey = o_custkey)"
