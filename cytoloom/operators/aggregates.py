@@ -48,7 +48,7 @@ def spearman_pairs(features: DataFrame, group: list[str], min_n: int = 20) -> Da
     b = f.select(*group, "patient_id", F.col("feature").alias("b"), F.col("value").alias("vb"))
     j = a.join(b, [*group, "patient_id"]).where("a < b")
     r = j.withColumn("ra", average_rank("va", *group, "a", "b")).withColumn("rb", average_rank("vb", *group, "a", "b"))
-    return r.groupBy(*group, "a", "b").agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n).withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+    return r.groupBy(*group, "a", "b").agg(F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
 
 
 def consensus(pairs: DataFrame) -> DataFrame:
@@ -166,12 +166,12 @@ def _o083(t):
 _SPEARMAN = f"{FEATURES}, ff AS (SELECT * FROM features WHERE feature LIKE 'qty%'), j AS (SELECT a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM j)"
 
 
-@query("o084_spearman", f"WITH {_SPEARMAN} SELECT a, b, round(corr(ra, rb), 6) AS rho, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 20")
+@query("o084_spearman", f"WITH {_SPEARMAN} SELECT a, b, round((covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0)), 6) AS rho, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 20")
 def _o084(t):
     return spearman_pairs(t.features().where("feature LIKE 'qty%'"), []).withColumn("rho", F.round("rho", 6))
 
 
-@query("o086_cohort_consensus", f"WITH {FEATURES}, c AS (SELECT s_suppkey AS patient_id, s_nationkey % 3 AS cohort FROM supplier), ff AS (SELECT patient_id, feature, round(value, 6) AS value, cohort FROM features JOIN c USING (patient_id) WHERE feature LIKE 'disc%'), j AS (SELECT a.cohort, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT cohort, a, b, rank() OVER (PARTITION BY cohort, a, b ORDER BY va) + (count(*) OVER (PARTITION BY cohort, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY cohort, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY cohort, a, b, vb) - 1) / 2.0 AS rb FROM j), p AS (SELECT cohort, a, b, corr(ra, rb) AS rho FROM r GROUP BY ALL HAVING count(*) >= 10) SELECT a, b, round(avg(rho), 6) AS consensus_rho, count(rho) AS support, round(stddev_pop(rho), 6) AS rho_sd, count(*) FILTER (WHERE rho > 0) AS n_pos, count(*) FILTER (WHERE rho < 0) AS n_neg FROM p GROUP BY ALL")
+@query("o086_cohort_consensus", f"WITH {FEATURES}, c AS (SELECT s_suppkey AS patient_id, s_nationkey % 3 AS cohort FROM supplier), ff AS (SELECT patient_id, feature, round(value, 6) AS value, cohort FROM features JOIN c USING (patient_id) WHERE feature LIKE 'disc%'), j AS (SELECT a.cohort, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT cohort, a, b, rank() OVER (PARTITION BY cohort, a, b ORDER BY va) + (count(*) OVER (PARTITION BY cohort, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY cohort, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY cohort, a, b, vb) - 1) / 2.0 AS rb FROM j), p AS (SELECT cohort, a, b, (covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0)) AS rho FROM r GROUP BY ALL HAVING count(*) >= 10) SELECT a, b, round(avg(rho), 6) AS consensus_rho, count(rho) AS support, round(stddev_pop(rho), 6) AS rho_sd, count(*) FILTER (WHERE rho > 0) AS n_pos, count(*) FILTER (WHERE rho < 0) AS n_neg FROM p GROUP BY ALL")
 def _o086(t):
     c = t("supplier").select(F.col("s_suppkey").alias("patient_id"), (F.col("s_nationkey") % 3).alias("cohort"))
     f = t.features().where("feature LIKE 'disc%'").withColumn("value", F.round("value", 6)).join(c, "patient_id")
