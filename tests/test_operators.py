@@ -9,8 +9,9 @@ import pandas as pd
 import pytest
 
 from compare import TABLES, rows
-from cytoloom.operators import compression, joins, models, spatial
+from cytoloom.operators import cohorts, compression, joins, models, programs, spatial
 from cytoloom.plans import registry
+from cytoloom.sources import tables
 
 SF = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
@@ -84,3 +85,58 @@ def test_validated_join_raises(spark):
     d = spark.createDataFrame([(1, 2), (1, 3)], "k long, v long")
     with pytest.raises(ValueError):
         joins.join_validated(d, d, ["k"])
+
+
+def test_simplify_follows_chains():
+    rho = {("a", "b"): 0.9, ("b", "c"): 0.9, ("a", "c"): 0.1}
+    got = programs.simplify(list("abc"), dict.fromkeys("abc", 0.5), rho, [(dict.fromkeys("abc", 1), {"a": 3, "b": 2, "c": 1})], 0.8, 0.01)
+    assert got == {"a": "c", "b": "c", "c": "c"}
+    lossy = programs.simplify(list("ab"), {"a": 0.9, "b": 0.5}, {("a", "b"): 0.9}, [(dict.fromkeys("ab", 1), {"a": 2, "b": 1})], 0.8, 0.01)
+    assert lossy == {"a": "a", "b": "a"}  # the simpler one loses too much; the greedy pass keeps the better one
+
+
+def test_depth_diagnostics():
+    rows = programs.depth_diagnostics(["a", "b", "c"], {("a", "b"): 0.9, ("b", "c"): 0.1}, 0.5)
+    assert rows == [(1, 0, 0, 0, 1, 1, 1.0, True), (2, 1, 1, 2, 1, 1, 0.5, False), (3, 2, 1, 2, 2, 2, 2 / 3, True)]
+
+
+def test_cap_recommendation(spark):
+    novel = [True] * 4 + [False] * 12
+    rows = [("r", i + 1, min(i + 1, 4), min(i + 1, 4) / (i + 1), x) for i, x in enumerate(novel)]
+    r = programs.recommended_caps(spark.createDataFrame(rows, "root string, depth int, n_novel int, novelty_yield double, is_novel boolean"), "root").first()
+    assert (r.strict, r.balanced, r.permissive, r.elbow, r.recommended, r.at_boundary) == (4, 4, 4, 3, 3, False)
+
+
+def test_k_evaluation_finds_the_planted_modules():
+    names, rho = list("abcdef"), {}
+    for x, y in itertools.combinations(names, 2):
+        rho[x, y] = 0.9 if (x < "d") == (y < "d") else 0.0
+    k2 = programs.evaluate_k(names, rho, {x: x < "d" for x in names}, [2, 3])[0]
+    assert k2[0] == 2 and k2[1] > 0.8 and k2[2] == 0.5 and k2[3] == 0 and k2[4] == pytest.approx(1) and k2[5] == pytest.approx(0.6)
+
+
+def test_meta_modules_join_agreeing_roots(spark):
+    rng, rows = np.random.default_rng(4), []
+    for cohort in ("x", "y"):
+        for p in range(30):
+            v, w = rng.normal(size=2)
+            rows += [(cohort, "P", f"{cohort}{p}", "r1", "m1", float(v)), (cohort, "P", f"{cohort}{p}", "r2", "m1", float(v + 0.01 * w)), (cohort, "P", f"{cohort}{p}", "r1", "m2", float(w))]
+    s = spark.createDataFrame(rows, "cohort string, panel string, patient_id string, root string, module string, score double")
+    got = {(r.root, r.module): r.accepted for r in programs.meta_modules(s, 5, [0.5]).collect()}
+    assert got == {("r1", "m1"): True, ("r2", "m1"): True, ("r1", "m2"): False}
+
+
+def test_frozen_definitions():
+    with pytest.raises(ValueError):
+        programs.check_frozen({"k": 3}, {"k": 2})
+
+
+def test_sections_by_batch_name(spark, tmp_path):
+    for i, b in enumerate(("Batch1", "Batch 1", "Batch_1", "Batch10")):
+        spark.range(i, i + 1).write.parquet(f"{tmp_path}/P1/{b}")
+    assert sorted(r.id for r in cohorts.section_rows(spark, str(tmp_path), "P1", 1).collect()) == [0, 1, 2]
+
+
+def test_tolerant_read(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("k,v\n1,café\n".encode("windows-1252"))
+    assert tables.read_tolerant(spark, f"{tmp_path}/a.csv").first().v == "café"
