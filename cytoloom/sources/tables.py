@@ -132,6 +132,11 @@ def _o016(t):
     return t.spark.read.parquet(path).where("chunk <= 3").groupBy("chunk", "cohort").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("o017_run_config", "SELECT 10::BIGINT AS k_max, 'screen' AS name, 0.9::DOUBLE AS near")
+def _o017(t):
+    return save_config(t.spark, {"name": "screen", "k_max": 10, "near": 0.9}, new_path(t.spark, "config"))
+
+
 @query("o018_square_matrix", f"WITH {FEATURES}, f AS (SELECT feature, round(avg(value), 6) AS m FROM features WHERE feature LIKE 'qty%' GROUP BY 1) SELECT a.feature AS uid_a, b.feature AS uid_b, round(a.m * b.m, 4) AS value FROM f a, f b")
 def _o018(t):
     f = t.features().where("feature LIKE 'qty%'").groupBy("feature").agg(F.round(F.avg("value"), 6).alias("m"))

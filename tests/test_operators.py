@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 
 from compare import TABLES, rows
-from cytoloom.operators import cohorts, compression, joins, models, programs, spatial
+from cytoloom.operators import cohorts, compression, joins, models, programs, shaping, spatial
 from cytoloom.plans import registry
 from cytoloom.sources import tables
 
@@ -140,3 +140,23 @@ def test_sections_by_batch_name(spark, tmp_path):
 def test_tolerant_read(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("k,v\n1,café\n".encode("windows-1252"))
     assert tables.read_tolerant(spark, f"{tmp_path}/a.csv").first().v == "café"
+
+
+def test_support_filter_drops_unsupported_features(spark):
+    p = spark.createDataFrame([("a", "b", 0.9, 2), ("a", "c", 0.8, 1), ("b", "c", 0.7, 1), ("a", "d", 0.6, 2)], "a string, b string, consensus_rho double, support int")
+    got = {(r.a, r.b): r.rho for r in shaping.support_filter(p, 2, 0.5).collect()}
+    assert got == {("a", "b"): 0.9, ("a", "d"): 0.6}
+
+
+def test_survival_cv_ranks_a_planted_risk(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=80)
+    d = pd.DataFrame({"patient_id": range(80), "g": 1, "value": x, "time": rng.exponential(size=80) * np.exp(-2 * x), "event": True})
+    r = shaping.survival_cv(spark.createDataFrame(d), ["g"]).first()
+    assert r.oof_c_index > 0.75 and r.n_repeats == 5
+
+
+def test_chunk_scan_prunes_folders(spark, tmp_path):
+    spark.createDataFrame([("x", 1.0, "c0", "P", 1), ("y", 2.0, "c1", "Q", 2)], "cell_id string, x double, cohort string, panel string, chunk int").write.partitionBy("cohort", "panel", "chunk").option("sep", "\t").option("header", True).csv(f"{tmp_path}/c")
+    d = shaping.chunk_scan(spark, f"{tmp_path}/c", "cell_id string, x double, cohort string, panel string, chunk int", ["Q"])
+    assert [r.cell_id for r in d.collect()] == ["y"] and "PartitionFilters: [isnotnull(panel" in d._jdf.queryExecution().toString()
