@@ -2,8 +2,8 @@
 
 1. Texts become term numbers of the benchmark's vocabulary (0 for other words) in the shared folder; passage frequencies over all documents give
 the inverse passage frequency of each term. 2. Randomised SVD: every passage's TF-IDF row x adds x (x Omega) to a sketch of fixed size; its
-Nystrom factors are the latent basis. Terms outside the vocabulary meet no item, so they count in a passage's norm alone. 3. Windows of
-each item's length whose weight lies mostly in the vocabulary are projected and compared with the items by cosine. 4. Candidates are
+Nystrom factors are the latent basis. Terms outside the vocabulary meet no item and have no weight. 3. Windows of each item's length
+are projected and compared with the item by cosine, but for those that hold too few of the item's words to pass the next step. 4. Candidates are
 confirmed by the longest common subsequence of words and by the answer check: the terms that stand in the matched stretch must carry most of
 the item's weight, so what is asked and answered is there and not its function words alone.
 
@@ -27,8 +27,8 @@ from .base import ByteWords, blocks, materialise, table, text_bytes
 MIN_WORDS, BLOCK_WORDS = 5, 500_000
 #: Words in a passage of the TF-IDF matrix; rank of the latent space, with oversampling; seed of the sketch.
 PASSAGE, RANK, SEED = 32, 40, 7
-#: Least share of a window's weight in the vocabulary, least cosine, least subsequence (as a share of the item) and least share of its weight among the terms of the matched stretch.
-MASS, COSINE, SUBSEQUENCE, ANSWER = 0.4, 0.5, 0.65, 0.5
+#: Least cosine, least subsequence (as a share of the item) and least share of its weight among the terms of the matched stretch.
+COSINE, SUBSEQUENCE, ANSWER = 0.5, 0.65, 0.5
 
 _MARKS = bytes(c if chr(c) not in ".,;:!?\"()[]{}<>*_" else 32 for c in range(256))
 _TERMS = "doc_id long, terms binary"
@@ -88,7 +88,7 @@ def _passages(t: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def weights(terms: DataFrame, n_terms: int, wide: bool) -> np.ndarray:
-    """Inverse passage frequencies; place 0 is for words outside the vocabulary, which count as met once."""
+    """Inverse passage frequencies; words outside the vocabulary (place 0) weigh nothing, terms that no passage holds as much as the rarest that one does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(n_terms + 1, np.int64), 0
@@ -106,7 +106,10 @@ def weights(terms: DataFrame, n_terms: int, wide: bool) -> np.ndarray:
     n = max(got.get(0, 1), 1)
     df = np.array([got.get(i, 0) for i in range(n_terms + 1)], float)
     df[0] = 0
-    return np.log((1 + n) / (1 + df)) + 0.1
+    idf = np.log((1 + n) / (1 + df)) + 0.1
+    idf[0] = 0
+    idf[1:][df[1:] == 0] = idf.max(where=df > 0, initial=0.1)
+    return idf
 
 
 def basis(terms: DataFrame, idf: np.ndarray, wide: bool, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
@@ -185,13 +188,18 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
     latent = q * idf[:, None].astype(np.float32)
     z = np.stack([latent[t].sum(axis=0) for _, t in bench.value.items]) if bench.value.items else np.zeros((0, q.shape[1]))
     z = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    known = idf[1:].max(where=idf[1:] < idf[0], initial=0)  # terms that no document holds weigh as the rarest that one does
-    capped = np.minimum(idf, known or idf[0])
-    rare = [(u := np.unique(t), capped[u] / capped[u].sum()) for _, t in bench.value.items]
-    shared = terms.sparkSession.sparkContext.broadcast((latent, z, rare, (idf**2).astype(np.float64)))
+    rare = [(u := np.unique(t), idf[u] / idf[u].sum()) for _, t in bench.value.items]
+    # what each class asks of a stretch at least: words of its items, and the most that each term can add to an item's share
+    least = {}
+    for size, members in by_class.items():
+        share = np.zeros(len(idf))
+        for i in members:
+            np.maximum.at(share, *rare[i])
+        least[size] = (SUBSEQUENCE * min(len(bench.value.items[i][1]) for i in members), share)
+    shared = terms.sparkSession.sparkContext.broadcast((latent, z, rare, least))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        latent, z, rare, mass = shared.value
+        latent, z, rare, least = shared.value
         items = bench.value.items
         for ids, t, ends in _read(batches, wide):
             n = len(t)
@@ -201,51 +209,52 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
             begin = np.repeat(starts, ends - starts)
             end = np.repeat(ends, ends - starts)
             place = np.arange(n) - begin
-            m = mass[t]
-            every = np.concatenate([[0], np.cumsum(m)])
-            inside = np.concatenate([[0], np.cumsum(np.where(t > 0, m, 0))])
+            terms_at = t[t > 0]
+            n_known = np.concatenate([[0], np.cumsum(t > 0)])
             best: dict[tuple[int, int], tuple] = {}
             for size, members in by_class.items():
                 at = np.flatnonzero(place % max(1, size // 8) == 0)
                 to = np.minimum(at + size, end[at])
-                ok = (inside[to] - inside[at] >= MASS * (every[to] - every[at])) & (to - at >= size // 2)
-                at, to = at[ok], to[ok]
-                for a in range(0, len(at), 1 << 12):
-                    wa, wb = at[a : a + (1 << 12)], to[a : a + (1 << 12)]
-                    k = wb - wa
-                    first = np.cumsum(k) - k
-                    flat = np.repeat(wa - first, k) + np.arange(k.sum())
-                    x = np.add.reduceat(latent[t[flat]], first, axis=0)
-                    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                    cos = x @ z[members].T
-                    r, c = np.nonzero(cos >= COSINE)
-                    if not len(r):
+                lo, hi = np.maximum(begin[at], at - size // 4), np.minimum(end[at], to + size // 4)
+                n_words, share = least[size]
+                held = np.concatenate([[0], np.cumsum(share[t] > 0)])
+                part = np.concatenate([[0], np.cumsum(share[t])])
+                ok = (held[hi] - held[lo] >= n_words) & (part[hi] - part[lo] >= ANSWER - 1e-6) & (to - at >= size // 2)
+                at, to, lo, hi = at[ok], to[ok], lo[ok], hi[ok]
+                ka, kb = n_known[lo], n_known[hi]
+                for idx in members if len(at) else ():
+                    # the item's words in reach of a window, and their weight, bound the subsequence and the answer's share: drop what can't reach both
+                    item = items[idx][1]
+                    value = np.zeros(len(latent))
+                    value[rare[idx][0]] = rare[idx][1]
+                    value = value[terms_at]
+                    part = np.concatenate([[0], np.cumsum(value)])
+                    rows = np.flatnonzero(part[kb] - part[ka] >= ANSWER - 1e-6)
+                    if not len(rows):
                         continue
-                    # terms shared, and their weight, bound the subsequence and the answer's share: drop what can't reach both
-                    doc = np.searchsorted(ends, wa, "right")
-                    lo, hi = np.maximum(starts[doc], wa - size // 4), np.minimum(ends[doc], wb + size // 4)
-                    for i in np.unique(c):
-                        idx = members[i]
-                        item = items[idx][1]
-                        value = np.zeros((len(latent), 2))
-                        value[item, 0] = 1
-                        value[rare[idx][0], 1] = rare[idx][1]
-                        rows = r[c == i]
-                        k = hi[rows] - lo[rows]
+                    held = np.concatenate([[0], np.cumsum(value > 0)])
+                    rows = rows[held[kb[rows]] - held[ka[rows]] >= SUBSEQUENCE * len(item)]
+                    cos = np.zeros(len(rows), np.float32)
+                    for a in range(0, len(rows), 1 << 12):
+                        wa, wb = at[rows[a : a + (1 << 12)]], to[rows[a : a + (1 << 12)]]
+                        k = wb - wa
                         first = np.cumsum(k) - k
-                        bound = np.add.reduceat(value[t[np.repeat(lo[rows] - first, k) + np.arange(k.sum())]], first, axis=0)
-                        rows = rows[(bound[:, 0] >= SUBSEQUENCE * len(item)) & (bound[:, 1] >= ANSWER)]
-                        for row in rows[np.argsort(-cos[rows, i], kind="stable")]:
-                            d = int(doc[row])
-                            if best.get((d, idx), (0,))[0] >= len(item):
-                                continue
-                            text = t[lo[row] : hi[row]]
-                            length, p, q2 = lcs(item, text)
-                            if length < SUBSEQUENCE * len(item) or length <= best.get((d, idx), (0,))[0]:
-                                continue
-                            answer = float(rare[idx][1][np.isin(rare[idx][0], text[p:q2])].sum())
-                            if answer >= ANSWER:
-                                best[d, idx] = (length, float(cos[row, i]), answer, int(lo[row]) + p - int(starts[d]))
+                        x = np.add.reduceat(latent[t[np.repeat(wa - first, k) + np.arange(k.sum())]], first, axis=0)
+                        cos[a : a + (1 << 12)] = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)) @ z[idx]
+                    for c in np.argsort(-cos, kind="stable"):
+                        if cos[c] < COSINE:
+                            break
+                        row = rows[c]
+                        d = int(np.searchsorted(ends, at[row], "right"))
+                        if best.get((d, idx), (0,))[0] >= len(item):
+                            continue
+                        text = t[lo[row] : hi[row]]
+                        length, p, q2 = lcs(item, text)
+                        if length < SUBSEQUENCE * len(item) or length <= best.get((d, idx), (0,))[0]:
+                            continue
+                        answer = float(rare[idx][1][np.isin(rare[idx][0], text[p:q2])].sum())
+                        if answer >= ANSWER:
+                            best[d, idx] = (length, float(cos[c]), answer, int(lo[row]) + p - int(starts[d]))
             if best:
                 out = [(ids[d].as_py(), items[i][0], cos, n_lcs, len(items[i][1]), ans, at) for (d, i), (n_lcs, cos, ans, at) in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], [f.split()[0] for f in _HITS.split(", ")])

@@ -44,6 +44,16 @@ def test_decontamination(spark, tmp_path):
     assert D.leaks(docs.where("false"), bench).count() == 0 and D.leaks(docs, bench.where("false")).count() == 0
 
 
+def test_common_words_among_foreign_ones_are_found(spark):
+    words = "the of and that with her was ing not for are".split()
+    foreign = lambda i, n: " ".join(f"x{i}q{k}" for k in range(n))
+    plant = [(i, f"{foreign(i, 20)} {' '.join(words)} {foreign(i + 500, 20)}") for i in range(3)]
+    other = [(10 + i, " ".join([*reversed(words), foreign(10 + i, 21)] * 3)) for i in range(400)]
+    docs = spark.createDataFrame(plant + other, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    assert sorted((r.doc_id, r.lcs) for r in D.leaks(docs, bench).collect()) == [(0, 11), (1, 11), (2, 11)]
+
+
 def test_bit_parallel_lcs():
     import numpy as np
 
