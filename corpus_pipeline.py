@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from cytoloom.llm import decontamination, language_id, ngram_join, packing, suffix_dedup
 from cytoloom.llm.base import materialise, table
 
+#: Words in a shingle and least similarity (in %) of near duplicates; operator 9 has its own.
+NEAR_SHINGLE, NEAR_THRESHOLD = 5, 80
+
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go."""
@@ -15,7 +18,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by the n-gram Jaccard join, the one with the least id stays."""
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, NEAR_SHINGLE, NEAR_THRESHOLD)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Operator 9. N-gram Jaccard join by grouped prefixes.
 
-Sets are the distinct SHINGLE-word shingles of a text. Two texts link when 100 * intersection >= THRESHOLD * union.
+Sets are the distinct shingles of `size` words of a text. Two texts link when 100 * intersection >= threshold * union (SHINGLE and THRESHOLD
+unless a caller says otherwise).
 
 1. Equal sets are one node. Shingles are ordered rarest first by a count sketch of fixed size over all documents (an order need only be the
 same everywhere, so counts may be rough), and nodes with the same prefix and size form one group. 2. Groups that share a prefix shingle are
@@ -32,13 +33,16 @@ SHINGLE, THRESHOLD = 4, 85
 COUNTERS, SLICES, BITMAP, NEEDED_BITS = 1 << 22, 64, 1024, 1 << 26
 #: Lists up to this length give all pairs at once.
 SHORT = 4
-#: Size codes (2000 times the logarithm of the size) of linked sets differ by no more, rounding included.
-BAND = int(2000 * np.log(100 / THRESHOLD)) + 2
 #: Salts of the leaders that the entries of a longer list are first compared with; largest side of a tile in the second comparison.
 LEADERS, TILE = (0, 12345, 67890, 424242), 1000
 POSTINGS_PER_SHARD = 1_000_000
 
 
+def band_of(threshold: int) -> int:
+    """Size codes (2000 times the logarithm of the size) of linked sets differ by no more, rounding included."""
+    return int(2000 * np.log(100 / threshold)) + 2
+
+
 def shingle_sets(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document and hash of every distinct shingle, ordered by both; and each document's set size."""
     w = ByteWords(texts, lower=True)
@@ -83,13 +87,13 @@ def set_keys(d: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(_sums(d, mix(g + np.uint64(5)), len(n)) + n.astype(np.uint64))
 
 
-def frequency_classes(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
+def frequency_classes(texts: DataFrame, counters: int = COUNTERS, *, size: int = SHINGLE) -> np.ndarray:
     """Class of each sketch counter: 0 for what chance explains, else the logarithm of the excess. Of fixed size, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = np.zeros(counters, np.uint32)
         for b in blocks(batches):
-            c += np.bincount((shingle_sets(text_bytes(b.column(1)))[1] >> np.uint64(20)).astype(np.int64) & (counters - 1), minlength=counters).astype(np.uint32)
+            c += np.bincount((shingle_sets(text_bytes(b.column(1)), size)[1] >> np.uint64(20)).astype(np.int64) & (counters - 1), minlength=counters).astype(np.uint32)
         z = zstandard.ZstdCompressor(level=1)
         cut = np.array_split(c, SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([z.compress(x.tobytes()) for x in cut], pa.binary())], ["slice", "counts"])
@@ -113,12 +117,12 @@ def frequency_classes(texts: DataFrame, counters: int = COUNTERS) -> np.ndarray:
 class Prefixes:
     """Prefix shingles of each document's set, rarest first, and its group: prefix and size."""
 
-    def __init__(self, d: np.ndarray, g: np.ndarray, n: np.ndarray, classes: np.ndarray):
+    def __init__(self, d: np.ndarray, g: np.ndarray, n: np.ndarray, classes: np.ndarray, threshold: int = THRESHOLD):
         rank = classes[(g >> np.uint64(20)).astype(np.int64) & (len(classes) - 1)].astype(np.uint64) << np.uint64(56) | g >> np.uint64(8)
         o = np.lexsort((rank, d))
         rank = rank[o]
         place = np.arange(len(d)) - np.repeat(np.cumsum(n) - n, n)
-        inside = place < (n - -(-THRESHOLD * n // 100) + 1)[d]
+        inside = place < (n - -(-threshold * n // 100) + 1)[d]
         self.doc, self.token = d[inside], rank[inside]
         key = mix(_sums(self.doc, mix(self.token + np.uint64(9)), len(n)) + n.astype(np.uint64))
         size = np.minimum(np.log(np.maximum(n, 1)) * 2000, 65535).astype(np.uint64)
@@ -152,26 +156,26 @@ def _lengths(bits: list[bytes]) -> dict[int, np.ndarray]:
 _DOCS = "doc_id long, n long, node long, grp long, bits binary"
 
 
-def measured(texts: DataFrame, classes) -> DataFrame:
+def measured(texts: DataFrame, classes, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Set size, node, group and parity bitmap of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            d, g, n = shingle_sets(text_bytes(b.column(1)))
-            p = Prefixes(d, g, n, classes.value)
+            d, g, n = shingle_sets(text_bytes(b.column(1)), size)
+            p = Prefixes(d, g, n, classes.value, threshold)
             bits = bitmaps(d, g, n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(set_keys(d, g, n).view(np.int64)), pa.array(p.group), pa.array(bits, pa.binary())], [f.split()[0] for f in _DOCS.split(", ")])
 
     return texts.mapInArrow(run, _DOCS)
 
 
-def postings(texts: DataFrame, classes, shards: int) -> DataFrame:
+def postings(texts: DataFrame, classes, shards: int, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(shard, blob of shingles and groups)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            d, g, n = shingle_sets(text_bytes(b.column(1)))
-            p = Prefixes(d, g, n, classes.value)
+            d, g, n = shingle_sets(text_bytes(b.column(1)), size)
+            p = Prefixes(d, g, n, classes.value, threshold)
             t, grp = p.token, p.group[p.doc]
             shard = (mix(t) % np.uint64(shards)).astype(np.int64)
             o = np.lexsort((grp, t, shard))
@@ -187,8 +191,9 @@ def postings(texts: DataFrame, classes, shards: int) -> DataFrame:
     return texts.mapInArrow(run, "shard int, blob binary")
 
 
-def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
+def _lists(pdf: pd.DataFrame, threshold: int = THRESHOLD) -> pd.DataFrame:
     """Candidate pairs of a shard (kind 0: a, b are groups) and the entries of its long lists (kind 1: a is the shingle, b a group)."""
+    reach = band_of(threshold)
     t = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in pdf["blob"]])
     g = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in pdf["blob"]])
     o = np.lexsort((g, t))
@@ -199,20 +204,20 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     # a list ends where the next size is too far to link; each such run is a list of its own
     code = g >> 47
     start = np.ones(len(t), bool)
-    start[1:] = (t[1:] != t[:-1]) | (code[1:] - code[:-1] > BAND)
+    start[1:] = (t[1:] != t[:-1]) | (code[1:] - code[:-1] > reach)
     first = np.flatnonzero(start)
     size = np.diff(np.append(first, len(t)))
     length = np.repeat(size, size)
     t = np.repeat(mix(t[first] ^ mix(g[first].astype(np.uint64))), size)
     a, b = [], []
     for gap in range(1, SHORT):
-        at = np.flatnonzero((t[gap:] == t[:-gap]) & (length[gap:] <= SHORT) & (code[gap:] - code[:-gap] <= BAND))
+        at = np.flatnonzero((t[gap:] == t[:-gap]) & (length[gap:] <= SHORT) & (code[gap:] - code[:-gap] <= reach))
         a.append(g[at])
         b.append(g[at + gap])
     long = np.flatnonzero(length > SHORT)
     if len(long):
         lt, lg = t[long], g[long]
-        band = mix(lt + (lg >> 47).astype(np.uint64) // np.uint64(BAND))  # leaders by size
+        band = mix(lt + (lg >> 47).astype(np.uint64) // np.uint64(reach))  # leaders by size
         for salt in LEADERS:  # the same leaders wherever they occur
             order = np.lexsort((mix(lg.astype(np.uint64) + np.uint64(salt)), band))
             lead_at = np.flatnonzero(np.concatenate([[True], band[order][1:] != band[order][:-1]]))
@@ -224,7 +229,7 @@ def _lists(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kind": np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(long), np.int32)]), "a": np.concatenate([pairs[0], t[long].astype(np.int64)]), "b": np.concatenate([pairs[1], g[long]])})
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b, gap): pairs of nodes that the size and bitmap bounds leave; gap is the bitmaps' distance as a share of the bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +245,16 @@ def _plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                     k = np.intersect1d(i, j, assume_unique=True)
                     if len(k):
                         far[k] = np.bitwise_count(_matrix([x[r] for r in k], min(u, v)) ^ _matrix([y[r] for r in k], min(u, v))).sum(axis=1)
-            most = (100 - THRESHOLD) * (na + nb) // (100 + THRESHOLD)
-            ok = (100 * np.minimum(na, nb) >= THRESHOLD * np.maximum(na, nb)) & (far <= most)
+            most = (100 - threshold) * (na + nb) // (100 + threshold)
+            ok = (100 * np.minimum(na, nb) >= threshold * np.maximum(na, nb)) & (far <= most)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok)), pa.array(far[ok] / (most[ok] + 1.0))], ["a", "b", "gap"])
 
     one = lambda s: nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"bits{s}"))
-    near = (100 * F.least("na", "nb") >= THRESHOLD * F.greatest("na", "nb"))
+    near = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
     return pairs.join(one("a"), "a").join(one("b"), "b").where(near).select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long, gap double")
 
 
-def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
+def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): pairs in one list, of different components, that the bounds leave. Lists are cut into tiles, whose pairs are compared in place; only what the bounds leave is a row (with nearest, only the nearest for each entry outside the list's main component)."""
     m = mixed.join(nodes.select("node", F.col("n").alias("size"), "bits"), "node")
     place = lambda c: F.pmod(F.xxhash64("node"), F.ceil(F.col(c) / TILE)).cast("int")
@@ -274,10 +279,10 @@ def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
                 for at in range(0, len(iu), step):
                     i = iu[at : at + step]
                     u, v = size[i, None], size[None, iv]
-                    ok = (comp[i, None] != comp[None, iv]) & (100 * np.minimum(u, v) >= THRESHOLD * np.maximum(u, v))
+                    ok = (comp[i, None] != comp[None, iv]) & (100 * np.minimum(u, v) >= threshold * np.maximum(u, v))
                     p, q = np.nonzero(ok)
                     far = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bu[at + p[z : z + 4096]] ^ bv[q[z : z + 4096]]).sum(axis=1) for z in range(0, len(p), 4096))])
-                    keep = far <= (100 - THRESHOLD) * (size[i[p]] + size[iv[q]]) // (100 + THRESHOLD)
+                    keep = far <= (100 - threshold) * (size[i[p]] + size[iv[q]]) // (100 + threshold)
                     p, q, far = p[keep], q[keep], far[keep]
                     if nearest and len(p):
                         o = np.lexsort((far, p))
@@ -306,7 +311,7 @@ def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool) -> DataFrame:
     return both.repartition(n, "token", "i", "j").sortWithinPartitions("token", "i", "j", "side").mapInPandas(run, "a long, b long")
 
 
-def _elements(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+def _elements(texts: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
     """(node, elements as sorted 48-bit hashes) of the nodes given, from their least documents. A bit filter of fixed size keeps most other documents from being read twice; what passes by chance joins nothing."""
     word = 1 << 16
     bit = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(-1))), F.lit(NEEDED_BITS))
@@ -330,7 +335,7 @@ def _elements(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             b = b.filter(pa.array((flag[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
             if not b.num_rows:
                 continue
-            d, g, n = shingle_sets(text_bytes(b.column(1)))
+            d, g, n = shingle_sets(text_bytes(b.column(1)), size)
             six = np.ascontiguousarray((g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
             edge = np.searchsorted(d, np.arange(len(n) + 1))
             yield pa.RecordBatch.from_arrays([pa.array(set_keys(d, g, n).view(np.int64)), pa.array([six[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)], pa.binary())], ["node", "elements"])
@@ -344,7 +349,7 @@ def _six(x: bytes) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, elements: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): pairs whose sets meet the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,7 +358,7 @@ def _verified(pairs: DataFrame, elements: DataFrame) -> DataFrame:
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 u, v = _six(x), _six(y)
                 both = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
-                ok[i] = 100 * both >= THRESHOLD * (len(u) + len(v) - both)
+                ok[i] = 100 * both >= threshold * (len(u) + len(v) - both)
             ok = pa.array(ok)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
 
@@ -385,15 +390,15 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cluster(docs: DataFrame) -> DataFrame:
+def cluster(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    classes = texts.sparkSession.sparkContext.broadcast(frequency_classes(texts))
-    d = materialise(measured(texts, classes), "measured")
+    classes = texts.sparkSession.sparkContext.broadcast(frequency_classes(texts, size=size))
+    d = materialise(measured(texts, classes, size, threshold), "measured")
     nodes = materialise(d.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("bits").alias("bits")), "nodes")
-    expected = (100 - THRESHOLD) * (d.agg(F.sum("n")).first()[0] or 0) // 100
+    expected = (100 - threshold) * (d.agg(F.sum("n")).first()[0] or 0) // 100
     shards = int(max(8, -(-expected // POSTINGS_PER_SHARD)))
-    lists = materialise(postings(texts, classes, shards).groupBy("shard").applyInPandas(_lists, "kind int, a long, b long"), "lists")
+    lists = materialise(postings(texts, classes, shards, size, threshold).groupBy("shard").applyInPandas(lambda pdf: _lists(pdf, threshold), "kind int, a long, b long"), "lists")
 
     # first links: candidate groups by their first members, and each group's members in a row
     groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("members"))
@@ -402,7 +407,7 @@ def cluster(docs: DataFrame) -> DataFrame:
     first = groups.select("grp", "node")
     across = near.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     inside = nodes.select("grp", "node", F.lag("node").over(Window.partitionBy("grp").orderBy("node")).alias("b")).where("b IS NOT NULL").select(F.col("node").alias("a"), "b")
-    pairs = materialise(_plausible(_ordered(across.unionByName(inside)), nodes), "pairs")
+    pairs = materialise(_plausible(_ordered(across.unionByName(inside)), nodes, threshold), "pairs")
 
     entries = lists.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp")).join(nodes.select("grp", "node"), "grp").select("token", "node")
     entries = materialise(entries.unionByName(nodes.join(many.select("grp"), "grp").select(F.col("grp").alias("token"), "node")), "entries")
@@ -412,8 +417,8 @@ def cluster(docs: DataFrame) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        elements = materialise(_elements(texts, nodes.join(need, "node", "left_semi")), "elements")
-        return materialise(_verified(pairs, elements), "links")
+        elements = materialise(_elements(texts, nodes.join(need, "node", "left_semi"), size), "elements")
+        return materialise(_verified(pairs, elements, threshold), "links")
 
     comp = components(linked(pairs))
 
@@ -423,10 +428,10 @@ def cluster(docs: DataFrame) -> DataFrame:
         kinds = label.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"))
         main = kinds.groupBy("token").agg(F.max_by("comp", "k").alias("main"), F.count(F.lit(1)).alias("kinds"), F.sum("k").alias("n_all"), F.max("k").alias("n_main"), F.sum("h").alias("h")).where("kinds > 1")
         main = main.groupBy("n_all", "h").agg(F.min_by(F.struct("token", "main", "n_main"), "token").alias("x")).select("x.token", "x.main", "n_all", (F.col("n_all") - F.col("x.n_main")).alias("n_other"))  # equal lists are gone through once
-        cross = _tiles(label.join(main, "token"), nodes, nearest)
+        cross = _tiles(label.join(main, "token"), nodes, nearest, threshold)
         if not nearest:
             far = wide.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-            cross = cross.unionByName(_plausible(_ordered(far), nodes).select("a", "b"))
+            cross = cross.unionByName(_plausible(_ordered(far), nodes, threshold).select("a", "b"))
         cross = materialise(_ordered(cross), "cross")
         if cross.isEmpty():
             continue
@@ -441,9 +446,9 @@ def cluster(docs: DataFrame) -> DataFrame:
     return d.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, less those linked to a document with a smaller id. Rows with a null doc_id stay; of rows with equal ids one stays."""
-    gone = cluster(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    gone = cluster(docs, size, threshold).where("component_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
 

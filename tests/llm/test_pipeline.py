@@ -67,6 +67,14 @@ def test_bit_parallel_lcs():
         assert D.lcs(np.array(a), np.array(b))[0] == t[-1][-1]
 
 
+def test_near_duplicates_take_five_words_and_80_percent(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [f"x{i}" if i in (30, 80, 120, 160) else w for i, w in enumerate(words)]  # 5-word Jaccard 176/216, 4-word 181/213
+    far = [f"y{i}" if i in (30, 60, 90, 120, 150) else w for i, w in enumerate(words)]  # 5-word Jaccard 171/221
+    d = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, d, "").collect()) == [1, 3]
+
+
 def test_stages(spark, tmp_path):
     tables(spark, tmp_path)
     d, sf = spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)
