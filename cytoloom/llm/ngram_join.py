@@ -446,6 +446,38 @@ def cluster(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) ->
     return d.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def links(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a < b, each pair of different sets that meet the threshold, once; and (doc_id, node), the set of each row. Every pair that shares a prefix shingle and passes the bounds is verified, also inside a component."""
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    classes = texts.sparkSession.sparkContext.broadcast(frequency_classes(texts, size=size))
+    d = materialise(measured(texts, classes, size, threshold), "measured")
+    nodes = materialise(d.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")), "nodes")
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches):
+            d, g, n = shingle_sets(text_bytes(b.column(1)), size)
+            p = Prefixes(d, g, n, classes.value, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(p.token.view(np.int64)), pa.array(set_keys(d, g, n).view(np.int64)[p.doc]), pa.array(n[p.doc])], ["token", "node", "n"])
+
+    entries = materialise(texts.mapInArrow(prefixes, "token long, node long, n long").distinct(), "entries")
+    other = entries.toDF("token", "b", "nb")
+    near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
+    pairs = materialise(_plausible(entries.toDF("token", "a", "na").join(other, "token").where(near).select("a", "b").distinct(), nodes, threshold), "pairs")
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    elements = materialise(_elements(texts, nodes.join(need, "node", "left_semi"), size).join(need, "node", "left_semi").dropDuplicates(["node"]), "elements")
+    return materialise(_verified(pairs, elements, threshold), "links"), d.where("n > 0").select("doc_id", "node")
+
+
+def link_counts(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_links) for each row of docs that links with another one; copies of a set count each, and link with one another."""
+    pairs, of = links(docs, size, threshold)
+    copies = of.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    far = both.join(copies.toDF("b", "k"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("far"))
+    total = copies.join(far, "node", "left").select("node", (F.col("k") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    return of.join(total, "node").where("n_links > 0").select("doc_id", "n_links")
+
+
 def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """The rows of docs, with all their columns, less those linked to a document with a smaller id. Rows with a null doc_id stay; of rows with equal ids one stays."""
     gone = cluster(docs, size, threshold).where("component_id <> doc_id").select("doc_id").distinct()

@@ -91,3 +91,19 @@ def test_components(spark):
 
 def test_empty(spark):
     assert J.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize(("size", "threshold"), [(4, 85), (5, 80)])
+def test_every_link_is_counted(spark, size, threshold):
+    rows = corpus(1)
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
+    meets = lambda x, y: bool(x and y) and 100 * len(x & y) >= threshold * len(x | y)
+    want = sorted(((d, n) for i, (d, _) in enumerate(rows) if (n := sum(meets(sets[i], y) for j, y in enumerate(sets) if j != i))), key=repr)
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((tuple(r) for r in J.link_counts(d, size, threshold).collect()), key=repr) == want
+    pairs = J.links(d, size, threshold)[0].collect()
+    different = list(set(sets))
+    assert len(pairs) == len(set(pairs)) == sum(meets(x, y) for i, x in enumerate(different) for y in different[:i])
