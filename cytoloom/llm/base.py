@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -17,22 +18,57 @@ BLOCK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). Where that is unset, a temporary one if Spark runs in one process, as in tests; else an error, since executors can't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cytoloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
+#: Folders made in the shared folder and not yet dropped.
+_made: list[str] = []
+
+
+def _filesystem(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder, removed when the driver ends."""
     path = f"{shared_dir(spark).rstrip('/')}/cytoloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    jpath, fs = _filesystem(spark, path)
+    fs.deleteOnExit(jpath)
+    _made.append(path)
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder that new_path named, or a part of it."""
+    jpath, fs = _filesystem(spark, path)
+    fs.delete(jpath, True)
+
+
+def release(spark: SparkSession, mark: int, keep: DataFrame) -> int:
+    """Removes the folders named since the mark (see made()) and the shuffles and broadcasts that nothing refers to, but for folders that keep reads. Returns a new mark."""
+    files = keep.inputFiles()
+    for path in _made[mark:]:
+        name = path.rpartition("/cytoloom/")[2]
+        if not any(f"/cytoloom/{name}/" in f for f in files):
+            drop_path(spark, path)
+            _made.remove(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return len(_made)
+
+
+def made() -> int:
+    return len(_made)
+
+
 def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
     spark = df.sparkSession

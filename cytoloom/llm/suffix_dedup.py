@@ -5,36 +5,50 @@ that starts at its minimiser (the least hash among its GRAM-byte strings, the le
 equal starts: a sparse suffix array suffices, with one entry for each run of windows that share a minimiser. Entries are ordered by digests
 (of the suffix's first GRAM bytes, and of all bytes that its windows cover), which sorts equal suffixes together as byte order would.
 
-1. Documents are packed into compressed chunks in the shared folder. 2. Each chunk sends the distinct entries of its suffix array, with the least
-document of each, to shards of digests. 3. A shard takes its entries in batches by document id: each batch's sorted array is merge-scanned
-against the existing levels, then becomes a level itself; levels of equal size merge, so there are at most log2(batches) + 1. An entry found under
-a smaller id is wholly covered. 4. First entries whose suffix start also has other continuations match in part, at the edges of copies: only
-their bytes are sent, and windows are compared one by one. 5. Chunks turn covered windows into removed runs.
+The index is a `Family` of levels in the shared folder, each a table sorted by (gram, whole) and bucketed by gram. Documents come in batches
+of rising ids. 1. A batch is packed into compressed chunks, a table bucketed by chunk that stays beside the levels. 2. Its suffix array (of each
+chunk the distinct entries, least document first) is dealt to the levels' buckets and merge-scanned against all levels at once: buckets are read
+where they lie, only the batch is shuffled. An entry found in a level or under a smaller id is covered whole; first entries become the new
+level. 3. First entries whose suffix start also has other continuations match in part, at the edges of copies. Their bytes, and those that
+level entries point to, are dealt by a longer start (35 or 36 bytes, of the side on which a window reaches further) and compared window by window.
+4. Chunks turn what was found into removed runs. Before a batch is scanned, the newest levels merge while one is less than twice the size of the next, so n
+batches leave about log2(n) levels. `Family.open` takes an index up again in another session.
+
+Every step is linear in entries: rows, no blob for each pair of chunk and shard. A task streams sorted rows and holds one suffix start at a time.
 
 Null text is empty. A null doc_id counts as larger than any other. Rows with equal ids never match each other. Short and empty texts
-lose nothing; an empty table gives no rows. Strings are judged on the input, and a match is by 64-bit digest and shard.
+lose nothing; an empty table gives no rows. Strings are judged on the input. Two entries are equal if 96 bits of digest agree (some 3 in 10^4 for a
+chance match anywhere among 10^13 entries), two windows if 128 bits do. Texts of any length are cut in blocks, never shortened. Extra columns,
+whatever their names, are left out by `digests` and `deduplicate` and carried by `rewrite`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialise, table, text_bytes
+from .base import drop_path, materialise, new_path, table, text_bytes
 
-WIDTH, GRAM, BATCHES = 50, 24, 8
-CHUNK_BYTES, SHARD_BYTES, STEP = 4 << 20, 12 << 20, 1 << 18
-LAST = np.iinfo(np.int64).max
+WIDTH, GRAM, BATCHES = 50, 20, 4
+#: Bytes of text in a chunk, windows in a block, rows that a task gathers before it compares.
+CHUNK_BYTES, STEP, ROWS = 4 << 20, 1 << 18, 1 << 18
+#: Windows reach at least SIDE bytes beyond the suffix's start on the left, or else more than that on the right.
+SIDE = (WIDTH - GRAM) // 2
+LAST, EARLIER = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 _R = 0x9E3779B97F4A7C15 | 1
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+#: A chunk's number: batch, task, place. An entry's spot: first byte, bytes before the minimiser, windows less one.
+_BATCH, _TASK, _AT = 44, 24, 10
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -42,7 +56,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not hasattr(_tables, "done"):
         from .base import mix
 
-        n = STEP + WIDTH + 1
+        n = STEP + 2 * WIDTH + 1
         powers = [np.full(n, b, np.uint64) for b in (_R, pow(_R, -1, 1 << 64))]
         for p in powers:
             p[0] = 1
@@ -58,7 +72,7 @@ def _prefix(buf: np.ndarray) -> np.ndarray:
 
 
 def entries(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The sparse suffix array of concatenated documents, in text order: document, first window, number of windows, digest of the suffix's start (32 bits), digest of the bytes covered (64 bits)."""
+    """The sparse suffix array of concatenated documents, in text order: document, first window, number of windows, bytes before the minimiser, digest of the suffix's start (32 bits), digest of the bytes covered (64 bits)."""
     _, _, inverse = _tables()
     out: list[tuple] = []
     low = np.uint64((1 << 24) - 1)
@@ -88,68 +102,81 @@ def entries(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         whole = (s[first + count + WIDTH - 1] - s[first]) * inverse[first] * _C1
         whole ^= whole >> np.uint64(31)
         whole = (whole + (at[first] - first).astype(np.uint64)) * _C2
-        out.append((doc[first], a + first, count, (h[at[first]] >> np.uint64(32)).astype(np.uint32), whole ^ (whole >> np.uint64(29))))
+        out.append((doc[first], a + first, count, at[first] - first, (h[at[first]] >> np.uint64(32)).astype(np.uint32), whole ^ (whole >> np.uint64(29))))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint32, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint32, np.uint64))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-class Chunk:
-    """A chunk's texts and its suffix array. `uniq` indexes distinct digests in shard order; `inv` maps each entry to its place there."""
+class Text:
+    """A chunk's documents."""
 
-    def __init__(self, ids: bytes, sizes: bytes, text: bytes, shards: int):
+    def __init__(self, ids: bytes, sizes: bytes, text: bytes):
         self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
         self.raw = zstandard.ZstdDecompressor().decompress(text, max_output_size=int(self.sizes.sum()) or 1) if text else b""
-        self.buf, self.ends = np.frombuffer(self.raw, np.uint8), np.cumsum(self.sizes)
-        self.doc, self.at, self.count, self.gram, self.whole = entries(self.buf, self.ends)
-        self.owner = self.ids[self.doc]
-        shard = self.gram % np.uint32(shards)
-        order = np.lexsort((self.owner, self.whole, shard))
-        k, sh = self.whole[order], shard[order]
-        new = np.ones(len(k), bool)
-        new[1:] = (k[1:] != k[:-1]) | (sh[1:] != sh[:-1])
-        self.uniq = order[new]  # of each digest the entry of the least document
-        self.inv = np.empty(len(k), np.int64)
-        self.inv[order] = np.cumsum(new) - 1
-        self.shard = shard[self.uniq]
+        self.ends = np.cumsum(self.sizes)
+
+
+class Chunk(Text):
+    """A chunk with its suffix array. `order` sorts entries by digests and document; `group` numbers equal digests; `rep` is the first entry of each group, of its least document."""
 
+    def __init__(self, ids: bytes, sizes: bytes, text: bytes):
+        super().__init__(ids, sizes, text)
+        doc, self.at, self.count, self.before, self.gram, self.whole = entries(np.frombuffer(self.raw, np.uint8), self.ends)
+        self.owner = self.ids[doc]
+        self.order = np.lexsort((self.owner, self.whole, self.gram))
+        g, w = self.gram[self.order], self.whole[self.order]
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
+        self.rep = self.order[new]
+        self.group = np.empty(len(g), np.int64)
+        self.group[self.order] = np.cumsum(new) - 1
 
-_CHUNK = "chunk long, ids binary, sizes binary, text binary, n_bytes long, rest binary"
 
+_STORE = "batch int, chunk long, ids binary, sizes binary, text binary, rest binary"
+_ENTRY = "gram int, whole long, doc long, chunk long, spot long"
+_FOUND = "gram int, whole long, chunk long, spot long, kind int"
+_PARTS = "ext long, doc long, chunk long, at long, text binary"
+_MASKS = "chunk long, at long, mask long"
 
-def pack_chunks(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, carry: bool = False) -> DataFrame:
-    """Chunks of documents; with carry, all columns but text go along as an Arrow table."""
-    others = [c for c in docs.columns if c != "text"] if carry else []
+
+def _packer(others: list[str], bounds: np.ndarray, first: int, chunk_bytes: int):
+    """Rows to chunks: of each batch of ids its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, part, n = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId(), 0
-        ids: list[int] = []
-        held: list[bytes] = []
-        rest: list[pa.RecordBatch] = []
-        size = 0
+        z, part = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        open_: dict[int, tuple[list, list, list]] = {}
+        made: dict[int, int] = {}
 
-        def out() -> pa.RecordBatch:
-            row = ((part << 32) + n, np.array(ids, np.int64).tobytes(), np.array([len(x) for x in held], np.int64).tobytes(), z.compress(b"".join(held)), size, _stream(rest) if rest else None)
-            return _arrow([row], _CHUNK)
+        def out(k: int) -> pa.RecordBatch:
+            ids, held, rest = open_.pop(k)
+            made[k] = made.get(k, 0) + 1
+            number = ((first + k) << _BATCH) + (part << _TASK) + made[k]
+            return _arrow([(first + k, number, np.array(ids, np.int64).tobytes(), np.array([len(x) for x in held], np.int64).tobytes(), z.compress(b"".join(held)), _stream(rest) if others else None)], _STORE)
 
+        size: dict[int, int] = {}
         for b in batches:
-            begin = 0
-            for k, (i, t) in enumerate(zip(b.column(0).to_pylist(), text_bytes(b.column(1)), strict=True)):
-                ids.append(LAST if i is None else i)
-                held.append(t)
-                size += len(t)
-                if size >= chunk_bytes:
-                    if others:
-                        rest.append(pa.RecordBatch.from_arrays(b.columns[2:], others).slice(begin, k + 1 - begin))
-                    yield out()
-                    ids, held, rest, size, n, begin = [], [], [], 0, n + 1, k + 1
-            if others and begin < b.num_rows:
-                rest.append(pa.RecordBatch.from_arrays(b.columns[2:], others).slice(begin))
-        if ids:
-            yield out()
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(others)])
-    return materialise(rows.mapInArrow(run, _CHUNK), "chunks", "none")
+            b = b.set_column(0, "_id", b.column(0).fill_null(int(LAST)))
+            of = np.searchsorted(bounds, b.column(0).to_numpy(zero_copy_only=False), "left")
+            for k in np.unique(of).tolist():
+                mine = b.take(pa.array(np.flatnonzero(of == k)))
+                begin = 0
+                for i, (doc, t) in enumerate(zip(mine.column(0).to_pylist(), text_bytes(mine.column(1)), strict=True)):
+                    ids, held, rest = open_.setdefault(k, ([], [], []))
+                    ids.append(doc)
+                    held.append(t)
+                    size[k] = size.get(k, 0) + len(t)
+                    if size[k] >= chunk_bytes or i + 1 == mine.num_rows:
+                        if others:
+                            rest.append(pa.RecordBatch.from_arrays(mine.columns[2:], others).slice(begin, i + 1 - begin))
+                        begin = i + 1
+                    if size[k] >= chunk_bytes:
+                        size[k] = 0
+                        yield out(k)
+        for k in list(open_):
+            yield out(k)
+
+    return run
 
 
 def _stream(parts: list[pa.RecordBatch]) -> bytes:
@@ -160,207 +187,315 @@ def _stream(parts: list[pa.RecordBatch]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
 
 
-class Family:
-    """The index family of a shard: sorted arrays of digests with the least document of each; sizes at least double from level to level."""
-
-    def __init__(self):
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, key: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """Merge-scan a batch (sorted by key, then document) against all levels, then add it. Returns the least document of each entry's key."""
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        k, best = key[first], doc[first].copy()
-        fresh = np.ones(len(k), bool)
-        for lk, ld in self.levels:
-            i = np.minimum(np.searchsorted(lk, k), max(0, len(lk) - 1))
-            hit = lk[i] == k
-            best[hit] = np.minimum(best[hit], ld[i[hit]])
-            fresh &= ~hit
-        if fresh.any():
-            self.levels.append((k[fresh], best[fresh]))
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            (a, x), (b, y) = self.levels.pop(), self.levels.pop()
-            o = np.argsort(np.concatenate([a, b]), kind="stable")  # two runs: a merge
-            self.levels.append((np.concatenate([a, b])[o], np.concatenate([x, y])[o]))
-        return np.repeat(best, np.diff(np.append(first, len(key))))
-
-
-def _shard(batches: int):
-    """One shard: state of each chunk's entries: 0 first, 1 found under a smaller id, 2 first with other continuations of its start."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rec = np.dtype([("gram", "<u4"), ("whole", "<u8"), ("doc", "<i8")])
-        parts = [unpack(x) for x in pdf["blob"]]
-        e = np.concatenate(parts) if parts else np.zeros(0, rec)
-        state = np.zeros(len(e), np.uint8)
-        by_doc = np.argsort(e["doc"], kind="stable")
-        docs = e["doc"][by_doc]
-        cuts = [0, *(int(np.searchsorted(docs, docs[len(e) * b // batches], "left")) for b in range(1, batches) if len(e)), len(e)]  # equal ids stay together
-        family, least = Family(), np.empty(len(e), np.int64)
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            batch = by_doc[a:b]
-            batch = batch[np.argsort(e["whole"][batch], kind="stable")]
-            least[batch] = family.add(e["whole"][batch], e["doc"][batch])
-        state[least < e["doc"]] = 1
-        firsts = np.flatnonzero(state == 0)
-        o = firsts[np.lexsort((e["whole"][firsts], e["gram"][firsts]))]
-        g, w = e["gram"][o], e["whole"][o]
-        start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(o) else np.zeros(0, np.int64)
-        kinds = np.add.reduceat(np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])]).astype(int), start) if len(o) else start
-        state[o[np.repeat(kinds > 1, np.diff(np.append(start, len(o))))]] = 2
-        cut = np.cumsum([0, *map(len, parts)])
-        return pd.DataFrame({"chunk": pdf["chunk"], "shard": pdf["shard"], "state": [_bits(state[a:b]) for a, b in zip(cut, cut[1:], strict=False)]})
-
-    return run
-
-
-def _bits(state: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(state.tobytes())
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    wide, base = blob[0], np.frombuffer(blob, "<i8", 1, 1)[0]
-    n = (len(blob) - 9) // (12 + wide)
-    e = np.empty(n, [("gram", "<u4"), ("whole", "<u8"), ("doc", "<i8")])
-    e["gram"], e["whole"] = np.frombuffer(blob, "<u4", n, 9), np.frombuffer(blob, "<u8", n, 9 + 4 * n)
-    e["doc"] = base + np.frombuffer(blob, f"<u{wide}", n, 9 + 12 * n).astype(np.int64)
-    return e
-
-
-def _pack(gram: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> bytes:
-    base = int(doc.min())
-    wide = 4 if int(doc.max()) - base < 1 << 32 else 8
-    return bytes([wide]) + np.int64(base).tobytes() + gram.tobytes() + whole.tobytes() + (doc - base).astype(f"<u{wide}").tobytes()
-
-
-_MASK = np.dtype([("place", "<i8"), ("gram", "<u4"), ("doc", "<i8"), ("n", "<i4")])
-
-
-def _windows(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard of partial matches: for each entry the windows that also start in a smaller document."""
-    heads, texts = [], []
-    for blob in pdf["blob"]:
-        raw = zstandard.ZstdDecompressor().decompress(blob)
-        n = int(np.frombuffer(raw, "<i8", 1)[0])
-        heads.append(np.frombuffer(raw, _MASK, n, 8))
-        texts.append(np.frombuffer(raw, np.uint8, -1, 8 + n * _MASK.itemsize))
-    keys, docs = [], []
-    for hd, tx in zip(heads, texts, strict=True):
-        size = hd["n"].astype(np.int64) + WIDTH - 1
-        begin = np.cumsum(size) - size
-        k = np.empty(int(hd["n"].sum()), np.uint64)
-        done, i = 0, 0
-        while i < len(hd):  # blocks that the tables of powers reach
-            j = max(i + 1, int(np.searchsorted(begin, begin[i] + STEP, "right")) - 1)
-            a, b = begin[i], begin[j - 1] + size[j - 1]
-            s, inverse = _prefix(tx[a:b]), _tables()[2]
-            n = hd["n"][i:j].astype(np.int64)
-            p = np.repeat(begin[i:j] - a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            x = (s[p + WIDTH] - s[p]) * inverse[p] * _C1
-            x ^= x >> np.uint64(32)
-            k[done : done + len(p)] = x * _C2
-            done, i = done + len(p), j
-        keys.append(k)
-        docs.append(np.repeat(hd["doc"], hd["n"]))
-    key, doc = np.concatenate(keys), np.concatenate(docs)
-    o = np.lexsort((doc, key))
-    sk = key[o]
-    first = np.flatnonzero(np.concatenate([[True], sk[1:] != sk[:-1]])) if len(sk) else np.zeros(0, np.int64)
-    hit = np.empty(len(key), bool)
-    hit[o] = np.repeat(doc[o[first]], np.diff(np.append(first, len(sk)))) < doc[o]
-    out, at = [], 0
-    for hd in heads:
-        n = int(hd["n"].sum())
-        out.append(np.int64(len(hd)).tobytes() + hd["place"].tobytes() + hd["n"].tobytes() + np.packbits(hit[at : at + n]).tobytes())
-        at += n
-    return pd.DataFrame({"chunk": pdf["chunk"], "mask": [zstandard.ZstdCompressor(level=1).compress(x) for x in out]})
-
-
 def _arrow(rows: list[tuple], names: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     fields = [f.split() for f in names.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[t]) for i, (_, t) in enumerate(fields)], [n for n, _ in fields])
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[tuple[dict, Chunk]]:
+def _columns(names: str, *cols: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [f.split()[0] for f in names.split(", ")])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
-            r = b.slice(i, 1).to_pylist()[0]
-            yield r, Chunk(r["ids"], r["sizes"], r["text"], shards)
-
-
-def _state(r: dict, c: Chunk, shards: int) -> np.ndarray:
-    """State of the chunk's distinct digests, in their order, from the shards' answers."""
-    state, edge = np.zeros(len(c.uniq), np.uint8), np.searchsorted(c.shard, np.arange(shards + 1))
-    for x in r["states"] or []:
-        state[edge[x["shard"]] : edge[x["shard"] + 1]] = np.frombuffer(zstandard.ZstdDecompressor().decompress(x["state"]), np.uint8)
-    return state
-
-
-def removed(docs: DataFrame, emit, schema: str, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, shard_bytes: int = SHARD_BYTES, carry: bool = False) -> DataFrame:
-    """Finds the bytes to remove. emit(ids, texts, covered, ends, rest) makes output rows of a chunk; covered has a flag for each byte."""
-    chunks = pack_chunks(docs, chunk_bytes, carry)
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    shards = max(8, -(-total // shard_bytes))
-    blob = "shard int, chunk long, blob binary"
-
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, c in _chunks(it, shards):
-            edge = np.searchsorted(c.shard, np.arange(shards + 1))
-            rows = [(s, r["chunk"], _pack(c.gram[u], c.whole[u], c.owner[u])) for s in range(shards) if len(u := c.uniq[edge[s] : edge[s + 1]])]
-            if rows:
-                yield _arrow(rows, blob)
-
-    held = chunks.drop("n_bytes")
-    states = held.drop("rest").mapInArrow(send, blob).groupBy("shard").applyInPandas(_shard(batches), "chunk long, shard int, state binary")
-    states = materialise(states, "states").groupBy("chunk").agg(F.collect_list(F.struct("shard", "state")).alias("states"))
-
-    def ask(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=1)
-        for r, c in _chunks(it, shards):
-            want = np.flatnonzero(_state(r, c, shards) == 2)
-            e = c.uniq[want]
-            home = c.gram[e] % np.uint32(shards)
-            rows = []
-            for s in np.unique(home):
-                at = home == s
-                head = np.empty(at.sum(), _MASK)
-                head["place"], head["gram"], head["doc"], head["n"] = want[at], c.gram[e[at]], c.owner[e[at]], c.count[e[at]]
-                text = b"".join(c.raw[p : p + n + WIDTH - 1] for p, n in zip(c.at[e[at]].tolist(), c.count[e[at]].tolist(), strict=True))
-                rows.append((int(s), r["chunk"], z.compress(np.int64(len(head)).tobytes() + head.tobytes() + text)))
-            if rows:
-                yield _arrow(rows, blob)
-
-    masks = held.drop("rest").join(states, "chunk").mapInArrow(ask, blob).groupBy("shard").applyInPandas(_windows, "chunk long, mask binary")
-    masks = materialise(masks, "masks").groupBy("chunk").agg(F.collect_list("mask").alias("masks"))
-
-    def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r, c in _chunks(it, shards):
-            state = _state(r, c, shards)
-            least = c.owner[c.uniq]
-            full = (c.owner > least[c.inv]) | (state[c.inv] == 1)
-            delta = np.zeros(len(c.buf) + 1, np.int32)
+            yield {n: c[i].as_py() if not pa.types.is_list(c.type) else c[i].values for n, c in zip(b.schema.names, b.columns, strict=True)}
+
+
+def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk's distinct entries."""
+    for r in _rows(batches):
+        c = Chunk(r["ids"], r["sizes"], r["text"])
+        u = np.sort(c.rep)
+        spot = c.at[u] << _AT | c.before[u] << 5 | (c.count[u] - 1)
+        yield _columns(_ENTRY, c.gram[u].view(np.int32), c.whole[u].view(np.int64), c.owner[u], np.full(len(u), r["chunk"]), spot)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _scan(batch: int, rows: int = ROWS):
+    """Merge scan of a bucket: entries of the batch and of all levels in the order of (gram, whole, document). Kinds of rows given: 0 new to the index, 1 covered whole, 2 of the batch and 3 of a level where one suffix start has several continuations."""
+
+    def step(cols: tuple[np.ndarray, ...], end: int) -> Iterator[pa.RecordBatch]:
+        gram, whole, doc, chunk, spot = cols
+        level = chunk >> _BATCH != batch
+        edge = np.ones(len(gram), bool)
+        edge[1:] = gram[1:] != gram[:-1]
+        new = edge.copy()
+        new[1:] |= whole[1:] != whole[:-1]
+        first = np.flatnonzero(new)[np.cumsum(new) - 1]
+        covered = ~level & ~new & (level[first] | (doc > doc[first]))
+        alive = ~level & ~covered
+        kind = np.full(len(gram), -1, np.int32)
+        kind[covered] = 1
+        start = np.flatnonzero(edge)
+        size = np.diff(np.append(start, len(gram)))
+        several = np.repeat((np.add.reduceat(new.astype(np.int64), start) > 1) & (np.add.reduceat(alive.astype(np.int64), start) > 0), size)
+        done = np.arange(len(gram)) < end
+        kind[done & several & alive] = 2
+        kind[done & several & level & new] = 3
+        p = np.flatnonzero(kind > 0)
+        if len(p):
+            zero = np.zeros(len(p), np.int64)
+            yield _columns(_FOUND, zero.astype(np.int32), zero, chunk[p], spot[p], kind[p])
+        p = np.flatnonzero(done & alive & new)
+        if len(p):
+            yield _columns(_FOUND, gram[p], whole[p], chunk[p], spot[p], np.zeros(len(p), np.int32))
+        keep = np.flatnonzero(~done & ~covered)
+        return tuple(c[keep] for c in cols)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tuple(np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64, np.int64))
+        for part in _gathered(batches, rows):
+            held = tuple(np.concatenate([x, *(b.column(i).to_numpy() for b in part)]) for i, x in enumerate(held))
+            if len(held[0]):
+                held = yield from step(held, int(np.flatnonzero(held[0] != held[0][-1])[-1:].sum() + 1) if held[0][0] != held[0][-1] else 0)
+        if len(held[0]):
+            yield from step(held, len(held[0]))
+
+    return run
+
+
+def _ask(batch: int):
+    """Bytes of entries that may match in part, in two runs of windows: those that reach SIDE bytes or more to the left of the suffix's start, and the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            t = Text(r["ids"], r["sizes"], r["text"])
+            spot = np.unique(r["spots"].to_numpy(zero_copy_only=False))
+            at, before, count = spot >> _AT, spot >> 5 & 31, (spot & 31) + 1
+            owner = t.ids[np.searchsorted(t.ends, at, "right")] if r["chunk"] >> _BATCH == batch else np.full(len(at), EARLIER)
+            p = at + before
+            cut = np.clip(p - SIDE + 1, at, at + count)
+            out: list[tuple] = []
+            for lo, hi, a, b in ((at, cut, p - SIDE, p + GRAM), (cut, at + count, p, p + WIDTH - SIDE + 1)):
+                k = np.flatnonzero(hi > lo)
+                out += [(xxhash.xxh64_intdigest(t.raw[x:y]) - (1 << 63), o, r["chunk"], f, t.raw[f : g + WIDTH - 1]) for x, y, o, f, g in zip(a[k].tolist(), b[k].tolist(), owner[k].tolist(), lo[k].tolist(), hi[k].tolist(), strict=True)]
+            if out:
+                yield _arrow(out, _PARTS)
+
+    return run
+
+
+def _window_keys(text: list[bytes]) -> np.ndarray:
+    """Digest of each window of each text."""
+    size = np.fromiter(map(len, text), np.int64, len(text))
+    stop = np.cumsum(size)
+    buf = np.frombuffer(b"".join(text), np.uint8)
+    out, i = [], 0
+    while i < len(text):  # blocks that the tables of powers reach
+        base = stop[i] - size[i]
+        j = max(i + 1, int(np.searchsorted(stop, base + STEP, "right")))
+        s, inverse = _prefix(buf[base : stop[j - 1]]), _tables()[2]
+        n = size[i:j] - WIDTH + 1
+        p = np.repeat(stop[i:j] - size[i:j] - base - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        x = (s[p + WIDTH] - s[p]) * inverse[p] * _C1
+        x ^= x >> np.uint64(32)
+        out.append(x * _C2)
+        i = j
+    return np.concatenate(out)
+
+
+def _compare(rows: int = ROWS):
+    """Windows of rows in the order of (ext, doc): those that also start in an earlier document under the same ext, as bits."""
+
+    def step(ext, doc, chunk, at, text) -> Iterator[pa.RecordBatch]:
+        edge = np.ones(len(ext), bool)
+        edge[1:] = ext[1:] != ext[:-1]
+        number = np.cumsum(edge) - 1
+        ask = np.flatnonzero(doc > doc[np.flatnonzero(edge)][number])
+        use = np.flatnonzero(np.isin(number, number[ask]))  # groups of one document match nothing
+        if not len(use):
+            return
+        n = np.fromiter((len(text[i]) - WIDTH + 1 for i in use), np.int64, len(use))
+        key = _window_keys([text[i] for i in use])
+        row = np.repeat(np.arange(len(use)), n)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        d, g = doc[use][row], number[use][row]
+        o = np.lexsort((d, key, g))
+        k, gg = key[o], g[o]
+        new = np.ones(len(o), bool)
+        new[1:] = (k[1:] != k[:-1]) | (gg[1:] != gg[:-1])
+        hit = np.empty(len(o), bool)
+        hit[o] = d[o[np.flatnonzero(new)[np.cumsum(new) - 1]]] < d[o]
+        mask = np.add.reduceat(np.where(hit, np.int64(1) << place, 0), np.cumsum(n) - n)
+        got = np.flatnonzero(mask)
+        if len(got):
+            yield _columns(_MASKS, chunk[use[got]], at[use[got]], mask[got])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for part in _gathered(batches, rows):
+            t = pa.Table.from_batches(part if held is None else [*held, *part])
+            ext = t.column(0).to_numpy()
+            end = int(np.searchsorted(ext, ext[-1])) if len(ext) else 0
+            if end:
+                x = t.slice(0, end)
+                yield from step(*(x.column(i).to_numpy() for i in range(4)), x.column(4).to_pylist())
+            held = t.slice(end).combine_chunks().to_batches()
+        if held:
+            x = pa.Table.from_batches(held)
+            yield from step(*(x.column(i).to_numpy() for i in range(4)), x.column(4).to_pylist())
+
+    return run
+
+
+def _cutter(emit):
+    """Covered bytes of a chunk, handed to emit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            c = Chunk(r["ids"], r["sizes"], r["text"])
+            found = np.zeros(len(c.rep), bool)
+            if r["spots"] is not None:
+                found[c.group[np.searchsorted(c.at, r["spots"].to_numpy(zero_copy_only=False) >> _AT)]] = True
+            least = c.owner[c.rep]
+            full = found[c.group] | (c.owner > least[c.group]) if len(c.rep) else found
+            delta = np.zeros(len(c.raw) + 1, np.int32)
             np.add.at(delta, c.at[full], 1)
             np.add.at(delta, c.at[full] + c.count[full] + WIDTH - 1, -1)
-            mine = np.flatnonzero(~full)  # entries that may match in part, by digest
-            mine = mine[np.argsort(c.inv[mine], kind="stable")]
-            where = c.inv[mine]
-            for m in r["masks"] or []:
-                raw = zstandard.ZstdDecompressor().decompress(m)
-                k = int(np.frombuffer(raw, "<i8", 1)[0])
-                place, n = np.frombuffer(raw, "<i8", k, 8), np.frombuffer(raw, "<i4", k, 8 + 8 * k).astype(np.int64)
-                hit = np.unpackbits(np.frombuffer(raw, np.uint8, -1, 8 + 12 * k), count=int(n.sum())).astype(bool)
-                lo, hi = np.searchsorted(where, place), np.searchsorted(where, place, "right")
-                start = np.cumsum(n) - n
-                any_hit = np.add.reduceat(hit, start) > 0 if k else np.zeros(0, bool)
-                for j in np.flatnonzero(any_hit):
-                    p = np.flatnonzero(hit[start[j] : start[j] + n[j]])
-                    q = (c.at[mine[lo[j] : hi[j]]][:, None] + p[None, :]).ravel()
-                    np.add.at(delta, q, 1)
-                    np.add.at(delta, q + WIDTH, -1)
-            yield from emit(c.ids, c.raw, np.cumsum(delta[:-1]) > 0, c.ends, r["rest"])
-
-    return held.join(states, "chunk", "left").join(masks, "chunk", "left").mapInArrow(cut, schema)
+            if r["masks"] is not None:
+                at, mask = (r["masks"].field(i).to_numpy(zero_copy_only=False) for i in range(2))
+                e = np.searchsorted(c.at, at, "right") - 1
+                row, bit = np.nonzero(mask[:, None] >> np.arange(WIDTH - GRAM + 1) & 1)
+                # the windows found, relative to their entry, hold for all entries of the same bytes that aren't covered
+                mine = np.flatnonzero(~full)
+                mine = mine[np.argsort(c.group[mine], kind="stable")]
+                g = c.group[mine]
+                lo, hi = np.searchsorted(g, c.group[e[row]]), np.searchsorted(g, c.group[e[row]], "right")
+                k = hi - lo
+                member = mine[np.repeat(lo - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+                q = c.at[member] + np.repeat(at[row] - c.at[e[row]] + bit, k)
+                np.add.at(delta, q, 1)
+                np.add.at(delta, q + WIDTH, -1)
+            yield from emit(c.ids, c.raw, np.cumsum(delta[:-1]) > 0, c.ends, r.get("rest"))
+
+    return run
+
+
+class Family:
+    """The index family: levels of entries and the chunks that they point to, in one folder. `levels` lists (name of the folder, rows), oldest first; `stores` the chunk tables."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
+        self.spark, self.path = spark, path or new_path(spark, "family")
+        self.buckets = min(100_000, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+        self.levels: list[tuple[str, int]] = []
+        self.stores: list[tuple[int, str]] = []
+        self.tables: dict[str, DataFrame] = {}
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Family:
+        """An index written before, also by another session."""
+        rows = spark.read.schema("version long, kind string, place int, name string, size long, buckets int").json(f"{path}/manifest").collect()
+        rows = [r for r in rows if r.version == max(x.version for x in rows)]
+        f = cls(spark, path, rows[0].buckets)
+        f.levels = [(r.name, r.size) for r in sorted((r for r in rows if r.kind == "level"), key=lambda r: r.place)]
+        f.stores = [(r.size, r.name) for r in sorted((r for r in rows if r.kind == "store"), key=lambda r: r.place)]
+        return f
+
+    def _save(self) -> None:
+        rows = [("level", i, n, s) for i, (n, s) in enumerate(self.levels)] + [("store", i, n, b) for i, (b, n) in enumerate(self.stores)]
+        version = 2 * len(self.stores) + len(self.levels) + uuid.uuid1().time
+        out = self.spark.createDataFrame([(version, *r, self.buckets) for r in rows], "version long, kind string, place int, name string, size long, buckets int")
+        out.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+
+    def _write(self, df: DataFrame, name: str, key: str, by: str) -> None:
+        t = f"cytoloom_{uuid.uuid4().hex[:12]}"
+        df.write.option("path", f"{self.path}/{name}").option("compression", "zstd" if by == "kind" else "none").partitionBy(by).bucketBy(self.buckets, key).format("parquet").saveAsTable(t)
+        self.spark.sql(f"DROP TABLE {t}")
+
+    def _table(self, name: str, schema: str, key: str) -> DataFrame:
+        """A bucketed folder as a table: joins on its key don't shuffle it."""
+        if name not in self.tables:
+            t = f"cytoloom_{uuid.uuid4().hex[:12]}"
+            self.spark.sql(f"CREATE TABLE {t} ({schema}) USING parquet CLUSTERED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self.tables[name] = self.spark.table(t)
+        return self.tables[name]
+
+    def _level(self, name: str) -> DataFrame:
+        return self._table(f"{name}/kind=0", "gram int, whole long, chunk long, spot long", "gram")
+
+    def chunks(self, batch: int) -> DataFrame:
+        name = dict(self.stores)[batch]
+        return self._table(name, "chunk long, ids binary, sizes binary, text binary, rest binary", "chunk")
+
+    def pack(self, docs: DataFrame, batches: int = 1, chunk_bytes: int = CHUNK_BYTES, carry: bool = False) -> list[int]:
+        """Writes the documents' chunks, in batches of rising ids; with carry, all columns but text go along. Returns the batches' numbers."""
+        others = [c for c in docs.columns if c != "text"] if carry else []
+        first = 1 + max((b for b, _ in self.stores), default=-1)
+        ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(int(LAST))).alias("_id"))
+        cuts = ids.approxQuantile("_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
+        bounds = np.unique([min(int(x), int(LAST)) for x in cuts]).astype(np.int64)
+        rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(others)])
+        name = f"chunks-{first}"
+        self._write(rows.mapInArrow(_packer(others, bounds, first, chunk_bytes), _STORE).repartition(self.buckets, "chunk"), name, "chunk", "batch")
+        made = [r[0] for r in self.spark.read.schema("batch int").parquet(f"{self.path}/{name}").select("batch").distinct().collect()]
+        self.stores += [(b, f"{name}/batch={b}") for b in sorted(made)]
+        return sorted(made)
+
+    def _together(self, frames: list[DataFrame]) -> DataFrame:
+        """Rows of equally bucketed frames in one partition for each bucket, without a shuffle where Spark can see that they are."""
+        u = reduce(DataFrame.unionByName, frames)
+        if not u._jdf.queryExecution().sparkPlan().outputPartitioning().toString().startswith("hashpartitioning"):
+            u = u.repartition(self.buckets, "gram")
+        return u
+
+    def _merge(self) -> None:
+        """Merges the newest levels while one is less than twice the size of the next."""
+        while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
+            (a, n), (b, m) = self.levels[-2:]
+            name = f"level-{uuid.uuid4().hex[:8]}"
+            cols = ["gram", "whole", "chunk", "spot"]
+            both = self._together([self._level(x).select(cols) for x in (a, b)]).sortWithinPartitions("gram", "whole")
+            self._write(both.withColumn("kind", F.lit(0)), name, "gram", "kind")
+            self.levels[-2:] = [(name, n + m)]
+            self._save()
+            for x in (a, b):
+                drop_path(self.spark, f"{self.path}/{x}/kind=0")
+
+    def add(self, batch: int) -> DataFrame:
+        """Scans a packed batch against the levels and makes it one. Returns its chunks with what was found: spots of entries covered whole, masks of windows."""
+        spark, auto = self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+        before = spark.conf.get(auto)
+        spark.conf.set(auto, "false")  # else a bucketed table that is only merged is read without its buckets
+        try:
+            self._merge()
+            mine = self.chunks(batch).select("chunk", "ids", "sizes", "text").mapInArrow(_send, _ENTRY).repartition(self.buckets, "gram")
+            levels = [self._level(n).select("gram", "whole", F.lit(int(EARLIER)).alias("doc"), "chunk", "spot") for n, _ in self.levels]
+            name = f"level-{uuid.uuid4().hex[:8]}"
+            self._write(self._together([mine, *levels]).sortWithinPartitions("gram", "whole", "doc", "chunk").mapInArrow(_scan(batch), _FOUND), name, "gram", "kind")
+        finally:
+            spark.conf.set(auto, before)
+        found = spark.read.schema(_FOUND).parquet(f"{self.path}/{name}")
+        size = found.where("kind = 0").count()
+        if size:
+            self.levels.append((name, size))
+        self._save()
+        spots = lambda kinds: found.where(kinds).groupBy("chunk").agg(F.collect_list("spot").alias("spots"))
+        store = reduce(DataFrame.unionByName, [self.chunks(b).select("chunk", "ids", "sizes", "text") for b, _ in self.stores if b <= batch])
+        parts = store.join(spots("kind >= 2"), "chunk").select("chunk", "ids", "sizes", "text", "spots").mapInArrow(_ask(batch), _PARTS)
+        masks = parts.repartition(self.buckets, "ext").sortWithinPartitions("ext", "doc").mapInArrow(_compare(), _MASKS)
+        masks = materialise(masks, "masks").groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
+        return self.chunks(batch).join(spots("kind = 1"), "chunk", "left").join(masks, "chunk", "left")
+
+
+def removed(docs: DataFrame, emit, schema, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, carry: bool = False, family: Family | None = None) -> DataFrame:
+    """Finds the bytes to remove. emit(ids, texts, covered, ends, rest) makes output rows of a chunk; covered has a flag for each byte. With a family, its documents count as earlier ones, and it takes the new ones in."""
+    spark = docs.sparkSession
+    family = family or Family(spark)
+    out = [family.add(b).mapInArrow(_cutter(emit), schema) for b in family.pack(docs, batches, chunk_bytes, carry)]
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -48,20 +48,57 @@ def corpus(seed):
 def test_against_brute_force(spark, seed):
     rows = corpus(seed)
     d = spark.createDataFrame([(i, t, 3, b"") for i, t in rows], "doc_id long, text string, chunk int, ids binary").repartition(4)
-    got = sorted((tuple(r) for r in S.digests(d, chunk_bytes=4000, batches=8).collect()), key=repr)
-    assert got == brute([(i, (t or "").encode()) for i, t in rows])
+    want = brute([(i, (t or "").encode()) for i, t in rows])
+    for how in ({"chunk_bytes": 4000, "batches": 6}, {"batches": 1}):
+        assert sorted((tuple(r) for r in S.digests(d, **how).collect()), key=repr) == want
 
 
-def test_family_keeps_few_levels():
+def test_scan_in_small_steps():
+    """A bucket's merge scan gives the same rows however its input is cut."""
     import numpy as np
+    import pyarrow as pa
 
-    f = S.Family()
-    for b in range(32):
-        key = np.sort(np.random.default_rng(b).integers(0, 2**60, 100).astype(np.uint64))
-        f.add(key, np.full(100, b))
-    assert len(f.levels) <= 6
+    r = np.random.default_rng(3)
+    n = 3000
+    level = r.random(n) < 0.4
+    cols = {"gram": r.integers(0, 40, n), "whole": r.integers(0, 30, n), "doc": np.where(level, S.EARLIER, r.integers(0, 9, n)), "chunk": np.where(level, 1, 5 << S._BATCH), "spot": np.arange(n)}
+    rows = sorted(zip(*(c.tolist() for c in cols.values()), strict=True))
+    seen, keep = set(), []
+    for x in rows:  # a level holds an entry once
+        if x[3] != 1 or x[:2] not in seen:
+            keep.append(x)
+        if x[3] == 1:
+            seen.add(x[:2])
+    t = pa.table({k: pa.array(v, pa.int32() if k == "gram" else pa.int64()) for k, v in zip(cols, zip(*keep, strict=True), strict=True)})
+    found = []
+    for size, rows_at_once in ((7, 5), (100, 300), (5000, 10000)):
+        out = S._scan(5, rows_at_once)(iter(t.to_batches(max_chunksize=size)))
+        found.append(sorted(tuple(y.values()) for b in out for y in b.to_pylist()))
+    assert found[0] == found[1] == found[2] and {x[4] for x in found[0]} == {0, 1, 2, 3}
+
+
+def test_a_family_outlives_its_session(spark):
+    """Batches added one by one, each by a session that opens the index anew, give what one run over all of them gives; levels stay few."""
+    rows = sorted([(i, t) for i, t in corpus(5) if i is not None], key=lambda x: x[0])
+    cuts = [0, 15, 30, 31, 60, 75, len(rows)]
+    cuts = [next((k for k in range(c, len(rows)) if k == 0 or rows[k][0] != rows[k - 1][0]), len(rows)) for c in cuts[:-1]] + [len(rows)]
+    path, got = S.Family(spark).path, []
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        s = spark.newSession()
+        family = S.Family.open(s, path) if k else S.Family(s, path)
+        got += [tuple(r) for r in S.digests(s.createDataFrame(rows[a:b], "doc_id long, text string"), batches=1, chunk_bytes=3000, family=family).collect()]
+        sizes = [n for _, n in family.levels]
+        assert all(x >= 2 * y for x, y in zip(sizes[:-1], sizes[1:-1], strict=False))
+    assert sorted(got, key=repr) == brute([(i, (t or "").encode()) for i, t in rows])
+    assert len(S.Family.open(spark, path).levels) <= 4
 
 
 def test_empty(spark):
     d = spark.createDataFrame([], "doc_id long, text string")
     assert S.digests(d).count() == 0 and S.deduplicate(d).count() == 0
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    long = "".join(f"line {i} of a long text;" for i in range(120_000))
+    d = spark.createDataFrame([(1, long, "a", 1, b"x"), (2, long[1_000_000:2_000_000] + "tail", "b", 2, b"y")], "doc_id long, text string, spots string, batch int, rest binary")
+    assert [tuple(r) for r in S.rewrite(d).orderBy("doc_id").collect()] == [(1, long, "a", 1, b"x"), (2, "tail", "b", 2, b"y")]
