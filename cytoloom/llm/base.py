@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import json
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,9 +61,14 @@ def release(spark: SparkSession, mark: int, keep: DataFrame) -> int:
         if not any(f"/cytoloom/{name}/" in f for f in files):
             drop_path(spark, path)
             _made.remove(path)
+    free(spark)
+    return len(_made)
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark remove shuffles and broadcasts that nothing refers to; it does so when the driver's JVM collects its garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    return len(_made)
 
 
 def made() -> int:
@@ -100,20 +106,32 @@ def text_bytes(col: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in col.cast(pa.binary() if pa.types.is_string(col.type) else pa.large_binary()).to_pylist()]
 
 
-_ENCODINGS: dict[str, object] = {}
+_ENCODINGS: dict[tuple, object] = {}
+
 
+def encoding(ranks: str | None = None, added: str | None = None):
+    """Encoder of texts: byte-level BPE of the rank file at `ranks`, with the added tokens of the tokenizer file at `added` (JSON); by default those of public_tokenizers' byte_bpe_50k.
 
-def encoding(path: str | None = None):
-    """Byte-level BPE of the rank file at path, or of public_tokenizers' byte_bpe_50k. Ids equal those of byte_bpe_50k.json (tests compare them over every code point)."""
+    Ids equal those of that JSON file's tokenizer called with add_special_tokens=False, added tokens that stand in a text included (tests compare them).
+    """
     import public_tokenizers as P
     import tiktoken
 
-    path = path or P.path("byte_bpe_50k.tiktoken")
-    if path not in _ENCODINGS:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODINGS[path] = tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODINGS[path]
+    if ranks is None:
+        ranks, added = P.path("byte_bpe_50k.tiktoken"), added or P.path("byte_bpe_50k.json")
+    if (ranks, added) not in _ENCODINGS:
+        special = {}
+        if added:
+            with open(added, encoding="utf-8") as f:
+                tokens = json.load(f)["added_tokens"]
+            if any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in tokens):
+                raise ValueError(f"{added}: added tokens that strip or match whole words only are not supported")
+            special = {t["content"]: t["id"] for t in tokens}
+        with open(ranks, "rb") as f:
+            own = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        e = tiktoken.Encoding("byte_bpe", pat_str=P.PATTERN, mergeable_ranks=own, special_tokens=special)
+        _ENCODINGS[ranks, added] = lambda text: e.encode_to_numpy(text, allowed_special="all")
+    return _ENCODINGS[ranks, added]
 
 
 def mix(x: np.ndarray) -> np.ndarray:

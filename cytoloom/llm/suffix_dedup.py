@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -37,9 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop_path, materialise, new_path, table, text_bytes
+from .base import drop_path, free, materialise, new_path, table, text_bytes
 
-WIDTH, GRAM, BATCHES = 50, 20, 4
+WIDTH, GRAM, BATCHES = 50, 20, 3
 #: Bytes of text in a chunk, windows in a block, rows that a task gathers before it compares.
 CHUNK_BYTES, STEP, ROWS = 4 << 20, 1 << 18, 1 << 18
 #: Windows reach at least SIDE bytes beyond the suffix's start on the left, or else more than that on the right.
@@ -384,6 +385,16 @@ def _cutter(emit):
     return run
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Family:
     """The index family: levels of entries and the chunks that they point to, in one folder. `levels` lists (name of the folder, rows), oldest first; `stores` the chunk tables."""
 
@@ -411,8 +422,10 @@ class Family:
         out.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
 
     def _write(self, df: DataFrame, name: str, key: str, by: str) -> None:
+        """A folder partitioned by a column and bucketed by another. Rows come dealt by bucket, so a task has few files open and needn't sort again."""
         t = f"cytoloom_{uuid.uuid4().hex[:12]}"
-        df.write.option("path", f"{self.path}/{name}").option("compression", "zstd" if by == "kind" else "none").partitionBy(by).bucketBy(self.buckets, key).format("parquet").saveAsTable(t)
+        with _setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
+            df.write.option("path", f"{self.path}/{name}").option("compression", "zstd" if by == "kind" else "none").partitionBy(by).bucketBy(self.buckets, key).format("parquet").saveAsTable(t)
         self.spark.sql(f"DROP TABLE {t}")
 
     def _table(self, name: str, schema: str, key: str) -> DataFrame:
@@ -466,17 +479,13 @@ class Family:
 
     def add(self, batch: int) -> DataFrame:
         """Scans a packed batch against the levels and makes it one. Returns its chunks with what was found: spots of entries covered whole, masks of windows."""
-        spark, auto = self.spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-        before = spark.conf.get(auto)
-        spark.conf.set(auto, "false")  # else a bucketed table that is only merged is read without its buckets
-        try:
+        spark = self.spark
+        with _setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):  # else a bucketed table that is only merged is read without its buckets
             self._merge()
             mine = self.chunks(batch).select("chunk", "ids", "sizes", "text").mapInArrow(_send, _ENTRY).repartition(self.buckets, "gram")
             levels = [self._level(n).select("gram", "whole", F.lit(int(EARLIER)).alias("doc"), "chunk", "spot") for n, _ in self.levels]
             name = f"level-{uuid.uuid4().hex[:8]}"
             self._write(self._together([mine, *levels]).sortWithinPartitions("gram", "whole", "doc", "chunk").mapInArrow(_scan(batch), _FOUND), name, "gram", "kind")
-        finally:
-            spark.conf.set(auto, before)
         found = spark.read.schema(_FOUND).parquet(f"{self.path}/{name}")
         size = found.where("kind = 0").count()
         if size:
@@ -487,6 +496,7 @@ class Family:
         parts = store.join(spots("kind >= 2"), "chunk").select("chunk", "ids", "sizes", "text", "spots").mapInArrow(_ask(batch), _PARTS)
         masks = parts.repartition(self.buckets, "ext").sortWithinPartitions("ext", "doc").mapInArrow(_compare(), _MASKS)
         masks = materialise(masks, "masks").groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
+        free(spark)
         return self.chunks(batch).join(spots("kind = 1"), "chunk", "left").join(masks, "chunk", "left")
 
 
