@@ -1,14 +1,16 @@
 """Operator 5. Language ID: interpolated Kneser-Ney character models.
 
-One model a language, of order 4 over letters and single blanks, estimated on a bounded sample of labelled documents (MAX_DOCS whole
-documents of at most MAX_CHARS characters for each language). All languages share sorted arrays of n-gram keys; beside each key stand
+One model a language, of order 4 over letters and single blanks, estimated on a bounded sample of labelled documents: for each language, in an
+order drawn by hash, up to MAX_DOCS documents until they hold MAX_CHARS characters (a longer one gives its first MAX_CHARS to the fit). All languages share sorted arrays of n-gram keys; beside each key stand
 the languages' interpolated log probabilities (and, for contexts, back-off weights), so one binary search a character and order serves all
 languages. The language of the least cross-entropy a character wins. Calibration documents, kept out of the estimates, give each language's
 own entropy and that of its text under the nearest other language. A document is rejected if its best entropy lies nearer to the latter,
 by more than its length explains: no model knows it better than a foreign text.
 
-Null text, or text without letters: `und`, score 0, rejected. With no labelled text at all every document is `und`. An empty table gives
-no rows. Repeated rows are judged alike; ties go to the first language in alphabetical order.
+Null text, or text without letters: `und`, score 0, rejected. With no labelled text at all every document is `und`; `accepted` then keeps every
+text with letters, since nothing is known that could reject it. An empty table gives no rows. Repeated rows are judged alike; ties go to the
+first language in alphabetical order. Texts of any length are judged whole. A null doc_id is kept, and counts as empty text for the fold. More
+than MAX_LANGS labels are an error. Extra columns, whatever their names, are left out by `identify` and kept by `accepted`.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 from .base import blocks, crc32_mod5, table
 
 ORDER = 4
-#: Bound of the labelled sample, for each language.
-MAX_DOCS, MAX_CHARS = 400, 50_000
+#: Bounds of the labelled sample: documents and characters of each language, and languages.
+MAX_DOCS, MAX_CHARS, MAX_LANGS = 400, 2_000_000, 1000
 #: Share of sample documents that calibrate the rejection, and how many standard deviations a clean document may lie out.
 CALIBRATION, WIDTH = 0.25, 6.0
 _OUT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean, cross_entropy double, n_letters long"
@@ -119,14 +121,18 @@ class Model:
 
 def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> list[tuple[str, str]]:
     """(lang, text) of a bounded sample outside the held-out fold. A hash of the id thins each language to about twice the bound before rows are ranked."""
-    d = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (crc32_mod5() != 0) & (F.length("text") <= max_chars) & F.col("text").rlike(r"\p{L}"))
-    n = {r[0]: r[1] for r in d.groupBy("lang").count().collect()}
+    d = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (crc32_mod5() != 0) & F.col("text").rlike(r"\p{L}"))
+    n = {r[0]: r[1] for r in d.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     if not n:
         return []
+    if len(n) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
     draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) / (1 << 30)
     share = F.create_map(*[F.lit(x) for lang, c in n.items() for x in (lang, min(1.0, 2.0 * max_docs / c + 100 / c))])[F.col("lang")]
-    w = Window.partitionBy("lang").orderBy("draw", "doc_id")
-    few = d.withColumn("draw", draw).where(F.col("draw") < share).withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_docs)
+    few = d.withColumn("draw", draw).where(F.col("draw") < share).withColumn("text", F.substring("text", 1, max_chars))
+    w = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    few = few.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_docs)
+    few = few.withColumn("before", F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("r")) - F.length("text")).where(F.col("before") < max_chars)
     return sorted((r[0], r[1]) for r in few.select("lang", "text").collect())
 
 
@@ -233,13 +239,14 @@ def identify(docs: DataFrame) -> DataFrame:
 def accepted(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that are not rejected. No join: rows are judged as they pass."""
     model = fit(sample(docs))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in blocks(batches, at):
-            if m is not None:
-                yield b.filter(pa.array(~judge(m, [x or "" for x in b.column(at).to_pylist()])[2]))
+            yield b.filter(pa.array(~judge(m, [x or "" for x in b.column(at).to_pylist()])[2]))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -4,7 +4,9 @@ Pass 1 encodes each text once and writes ids with their offset in the partition.
 summed up into global offsets. Pass 2 cuts fixed windows: a piece is a document's share of a window. Windows that lie in one task are
 whole there; those that straddle tasks leave boundary records, the only rows that `sequences` shuffles.
 
-Null text is empty, so such a document has its end id alone; an empty table gives no rows; repeated rows and ids are packed as they come.
+Null text is empty, so such a document has its end id alone, as has an empty one; an empty table gives no rows; repeated rows and ids are
+packed as they come, each with its own pieces; a null doc_id stays null. Texts of any length are encoded whole (a document is one row of ids,
+so up to 2^30 tokens). Extra columns, whatever their names, are left out. Ids are kept in 16 bits, so a vocabulary has at most 65,536 ids.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ _TOKENS = "part int, start long, doc_id long, n long, ids binary"
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def encode(docs: DataFrame, end_id: int = END_ID, ranks: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, end_id: int = END_ID, ranks: str | None = None, added: str | None = None) -> DataFrame:
     """Pass 1, written to the shared folder: (part, start in the part, doc_id, n, ids as little-endian unsigned 16-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = encoding(ranks), TaskContext.get().partitionId(), 0
+        enc, part, at = encoding(ranks, added), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u2").tobytes()
         for b in blocks(batches):
-            ids = [enc.encode_to_numpy(t or "", disallowed_special=()).astype("<u2").tobytes() + end for t in b.column(1).to_pylist()]
+            ids = [enc(t or "").astype("<u2").tobytes() + end for t in b.column(1).to_pylist()]
             n = np.fromiter((len(x) // 2 for x in ids), np.int64, len(ids))
             first = at + np.cumsum(n) - n
             at += int(n.sum())

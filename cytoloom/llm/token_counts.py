@@ -4,7 +4,8 @@ Each task encodes whole texts and keeps a count for each length; counts are adde
 levels (buckets of lengths, then lengths in a bucket), answer totals, quantiles and truncated totals for every context limit, since
 between two lengths all of these are constant or linear in the limit.
 
-Null and empty texts have length 0. An empty table gives no rows. Repeated rows count as often as they occur.
+Null and empty texts have length 0. An empty table gives no rows. Repeated rows count as often as they occur; documents of one length are one
+row. Texts of any length are encoded whole. No column but text is read, so extra ones, whatever their names, change nothing.
 """
 
 from __future__ import annotations
@@ -16,31 +17,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import blocks, encoding, table
+from .base import blocks, encoding, materialise, table
 
 #: Lengths in a bucket of the upper level.
 BUCKET = 1024
 
 
-def lengths(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+def lengths(docs: DataFrame, ranks: str | None = None, added: str | None = None) -> DataFrame:
     """(length, n_docs) over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seen = encoding(ranks), Counter()
+        enc, seen = encoding(ranks, added), Counter()
         for b in blocks(batches, 0):
-            seen.update(len(enc.encode_to_numpy(t or "", disallowed_special=())) for t in b.column(0).to_pylist())
+            seen.update(len(enc(t or "")) for t in b.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["length", "n_docs"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "length long, n_docs long").groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 
-def histogram(docs: DataFrame, ranks: str | None = None) -> DataFrame:
+def histogram(docs: DataFrame, ranks: str | None = None, added: str | None = None) -> DataFrame:
     """One row per occurring length, read as a context limit.
 
     n_docs: of this length. docs_at_least, tokens_at_least: of documents this long or longer. docs_cut: of longer ones.
     truncated_tokens: sum of min(length, limit). quantile: share of documents no longer. total_docs, total_tokens: over all.
     """
-    h = lengths(docs, ranks).withColumn("bucket", F.floor(F.col("length") / BUCKET)).withColumn("tokens", F.col("length") * F.col("n_docs"))
+    h = materialise(lengths(docs, ranks, added), "lengths").withColumn("bucket", F.floor(F.col("length") / BUCKET)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     up = Window.orderBy(F.desc("bucket"))
     top = h.groupBy("bucket").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     every = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)

@@ -27,16 +27,15 @@ def empty(spark):
 
 def ids(text):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids
 
 
 def test_encoding_is_the_tokenizers_one():
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = [f"ab{chr(c)} {chr(c)}c1{chr(c)}2! {chr(c)}{chr(c)} 's" for c in [*range(0, 0xD800, 3), *range(0xE000, 0x20000, 17)]]
+    texts += ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|EndOfText|>", "  <|endoftext|>  's", "<<|endoftext|>>", "<|endof<|endoftext|>text|>"]
     for s, e in zip(texts, t.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert e.ids == encoding().encode_to_numpy(s, disallowed_special=()).tolist()
+        assert e.ids == encoding()(s).tolist()
 
 
 @pytest.mark.parametrize("length", [64, 2048])
@@ -134,16 +133,67 @@ def test_rule_ledger(spark):
     assert quality_rules.ledger(empty(spark)).count() == 0
 
 
+def wrapped(text, mark="", width=70):
+    import textwrap
+
+    return "\n".join(f"{mark}{x}".rstrip() for p in text.split("\n") for x in (textwrap.wrap(p, width) or [""]))
+
+
+def licence_text(*names):
+    return "\n\n".join(licence_scan.SENTENCES[x] for x in names)
+
+
 def test_licences(spark):
-    mit = "\n".join(licence_scan.SENTENCES[x] for x in ("mit_permission", "mit_notice", "mit_as_is"))
-    texts = ["Hello.\nReleased under the MIT License.\nmore", f"(c) me\n\n{mit}\nend. Released under the MIT license!", "the MIT License", "Licensed under the Apache License, Version 2.0. released under the mit license. ", "SPDX-License-Identifier: MIT", None, "", licence_scan.SENTENCES["mit_as_is"] + "\n" + mit.split("\n")[0]]
-    got = sorted(tuple(r) for r in licence_scan.scan(docs(spark, texts)).collect() if r.doc_id != 3)
-    assert got == [(0, "MIT", "mit_line", 1, 1), (1, "MIT", "mit_text", got[1][3], 1), (4, "MIT", "spdx_mit", 1, 1)] and got[1][3] >= 3
-    assert sorted(r.licence for r in licence_scan.scan(docs(spark, texts)).where("doc_id = 3").collect()) == ["Apache-2.0", "Apache-2.0", "MIT", "MIT"]
+    S = licence_scan.SENTENCES
+    mit = "Copyright (c) 2020 me\n\n" + licence_text("mit_permission", "mit_notice", "mit_as_is") + " IN NO EVENT SHALL THE AUTHORS BE LIABLE."
+    bsd2 = "\n\n".join([S["bsd_redistribution"], "1. " + S["bsd_source"], "2. " + S["bsd_binary"]])
+    clause = "3. Neither the name of Some University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    bsd4 = f"{bsd2}\n\n3. {S['bsd_advertising']}\nThis product includes software developed by the University.\n\n{clause.replace('3.', '4.')}\n"
+    gpl2 = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    cases = [
+        ("Hello.\nReleased under the MIT License.\nmore", {("MIT", "ref_MIT", 1)}),
+        (f"head line\n{wrapped(mit)}\nend. Released under the MIT license!", {("MIT", "mit_text", 1)}),
+        (wrapped(mit, "// "), {("MIT", "mit_text", 1)}), (wrapped(mit, " * ", 50), {("MIT", "mit_text", 1)}), (wrapped(mit, "# ") + "\n\nimport x\n" + wrapped(mit, "-- "), {("MIT", "mit_text", 2)}), (mit, {("MIT", "mit_text", 1)}),
+        (wrapped(bsd2), {("BSD-2-Clause", "bsd2_text", 1)}), (wrapped(f"{bsd2}\n\n{clause}", "# "), {("BSD-3-Clause", "bsd3_text", 1)}), (wrapped(bsd4), {("BSD-4-Clause", "bsd4_text", 1)}),
+        (wrapped(f"{bsd2}\n\n{clause}\n\n{bsd2}"), {("BSD-3-Clause", "bsd3_text", 1), ("BSD-2-Clause", "bsd2_text", 1)}), (wrapped(f"{S['bsd_redistribution']}\n\n{S['bsd_source']}"), {("BSD-1-Clause", "bsd1_text", 1)}),
+        (wrapped(gpl2, "; "), {("GPL-2.0-or-later", "gpl2_header_old", 1)}), (wrapped(S["agpl3_header"], "% "), {("AGPL-3.0-or-later", "agpl3_header", 1)}), (wrapped(S["gpl2_only_kernel"], "/* "), {("GPL-2.0-only", "gpl2_only_kernel", 1)}),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\nCopyright", {("GPL-3.0", "gpl3_text", 1)}),
+        (wrapped('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may', "# ", 40), {("Apache-2.0", "apache2_header", 1)}),
+        ("This project is licensed under the MIT License - see LICENSE.md.", {("MIT", "ref_MIT", 1)}), ("# The code is available under the terms of the\n# GNU Lesser General Public License, version 2.1", {("LGPL-2.1", "ref_LGPL-2.1", 1)}),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", {("CC-BY-NC-SA-4.0", "ref_CC-BY-NC-SA-4.0", 1)}), ("shared under CC BY-SA 4.0. And Licensed under CC BY 4.0.", {("CC-BY-SA-4.0", "ref_CC-BY-SA-4.0", 1), ("CC-BY-4.0", "ref_CC-BY-4.0", 1)}),
+        ("// SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0 OR MIT) AND Zlib.\n/* spdx-license-identifier: Unlicense */", {("GPL-2.0-or-later", "spdx", 1), ("MIT", "spdx", 1), ("Zlib", "spdx", 1), ("Unlicense", "spdx", 1)}),
+        ("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: MIT and more", {("MIT", "spdx", 2)}), (wrapped(licence_text("isc_permission")), {("ISC", "isc_text", 1)}), (wrapped(licence_text("0bsd_permission")), {("0BSD", "0bsd_text", 1)}), (wrapped(licence_text("mit_0_permission", "mit_as_is")), {("MIT-0", "mit_0_text", 1)}),
+        (wrapped("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", "// "), {("MPL-2.0", "mpl2_header", 1)}), (wrapped(licence_text("unlicense_free") + "\n\n" + licence_text("unlicense_anyone")), {("Unlicense", "unlicense_text", 1)}),
+        (wrapped(licence_text("boost_permission")), {("BSL-1.0", "boost_text", 1)}), (wrapped(licence_text("zlib_as_is") + " " + licence_text("zlib_permission")), {("Zlib", "zlib_text", 1)}), ("x " * 2_000_000 + "\n" + wrapped(mit), {("MIT", "mit_text", 1)}),
+        ("the MIT License", set()), (None, set()), ("", set()), (wrapped(S["mit_as_is"] + "\n\n" + S["mit_permission"]), set()), ("She was licensed under the old law. The model is provided by the school.", set()),
+    ]
+    d = spark.createDataFrame([(i, t, 1, "x") for i, (t, _) in enumerate(cases)] + [(None, "Licensed under CC0.", 2, "y")] * 2, "doc_id long, text string, n_found int, spdx string")
+    got = {}
+    for r in licence_scan.scan(d).collect():
+        got.setdefault(r.doc_id, []).append((r.licence, r.rule, r.n_found))
+    assert sorted(got.pop(None)) == [("CC0-1.0", "ref_CC0-1.0", 1)] * 2
+    assert {i: set(x) for i, x in got.items()} == {i: x for i, (_, x) in enumerate(cases) if x}
     assert licence_scan.scan(empty(spark)).count() == 0
     import re
 
-    assert all(re.search("(?i)licen[sc]|permi|warrant|redistrib", x) for x in licence_scan.known())
+    assert all(re.search(licence_scan.GATE, x) for x in licence_scan.known())
+
+
+def test_licences_against_their_sql(spark):
+    import duckdb
+
+    S = licence_scan.SENTENCES
+    rng = np.random.default_rng(2)
+    bits = [*S.values(), "3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "plain words", "it is licensed under the MIT license", "SPDX-License-Identifier: MIT OR Apache-2.0", "Available under CC BY 4.0."]
+    texts = [wrapped("\n\n".join(bits[i] for i in rng.integers(0, len(bits), 6)), ["", "# ", " * "][k % 3], 40 + k) for k in range(150)]
+    texts += [wrapped("\n\n".join(S[x] for n in rng.permutation(len(licence_scan.RULES))[:3] for x in licence_scan.RULES[n][2] if x in S)) for _ in range(60)]
+    rows = [*enumerate(texts), (500, None), (501, "")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = con.sql(licence_scan.oracle())
+    got = licence_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and len(got) > 150
 
 
 @pytest.mark.parametrize("broadcast_rows", [0, 1000])
@@ -183,16 +233,55 @@ def test_chain_over_blocks(spark, tmp_path):
     assert len(got) == 300 and all(got[i].payload_digest == hashlib.sha256(h.encode()).hexdigest() for i, h in rows)
 
 
+QUOTES = [
+    (1, 0, "user", "What is a join?\nPlease explain."), (1, 1, "assistant", "> What is a join?\nIt combines rows of tables."), (1, 2, "user", "On Monday A wrote:\n>> what is a JOIN?\n> It combines rows of tables.\n\nThanks!\nMy boss said:\nbuy it"),
+    (1, 3, "user", "> unknown line here\nplain"), (2, 0, "user", ">It combines rows of tables!\nIs that so?"), (2, 1, "user", None), (2, 2, "user", ""), (None, 0, "user", "> What is a join?"), (3, None, "user", "x y"), (2, 1, "user", None),
+    # wrapped anew, and cut within sentences
+    (4, 0, "user", "The quick brown fox jumps over the lazy dog while seven other animals watch from the old wooden fence near the river and none of them says a word."),
+    (4, 1, "assistant", "On Tue, 3 May 2022 at 10:00, Some Body <s@b.org>\nwrote:\n> The quick brown fox jumps over the lazy dog\n> while seven other animals watch from the old\n> wooden fence near the river and none of them\n> says a word.\n\nNice fox."),
+    (4, 2, "user", ">> seven other animals watch from the old wooden fence near the river and none\n> Nice fox.\nIndeed nice."),
+    (4, 3, "user", "> The quick brown fox jumps over the lazy dog while\n> seven other animals watch\nI like the dog."), (4, 4, "assistant", "> Indeed nice.\nWhy?"), (4, 5, "user", "> I like the dog.\n> Nice fox.\nok"), (4, 5, "user", "> I like the dog.\n> Nice fox.\nok"),
+    (5, 0, "user", "a said:\n\n\n> none\nb\x03c\r\nd"), (5, 1, "user", "long " * 40000 + "\n> b c"),
+]
+
+
 def test_quotation_links(spark):
-    rows = [
-        (1, 0, "user", "What is a join?\nPlease explain."), (1, 1, "assistant", "> What is a join?\nIt combines rows."), (1, 2, "user", "On Monday A wrote:\n>> what is a JOIN?\n> It combines rows.\n\nThanks!"),
-        (1, 3, "user", "> unknown line here\nplain"), (2, 0, "user", ">It combines rows!\nIs that so?"), (2, 1, "user", None), (2, 2, "user", ""), (None, 0, "user", "> What is a join?"), (3, None, "user", "x y"), (2, 1, "user", None),
-    ]
-    m = spark.createDataFrame([(*r, 1, 0) for r in rows], "conv_id long, turn long, role string, text string, depth int, root_turn int")
-    got = {(r.conv_id, r.turn): r for r in chat_quotes.threads(m).collect()}
-    assert chat_quotes.threads(m).count() == len(rows)
-    link = {k: (r.parent_conv, r.parent_turn, r.depth) for k, r in got.items()}
-    assert link == {(1, 0): (None, None, 0), (1, 1): (1, 0, 1), (1, 2): (1, 1, 2), (1, 3): (None, None, 0), (2, 0): (1, 1, 2), (2, 1): (None, None, 0), (2, 2): (None, None, 0), (None, 0): (None, None, 0), (3, None): (None, None, 0)}
-    assert got[1, 2].text == "Thanks!" and got[1, 2].n_quoted == 2 and got[1, 2].n_linked == 2
-    assert (got[2, 0].root_conv, got[2, 0].root_turn) == (1, 0)
+    m = spark.createDataFrame([(*r, 1, 0) for r in QUOTES], "conv_id long, turn long, role string, text string, depth int, root_turn int")
+    out = chat_quotes.threads(m).collect()
+    got = {(r.conv_id, r.turn): r for r in out}
+    assert len(out) == len(QUOTES)
+    link = {k: (r.parent_conv, r.parent_turn, r.depth) for k, r in got.items() if r.parent_conv}
+    assert link == {(1, 1): (1, 0, 1), (1, 2): (1, 1, 2), (2, 0): (1, 1, 2), (4, 1): (4, 0, 1), (4, 2): (4, 1, 2), (4, 3): (4, 0, 1), (4, 4): (4, 2, 3), (4, 5): (4, 3, 2), (5, 1): (5, 0, 1)}
+    assert got[1, 2].text == "Thanks!\nMy boss said:\nbuy it" and got[1, 2].n_quoted == 2 and got[1, 2].n_linked == 2 and got[4, 1].text == "Nice fox." and got[5, 0].text == "b c\nd"
+    assert (got[2, 0].root_conv, got[2, 0].root_turn) == (1, 0) and got[4, 5].n_quoted == 1
+    order = lambda c: [k for k, _ in sorted(((k, (r.root_turn, r.reply_order)) for k, r in got.items() if r.root_conv == c and k[1] is not None), key=lambda x: x[1])]
+    assert order(4) == [(4, 0), (4, 1), (4, 2), (4, 4), (4, 3), (4, 5)] and order(1) == [(1, 0), (1, 1), (2, 0), (1, 2), (1, 3)]
+    c = chat_quotes.conversations(m).where("root_conv = 4").collect()
+    assert [r.turn for r in c] == [0, 1, 2, 4, 3, 5, 5]
     assert chat_quotes.threads(m.where("false")).count() == 0
+
+
+def test_quotation_links_against_their_sql(spark):
+    import duckdb
+
+    r = np.random.default_rng(4)
+    vocabulary = [f"w{i}" for i in range(60)]
+    rows, said = list(QUOTES), {}
+    for conv in range(100, 130):
+        for turn in range(12):
+            text = ". ".join(" ".join(r.choice(vocabulary, r.integers(2, 15))) for _ in range(r.integers(1, 4))) + "."
+            quote = []
+            for _ in range(r.integers(0, 3)):
+                if said and r.random() < 0.8:
+                    words = said[list(said)[r.integers(max(0, len(said) - 30), len(said))]].split(" ")
+                    a, b = sorted(r.integers(0, len(words) + 1, 2))
+                    part = " ".join(words[a:b]) if r.random() < 0.4 else " ".join(words)
+                    quote += [f"{'>' * r.integers(1, 3)} {x}" for x in wrapped(part, width=int(r.integers(20, 90))).split("\n")]
+            rows.append((conv, turn, "u", "\n".join([*quote, wrapped(text, width=50)])))
+            said[conv, turn] = text
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    want = con.sql(chat_quotes.ORACLE)
+    got = [tuple(x) for x in chat_quotes.threads(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(*want.columns).collect()]
+    assert sorted(got, key=repr) == sorted(want.fetchall(), key=repr) and sum(x[4] is not None for x in got) > 100
