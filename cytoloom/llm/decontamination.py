@@ -4,12 +4,15 @@
 the inverse passage frequency of each term. 2. Randomised SVD: every passage's TF-IDF row x adds x (x Omega) to a sketch of fixed size; its
 Nystrom factors are the latent basis. Terms outside the vocabulary meet no item and have no weight. 3. Windows of each item's length
 are projected and compared with the item by cosine, but for those that hold too few of the item's words to pass the next step. 4. Candidates are
-confirmed by the longest common subsequence of words and by the answer check: the terms that stand in the matched stretch must carry most of
-the item's weight, so what is asked and answered is there and not its function words alone.
-
-The benchmark is worked through in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded. Null and empty texts hold nothing.
-Items under MIN_WORDS words can't be told from chance and are skipped, as are items of null text. Repeated rows are each reported; an
-empty table on either side gives no rows. A text that repeats an item is reported once for it, at its best window.
+confirmed by the longest common subsequence of words, of the item or of its segments one by one (so that parts in another order count), and by the
+answer check: the terms that stand in the matched stretch must carry a share of the item's weight, so what is asked and answered is there and
+not its function words alone. Items of fewer than MIN_WORDS words have no subsequence to speak of: they are found word for word, those of
+one or two words only as a whole document.
+
+The benchmark is worked through in blocks of at most BLOCK_WORDS words, so what is broadcast is bounded. Null and empty texts hold nothing;
+items of null text or without words are found nowhere. Repeated rows are each reported, rows with a null doc_id too; an empty table on either side
+gives no rows. A text that repeats an item is reported once for it, at its best window, the first of equals. Texts of any length are searched
+whole. Extra columns, whatever their names, are left out by `leaks` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ from pyspark.sql import functions as F
 from .base import ByteWords, blocks, materialise, table, text_bytes
 
 MIN_WORDS, BLOCK_WORDS = 5, 500_000
-#: Words in a passage of the TF-IDF matrix; rank of the latent space, with oversampling; seed of the sketch.
-PASSAGE, RANK, SEED = 32, 40, 7
+#: Words in a passage of the TF-IDF matrix; rank of the latent space; columns of the sketch beyond it; seed of the sketch.
+PASSAGE, RANK, OVERSAMPLE, SEED = 32, 40, 10, 7
 #: Least cosine, least subsequence (as a share of the item) and least share of its weight among the terms of the matched stretch.
-COSINE, SUBSEQUENCE, ANSWER = 0.5, 0.65, 0.5
+COSINE, SUBSEQUENCE, ANSWER = 0.5, 0.45, 0.45
+#: Words of a segment at least, segments at most, and least sum of their subsequences (as a share of the item) and cosine where the item's own falls short.
+SEGMENT, SEGMENTS, IN_PARTS, PARTS_COSINE = 5, 4, 0.6, 0.6
 
 _MARKS = bytes(c if chr(c) not in ".,;:!?\"()[]{}<>*_" else 32 for c in range(256))
 _TERMS = "doc_id long, terms binary"
@@ -40,16 +45,17 @@ def words_of(texts: list[bytes]) -> ByteWords:
 
 
 class Benchmark:
-    """Items as term numbers, and the vocabulary: sorted word hashes; term number = place + 1."""
+    """Items as term numbers, short ones apart, and the vocabulary: sorted word hashes; term number = place + 1."""
 
     def __init__(self, rows: list[tuple[int, bytes]]):
         w = words_of([t for _, t in rows])
         h = w.hash()
         size = np.bincount(w.doc, minlength=len(rows))
-        keep = size >= MIN_WORDS
-        self.vocabulary = np.unique(h[keep[w.doc]]) if len(h) else np.zeros(0, np.uint64)
+        self.vocabulary = np.unique(h)
         edge = np.searchsorted(w.doc, np.arange(len(rows) + 1))
-        self.items = [(rows[i][0], self.number(h[edge[i] : edge[i + 1]])) for i in np.flatnonzero(keep)]
+        every = [(rows[i][0], self.number(h[edge[i] : edge[i + 1]])) for i in np.flatnonzero(size)]
+        self.items = [x for x in every if len(x[1]) >= MIN_WORDS]
+        self.short = [x for x in every if len(x[1]) < MIN_WORDS]
 
     def number(self, h: np.ndarray) -> np.ndarray:
         v = self.vocabulary
@@ -114,7 +120,7 @@ def weights(terms: DataFrame, n_terms: int, wide: bool) -> np.ndarray:
 
 def basis(terms: DataFrame, idf: np.ndarray, wide: bool, rank: int = RANK) -> tuple[np.ndarray, np.ndarray]:
     """Right singular vectors (terms x rank) and singular values of the TF-IDF passage matrix over all documents."""
-    v = len(idf)
+    v, keep, rank = len(idf), rank, rank + OVERSAMPLE
     omega = np.random.default_rng(SEED).standard_normal((v, rank)).astype(np.float32)
     omega[0] = 0
     shared = terms.sparkSession.sparkContext.broadcast((idf.astype(np.float32), omega * idf[:, None].astype(np.float32)))
@@ -156,7 +162,7 @@ def basis(terms: DataFrame, idf: np.ndarray, wide: bool, rank: int = RANK) -> tu
     if not ok.any():
         return np.zeros((v, 0), np.float32), np.zeros(0)
     u, s, _ = np.linalg.svd(y @ (vec[:, ok] / np.sqrt(val[ok])), full_matrices=False)
-    return u.astype(np.float32), s
+    return u[:, :keep].astype(np.float32), s[:keep]
 
 
 def lcs(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -178,6 +184,28 @@ def lcs(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return best, max(lo, 0), hi
 
 
+def in_parts(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """As lcs, summed over segments of the item, wherever each stands."""
+    n = min(SEGMENTS, len(item) // SEGMENT)
+    got = [lcs(x, text) for x in np.array_split(item, n)] if n > 1 else [(0, 0, 0)]
+    return sum(g[0] for g in got), min(g[1] for g in got), max(g[2] for g in got)
+
+
+def word_for_word(item: np.ndarray, t: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """(document, first place) of a short item in concatenated texts; one or two words must be all of a text."""
+    n = len(item)
+    at = np.flatnonzero(t[: max(0, len(t) - n + 1)] == item[0])
+    for i in range(1, n):
+        at = at[t[at + i] == item[i]]
+    d = np.searchsorted(ends, at, "right")
+    ok = at + n <= ends[d]
+    if n < 3:
+        ok &= ends[d] - starts[d] == n
+    d, at = d[ok], at[ok]
+    new = np.concatenate([[True], d[1:] != d[:-1]]) if len(d) else np.zeros(0, bool)
+    return list(zip(d[new].tolist(), (at[new] - starts[d[new]]).tolist(), strict=True))
+
+
 def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool) -> DataFrame:
     by_class: dict[int, list[int]] = {}
     for i, (_, t) in enumerate(bench.value.items):
@@ -249,14 +277,20 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
                         if best.get((d, idx), (0,))[0] >= len(item):
                             continue
                         text = t[lo[row] : hi[row]]
-                        length, p, q2 = lcs(item, text)
-                        if length < SUBSEQUENCE * len(item) or length <= best.get((d, idx), (0,))[0]:
-                            continue
-                        answer = float(rare[idx][1][np.isin(rare[idx][0], text[p:q2])].sum())
-                        if answer >= ANSWER:
-                            best[d, idx] = (length, float(cos[c]), answer, int(lo[row]) + p - int(starts[d]))
-            if best:
-                out = [(ids[d].as_py(), items[i][0], cos, n_lcs, len(items[i][1]), ans, at) for (d, i), (n_lcs, cos, ans, at) in sorted(best.items())]
+                        for alike, share, nearest in ((lcs, SUBSEQUENCE, COSINE), (in_parts, IN_PARTS, PARTS_COSINE)):
+                            if cos[c] < nearest:
+                                break
+                            length, p, q2 = alike(item, text)
+                            if length < share * len(item):
+                                continue
+                            answer = float(rare[idx][1][np.isin(rare[idx][0], text[p:q2])].sum())
+                            if answer >= ANSWER:
+                                if length > best.get((d, idx), (0,))[0]:
+                                    best[d, idx] = (length, float(cos[c]), answer, int(lo[row]) + p - int(starts[d]))
+                                break
+            out = [(ids[d].as_py(), items[i][0], cos, n_lcs, len(items[i][1]), ans, at) for (d, i), (n_lcs, cos, ans, at) in sorted(best.items())]
+            out += [(ids[d].as_py(), i, 1.0, len(item), len(item), 1.0, at) for i, item in bench.value.short for d, at in word_for_word(item, t, starts, ends)]
+            if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], [f.split()[0] for f in _HITS.split(", ")])
 
     return terms.mapInArrow(run, _HITS)
@@ -272,7 +306,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
     for i in range(n):
         rows = b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()
         bench = Benchmark([(r[0], r[1].encode()) for r in sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))])
-        if not bench.items:
+        if not len(bench.vocabulary):
             continue
         shared, v = spark.sparkContext.broadcast(bench), len(bench.vocabulary)
         wide = v >= 65535
