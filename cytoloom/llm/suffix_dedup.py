@@ -10,7 +10,7 @@ of rising ids. 1. A batch is packed into compressed chunks, a table bucketed by
 chunk the distinct entries, least document first) is dealt to the levels' buckets and merge-scanned against all levels at once: buckets are read
 where they lie, only the batch is shuffled. An entry found in a level or under a smaller id is covered whole; first entries become the new
 level. 3. First entries whose suffix start also has other continuations match in part, at the edges of copies. Their bytes, and those that
-level entries point to, are dealt by a longer start (35 or 36 bytes, of the side on which a window reaches further) and compared window by window.
+level entries point to, are dealt by a longer start (33 or 34 bytes, of the side on which a window reaches further) and compared window by window.
 4. Chunks turn what was found into removed runs. Before a batch is scanned, the newest levels merge while one is less than twice the size of the next, so n
 batches leave about log2(n) levels. `Family.open` takes an index up again in another session.
 
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .base import drop_path, free, materialise, new_path, table, text_bytes
 
-WIDTH, GRAM, BATCHES = 50, 20, 3
+WIDTH, GRAM, BATCHES = 50, 16, 4
 #: Bytes of text in a chunk, windows in a block, rows that a task gathers before it compares.
 CHUNK_BYTES, STEP, ROWS = 4 << 20, 1 << 18, 1 << 18
 #: Windows reach at least SIDE bytes beyond the suffix's start on the left, or else more than that on the right.
@@ -49,7 +49,7 @@ LAST, EARLIER = np.iinfo(np.int64).max, np.iinfo(np.int64).min
 _R = 0x9E3779B97F4A7C15 | 1
 _C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: A chunk's number: batch, task, place. An entry's spot: first byte, bytes before the minimiser, windows less one.
-_BATCH, _TASK, _AT = 44, 24, 10
+_BATCH, _TASK, _AT, _N = 44, 24, 12, 6
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -209,7 +209,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for r in _rows(batches):
         c = Chunk(r["ids"], r["sizes"], r["text"])
         u = np.sort(c.rep)
-        spot = c.at[u] << _AT | c.before[u] << 5 | (c.count[u] - 1)
+        spot = c.at[u] << _AT | c.before[u] << _N | (c.count[u] - 1)
         yield _columns(_ENTRY, c.gram[u].view(np.int32), c.whole[u].view(np.int64), c.owner[u], np.full(len(u), r["chunk"]), spot)
 
 
@@ -275,7 +275,7 @@ def _ask(batch: int):
         for r in _rows(batches):
             t = Text(r["ids"], r["sizes"], r["text"])
             spot = np.unique(r["spots"].to_numpy(zero_copy_only=False))
-            at, before, count = spot >> _AT, spot >> 5 & 31, (spot & 31) + 1
+            at, before, count = spot >> _AT, spot >> _N & ((1 << _N) - 1), (spot & ((1 << _N) - 1)) + 1
             owner = t.ids[np.searchsorted(t.ends, at, "right")] if r["chunk"] >> _BATCH == batch else np.full(len(at), EARLIER)
             p = at + before
             cut = np.clip(p - SIDE + 1, at, at + count)
