@@ -8,11 +8,14 @@ same everywhere, so counts may be rough), and nodes with the same prefix and siz
 candidates: all pairs of a short list; of a long one, neighbours by size and a common leader, whose verified links span most of a cluster.
 3. Pairs pass the size and the parity-bitmap filter (both exact bounds), groups expand to members, members' sets are compared.
 4. Lists are gone through again for pairs whose ends are still in different components; these are all checked, so no link between two components
-is lost, while pairs inside a component, which no result needs, are never formed.
+is lost. 5. Links exist within components alone: each component's sets are ordered by size and cut into tiles of bounded size, and tiles whose
+sizes can link are compared in place, set by set. Only counts (or, for `links`, the links themselves) leave a tile.
 
 Null text, or text without words, is an empty set and links with nothing. Texts with fewer words than a shingle are one shingle. Rows with
 a null doc_id take part but give no component id, so their component is that of the least id that they reach, or null. Repeated rows
-share a component. An empty table gives no rows.
+share a component and link with each other. An empty table gives no rows. Shingles are compared by 64-bit hashes of their words, never by frequency or
+bitmap alone: among two sets of 10^5 shingles a chance agreement has odds of some 10^-9. Texts of any length are taken whole. Extra columns, whatever
+their names, are left out by `cluster` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -33,9 +36,10 @@ SHINGLE, THRESHOLD = 4, 85
 COUNTERS, SLICES, BITMAP, NEEDED_BITS = 1 << 22, 64, 1024, 1 << 26
 #: Lists up to this length give all pairs at once.
 SHORT = 4
-#: Salts of the leaders that the entries of a longer list are first compared with; largest side of a tile in the second comparison.
-LEADERS, TILE = (0, 12345, 67890, 424242), 1000
-POSTINGS_PER_SHARD = 1_000_000
+#: Salts of the leaders that the entries of a longer list are first compared with; largest side of a tile in the second comparison; shingles on a side of a tile in the count of links.
+LEADERS, TILE, TILE_SHINGLES = (0, 12345, 67890, 424242), 1000, 200_000
+#: Entries that a task gathers before it goes through their lists; hashes gathered before they are counted.
+ENTRIES, HASHES = 1 << 19, 1 << 21
 
 
 def band_of(threshold: int) -> int:
@@ -91,9 +95,18 @@ def frequency_classes(texts: DataFrame, counters: int = COUNTERS, *, size: int =
     """Class of each sketch counter: 0 for what chance explains, else the logarithm of the excess. Of fixed size, whatever the corpus."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = np.zeros(counters, np.uint32)
+        c, held, n = np.zeros(counters, np.uint32), [np.zeros(0, np.int64)], 0
+
+        def count() -> None:
+            np.add(c, np.bincount(np.concatenate(held), minlength=counters), out=c, casting="unsafe")
+
         for b in blocks(batches):
-            c += np.bincount((shingle_sets(text_bytes(b.column(1)), size)[1] >> np.uint64(20)).astype(np.int64) & (counters - 1), minlength=counters).astype(np.uint32)
+            held.append((shingle_sets(text_bytes(b.column(1)), size)[1] >> np.uint64(20)).astype(np.int64) & (counters - 1))
+            n += len(held[-1])
+            if n >= HASHES:
+                count()
+                held, n = [np.zeros(0, np.int64)], 0
+        count()
         z = zstandard.ZstdCompressor(level=1)
         cut = np.array_split(c, SLICES)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([z.compress(x.tobytes()) for x in cut], pa.binary())], ["slice", "counts"])
@@ -153,80 +166,104 @@ def _lengths(bits: list[bytes]) -> dict[int, np.ndarray]:
     return {int(x): np.flatnonzero(n == x) for x in np.unique(n)}
 
 
-_DOCS = "doc_id long, n long, node long, grp long, bits binary"
+_DOCS = "doc_id long, mark long, n long, node long, grp long, bits binary, tokens binary"
 
 
 def measured(texts: DataFrame, classes, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """Set size, node, group and parity bitmap of each document."""
+    """Set size, node, group, parity bitmap and prefix of each document; mark is a hash of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
             d, g, n = shingle_sets(text_bytes(b.column(1)), size)
             p = Prefixes(d, g, n, classes.value, threshold)
-            bits = bitmaps(d, g, n)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(set_keys(d, g, n).view(np.int64)), pa.array(p.group), pa.array(bits, pa.binary())], [f.split()[0] for f in _DOCS.split(", ")])
+            edge = np.searchsorted(p.doc, np.arange(len(n) + 1))
+            tokens = [np.sort(p.token[x:y]).tobytes() for x, y in zip(edge, edge[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), pa.array(set_keys(d, g, n).view(np.int64)), pa.array(p.group), pa.array(bitmaps(d, g, n), pa.binary()), pa.array(tokens, pa.binary())], [f.split()[0] for f in _DOCS.split(", ")])
 
-    return texts.mapInArrow(run, _DOCS)
+    return texts.select("doc_id", "text", F.xxhash64("text").alias("mark")).mapInArrow(run, _DOCS)
 
 
-def postings(texts: DataFrame, classes, shards: int, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(shard, blob of shingles and groups)."""
+def postings(nodes: DataFrame) -> DataFrame:
+    """(token, grp): prefix shingles of the groups, once for each lot of rows that a task reads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            d, g, n = shingle_sets(text_bytes(b.column(1)), size)
-            p = Prefixes(d, g, n, classes.value, threshold)
-            t, grp = p.token, p.group[p.doc]
-            shard = (mix(t) % np.uint64(shards)).astype(np.int64)
-            o = np.lexsort((grp, t, shard))
-            t, grp, shard = t[o], grp[o], shard[o]
+        for b in batches:
+            raw = b.column(1).to_pylist()
+            t = np.frombuffer(b"".join(raw), np.int64)
+            grp = np.repeat(b.column(0).to_numpy(), [len(x) // 8 for x in raw])
+            o = np.lexsort((grp, t))
+            t, grp = t[o], grp[o]
             new = np.ones(len(t), bool)
-            new[1:] = (t[1:] != t[:-1]) | (grp[1:] != grp[:-1])  # copies in the block are one posting
-            t, grp, shard = t[new], grp[new], shard[new]
-            edge = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(s, t[edge[s] : edge[s + 1]].tobytes() + grp[edge[s] : edge[s + 1]].tobytes()) for s in range(shards) if edge[s + 1] > edge[s]]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "blob"])
+            new[1:] = (t[1:] != t[:-1]) | (grp[1:] != grp[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(t[new]), pa.array(grp[new])], ["token", "grp"])
 
-    return texts.mapInArrow(run, "shard int, blob binary")
+    return nodes.select("grp", "tokens").mapInArrow(run, "token long, grp long")
 
 
-def _lists(pdf: pd.DataFrame, threshold: int = THRESHOLD) -> pd.DataFrame:
-    """Candidate pairs of a shard (kind 0: a, b are groups) and the entries of its long lists (kind 1: a is the shingle, b a group)."""
+def _lists(threshold: int = THRESHOLD, entries: int = ENTRIES):
+    """Goes through entries in the order of (token, group). Gives candidate pairs (kind 0: a, b are groups) and the entries of long lists (kind 1: a is the list, b a group). A list that goes on where a lot ends counts as long; it keeps its number."""
     reach = band_of(threshold)
-    t = np.concatenate([np.frombuffer(x, np.uint64, len(x) // 16) for x in pdf["blob"]])
-    g = np.concatenate([np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2) for x in pdf["blob"]])
-    o = np.lexsort((g, t))
-    t, g = t[o], g[o]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
-    t, g = t[new], g[new]
-    # a list ends where the next size is too far to link; each such run is a list of its own
-    code = g >> 47
-    start = np.ones(len(t), bool)
-    start[1:] = (t[1:] != t[:-1]) | (code[1:] - code[:-1] > reach)
-    first = np.flatnonzero(start)
-    size = np.diff(np.append(first, len(t)))
-    length = np.repeat(size, size)
-    t = np.repeat(mix(t[first] ^ mix(g[first].astype(np.uint64))), size)
-    a, b = [], []
-    for gap in range(1, SHORT):
-        at = np.flatnonzero((t[gap:] == t[:-gap]) & (length[gap:] <= SHORT) & (code[gap:] - code[:-gap] <= reach))
-        a.append(g[at])
-        b.append(g[at + gap])
-    long = np.flatnonzero(length > SHORT)
-    if len(long):
-        lt, lg = t[long], g[long]
-        band = mix(lt + (lg >> 47).astype(np.uint64) // np.uint64(reach))  # leaders by size
-        for salt in LEADERS:  # the same leaders wherever they occur
-            order = np.lexsort((mix(lg.astype(np.uint64) + np.uint64(salt)), band))
-            lead_at = np.flatnonzero(np.concatenate([[True], band[order][1:] != band[order][:-1]]))
-            lead = np.empty(len(lg), np.int64)
-            lead[order] = np.repeat(lg[order][lead_at], np.diff(np.append(lead_at, len(lt))))
-            a.append(np.minimum(lead, lg)[lead != lg])
-            b.append(np.maximum(lead, lg)[lead != lg])
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-    return pd.DataFrame({"kind": np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(long), np.int32)]), "a": np.concatenate([pairs[0], t[long].astype(np.int64)]), "b": np.concatenate([pairs[1], g[long]])})
+
+    def step(t: np.ndarray, g: np.ndarray, before: tuple[int, int, int] | None, more: bool) -> tuple[pa.RecordBatch, tuple[int, int, int]]:
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (g[1:] != g[:-1])
+        t, g = t[new], g[new]
+        # a list ends where the next size is too far to link; each such run is a list of its own
+        code = g >> 47
+        start = np.ones(len(t), bool)
+        start[1:] = (t[1:] != t[:-1]) | (code[1:] - code[:-1] > reach)
+        first = np.flatnonzero(start)
+        number = mix(t[first].view(np.uint64) ^ mix(g[first].view(np.uint64)))
+        size = np.diff(np.append(first, len(t)))
+        long_run = size > SHORT
+        if before is not None and before[0] == t[0] and code[0] - before[1] <= reach:
+            number[0], long_run[0] = before[2], True
+        after = (int(t[-1]), int(code[-1]), int(number[-1]))
+        if more:
+            long_run[-1] = True
+        is_long, t = np.repeat(long_run, size), np.repeat(number, size)
+        a, b = [], []
+        for gap in range(1, SHORT):
+            at = np.flatnonzero((t[gap:] == t[:-gap]) & ~is_long[gap:] & (code[gap:] - code[:-gap] <= reach))
+            a.append(g[at])
+            b.append(g[at + gap])
+        long = np.flatnonzero(is_long)
+        if len(long):
+            lt, lg = t[long], g[long]
+            band = mix(lt + (lg >> 47).astype(np.uint64) // np.uint64(reach))  # leaders by size
+            for salt in LEADERS:  # the same leaders wherever they occur
+                order = np.lexsort((mix(lg.astype(np.uint64) + np.uint64(salt)), band))
+                lead_at = np.flatnonzero(np.concatenate([[True], band[order][1:] != band[order][:-1]]))
+                lead = np.empty(len(lg), np.int64)
+                lead[order] = np.repeat(lg[order][lead_at], np.diff(np.append(lead_at, len(lt))))
+                a.append(np.minimum(lead, lg)[lead != lg])
+                b.append(np.maximum(lead, lg)[lead != lg])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
+        kind = np.concatenate([np.zeros(pairs.shape[1], np.int32), np.ones(len(long), np.int32)])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(np.concatenate([pairs[0], t[long].view(np.int64)])), pa.array(np.concatenate([pairs[1], g[long]]))], ["kind", "a", "b"]), after
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, before = [], 0, None
+
+        def lot(end: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, n, before
+            t, g = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(2))
+            cut = len(t) if end else int(np.searchsorted(t, t[-1]))
+            whole = cut > 0  # else one list fills the lot: it is gone through in parts
+            cut = cut or len(t)
+            out, before = step(t[:cut], g[:cut], before, more=not whole)
+            held, n = [pa.RecordBatch.from_arrays([pa.array(t[cut:]), pa.array(g[cut:])], ["token", "grp"])], len(t) - cut
+            yield out
+
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= entries:
+                yield from lot(False)
+        if n:
+            yield from lot(True)
+
+    return run
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -312,7 +349,7 @@ def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool, threshold: int = T
 
 
 def _elements(texts: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(node, elements as sorted 48-bit hashes) of the nodes given, from their least documents. A bit filter of fixed size keeps most other documents from being read twice; what passes by chance joins nothing."""
+    """(node, elements as sorted 64-bit hashes) of the nodes given, from their least documents. A bit filter of fixed size keeps most other documents from being read twice; what passes by chance joins nothing."""
     word = 1 << 16
     bit = lambda c: F.pmod(F.xxhash64(F.coalesce(F.col(c), F.lit(-1))), F.lit(NEEDED_BITS))
 
@@ -336,19 +373,12 @@ def _elements(texts: DataFrame, nodes: DataFrame, size: int = SHINGLE) -> DataFr
             if not b.num_rows:
                 continue
             d, g, n = shingle_sets(text_bytes(b.column(1)), size)
-            six = np.ascontiguousarray((g >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6])
             edge = np.searchsorted(d, np.arange(len(n) + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(set_keys(d, g, n).view(np.int64)), pa.array([six[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)], pa.binary())], ["node", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(set_keys(d, g, n).view(np.int64)), pa.array([g[x:y].tobytes() for x, y in zip(edge, edge[1:], strict=False)], pa.binary())], ["node", "elements"])
 
     return texts.select(bit("doc_id").alias("bit"), "text").mapInArrow(run, "node long, elements binary")
 
 
-def _six(x: bytes) -> np.ndarray:
-    out = np.zeros((len(x) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return out.view(np.uint64).ravel()
-
-
 def _verified(pairs: DataFrame, elements: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(a, b): pairs whose sets meet the threshold."""
 
@@ -356,7 +386,7 @@ def _verified(pairs: DataFrame, elements: DataFrame, threshold: int = THRESHOLD)
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
-                u, v = _six(x), _six(y)
+                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum())
                 ok[i] = 100 * both >= threshold * (len(u) + len(v) - both)
             ok = pa.array(ok)
@@ -390,15 +420,92 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def cluster(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs."""
+def _intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of each of x with each of y, all sorted."""
+    if len(x) * len(y) <= 64:
+        return np.array([[int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()) for v in y] for u in x], np.int64).reshape(len(x), len(y))
+    u, v = np.concatenate(x), np.concatenate(y)
+    both = np.intersect1d(u, v)
+    ru, rv = np.repeat(np.arange(len(x)), list(map(len, x))), np.repeat(np.arange(len(y)), list(map(len, y)))
+    pu, pv = np.searchsorted(both, u), np.searchsorted(both, v)
+    ok = np.append(both, 0)[pu] == u
+    ru, pu = ru[ok], pu[ok]
+    ok = np.append(both, 0)[pv] == v
+    rv, pv = rv[ok], pv[ok]
+    ou, ov = np.argsort(pu, kind="stable"), np.argsort(pv, kind="stable")
+    ru, pu, rv, pv = ru[ou], pu[ou], rv[ov], pv[ov]
+    out, step = np.zeros((len(x), len(y)), np.float32), 4096
+    for a in range(0, len(both), step):  # products of 0/1 matrices, some columns at a time
+        i, j = np.searchsorted(pu, [a, a + step]), np.searchsorted(pv, [a, a + step])
+        m, k = np.zeros((len(x), step), np.float32), np.zeros((len(y), step), np.float32)
+        m[ru[i[0] : i[1]], pu[i[0] : i[1]] - a] = 1
+        k[rv[j[0] : j[1]], pv[j[0] : j[1]] - a] = 1
+        out += m @ k.T
+    return out.astype(np.int64)
+
+
+def _component_links(members: DataFrame, threshold: int, pairs: bool) -> DataFrame:
+    """Of (comp, node, n, copies, elements): (node, far), the rows whose sets link with a node's; or, with pairs, (a, b), each link between two sets once."""
+    w = Window.partitionBy("comp").orderBy("n", "node")
+    m = members.withColumn("tile", F.floor((F.sum("n").over(w) - 1) / TILE_SHINGLES).cast("int"))
+    m = materialise(m, "members")
+    t = m.groupBy("comp", "tile").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count(F.lit(1)).alias("k"))
+    j = t.select("comp", F.col("tile").alias("j"), F.col("least").alias("least_j"), F.col("k").alias("kj"))
+    tiles = t.select("comp", F.col("tile").alias("i"), "most", "k").join(j, "comp").where((F.col("i") < F.col("j")) | ((F.col("i") == F.col("j")) & (F.col("k") > 1))).where(100 * F.col("most") >= threshold * F.col("least_j")).select("comp", "i", "j")
+    tiles = materialise(tiles, "tiles")
+    left = m.withColumnRenamed("tile", "i").join(tiles, ["comp", "i"]).withColumn("side", F.lit(0))
+    right = m.withColumnRenamed("tile", "j").join(tiles.where("i < j"), ["comp", "j"]).withColumn("side", F.lit(1))
+    cols = ["comp", "i", "j", "side", "node", "n", "copies", "elements"]
+
+    def compare(x: pa.Table) -> Iterator[pa.RecordBatch]:
+        side, node, n, copies = (x.column(c).to_numpy() for c in ("side", "node", "n", "copies"))
+        sets = [np.frombuffer(e, np.uint64) for e in x.column("elements").to_pylist()]
+        one = side.max() == 0
+        a = np.flatnonzero(side == 0)
+        b = a if one else np.flatnonzero(side == 1)
+        both = _intersections([sets[r] for r in a], [sets[r] for r in b])
+        ok = 100 * both >= threshold * (n[a][:, None] + n[b][None, :] - both)
+        if one:
+            np.fill_diagonal(ok, False)
+        if pairs:
+            p, q = np.nonzero(np.triu(ok) if one else ok)
+            u, v = node[a[p]], node[b[q]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+        else:
+            far = [(a, (ok * copies[b][None, :]).sum(axis=1))] + ([] if one else [(b, (ok * copies[a][:, None]).sum(axis=0))])
+            for rows, k in far:
+                yield pa.RecordBatch.from_arrays([pa.array(node[rows]), pa.array(k.astype(np.int64))], ["node", "far"])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in it:
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            key = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("comp", "i", "j")])
+            edge = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+            for x, y in zip(edge, edge[1:], strict=False):
+                yield from compare(t.slice(x, y - x))
+            held = t.slice(edge[-1])
+        if held is not None and held.num_rows:
+            yield from compare(held)
+
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = left.select(cols).unionByName(right.select(cols)).repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
+    if pairs:
+        return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "node long, far long").groupBy("node").agg(F.sum("far").alias("far"))
+
+
+def _components(docs: DataFrame, size: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents as measured; their distinct sets; and (node, comp) of the sets that link with another."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     classes = texts.sparkSession.sparkContext.broadcast(frequency_classes(texts, size=size))
     d = materialise(measured(texts, classes, size, threshold), "measured")
-    nodes = materialise(d.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("bits").alias("bits")), "nodes")
-    expected = (100 - threshold) * (d.agg(F.sum("n")).first()[0] or 0) // 100
-    shards = int(max(8, -(-expected // POSTINGS_PER_SHARD)))
-    lists = materialise(postings(texts, classes, shards, size, threshold).groupBy("shard").applyInPandas(lambda pdf: _lists(pdf, threshold), "kind int, a long, b long"), "lists")
+    classes.destroy()
+    nodes = d.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("bits").alias("bits"), F.min("tokens").alias("tokens"), F.count(F.lit(1)).alias("copies"))
+    nodes = materialise(nodes, "nodes")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = postings(nodes).repartition(parts, "token").sortWithinPartitions("token", "grp")
+    lists = materialise(entries.mapInArrow(_lists(threshold), "kind int, a long, b long"), "lists")
 
     # first links: candidate groups by their first members, and each group's members in a row
     groups = nodes.groupBy("grp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("members"))
@@ -440,49 +547,46 @@ def cluster(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) ->
         named = comp.join(over.toDF("comp", "over"), "comp", "left").select("node", F.coalesce("over", "comp").alias("comp"))
         comp = materialise(named.unionByName(over.join(comp, "node", "left_anti")), "comps")
 
-    # least document of each component
-    whole = nodes.join(comp, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
-    least = whole.join(whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("node", "component_id")
-    return d.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return d, nodes, comp
 
 
-def links(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """All links: (a, b), a < b, each pair of different sets that meet the threshold, once; and (doc_id, node), the set of each row. Every pair that shares a prefix shingle and passes the bounds is verified, also inside a component."""
+def _members(docs: DataFrame, nodes: DataFrame, comp: DataFrame, size: int) -> DataFrame:
+    """Sets that link with another, with their elements."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    classes = texts.sparkSession.sparkContext.broadcast(frequency_classes(texts, size=size))
-    d = materialise(measured(texts, classes, size, threshold), "measured")
-    nodes = materialise(d.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("bits").alias("bits")), "nodes")
+    m = nodes.join(comp, "node").select("comp", "node", "n", "copies", "rep")
+    elements = _elements(texts, m, size).join(m.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return m.drop("rep").join(elements, "node")
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            d, g, n = shingle_sets(text_bytes(b.column(1)), size)
-            p = Prefixes(d, g, n, classes.value, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(p.token.view(np.int64)), pa.array(set_keys(d, g, n).view(np.int64)[p.doc]), pa.array(n[p.doc])], ["token", "node", "n"])
 
-    entries = materialise(texts.mapInArrow(prefixes, "token long, node long, n long").distinct(), "entries")
-    other = entries.toDF("token", "b", "nb")
-    near = (F.col("a") < F.col("b")) & (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = materialise(_plausible(entries.toDF("token", "a", "na").join(other, "token").where(near).select("a", "b").distinct(), nodes, threshold), "pairs")
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    elements = materialise(_elements(texts, nodes.join(need, "node", "left_semi"), size).join(need, "node", "left_semi").dropDuplicates(["node"]), "elements")
-    return materialise(_verified(pairs, elements, threshold), "links"), d.where("n > 0").select("doc_id", "node")
+def cluster(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each row of docs; n_links counts the other rows whose sets link with the row's, copies included."""
+    d, nodes, comp = _components(docs, size, threshold)
+    far = materialise(_component_links(_members(docs, nodes, comp, size), threshold, False), "far")
+    whole = nodes.join(comp, "node", "left").join(far, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"), (F.col("copies") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+    least = whole.join(whole.groupBy("comp").agg(F.min("rep").alias("component_id")), "comp").select("node", "component_id", "n_links")
+    some = F.col("n") > 0
+    return d.join(least, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(some, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.when(some, F.col("n_links")).otherwise(0).alias("n_links"))
 
 
-def link_counts(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_links) for each row of docs that links with another one; copies of a set count each, and link with one another."""
-    pairs, of = links(docs, size, threshold)
-    copies = of.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    far = both.join(copies.toDF("b", "k"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("k").alias("far"))
-    total = copies.join(far, "node", "left").select("node", (F.col("k") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
-    return of.join(total, "node").where("n_links > 0").select("doc_id", "n_links")
+def links(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All links: (a, b), a < b, each pair of different sets that meet the threshold, once; and (doc_id, node), the set of each row. Both are numbers of sets; rows of one set link with each other."""
+    d, nodes, comp = _components(docs, size, threshold)
+    return _component_links(_members(docs, nodes, comp, size), threshold, True), d.where("n > 0").select("doc_id", "node")
 
 
 def one_of_each(docs: DataFrame, size: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, less those linked to a document with a smaller id. Rows with a null doc_id stay; of rows with equal ids one stays."""
-    gone = cluster(docs, size, threshold).where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """The rows of docs, with all their columns, one of each component: that of the least id (null counts as the largest), of several rows with that id the one whose text has the least hash, of repeats any one. Rows of one id with unlike texts are unlike rows. Empty sets link with nothing and stay."""
+    d, nodes, comp = _components(docs, size, threshold)
+    named = d.where("n > 0").join(comp, "node", "left").select(F.coalesce("comp", "node").alias("comp"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark").alias("row"))
+    rows = named.groupBy("comp", "row").agg(F.count(F.lit(1)).alias("k"))
+    rows = materialise(rows.join(rows.groupBy("comp").agg(F.min("row").alias("stays")), "comp").select("row.doc_id", "row.mark", "k", (F.col("row") == F.col("stays")).alias("stays")), "rows")
+    same = lambda x: (F.col("_x.doc_id").cast("long").eqNullSafe(x["doc_id"])) & (F.xxhash64(F.col("_x.text").cast("string")) == x["mark"])
+    once = docs.alias("_x")
+    gone, repeated = rows.where("NOT stays"), rows.where("stays AND k > 1")
+    kept = once.join(gone, same(gone), "left_anti").alias("_x")
+    single = kept.join(repeated, same(repeated), "left_anti")
+    many = kept.join(repeated, same(repeated), "left_semi").withColumn("_text_hash", F.xxhash64(F.col("text").cast("string")))
+    return single.select(*docs.columns).unionByName(many.dropDuplicates(["doc_id", "_text_hash"]).select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,5 +603,5 @@ i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM d a JOIN d b ON a.
 e AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
 lk AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT lk.y, r.c FROM r JOIN lk ON lk.x = r.doc_id WHERE r.c < lk.y)
-SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c)::BIGINT AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY ALL
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c)::BIGINT AS component_id, (SELECT count(*) FROM lk WHERE lk.x = w.doc_id)::BIGINT AS n_links FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.doc_id = w.doc_id GROUP BY w.doc_id, n.n
 """

@@ -5,11 +5,11 @@ import pytest
 from cytoloom.llm import ngram_join as J
 
 
-def brute(rows):
+def brute(rows, size=4, threshold=85):
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set()))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
     parent = list(range(len(rows)))
 
     def root(i):
@@ -17,15 +17,18 @@ def brute(rows):
             i = parent[i]
         return i
 
+    count = [0] * len(rows)
     for i in range(len(rows)):
         for j in range(i):
             k = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * k >= 85 * len(sets[i] | sets[j]):
+            if sets[i] and sets[j] and 100 * k >= threshold * len(sets[i] | sets[j]):
                 parent[root(i)] = root(j)
+                count[i] += 1
+                count[j] += 1
     out = []
     for i, (d, _) in enumerate(rows):
         ids = [rows[j][0] for j in range(len(rows)) if root(j) == root(i) and rows[j][0] is not None]
-        out.append((d, len(sets[i]), min(ids) if ids else None))
+        out.append((d, len(sets[i]), min(ids) if ids else None, count[i]))
     return sorted(out, key=repr)
 
 
@@ -62,13 +65,32 @@ def corpus(seed):
     return [*rows, (None, "a b c d"), (None, "q r s t u"), (3, "One"), (7, "a b c d")]
 
 
-@pytest.mark.parametrize(("seed", "counters"), [(1, 1 << 22), (2, 1 << 6)])
-def test_against_brute_force(spark, seed, counters, monkeypatch):
+@pytest.mark.parametrize(("seed", "counters", "entries", "shingles", "size", "threshold"), [(1, 1 << 22, 1 << 19, 200_000, 4, 85), (2, 1 << 6, 40, 300, 4, 85), (1, 1 << 12, 500, 3000, 5, 80)])
+def test_against_brute_force(spark, seed, counters, entries, shingles, size, threshold, monkeypatch):
+    """Components and counts of links, also with lists and components cut in small parts."""
     monkeypatch.setattr(J.frequency_classes, "__defaults__", (counters,))
+    monkeypatch.setattr(J._lists, "__defaults__", (threshold, entries))
+    monkeypatch.setattr(J, "TILE_SHINGLES", shingles)
     rows = corpus(seed)
-    d = spark.createDataFrame([(i, t, 1, b"") for i, t in rows], "doc_id long, text string, n int, bits binary").repartition(4)
-    got = sorted((tuple(r) for r in J.cluster(d).collect()), key=repr)
-    assert got == brute(rows)
+    d = spark.createDataFrame([(i, t, 1, b"", 2) for i, t in rows], "doc_id long, text string, n int, bits binary, comp int").repartition(4)
+    got = sorted((tuple(r) for r in J.cluster(d, size, threshold).collect()), key=repr)
+    assert got == brute(rows, size, threshold)
+
+
+def test_one_of_each(spark):
+    """One row of each component stays; rows of one id with unlike texts are unlike rows."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a, 0), (1, b, 1), (1, b, 1), (2, a + " tail", 2), (3, None, 3), (3, None, 3), (4, "", 4), (None, c, 5), (None, c, 5), (None, b + " end", 6), (7, "short", 7), (8, "SHORT", 8), (9, c.upper() + " more", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(3)
+    got = sorted((tuple(r) for r in J.one_of_each(d).collect()), key=repr)
+    assert got == sorted([(1, a, 0), (1, b, 1), (3, None, 3), (3, None, 3), (4, "", 4), (7, "short", 7), (9, c.upper() + " more", 9)], key=repr)
+    assert J.one_of_each(spark.createDataFrame([(None, c, 1)] * 3, "doc_id long, text string, k int")).count() == 1
+
+
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    d = spark.createDataFrame([(1, long), (2, long + " tail"), (3, long[: len(long) // 2])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in J.cluster(d).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
 
 
 def test_components(spark):
@@ -94,16 +116,16 @@ def test_empty(spark):
 
 
 @pytest.mark.parametrize(("size", "threshold"), [(4, 85), (5, 80)])
-def test_every_link_is_counted(spark, size, threshold):
+def test_every_link_is_given(spark, size, threshold):
     rows = corpus(1)
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
         sets.append(frozenset(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if len(w) >= size else frozenset([tuple(w)] if w else []))
-    meets = lambda x, y: bool(x and y) and 100 * len(x & y) >= threshold * len(x | y)
-    want = sorted(((d, n) for i, (d, _) in enumerate(rows) if (n := sum(meets(sets[i], y) for j, y in enumerate(sets) if j != i))), key=repr)
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert sorted((tuple(r) for r in J.link_counts(d, size, threshold).collect()), key=repr) == want
-    pairs = J.links(d, size, threshold)[0].collect()
+    pairs, of = J.links(d, size, threshold)
+    got = pairs.collect()
     different = list(set(sets))
-    assert len(pairs) == len(set(pairs)) == sum(meets(x, y) for i, x in enumerate(different) for y in different[:i])
+    meets = lambda x, y: bool(x and y) and 100 * len(x & y) >= threshold * len(x | y)
+    assert len(got) == len(set(got)) == sum(meets(x, y) for i, x in enumerate(different) for y in different[:i])
+    assert of.count() == sum(bool(s) for s in sets) and of.select("node").distinct().count() == len(set(sets) - {frozenset()})

@@ -84,7 +84,7 @@ def test_stages(spark, tmp_path):
     assert a.columns == d.columns and sorted(r.doc_id for r in d.collect()) == sorted([r.doc_id for r in a.collect()] + [203, 204, 205])
     b = stages["ngram_jaccard_join"](spark, a, sf)
     rows = [(r.doc_id, r.text) for r in a.collect()]
-    assert b.columns == d.columns and sorted(r.doc_id for r in b.collect()) == sorted({c for _, _, c in linked(rows)})
+    assert b.columns == d.columns and sorted(r.doc_id for r in b.collect()) == sorted({c for _, _, c, _ in linked(rows, 5, 80)})
     c = stages["suffix_array_dedup"](spark, b, sf)
     got, before = {r.doc_id: r for r in c.collect()}, {r.doc_id: r for r in b.collect()}
     for i, n, gone, _, digest in spans([(i, r.text.encode()) for i, r in before.items()]):
