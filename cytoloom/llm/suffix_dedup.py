@@ -42,7 +42,7 @@ from .base import drop_path, free, materialise, new_path, table, text_bytes
 
 WIDTH, GRAM, BATCHES = 50, 16, 4
 #: Bytes of text in a chunk, windows in a block, rows that a task gathers before it compares.
-CHUNK_BYTES, STEP, ROWS = 4 << 20, 1 << 18, 1 << 18
+CHUNK_BYTES, STEP, ROWS = 2 << 20, 1 << 18, 1 << 17
 #: Windows reach at least SIDE bytes beyond the suffix's start on the left, or else more than that on the right.
 SIDE = (WIDTH - GRAM) // 2
 LAST, EARLIER = np.iinfo(np.int64).max, np.iinfo(np.int64).min
