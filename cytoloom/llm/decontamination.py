@@ -319,8 +319,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no benchmark item. Rows with a null doc_id stay."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs, with all their columns, that hold no benchmark item. Rows of one id go together, as do rows with a null id and the same text."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null id"), F.col("text").cast("string")))
+    has_id = F.col("doc_id").isNotNull()
+    with_ids, without = docs.where(has_id), docs.where(~has_id).withColumn("_key", key)
+    held = leaks(with_ids, benchmark).select("doc_id").distinct()
+    kept = with_ids.join(held, "doc_id", "left_anti").select(*docs.columns)
+    if without.isEmpty():
+        return kept
+    also = leaks(without.withColumn("doc_id", F.col("_key")).select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
+    return kept.unionByName(without.join(also, "_key", "left_anti").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
