@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import functools
 import gc
 import json
 import tempfile
@@ -15,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Rows that Spark hands to Python at once, where the session leaves its own default of 10,000: documents are long.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,7 +87,14 @@ def materialise(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -99,6 +110,22 @@ def blocks(batches: Iterator[pa.RecordBatch], size_column: int = 1) -> Iterator[
             to = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK_BYTES, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+@functools.cache
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def trim() -> None:
+    """Gives what a worker has freed back to the system: workers outlive their task, and the next one's JVM needs the memory."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
 def text_bytes(col: pa.Array) -> list[bytes]:

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import ByteWords, blocks, materialise, mix, table, text_bytes
+from .base import ByteWords, blocks, materialise, mix, small_batches, table, text_bytes, trim
 
 SHINGLE, THRESHOLD = 4, 85
 #: Counters of the frequency sketch (a power of two), slices it is added up in, bits of a node's parity bitmap, bits of the filter of needed nodes.
@@ -487,6 +487,7 @@ def _component_links(members: DataFrame, threshold: int, pairs: bool) -> DataFra
             held = t.slice(edge[-1])
         if held is not None and held.num_rows:
             yield from compare(held)
+        trim()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = left.select(cols).unionByName(right.select(cols)).repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "side")
@@ -497,6 +498,7 @@ def _component_links(members: DataFrame, threshold: int, pairs: bool) -> DataFra
 
 def _components(docs: DataFrame, size: int, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The documents as measured; their distinct sets; and (node, comp) of the sets that link with another."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     classes = texts.sparkSession.sparkContext.broadcast(frequency_classes(texts, size=size))
     d = materialise(measured(texts, classes, size, threshold), "measured")

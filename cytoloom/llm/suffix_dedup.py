@@ -38,9 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import drop_path, free, materialise, new_path, table, text_bytes
+from .base import drop_path, free, materialise, new_path, small_batches, table, text_bytes, trim
 
-WIDTH, GRAM, BATCHES = 50, 16, 4
+WIDTH, GRAM, BATCHES = 50, 16, 2
 #: Bytes of text in a chunk, windows in a block, rows that a task gathers before it compares.
 CHUNK_BYTES, STEP, ROWS = 2 << 20, 1 << 18, 1 << 17
 #: Windows reach at least SIDE bytes beyond the suffix's start on the left, or else more than that on the right.
@@ -145,7 +145,7 @@ def _packer(others: list[str], bounds: np.ndarray, first: int, chunk_bytes: int)
     """Rows to chunks: of each batch of ids its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z, part = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId()
+        z, part = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId()
         open_: dict[int, tuple[list, list, list]] = {}
         made: dict[int, int] = {}
 
@@ -202,6 +202,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for b in batches:
         for i in range(b.num_rows):
             yield {n: c[i].as_py() if not pa.types.is_list(c.type) else c[i].values for n, c in zip(b.schema.names, b.columns, strict=True)}
+    trim()
 
 
 def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,6 +265,7 @@ def _scan(batch: int, rows: int = ROWS):
                 held = yield from step(held, int(np.flatnonzero(held[0] != held[0][-1])[-1:].sum() + 1) if held[0][0] != held[0][-1] else 0)
         if len(held[0]):
             yield from step(held, len(held[0]))
+        trim()
 
     return run
 
@@ -425,7 +427,8 @@ class Family:
         """A folder partitioned by a column and bucketed by another. Rows come dealt by bucket, so a task has few files open and needn't sort again."""
         t = f"cytoloom_{uuid.uuid4().hex[:12]}"
         with _setting(self.spark, "spark.sql.maxConcurrentOutputFileWriters", "16"):
-            df.write.option("path", f"{self.path}/{name}").option("compression", "zstd" if by == "kind" else "none").partitionBy(by).bucketBy(self.buckets, key).format("parquet").saveAsTable(t)
+            plain = {"parquet.enable.dictionary": "false", "parquet.enable.dictionary#chunk": "true"}  # digests and places don't repeat
+            df.write.options(**plain).option("path", f"{self.path}/{name}").option("compression", "zstd" if by == "kind" else "none").partitionBy(by).bucketBy(self.buckets, key).format("parquet").saveAsTable(t)
         self.spark.sql(f"DROP TABLE {t}")
 
     def _table(self, name: str, schema: str, key: str) -> DataFrame:
@@ -469,9 +472,8 @@ class Family:
         while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
             (a, n), (b, m) = self.levels[-2:]
             name = f"level-{uuid.uuid4().hex[:8]}"
-            cols = ["gram", "whole", "chunk", "spot"]
-            both = self._together([self._level(x).select(cols) for x in (a, b)]).sortWithinPartitions("gram", "whole")
-            self._write(both.withColumn("kind", F.lit(0)), name, "gram", "kind")
+            both = self._together([self._level(x).select("gram", "whole", "chunk", "spot", F.lit(0).alias("kind")) for x in (a, b)])
+            self._write(both.sortWithinPartitions("gram", "whole"), name, "gram", "kind")
             self.levels[-2:] = [(name, n + m)]
             self._save()
             for x in (a, b):
@@ -480,22 +482,24 @@ class Family:
     def add(self, batch: int) -> DataFrame:
         """Scans a packed batch against the levels and makes it one. Returns its chunks with what was found: spots of entries covered whole, masks of windows."""
         spark = self.spark
-        with _setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):  # else a bucketed table that is only merged is read without its buckets
+        with _setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):  # else bucketed tables under a union are read without their buckets
             self._merge()
             mine = self.chunks(batch).select("chunk", "ids", "sizes", "text").mapInArrow(_send, _ENTRY).repartition(self.buckets, "gram")
             levels = [self._level(n).select("gram", "whole", F.lit(int(EARLIER)).alias("doc"), "chunk", "spot") for n, _ in self.levels]
             name = f"level-{uuid.uuid4().hex[:8]}"
-            self._write(self._together([mine, *levels]).sortWithinPartitions("gram", "whole", "doc", "chunk").mapInArrow(_scan(batch), _FOUND), name, "gram", "kind")
-        found = spark.read.schema(_FOUND).parquet(f"{self.path}/{name}")
-        size = found.where("kind = 0").count()
-        if size:
-            self.levels.append((name, size))
-        self._save()
-        spots = lambda kinds: found.where(kinds).groupBy("chunk").agg(F.collect_list("spot").alias("spots"))
-        store = reduce(DataFrame.unionByName, [self.chunks(b).select("chunk", "ids", "sizes", "text") for b, _ in self.stores if b <= batch])
-        parts = store.join(spots("kind >= 2"), "chunk").select("chunk", "ids", "sizes", "text", "spots").mapInArrow(_ask(batch), _PARTS)
-        masks = parts.repartition(self.buckets, "ext").sortWithinPartitions("ext", "doc").mapInArrow(_compare(), _MASKS)
-        masks = materialise(masks, "masks").groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
+            with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "32768"):
+                self._write(self._together([mine, *levels]).sortWithinPartitions("gram", "whole", "doc", "chunk").mapInArrow(_scan(batch), _FOUND), name, "gram", "kind")
+            free(spark)
+            found = spark.read.schema(_FOUND).parquet(f"{self.path}/{name}")
+            size = found.where("kind = 0").count()
+            if size:
+                self.levels.append((name, size))
+            self._save()
+            spots = lambda kinds: found.where(kinds).groupBy("chunk").agg(F.collect_list("spot").alias("spots"))
+            asked = lambda b: self.chunks(b).select("chunk", "ids", "sizes", "text").join(spots(f"kind >= 2 AND shiftright(chunk, {_BATCH}) = {b}"), "chunk")  # noqa: E731  each chunk table by itself: only the places are shuffled
+            parts = reduce(DataFrame.unionByName, [asked(b).mapInArrow(_ask(batch), _PARTS) for b, _ in self.stores if b <= batch])
+            masks = materialise(parts.repartition(self.buckets, "ext").sortWithinPartitions("ext", "doc").mapInArrow(_compare(), _MASKS), "masks")
+        masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
         free(spark)
         return self.chunks(batch).join(spots("kind = 1"), "chunk", "left").join(masks, "chunk", "left")
 
@@ -503,6 +507,7 @@ class Family:
 def removed(docs: DataFrame, emit, schema, batches: int = BATCHES, chunk_bytes: int = CHUNK_BYTES, carry: bool = False, family: Family | None = None) -> DataFrame:
     """Finds the bytes to remove. emit(ids, texts, covered, ends, rest) makes output rows of a chunk; covered has a flag for each byte. With a family, its documents count as earlier ones, and it takes the new ones in."""
     spark = docs.sparkSession
+    small_batches(spark)
     family = family or Family(spark)
     out = [family.add(b).mapInArrow(_cutter(emit), schema) for b in family.pack(docs, batches, chunk_bytes, carry)]
     return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
