@@ -43,6 +43,7 @@ def _after(stage: Callable) -> Callable:
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go."""
+    base.small_batches(spark)
     _mark[:] = [base.made()]
     return language_id.accepted(docs)
 
