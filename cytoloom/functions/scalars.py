@@ -52,8 +52,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def vector_hash(values: Column) -> Column:
-    """O126: sha1 of values as text with six decimals."""
-    return F.sha1(F.array_join(F.transform(values, lambda v: F.format_string("%.6f", v)), ",").cast("binary"))
+    """O126: sha1 of values as text with twelve decimals."""
+    return F.sha1(F.array_join(F.transform(values, lambda v: F.format_string("%.12f", v)), ",").cast("binary"))
 
 
 def feature_parts(c: Column) -> Column:
@@ -120,9 +120,9 @@ def _o124(t):
     return c.join(m, F.lit(True)).select("c_custkey", *[(F.col("c_mktsegment") == s).cast("int").alias(f"seg_{s.lower()}") for s in ("BUILDING", "MACHINERY")], F.coalesce("n", "m").cast("double").alias("nation"))
 
 
-@query("o126_vector_hash", "SELECT vec_id, sha1(concat_ws(',', printf('%.6f', embedding[1]::DOUBLE), printf('%.6f', embedding[2]::DOUBLE))) AS h FROM embeddings")
+@query("o126_vector_hash", "SELECT vec_id, sha1(array_to_string(list_transform(embedding, lambda v: printf('%.12f', v::DOUBLE)), ',')) AS h FROM embeddings")
 def _o126(t):
-    return t("embeddings").select("vec_id", vector_hash(F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double"))).alias("h"))
+    return t("embeddings").select("vec_id", vector_hash(F.transform("embedding", lambda v: v.cast("double"))).alias("h"))
 
 
 @query("o127_set_similarity", "WITH s AS (SELECT p_partkey, list_distinct(string_split(p_name || ' ' || p_type, ' ')) AS a, list_distinct(string_split(p_type || ' ' || p_brand, ' ')) AS b FROM part) SELECT p_partkey, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::DOUBLE, 9) AS j FROM s")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import CELLS, FEATURES, PATIENTS, query
 
+#: Features in a block of the correlation matrix.
+BLOCK = 256
+
 
 def quantiles(value: str, at: list[float]) -> list[Column]:
     """O064: exact, linearly interpolated quantiles."""
@@ -41,14 +46,56 @@ def average_rank(value: str, *part: str, desc: bool = False) -> Column:
     return F.when(F.col(value).isNotNull(), F.rank().over(w.orderBy(order)) + (ties - 1) / 2)
 
 
-def spearman_pairs(features: DataFrame, group: list[str], min_n: int = 20) -> DataFrame:
-    """O084, O085: Spearman correlation of every pair of features over the patients that have both, in long form; ranks are taken within each pair's patients."""
-    f = features.where("value IS NOT NULL")
-    a = f.select(*group, "patient_id", F.col("feature").alias("a"), F.col("value").alias("va"))
-    b = f.select(*group, "patient_id", F.col("feature").alias("b"), F.col("value").alias("vb"))
-    j = a.join(b, [*group, "patient_id"]).where("a < b")
-    r = j.withColumn("ra", average_rank("va", *group, "a", "b")).withColumn("rb", average_rank("vb", *group, "a", "b"))
-    return r.groupBy(*group, "a", "b").agg(F.try_divide(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("rho"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_n)
+def ranks(v: np.ndarray) -> np.ndarray:
+    """Average ranks from 1."""
+    _, inv, k = np.unique(v, return_inverse=True, return_counts=True)
+    return (np.cumsum(k) - (k - 1) / 2)[inv]
+
+
+def _rho(x: np.ndarray, y: np.ndarray) -> float | None:
+    """Correlation of ranks; none if either is constant."""
+    x, y = x - x.mean(), y - y.mean()
+    s = np.sqrt((x * x).mean() * (y * y).mean())
+    return float((x * y).mean() / s) if s > 0 else None
+
+
+def spearman_pairs(features: DataFrame, group: list[str], min_n: int = 20, block: int = BLOCK) -> DataFrame:
+    """O084, O085: Spearman correlation of every pair of features over the patients that have both, in long form; ranks are taken within each pair's patients. A patient has a feature once.
+
+    One row a feature holds its patients and values. Features fall into blocks of about `block`, and a task compares two blocks, so a value is copied once for each block and no pair of values is a row.
+    """
+    v = features.where("value IS NOT NULL").groupBy(*group, "feature").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("patient_id").alias("p"), F.col("value").cast("double").alias("v")))).alias("s"))
+    most = (v.groupBy(*group).agg(F.count(F.lit(1)).alias("n")) if group else v.agg(F.count(F.lit(1)).alias("n"))).agg(F.max("n")).first()[0] or 0
+    n = max(1, -(-most // block))
+    v = v.select(*group, "feature", F.col("s.p").alias("p"), F.col("s.v").alias("v"), F.pmod(F.xxhash64("feature"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    v = v.withColumn("lo", F.least("own", "j")).withColumn("hi", F.greatest("own", "j")).drop("j")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("feature", kind="stable")
+        names, own = pdf["feature"].tolist(), pdf["own"].tolist()
+        people = np.unique(np.concatenate(pdf["p"].tolist()))
+        m = np.full((len(names), len(people)), np.nan)
+        for i, (p, x) in enumerate(zip(pdf["p"], pdf["v"], strict=True)):
+            m[i, np.searchsorted(people, p)] = x
+        has = np.isfinite(m)
+        both = has.astype(np.float32) @ has.T.astype(np.float32)
+        whole = [ranks(m[i, has[i]]) for i in range(len(names))]
+        out = []
+        for i in range(len(names)):
+            for j in range(i + 1, len(names)):
+                if both[i, j] < min_n or (key[-1] != key[-2] and own[i] == own[j]):
+                    continue
+                if both[i, j] == len(whole[i]) == len(whole[j]):
+                    r = _rho(whole[i], whole[j])
+                else:
+                    at = has[i] & has[j]
+                    r = _rho(ranks(m[i, at]), ranks(m[j, at])) if at.any() else None
+                out.append([*key[:-2], names[i], names[j], r, int(both[i, j])])
+        return pd.DataFrame(out, columns=[*group, "a", "b", "rho", "n"])
+
+    kind = features.schema["feature"].dataType.simpleString()
+    fields = "".join(f"{g} {features.schema[g].dataType.simpleString()}, " for g in group)
+    return v.groupBy(*group, "lo", "hi").applyInPandas(run, f"{fields}a {kind}, b {kind}, rho double, n long")
 
 
 def consensus(pairs: DataFrame) -> DataFrame:
@@ -163,18 +210,18 @@ def _o083(t):
     return t("part").select("p_partkey", F.round(sum((F.coalesce(w * c, F.lit(0.0)) for w, c in parts), F.lit(0.0)) / sum((F.when(c.isNotNull(), w).otherwise(0.0) for w, c in parts), F.lit(0.0)), 6).alias("score"))
 
 
-_SPEARMAN = f"{FEATURES}, ff AS (SELECT * FROM features WHERE feature LIKE 'qty%'), j AS (SELECT a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM j)"
+_SPEARMAN = f"{FEATURES}, ff AS (SELECT patient_id, feature, round(value, 6) AS value FROM features), j AS (SELECT a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM j)"
 
 
 @query("o084_spearman", f"WITH {_SPEARMAN} SELECT a, b, round((covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0)), 6) AS rho, count(*) AS n FROM r GROUP BY ALL HAVING count(*) >= 20")
 def _o084(t):
-    return spearman_pairs(t.features().where("feature LIKE 'qty%'"), []).withColumn("rho", F.round("rho", 6))
+    return spearman_pairs(t.features().withColumn("value", F.round("value", 6)), []).withColumn("rho", F.round("rho", 6))
 
 
-@query("o086_cohort_consensus", f"WITH {FEATURES}, c AS (SELECT s_suppkey AS patient_id, s_nationkey % 3 AS cohort FROM supplier), ff AS (SELECT patient_id, feature, round(value, 6) AS value, cohort FROM features JOIN c USING (patient_id) WHERE feature LIKE 'disc%'), j AS (SELECT a.cohort, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT cohort, a, b, rank() OVER (PARTITION BY cohort, a, b ORDER BY va) + (count(*) OVER (PARTITION BY cohort, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY cohort, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY cohort, a, b, vb) - 1) / 2.0 AS rb FROM j), p AS (SELECT cohort, a, b, (covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0)) AS rho FROM r GROUP BY ALL HAVING count(*) >= 10) SELECT a, b, round(avg(rho), 6) AS consensus_rho, count(rho) AS support, round(stddev_pop(rho), 6) AS rho_sd, count(*) FILTER (WHERE rho > 0) AS n_pos, count(*) FILTER (WHERE rho < 0) AS n_neg FROM p GROUP BY ALL")
+@query("o086_cohort_consensus", f"WITH {FEATURES}, c AS (SELECT s_suppkey AS patient_id, s_nationkey % 3 AS cohort FROM supplier), ff AS (SELECT patient_id, feature, round(value, 6) AS value, cohort FROM features JOIN c USING (patient_id)), j AS (SELECT a.cohort, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT cohort, a, b, rank() OVER (PARTITION BY cohort, a, b ORDER BY va) + (count(*) OVER (PARTITION BY cohort, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY cohort, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY cohort, a, b, vb) - 1) / 2.0 AS rb FROM j), p AS (SELECT cohort, a, b, (covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0)) AS rho FROM r GROUP BY ALL HAVING count(*) >= 10) SELECT a, b, round(avg(rho), 6) AS consensus_rho, count(rho) AS support, round(stddev_pop(rho), 6) AS rho_sd, count(*) FILTER (WHERE rho > 0) AS n_pos, count(*) FILTER (WHERE rho < 0) AS n_neg FROM p GROUP BY ALL")
 def _o086(t):
     c = t("supplier").select(F.col("s_suppkey").alias("patient_id"), (F.col("s_nationkey") % 3).alias("cohort"))
-    f = t.features().where("feature LIKE 'disc%'").withColumn("value", F.round("value", 6)).join(c, "patient_id")
+    f = t.features().withColumn("value", F.round("value", 6)).join(c, "patient_id")
     return consensus(spearman_pairs(f, ["cohort"], 10)).select("a", "b", F.round("consensus_rho", 6).alias("consensus_rho"), "support", F.round("rho_sd", 6).alias("rho_sd"), "n_pos", "n_neg")
 
 

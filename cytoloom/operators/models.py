@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import PATIENTS, query
-from .aggregates import average_rank
+from .aggregates import average_rank, ranks
 
 
 def logit(x: np.ndarray, y: np.ndarray, l2: float = 0.0, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float]:
@@ -33,61 +33,215 @@ def cox(x: np.ndarray, time: np.ndarray, event: np.ndarray, l2: float = 0.0) ->
     """Proportional hazards with Efron ties: coefficients, covariance and partial log likelihood."""
     o = np.argsort(-time, kind="stable")
     x, time, event = x[o], time[o], event[o].astype(bool)
+    d = np.flatnonzero(event)
+    last = np.searchsorted(-time, -time[d], "right") - 1
+    first = np.flatnonzero(np.concatenate([[True], time[d][1:] != time[d][:-1]])) if len(d) else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, len(d)))
+    tie = np.repeat(np.arange(len(first)), size)
+    f = (np.arange(len(d)) - first[tie]) / size[tie]  # each death of a tie sees a smaller part of the others
+
+    def at(b: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        r = np.exp(np.clip(x @ b, -30, 30))
+        rx, rxx = r[:, None] * x, r[:, None, None] * x[:, :, None] * x[:, None, :]
+        part = lambda v: np.cumsum(v, axis=0)[last] - f.reshape(-1, *[1] * (v.ndim - 1)) * np.add.reduceat(v[d], first, axis=0)[tie]
+        z0, z1, z2 = part(r), part(rx), part(rxx)
+        m = z1 / z0[:, None]
+        ll = (x[d] @ b).sum() - np.log(z0).sum() - 0.5 * l2 * b @ b
+        return float(ll), x[d].sum(axis=0) - m.sum(axis=0) - l2 * b, (z2 / z0[:, None, None] - m[:, :, None] * m[:, None, :]).sum(axis=0) + (l2 + 1e-9) * np.eye(len(b))
+
     b = np.zeros(x.shape[1])
+    if not len(d):
+        return b, np.full((len(b), len(b)), np.nan), 0.0
     for _ in range(40):
-        r = np.exp(np.clip(x @ b, -30, 30))
-        s0, s1 = np.cumsum(r), np.cumsum(r[:, None] * x, axis=0)
-        s2 = np.cumsum(r[:, None, None] * x[:, :, None] * x[:, None, :], axis=0)
-        ll, g, h = -0.5 * l2 * b @ b, -l2 * b, l2 * np.eye(len(b)) + 1e-9 * np.eye(len(b))
-        for t in np.unique(time[event]):
-            last, d = np.searchsorted(-time, -t, "right") - 1, np.flatnonzero((time == t) & event)
-            e0, e1, e2 = r[d].sum(), (r[d, None] * x[d]).sum(axis=0), (r[d, None, None] * x[d][:, :, None] * x[d][:, None, :]).sum(axis=0)
-            ll += (x[d] @ b).sum()
-            g = g + x[d].sum(axis=0)
-            for j in range(len(d)):
-                f = j / len(d)
-                z0, z1, z2 = s0[last] - f * e0, s1[last] - f * e1, s2[last] - f * e2
-                ll -= math.log(z0)
-                g = g - z1 / z0
-                h = h + z2 / z0 - np.outer(z1, z1) / z0**2
+        _, g, h = at(b)
         step = np.linalg.solve(h, g)
         b = b + step
-        if np.abs(step).max() < 1e-9:
+        if not len(b) or np.abs(step).max() < 1e-9:
             break
-    return b, np.linalg.inv(h), float(ll)
+    ll, _, h = at(b)
+    return b, np.linalg.inv(h), ll
 
 
 def p_of_z(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-def fit_models(df: DataFrame, keys: list[str], kind: str) -> DataFrame:
-    """O144, O145, O146: per group the effect of value on y (logistic) or on time and event (Cox): coefficient, standard error, Wald p, likelihood-ratio p against no effect. Groups that can't be fitted give nulls."""
+def _beta_part(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_part(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    out = d
+    for m in range(1, 500):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + k * d)
+            c = 1 + k / c
+            out *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * out
+
+
+def p_of_t(t: float, df: float) -> float:
+    """Two-sided tail of Student's t."""
+    return _beta_part(df / 2, 0.5, df / (df + t * t))
+
+
+def chi2_tail(x: float, df: float) -> float:
+    """Upper tail of chi-squared: the incomplete gamma function by series or continued fraction."""
+    if x <= 0 or df <= 0:
+        return 1.0
+    a, x = df / 2, x / 2
+    front = math.exp(-x + a * math.log(x) - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while term > total * 1e-16:
+            n += 1
+            term *= x / n
+            total += term
+        return max(0.0, 1 - total * front)
+    b = x + 1 - a
+    c, d = 1e300, 1 / b
+    h = d
+    for i in range(1, 1000):
+        k = -i * (i - a)
+        b += 2
+        d, c = 1 / (k * d + b), b + k / c
+        h *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return front * h
+
+
+def signed_rank_p(d: np.ndarray) -> float:
+    """Two-sided Wilcoxon signed-rank p; zeros are left out. Exact over all signs for up to 50 differences, ties included; the normal approximation beyond."""
+    d = d[d != 0]
+    n = len(d)
+    if not n:
+        return 1.0
+    r = ranks(np.abs(d))
+    w = r[d > 0].sum()
+    if n > 50:
+        return p_of_z((w - r.sum() / 2) / math.sqrt((r**2).sum() / 4))
+    steps = np.rint(2 * r).astype(int)  # half ranks become whole
+    ways = np.zeros(steps.sum() + 1)
+    ways[0] = 1
+    for k in steps:
+        ways[k:] += ways[:-k].copy()
+    at = int(round(2 * w))
+    return float(min(1.0, 2 * min(ways[: at + 1].sum(), ways[at:].sum()) / 2.0**n))
+
+
+def roc_auc(score: np.ndarray, y: np.ndarray) -> float | None:
+    n1 = int(y.sum())
+    return float((ranks(score)[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))) if 0 < n1 < len(y) else None
+
+
+def average_precision(score: np.ndarray, y: np.ndarray) -> float | None:
+    """Precision at each threshold, weighted by the recall it adds; equal scores are one threshold."""
+    if not 0 < y.sum():
+        return None
+    o = np.argsort(-score, kind="stable")
+    end = np.flatnonzero(np.append(score[o][1:] != score[o][:-1], True))
+    tp = np.cumsum(y[o])[end]
+    return float((np.diff(np.concatenate([[0], tp])) * tp / (end + 1)).sum() / y.sum())
+
+
+def balanced_threshold(score: np.ndarray, y: np.ndarray) -> float:
+    """The score from which on calls positive reach the best balanced accuracy; the largest of equals."""
+    o = np.argsort(-score, kind="stable")
+    end = np.flatnonzero(np.append(score[o][1:] != score[o][:-1], True))
+    tp = np.cumsum(y[o])[end]
+    ba = tp / max(y.sum(), 1) + 1 - (end + 1 - tp) / max((1 - y).sum(), 1)
+    return float(score[o][end[int(np.argmax(ba))]])
+
+
+def concordant(time: np.ndarray, event: np.ndarray, score: np.ndarray, block: int = 1024) -> tuple[float, int]:
+    """Won and comparable pairs (the earlier time an event; the higher score wins, equal ones half): blocks of times against the sorted scores of all later ones."""
+    o = np.argsort(-time, kind="stable")
+    t, e, s = time[o], event[o].astype(bool), score[o]
+    later, won, pairs, i = np.zeros(0), 0.0, 0, 0
+    while i < len(t):
+        j = int(np.searchsorted(-t, -t[min(i + block, len(t)) - 1], "right"))
+        a = s[i:j][e[i:j]]
+        lo, hi = np.searchsorted(later, a), np.searchsorted(later, a, "right")
+        won, pairs = won + (lo + (hi - lo) / 2).sum(), pairs + len(a) * len(later)
+        if t[i] != t[j - 1]:
+            ok = (t[i:j, None] < t[None, i:j]) & e[i:j, None]
+            won += (ok * ((s[i:j, None] > s[None, i:j]) + 0.5 * (s[i:j, None] == s[None, i:j]))).sum()
+            pairs += int(ok.sum())
+        later = np.sort(np.concatenate([later, s[i:j]]), kind="stable")
+        i = j
+    return float(won), int(pairs)
+
+
+def _fields(df: DataFrame, keys: list[str]) -> str:
+    return "".join(f"{k} {df.schema[k].dataType.simpleString()}, " for k in keys)
+
+
+def _variants(covariates: list[str]) -> dict[str, list[str]]:
+    return {"feature": ["value"]} | ({"clinical": covariates, "combined": ["value", *covariates]} if covariates else {})
+
+
+_EFFECT = "variant string, n long, events long, coef double, se double, effect double, effect_low double, effect_high double, wald_p double, {} log_likelihood double, aic double, lrt_df long, lrt_p double"
+
+
+def fit_models(df: DataFrame, keys: list[str], kind: str, covariates: list[str] | None = None) -> DataFrame:
+    """O144, O145, O146: per group the effect of value on y (logistic) or on time and event (Cox), alone, of the clinical covariates, and of both.
+
+    Predictors are scaled to unit variance. Of value: coefficient, standard error, odds or hazard ratio with 95 % bounds, Wald p. Of each model: AUC and average
+    precision, or C-index, log likelihood, AIC, and the likelihood-ratio test against the nested model: none of its predictors, or the covariates alone
+    for both together. Rows with a null are left out; groups or variants that can't be fitted give nulls.
+    """
+    covariates = covariates or []
+    logistic = kind == "logistic"
+    cols = ["value", *covariates, *(["y"] if logistic else ["time", "event"])]
+    measures = ["auc", "average_precision"] if logistic else ["c_index"]
+    names = [f.split()[0] for f in _EFFECT.replace("{}", "".join(f"{m} double, " for m in measures)).split(", ")]
+
+    def model(p: pd.DataFrame, use: list[str]) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+        x = np.column_stack([p[c].to_numpy(float) for c in use]) if use else np.zeros((len(p), 0))
+        sd = x.std(axis=0)
+        if (sd == 0).any():
+            raise ValueError("a constant predictor")
+        x = (x - x.mean(axis=0)) / sd
+        if logistic:
+            b, v, ll = logit(x, p["y"].to_numpy(float))
+            return b[1:], v[1:, 1:], ll, x @ b[1:]
+        b, v, ll = cox(x, p["time"].to_numpy(float), p["event"].to_numpy(bool))
+        return b, v, ll, x @ b
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna().sort_values(list(p.columns))
-        x = p["value"].to_numpy(float)
-        row = [*key, len(p), None, None, None, None]
-        if len(p) >= 5 and x.std() > 0:
-            x = ((x - x.mean()) / x.std())[:, None]
+        p = p.dropna().sort_values(cols)
+        y = p["y" if logistic else "event"].to_numpy(float)
+        out = []
+        for variant, use in _variants(covariates).items():
+            row = dict.fromkeys(names) | {"variant": variant, "n": len(p), "events": int(y.sum())}
             try:
-                if kind == "logistic":
-                    y = p["y"].to_numpy(float)
-                    b, v, ll = logit(x, y)
-                    b, v, base = b[1], v[1, 1], logit(x[:, :0], y)[2]
+                if len(p) < 5 or not 0 < y.sum() or (logistic and y.sum() == len(y)):
+                    raise ValueError("too few rows")
+                b, v, ll, score = model(p, use)
+                nested = covariates if variant == "combined" else []
+                row |= {"log_likelihood": ll, "aic": 2 * (len(use) + logistic) - 2 * ll, "lrt_df": len(use) - len(nested), "lrt_p": chi2_tail(2 * (ll - model(p, nested)[2]), len(use) - len(nested))}
+                if logistic:
+                    row |= {"auc": roc_auc(score, y), "average_precision": average_precision(score, y)}
                 else:
-                    t, e = p["time"].to_numpy(float), p["event"].to_numpy(bool)
-                    b, v, ll = cox(x, t, e)
-                    b, v, base = b[0], v[0, 0], cox(0 * x, t, e)[2]
-                row[-4:] = [float(b), float(math.sqrt(v)), p_of_z(b / math.sqrt(v)), p_of_z(math.sqrt(max(0, 2 * (ll - base))))]
+                    won, pairs = concordant(p["time"].to_numpy(float), y, score)
+                    row["c_index"] = won / pairs if pairs else None
+                if use[0] == "value":
+                    se = math.sqrt(v[0, 0])
+                    row |= {"coef": b[0], "se": se, "effect": math.exp(min(b[0], 700)), "effect_low": math.exp(min(b[0] - 1.959963984540054 * se, 700)), "effect_high": math.exp(min(b[0] + 1.959963984540054 * se, 700)), "wald_p": p_of_z(b[0] / se)}
             except (np.linalg.LinAlgError, ValueError):
                 pass
-        return pd.DataFrame([row], columns=[*keys, "n", "coef", "se", "wald_p", "lrt_p"])
+            out.append([*key, *(row[c] for c in names)])
+        return pd.DataFrame(out, columns=[*keys, *names])
 
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    cols = ["value", "y"] if kind == "logistic" else ["value", "time", "event"]
-    wanted = df.select(*keys, *cols)
-    return wanted.groupBy(*keys).applyInPandas(lambda key, p: run(key, p[cols]), f"{fields}, n long, coef double, se double, wald_p double, lrt_p double")
+    schema = _fields(df, keys) + _EFFECT.format("".join(f"{m} double, " for m in measures))
+    return df.select(*keys, *cols).groupBy(*keys).applyInPandas(lambda key, p: run(key, p[cols]), schema)
 
 
 def folds(df: DataFrame, keys: list[str], stratum: str, unit: str, k: int = 5, repeats: int = 5, seed: int = 1) -> DataFrame:
@@ -97,33 +251,53 @@ def folds(df: DataFrame, keys: list[str], stratum: str, unit: str, k: int = 5, r
     return d.withColumn("fold", (F.row_number().over(w) - 1) % k)
 
 
-def cv_auc(df: DataFrame, keys: list[str]) -> DataFrame:
-    """O147, O149: out-of-fold AUC of a class-balanced, L2-regularised logistic model on value, per repeat; scaled by the training folds."""
+_SCORES = ["oof_auc", "oof_average_precision", "oof_balanced_accuracy", "oof_sensitivity", "oof_specificity"]
+
+
+def cv_auc(df: DataFrame, keys: list[str], covariates: list[str] | None = None) -> DataFrame:
+    """O147, O149: out-of-fold measures of class-balanced, L2-regularised logistic models of value, of the covariates and of both, over repeats of stratified folds: mean and sd over repeats.
+
+    Predictors are scaled by the training folds, and calls are made at the training folds' threshold of best balanced accuracy. `delta_auc` is the mean gain in AUC over the clinical model.
+    """
+    covariates = covariates or []
+    cols = ["value", *covariates, "y", "fold"]
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna().sort_values(["fold", "value", "y"])
-        x, y, f = p["value"].to_numpy(float), p["y"].to_numpy(float), p["fold"].to_numpy()
-        out = np.full(len(y), np.nan)
-        for k in np.unique(f):
-            tr, te = f != k, f == k
-            if len(np.unique(y[tr])) < 2 or x[tr].std() == 0:
-                continue
-            m, s = x[tr].mean(), x[tr].std()
-            w = np.where(y[tr] == 1, 0.5 / y[tr].mean(), 0.5 / (1 - y[tr].mean()))
-            b = logit(((x[tr] - m) / s)[:, None], y[tr], 1.0, w)[0]
-            out[te] = b[0] + b[1] * (x[te] - m) / s
-        ok = np.isfinite(out)
-        score = None
-        if 0 < y[ok].sum() < ok.sum():
-            r = pd.Series(out[ok]).rank().to_numpy()
-            n1 = y[ok].sum()
-            score = float((r[y[ok] == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (ok.sum() - n1)))
-        return pd.DataFrame([[*key, score]], columns=[*keys, "repeat", "oof_auc"])
-
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    d = folds(df, keys, "y", "patient_id").select(*keys, "repeat", "value", "y", "fold")
-    r = d.groupBy(*keys, "repeat").applyInPandas(lambda key, p: run(key, p[["value", "y", "fold"]]), f"{fields}, repeat int, oof_auc double")
-    return r.groupBy(*keys).agg(F.avg("oof_auc").alias("oof_auc"), F.stddev_samp("oof_auc").alias("oof_auc_repeat_sd"), F.count("oof_auc").alias("n_repeats"))
+        p = p.dropna().sort_values(["fold", *cols[:-1]])
+        y, f = p["y"].to_numpy(float), p["fold"].to_numpy()
+        rows = []
+        for variant, use in _variants(covariates).items():
+            x = p[use].to_numpy(float)
+            out, call = np.full(len(y), np.nan), np.zeros(len(y), bool)
+            for k in np.unique(f):
+                tr, te = f != k, f == k
+                sd = x[tr].std(axis=0)
+                if len(np.unique(y[tr])) < 2 or (sd == 0).any():
+                    continue
+                z = (x - x[tr].mean(axis=0)) / sd
+                w = np.where(y[tr] == 1, 0.5 / y[tr].mean(), 0.5 / (1 - y[tr].mean()))
+                b = logit(z[tr], y[tr], 1.0, w)[0]
+                score = b[0] + z @ b[1:]
+                out[te], call[te] = score[te], score[te] >= balanced_threshold(score[tr], y[tr])
+            ok = np.isfinite(out)
+            s, t, c = out[ok], y[ok], call[ok]
+            row = [None] * 5
+            if 0 < t.sum() < len(t):
+                sens, spec = float(c[t == 1].mean()), float((~c[t == 0]).mean())
+                row = [roc_auc(s, t), average_precision(s, t), (sens + spec) / 2, sens, spec]
+            rows.append([*key, variant, *row])
+        return pd.DataFrame(rows, columns=[*keys, "repeat", "variant", *_SCORES])
+
+    d = folds(df, keys, "y", "patient_id").select(*keys, "repeat", *cols)
+    r = d.groupBy(*keys, "repeat").applyInPandas(lambda key, p: run(key, p[cols]), _fields(df, keys) + "repeat int, variant string, " + ", ".join(f"{c} double" for c in _SCORES))
+    return _over_repeats(r, keys, _SCORES, "oof_auc", "delta_auc")
+
+
+def _over_repeats(r: DataFrame, keys: list[str], scores: list[str], score: str, delta: str) -> DataFrame:
+    """O149: mean and sd of each measure over the repeats of a group and variant, and the mean gain over the clinical variant."""
+    base = F.max(F.when(F.col("variant") == "clinical", F.col(score))).over(Window.partitionBy(*keys, "repeat"))
+    r = r.withColumn(delta, F.col(score) - base)
+    return r.groupBy(*keys, "variant").agg(*[F.avg(c).alias(c) for c in scores], *[F.stddev_samp(c).alias(f"{c}_repeat_sd") for c in scores], F.avg(delta).alias(delta), F.count(score).alias("n_repeats"))
 
 
 def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
@@ -138,52 +312,59 @@ def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
 
 
 def concordance(df: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """O151: share of comparable pairs (the earlier time an event) whose higher score fails first; equal scores count half."""
-    a = df.where("event").select(*keys, F.col("time").alias("ta"), F.col(score).alias("sa"))
-    b = df.select(*keys, F.col("time").alias("tb"), F.col(score).alias("sb"))
-    j = a.join(b, keys).where("ta < tb")
-    return j.groupBy(*keys).agg(F.avg(F.when(F.col("sa") > F.col("sb"), 1.0).when(F.col("sa") == F.col("sb"), 0.5).otherwise(0.0)).alias("c_index"), F.count(F.lit(1)).alias("n_pairs"))
+    """O151: share of comparable pairs (the earlier time an event) whose higher score fails first; equal scores count half. A cohort's times are sorted once, no pair is a row. Rows with a null are left out; cohorts without comparable pairs give no row."""
+
+    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.dropna()
+        won, pairs = concordant(p["time"].to_numpy(float), p["event"].to_numpy(bool), p[score].to_numpy(float))
+        return pd.DataFrame([[*key, won / pairs, pairs]] if pairs else [], columns=[*keys, "c_index", "n_pairs"])
+
+    return df.select(*keys, "time", "event", score).groupBy(*keys).applyInPandas(lambda key, p: run(key, p[["time", "event", score]]), _fields(df, keys) + "c_index double, n_pairs long")
 
 
-def paired_shift(df: DataFrame, keys: list[str], delta: str, n_boot: int = 200, seed: int = 1) -> DataFrame:
-    """O159: mean, median and sd of paired differences, effect size, t and Wilcoxon signed-rank p (normal approximations), bootstrap interval of the median."""
+_SHIFT = ["n", "mean", "median", "sd", "dz", "fraction_up", "fraction_down", "t_p", "wilcoxon_p", "median_low", "median_high"]
+
+
+def paired_shift(df: DataFrame, keys: list[str], delta: str, n_boot: int = 1000, seed: int = 1) -> DataFrame:
+    """O159: mean, median and sd of paired differences, effect size, shares of rises and falls, p of Student's t and of the Wilcoxon signed-rank test, and the bootstrap interval of the median (95 %). Under three differences, or equal ones, give nulls from sd on."""
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         d = np.sort(p[delta].dropna().to_numpy(float))
         n = len(d)
-        row = [*key, n] + [None] * 7
+        row = [n, *([float(d.mean()), float(np.median(d))] if n else [None, None]), *[None] * 8]
         if n >= 3 and d.std() > 0:
             sd = d.std(ddof=1)
-            nz = d[d != 0]
-            r = pd.Series(np.abs(nz)).rank().to_numpy()
-            wp, mu, var = r[nz > 0].sum(), len(nz) * (len(nz) + 1) / 4, (r**2).sum() / 4
             rng = np.random.default_rng(seed)
-            boot = np.median(rng.choice(d, (n_boot, n)), axis=1)
-            row[-7:] = [d.mean(), float(np.median(d)), sd, d.mean() / sd, p_of_z(d.mean() / (sd / math.sqrt(n))), p_of_z((wp - mu) / math.sqrt(var)), float(np.quantile(boot, 0.025))]
-        return pd.DataFrame([row], columns=[*keys, "n", "mean", "median", "sd", "dz", "t_p", "wilcoxon_p", "median_low"])
+            boot = np.concatenate([np.median(rng.choice(d, (min(50, n_boot - i), n)), axis=1) for i in range(0, n_boot, 50)])
+            row[3:] = [sd, d.mean() / sd, float((d > 0).mean()), float((d < 0).mean()), p_of_t(d.mean() / (sd / math.sqrt(n)), n - 1), signed_rank_p(d), float(np.quantile(boot, 0.025)), float(np.quantile(boot, 0.975))]
+        return pd.DataFrame([[*key, *row]], columns=[*keys, *_SHIFT])
 
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, delta).groupBy(*keys).applyInPandas(run, f"{fields}, n long, mean double, median double, sd double, dz double, t_p double, wilcoxon_p double, median_low double")
+    return df.select(*keys, delta).groupBy(*keys).applyInPandas(run, _fields(df, keys) + "n long, " + ", ".join(f"{c} double" for c in _SHIFT[1:]))
 
 
 def _brands(t) -> DataFrame:
-    s = t("supplier").select(F.col("s_suppkey").alias("patient_id"), (F.col("s_acctbal") > 4500).cast("int").alias("y"))
+    s = t("supplier").select(F.col("s_suppkey").alias("patient_id"), (F.col("s_acctbal") > 4500).cast("int").alias("y"), F.col("s_nationkey").cast("double").alias("nation"))
     return t.features().join(s, "patient_id")
 
 
+def _cohorts(t) -> DataFrame:
+    n = t("customer").select(F.col("c_custkey").alias("patient_id"), F.col("c_nationkey").cast("double").alias("nation"))
+    return t.patients().withColumn("value", F.col("marker")).join(n, "patient_id")
+
+
 @query("o144_logistic_models")
 def _o144(t):
-    return fit_models(_brands(t), ["feature"], "logistic")
+    return fit_models(_brands(t), ["feature"], "logistic", ["nation"])
 
 
 @query("o145_cox_models")
 def _o145(t):
-    return fit_models(t.patients().select("cohort", F.col("marker").alias("value"), "time", "event"), ["cohort"], "cox")
+    return fit_models(_cohorts(t), ["cohort"], "cox", ["nation"])
 
 
 @query("o147_cross_validated_auc")
 def _o147(t):
-    return cv_auc(_brands(t), ["feature"])
+    return cv_auc(_brands(t), ["feature"], ["nation"])
 
 
 @query("o150_auc_metrics", f"WITH {PATIENTS}, s AS (SELECT cohort, event, (marker + 1000) / 11000 AS s FROM patients), r AS (SELECT *, rank() OVER (PARTITION BY cohort ORDER BY s) + (count(*) OVER (PARTITION BY cohort, s) - 1) / 2.0 AS r, sum(event::INT) OVER (PARTITION BY cohort ORDER BY s DESC) / count(*) OVER (PARTITION BY cohort ORDER BY s DESC)::DOUBLE AS prec FROM s), g AS (SELECT cohort, count(*) FILTER (WHERE event) AS n1, count(*) FILTER (WHERE NOT event) AS n0, sum(r) FILTER (WHERE event) AS rs, sum(prec) FILTER (WHERE event) AS ap, count(*) FILTER (WHERE event AND s >= 0.5) AS tp, count(*) FILTER (WHERE NOT event AND s < 0.5) AS tn FROM r GROUP BY 1) SELECT cohort, round((rs - n1 * (n1 + 1) / 2.0) / (n1 * n0), 9) AS auc, round(ap / n1, 9) AS average_precision, round(tp / n1::DOUBLE, 9) AS sensitivity, round(tn / n0::DOUBLE, 9) AS specificity FROM g")

@@ -14,7 +14,7 @@ from ..plans.registry import CELLS, EVIDENCE, FEATURES, PATIENTS, query
 from ..sources.scratch import new_path
 from .aggregates import average_rank, consensus, spearman_pairs
 from .labels import canonical
-from .models import cox, folds
+from .models import _cohorts, _fields, _over_repeats, _variants, concordant, cox, folds
 from .spatial import nearest_distances, radius_pairs
 from .windows import keep_first
 
@@ -109,32 +109,34 @@ def endpoints(df: DataFrame, time_origin: str) -> DataFrame:
     return df.withColumns({"response_y": truth(F.col("response")).cast("int"), "time": F.when(ok, t), "event_y": F.when(ok, F.col("event").cast("int"))})
 
 
-def survival_cv(df: DataFrame, keys: list[str], penalty: float = 0.01) -> DataFrame:
-    """O148, O149: out-of-fold C-index of a penalised Cox model on value, per repeat of event-stratified folds, then the mean and sd over repeats. Folds with fewer than 5 events to train on are left out. One group's patients (tens to hundreds) meet in a task."""
+def survival_cv(df: DataFrame, keys: list[str], covariates: list[str] | None = None, penalty: float = 0.01) -> DataFrame:
+    """O148, O149: out-of-fold C-index of penalised Cox models of value, of the covariates and of both, over repeats of event-stratified folds: mean and sd over repeats, and the mean gain over the clinical model. Folds with fewer than 5 events to train on are left out. One group's patients meet in a task."""
+    covariates = covariates or []
+    cols = ["value", *covariates, "time", "event", "fold"]
 
     def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna().sort_values(["fold", "value", "time"])
-        x, t, e, f = p["value"].to_numpy(float), p["time"].to_numpy(float), p["event"].to_numpy(bool), p["fold"].to_numpy()
-        risk = np.full(len(p), np.nan)
-        for k in np.unique(f):
-            tr, te = f != k, f == k
-            if e[tr].sum() >= 5 and x[tr].std() > 0:
-                m, s = x[tr].mean(), x[tr].std()
-                try:
-                    risk[te] = (x[te] - m) / s * cox(((x[tr] - m) / s)[:, None], t[tr], e[tr], penalty * tr.sum())[0][0]
-                except np.linalg.LinAlgError:
-                    continue
-        ok = np.isfinite(risk)
-        risk, t, e = risk[ok], t[ok], e[ok]
-        pairs = (t[:, None] < t[None, :]) & e[:, None]
-        won = np.where(risk[:, None] > risk[None, :], 1.0, np.where(risk[:, None] == risk[None, :], 0.5, 0.0))
-        return pd.DataFrame([[*key, float(won[pairs].mean()) if pairs.any() else None]], columns=[*keys, "repeat", "c"])
-
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    cols = ["value", "time", "event", "fold"]
+        p = p.dropna().sort_values(["fold", *cols[:-1]])
+        t, e, f = p["time"].to_numpy(float), p["event"].to_numpy(bool), p["fold"].to_numpy()
+        rows = []
+        for variant, use in _variants(covariates).items():
+            x, risk = p[use].to_numpy(float), np.full(len(p), np.nan)
+            for k in np.unique(f):
+                tr, te = f != k, f == k
+                sd = x[tr].std(axis=0)
+                if e[tr].sum() >= 5 and (sd > 0).all():
+                    z = (x - x[tr].mean(axis=0)) / sd
+                    try:
+                        risk[te] = z[te] @ cox(z[tr], t[tr], e[tr], penalty * tr.sum())[0]
+                    except np.linalg.LinAlgError:
+                        continue
+            ok = np.isfinite(risk)
+            won, pairs = concordant(t[ok], e[ok], risk[ok])
+            rows.append([*key, variant, won / pairs if pairs else None])
+        return pd.DataFrame(rows, columns=[*keys, "repeat", "variant", "oof_c_index"])
+
     d = folds(df, keys, "event", "patient_id").select(*keys, "repeat", *cols)
-    r = d.groupBy(*keys, "repeat").applyInPandas(lambda key, p: run(key, p[cols]), f"{fields}, repeat int, c double")
-    return r.groupBy(*keys).agg(F.avg("c").alias("oof_c_index"), F.stddev_samp("c").alias("oof_c_repeat_sd"), F.count("c").alias("n_repeats"))
+    r = d.groupBy(*keys, "repeat").applyInPandas(lambda key, p: run(key, p[cols]), _fields(df, keys) + "repeat int, variant string, oof_c_index double")
+    return _over_repeats(r, keys, ["oof_c_index"], "oof_c_index", "delta_c_index")
 
 
 def _write_chunks(t) -> str:
@@ -351,7 +353,7 @@ def _o143(t):
 
 @query("o148_survival_cv")
 def _o148(t):
-    return survival_cv(t.patients().withColumn("value", F.col("marker")).where("patient_id % 5 = 0"), ["cohort"])
+    return survival_cv(_cohorts(t), ["cohort"], ["nation"])
 
 
 @query("o152_endpoints", f"WITH {PATIENTS} SELECT patient_id, CASE WHEN event THEN 1 ELSE 0 END::INT AS response_y, CASE WHEN (CASE WHEN patient_id % 3 = 0 THEN time * 2 ELSE time END) > 0 THEN CASE WHEN patient_id % 3 = 0 THEN time * 2 ELSE time END END AS time, CASE WHEN time > 0 THEN event::INT END AS event_y FROM patients")

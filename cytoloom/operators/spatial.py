@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import CELLS, query
 
 
+def _half(cells: DataFrame, side, keys: list[str], cols: list[str]) -> DataFrame:
+    """Unordered pairs of points (a, b) in the same or touching squares of a side: an equi-join on squares, one side copied to half of the nine around it, so that each pair meets once."""
+    g = cells.withColumn("gx", F.floor(F.col("x") / side)).withColumn("gy", F.floor(F.col("y") / side))
+    a = g.select(*keys, "gx", "gy", *[F.col(c).alias(f"{c}_a") for c in cols])
+    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (1, 0), (0, 1), (1, 1), (1, -1))])
+    b = g.withColumn("o", F.explode(off)).select(*keys, (F.col("gx") - F.col("o.i")).alias("gx"), (F.col("gy") - F.col("o.j")).alias("gy"), ((F.col("o.i") == 0) & (F.col("o.j") == 0)).alias("_own"), *[F.col(c).alias(f"{c}_b") for c in cols])
+    return a.join(b, [*keys, "gx", "gy"]).where(~F.col("_own") | (F.col("cell_id_a") < F.col("cell_id_b")))
+
+
 def radius_pairs(cells: DataFrame, r: float, group: str = "sample_id") -> DataFrame:
-    """O055, O137: ordered pairs of cells of one group within r: an equi-join on grid squares of side r, one side copied to the nine squares around it. No group is gathered in a task."""
-    g = cells.withColumn("gx", F.floor(F.col("x") / r)).withColumn("gy", F.floor(F.col("y") / r))
-    a = g.select(group, "gx", "gy", F.col("cell_id").alias("a"), F.col("phenotype").alias("pa"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    off = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = g.withColumn("o", F.explode(off)).select(group, (F.col("gx") + F.col("o.i")).alias("gx"), (F.col("gy") + F.col("o.j")).alias("gy"), F.col("cell_id").alias("b"), F.col("phenotype").alias("pb"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return a.join(b, [group, "gx", "gy"]).where((F.col("a") != F.col("b")) & (dx * dx + dy * dy <= r * r)).select(group, "a", "b", "pa", "pb")
+    """O055, O137: ordered pairs of cells of one group within r. Each pair is measured once and given both ways. No group is gathered in a task. Cell ids are unique in a group."""
+    dx, dy = F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")
+    near = _half(cells, F.lit(float(r)), [group], ["cell_id", "phenotype", "x", "y"]).where(dx * dx + dy * dy <= r * r)
+    one = lambda u, v: F.struct(F.col(f"cell_id_{u}").alias("a"), F.col(f"cell_id_{v}").alias("b"), F.col(f"phenotype_{u}").alias("pa"), F.col(f"phenotype_{v}").alias("pb"))
+    return near.select(group, F.explode(F.array(one("a", "b"), one("b", "a"))).alias("p")).select(group, "p.a", "p.b", "p.pa", "p.pb")
 
 
 def neighbour_counts(pairs: DataFrame, group: str = "sample_id") -> DataFrame:
@@ -28,17 +33,21 @@ def neighbour_counts(pairs: DataFrame, group: str = "sample_id") -> DataFrame:
 
 
 def triads(counts: DataFrame, group: str = "sample_id", least: int = 1) -> DataFrame:
-    """O136: centres with both labels near (two for the same label), per unordered pair of labels."""
-    x = counts.select(group, "a", "pa", F.col("pb").alias("n1"), F.col("n").alias("k1"))
-    y = counts.select(group, "a", F.col("pb").alias("n2"), F.col("n").alias("k2"))
-    j = x.join(y, [group, "a"]).where("n1 < n2 OR (n1 = n2 AND k1 >= 2)")
-    return j.groupBy(group, F.col("pa").alias("centre"), "n1", "n2").agg(F.count_distinct("a").alias("n")).where(F.col("n") >= least)
+    """O136: centres with both labels near (two for the same label), per unordered pair of labels. A centre's labels meet in one array, as long as there are labels."""
+    c = counts.groupBy(group, "a", "pa").agg(F.sort_array(F.collect_list(F.struct("pb", "n"))).alias("l"))
+    pairs = F.flatten(F.transform("l", lambda x: F.transform(F.filter("l", lambda y: (x["pb"] < y["pb"]) | ((x["pb"] == y["pb"]) & (x["n"] >= 2))), lambda y: F.struct(x["pb"].alias("n1"), y["pb"].alias("n2")))))
+    j = c.select(group, F.col("pa").alias("centre"), F.explode(pairs).alias("p"))
+    return j.groupBy(group, "centre", F.col("p.n1").alias("n1"), F.col("p.n2").alias("n2")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def diversity(counts: DataFrame, group: str = "sample_id") -> DataFrame:
-    """O138: richness, Shannon and Renyi-2 diversity of each cell's neighbourhood, itself not counted."""
-    tot = F.sum("n")
-    return counts.groupBy(group, "a").agg(F.count(F.lit(1)).alias("richness"), (F.log(tot) - F.sum(F.col("n") * F.log("n")) / tot).alias("shannon"), (2 * F.log(tot) - F.log(F.sum(F.col("n") * F.col("n")))).alias("renyi2"))
+def diversity(counts: DataFrame, group: str = "sample_id", with_self: bool = False) -> DataFrame:
+    """O138: richness, Shannon and Renyi diversity of orders 0.5, 2 and 3 of each cell's neighbourhood; with_self counts the cell itself (only cells that have neighbours are given)."""
+    if with_self:
+        own = counts.select(group, "a", "pa").distinct().select(group, "a", "pa", F.col("pa").alias("pb"), F.lit(1).cast("long").alias("n"))
+        counts = counts.unionByName(own).groupBy(group, "a", "pa", "pb").agg(F.sum("n").alias("n"))
+    n, tot = F.col("n"), F.sum("n")
+    renyi = {"renyi05": 2 * F.log(F.sum(F.sqrt(n))) - F.log(tot), "renyi2": 2 * F.log(tot) - F.log(F.sum(n * n)), "renyi3": (3 * F.log(tot) - F.log(F.sum(n * n * n))) / 2}
+    return counts.groupBy(group, "a").agg(F.count(F.lit(1)).alias("richness"), (F.log(tot) - F.sum(n * F.log(n)) / tot).alias("shannon"), *[c.alias(k) for k, c in renyi.items()])
 
 
 def infiltration(pairs: DataFrame, base: list[str], immune: list[str], group: str = "sample_id") -> DataFrame:
@@ -47,21 +56,54 @@ def infiltration(pairs: DataFrame, base: list[str], immune: list[str], group: st
     return e.select(group, "a", (F.col("i") / (F.col("b") + 1)).alias("ratio"))
 
 
-def nearest_distances(cells: DataFrame, group: str = "sample_id", block: int = 512) -> DataFrame:
-    """O056, O134: distance from each cell to the nearest other cell of each label; numpy in blocks of rows, so a group needs memory in proportion to its cells."""
+def nearest(q: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Distance of each q to the nearest p other than its own place in p (-1: none); infinite if there is none. Points lie in squares of about two; rings of squares are searched until none nearer can follow."""
+    best = np.full(len(q), np.inf)
+    if not len(p):
+        return best
+    low = p.min(axis=0)
+    extent = np.maximum(p.max(axis=0) - low, 1e-9)
+    side = max(np.sqrt(extent.prod() * 2 / len(p)), extent.max() / 1e6)
+    cell = np.floor((p - low) / side).astype(np.int64)
+    rows = int(cell[:, 1].max()) + 1
+    key = cell[:, 0] * rows + cell[:, 1]
+    o = np.argsort(key, kind="stable")
+    key, places = key[o], p[o]
+    home = np.floor((q - low) / side).astype(np.int64)
+    left, last = np.arange(len(q)), int(np.abs(np.concatenate([home - cell.min(axis=0), home - cell.max(axis=0)])).max()) + 1
+    for ring in range(last + 1):
+        for i in range(-ring, ring + 1):
+            for j in range(-ring, ring + 1) if abs(i) == ring else (-ring, ring):
+                at = home[left] + (i, j)
+                ok = np.flatnonzero((at[:, 0] >= 0) & (at[:, 1] >= 0) & (at[:, 1] < rows))
+                k = at[ok, 0] * rows + at[ok, 1]
+                lo, hi, who = np.searchsorted(key, k), np.searchsorted(key, k, "right"), left[ok]
+                while len(who):  # the next point of each square
+                    some = lo < hi
+                    lo, hi, who = lo[some], hi[some], who[some]
+                    d = ((q[who] - places[lo]) ** 2).sum(axis=1)
+                    d[o[lo] == own[who]] = np.inf
+                    best[who] = np.minimum(best[who], d)
+                    lo = lo + 1
+        left = left[best[left] > (ring * side) ** 2]
+        if not len(left):
+            break
+    return np.sqrt(best)
+
+
+def nearest_distances(cells: DataFrame, group: str = "sample_id") -> DataFrame:
+    """O056, O134: distance from each cell to the nearest other cell of each label, by rings of grid squares. A group's cells meet in a task, with time and memory in proportion to them."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         xy, lab = pdf[["x", "y"]].to_numpy(float), pdf["phenotype"].to_numpy()
         out = []
         for to in sorted(set(lab)):
             at = np.flatnonzero(lab == to)
-            best = np.empty(len(xy))
-            for i in range(0, len(xy), block):
-                d = ((xy[i : i + block, None, :] - xy[None, at, :]) ** 2).sum(axis=2)
-                d[np.arange(i, min(i + block, len(xy)))[:, None] == at[None, :]] = np.inf
-                best[i : i + block] = d.min(axis=1)
+            own = np.full(len(xy), -1)
+            own[at] = np.arange(len(at))
+            best = nearest(xy, xy[at], own)
             ok = np.isfinite(best)
-            out.append(pd.DataFrame({group: pdf[group].to_numpy()[ok], "pa": lab[ok], "pb": to, "distance": np.sqrt(best[ok])}))
+            out.append(pd.DataFrame({group: pdf[group].to_numpy()[ok], "pa": lab[ok], "pb": to, "distance": best[ok]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({group: [], "pa": [], "pb": [], "distance": []})
 
     return cells.select(group, "x", "y", "phenotype").groupBy(group).applyInPandas(one, f"{group} long, pa string, pb string, distance double")
@@ -86,27 +128,34 @@ def permutation_scores(cells: DataFrame, pairs: DataFrame, n_perm: int = 50, see
     return order.groupBy(group).cogroup(pairs.toDF("g", "a", "b", "pa", "pb").groupBy("g")).applyInPandas(run, f"{group} long, pa string, pb string, observed double, diff double, z double")
 
 
-def ripley(cells: DataFrame, radii: list[float], group: str = "sample_id") -> DataFrame:
-    """O142: Ripley's K with translation correction and its deviation from randomness, for radii up to .45 of the shorter side."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy = pdf.sort_values(["x", "y"])[["x", "y"]].to_numpy(float)
-        n, side = len(xy), np.ptp(xy, axis=0)
-        rows = []
-        for r in radii:
-            if n < 2 or r > 0.45 * side.min():
-                continue
-            k = 0.0
-            for i in range(0, n, 512):
-                d = np.abs(xy[i : i + 512, None, :] - xy[None, :, :])
-                near = (d**2).sum(axis=2) <= r * r
-                near[np.arange(min(512, n - i)), np.arange(i, min(i + 512, n))] = False
-                k += (near / ((side[0] - d[..., 0]) * (side[1] - d[..., 1])).clip(1e-12)).sum()
-            k *= (side.prod() / n) ** 2
-            rows.append((pdf[group].iloc[0], r, k, k - np.pi * r * r))
-        return pd.DataFrame(rows, columns=[group, "radius", "k", "deviation"])
-
-    return cells.select(group, "x", "y").groupBy(group).applyInPandas(run, f"{group} long, radius double, k double, deviation double")
+def ripley(cells: DataFrame, radii: list[float], group: str = "sample_id", label: str = "phenotype", min_points: int = 3) -> DataFrame:
+    """O142: Ripley's K of each label with translation correction, and its deviation from randomness (K - pi r^2).
+
+    The window is the bounding box of all cells of the group. Radii up to .45 of its shorter side count; where none does, 2.5, 5 and 10 % of that side.
+    Labels of fewer than min_points cells, and groups without extent, are left out. Pairs come from grid squares of the largest radius, so no group is gathered in a task.
+    """
+    box = cells.groupBy(group).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).where("w > 0 AND h > 0")
+    side = F.least("w", "h")
+    fit = F.filter(F.array(*[F.lit(float(r)) for r in radii]), lambda r: (r > 0) & (r <= 0.45 * side))
+    box = box.withColumn("radii", F.when(F.size(fit) > 0, fit).otherwise(F.array(side * 0.025, side * 0.05, side * 0.1))).withColumn("most", F.array_max("radii"))
+    each = cells.groupBy(group, label).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_points).join(box, group)
+    dx, dy = F.abs(F.col("x_a") - F.col("x_b")), F.abs(F.col("y_a") - F.col("y_b"))
+    c = cells.select(group, label, "cell_id", "x", "y").join(each.select(group, label, "most"), [group, label])
+    p = _half(c, F.col("most"), [group, label, "most"], ["cell_id", "x", "y"]).withColumn("d2", dx * dx + dy * dy).where("d2 <= most * most")
+    p = p.join(box.select(group, "w", "h", "radii"), group).select(group, label, "d2", (2 / F.greatest((F.col("w") - dx) * (F.col("h") - dy), F.lit(1e-12))).alias("weight"), F.explode("radii").alias("radius")).where("d2 <= radius * radius")
+    s = p.groupBy(group, label, "radius").agg(F.sum("weight").alias("s"))
+    out = each.select(group, label, "n", "w", "h", F.explode("radii").alias("radius")).join(s, [group, label, "radius"], "left")
+    area = F.col("w") * F.col("h") / F.col("n")
+    out = out.withColumn("k", area * area * F.coalesce("s", F.lit(0.0)))
+    return out.select(group, label, "radius", "n", "k", (F.col("k") - F.lit(np.pi) * F.col("radius") * F.col("radius")).alias("deviation"))
+
+
+def ripley_summary(k: DataFrame, at: float, group: str = "sample_id", label: str = "phenotype") -> DataFrame:
+    """O142: of each label's deviations the one at the radius nearest to `at` (the smaller of two), the largest by size, and the area under them by trapezoids."""
+    w = Window.partitionBy(group, label).orderBy("radius")
+    step = (F.col("radius") - F.lag("radius").over(w)) * (F.col("deviation") + F.lag("deviation").over(w)) / 2
+    near = F.struct(F.abs(F.col("radius") - at), "radius")
+    return k.withColumn("_step", step).groupBy(group, label).agg(F.min_by("deviation", near).alias("at_radius"), F.max_by("deviation", F.struct(F.abs("deviation"), -F.col("radius"))).alias("peak"), F.coalesce(F.sum("_step"), F.lit(0.0)).alias("area"))
 
 
 _PAIRS = f"{CELLS}, pr AS (SELECT a.sample_id, a.cell_id AS a, b.cell_id AS b, a.phenotype AS pa, b.phenotype AS pb FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.cell_id <> b.cell_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 4.0)"
@@ -140,10 +189,10 @@ def _o136(t):
     return triads(neighbour_counts(radius_pairs(t.cells(), 2.0)))
 
 
-@query("o138_local_diversity", f"WITH {_NEAR}, v AS (SELECT sample_id, a, count(*) AS richness, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS shannon, 2 * ln(sum(n)) - ln(sum(n * n)) AS renyi FROM nc GROUP BY ALL) SELECT sample_id, round(avg(richness), 6) AS richness, round(avg(shannon), 6) AS shannon, round(avg(renyi), 6) AS renyi2 FROM v GROUP BY 1")
+@query("o138_local_diversity", f"WITH {_NEAR}, v AS (SELECT sample_id, a, count(*) AS richness, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS shannon, 2 * ln(sum(sqrt(n))) - ln(sum(n)) AS r05, 2 * ln(sum(n)) - ln(sum(n * n)) AS r2, (3 * ln(sum(n)) - ln(sum(n * n * n))) / 2 AS r3 FROM nc GROUP BY ALL) SELECT sample_id, round(avg(richness), 6) AS richness, round(avg(shannon), 6) AS shannon, round(avg(r05), 6) AS renyi05, round(avg(r2), 6) AS renyi2, round(avg(r3), 6) AS renyi3 FROM v GROUP BY 1")
 def _o138(t):
     v = diversity(neighbour_counts(radius_pairs(t.cells(), 2.0)))
-    return v.groupBy("sample_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("richness", "shannon", "renyi2")])
+    return v.groupBy("sample_id").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("richness", "shannon", "renyi05", "renyi2", "renyi3")])
 
 
 @query("o139_infiltration", f"WITH {_PAIRS}, e AS (SELECT sample_id, a, count(*) FILTER (WHERE pb IN ('SMALL')) / (count(*) FILTER (WHERE pb IN ('ECONOMY', 'LARGE')) + 1)::DOUBLE AS r FROM pr WHERE pa IN ('ECONOMY', 'LARGE') GROUP BY ALL) SELECT c.sample_id, round(avg(coalesce(r, 0)), 9) AS ratio FROM cells c LEFT JOIN e ON e.sample_id = c.sample_id AND e.a = c.cell_id WHERE phenotype IN ('ECONOMY', 'LARGE') GROUP BY 1")
@@ -159,6 +208,14 @@ def _o140(t):
     return permutation_scores(c, radius_pairs(c, 2.0))
 
 
-@query("o142_ripley")
+_RIPLEY = f"{CELLS}, bx AS (SELECT sample_id, max(x) - min(x) AS w, max(y) - min(y) AS h FROM cells GROUP BY 1 HAVING max(x) > min(x) AND max(y) > min(y)), rr AS (SELECT *, list_filter([2.0::DOUBLE, 4, 6], lambda r: r <= 0.45 * least(w, h)) AS fit, least(w, h) AS s FROM bx), rad AS (SELECT *, CASE WHEN len(fit) > 0 THEN fit ELSE [s * 0.025, s * 0.05, s * 0.1] END AS radii FROM rr), nn AS (SELECT sample_id, phenotype, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) >= 3), ea AS (SELECT sample_id, phenotype, n, w, h, unnest(radii) AS radius FROM nn JOIN rad USING (sample_id)), pp AS (SELECT a.sample_id, a.phenotype, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.phenotype = b.phenotype AND a.cell_id <> b.cell_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36), kk AS (SELECT sample_id, phenotype, radius, n, w * h / n * (w * h / n) * coalesce((SELECT sum(1 / greatest((w - dx) * (h - dy), 1e-12)) FROM pp WHERE pp.sample_id = ea.sample_id AND pp.phenotype = ea.phenotype AND dx * dx + dy * dy <= radius * radius), 0) AS k FROM ea)"
+
+
+@query("o142_ripley", f"WITH {_RIPLEY} SELECT sample_id, phenotype, radius, n, round(k, 4) AS k, round(k - pi() * radius * radius, 4) AS deviation FROM kk")
 def _o142(t):
-    return ripley(t.cells(), [2.0, 4.0, 6.0])
+    return ripley(t.cells(), [2.0, 4.0, 6.0]).withColumns({c: F.round(c, 4) for c in ("k", "deviation")})
+
+
+@query("o142_ripley_summary", f"WITH {_RIPLEY}, d AS (SELECT sample_id, phenotype, radius, k - pi() * radius * radius AS d FROM kk), s AS (SELECT *, (radius - lag(radius) OVER o) * (d + lag(d) OVER o) / 2 AS st FROM d WINDOW o AS (PARTITION BY sample_id, phenotype ORDER BY radius)) SELECT sample_id, phenotype, round(arg_min(d, abs(radius - 4)), 4) AS at_radius, round(arg_max(d, abs(d)), 4) AS peak, round(coalesce(sum(st), 0), 4) AS area FROM s GROUP BY ALL")
+def _o142_summary(t):
+    return ripley_summary(ripley(t.cells(), [2.0, 4.0, 6.0]), 4.0).withColumns({c: F.round(c, 4) for c in ("at_radius", "peak", "area")})
