@@ -191,6 +191,19 @@ def in_parts(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return sum(g[0] for g in got), min(g[1] for g in got), max(g[2] for g in got)
 
 
+def _common(local: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches [a, b) of an item's word numbers (0 for other words): words in common with the item, each as often as in both, and the weight of the item's words that stand there. Both bound what a subsequence or the answer check can reach."""
+    overlap, share = np.empty(len(a), np.int64), np.empty(len(a))
+    for i in range(0, len(a), 4096):
+        k = b[i : i + 4096] - a[i : i + 4096]
+        first = np.cumsum(k) - k
+        row = np.repeat(np.arange(len(k)), k)
+        key = row * (len(count) + 1) + local[np.arange(k.sum()) + np.repeat(a[i : i + 4096] - first, k)]
+        n = np.bincount(key, minlength=len(k) * (len(count) + 1)).reshape(len(k), -1)[:, 1:]
+        overlap[i : i + 4096], share[i : i + 4096] = np.minimum(n, count).sum(axis=1), (n > 0) @ weight
+    return overlap, share
+
+
 def word_for_word(item: np.ndarray, t: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """(document, first place) of a short item in concatenated texts; one or two words must be all of a text."""
     n = len(item)
@@ -216,13 +229,13 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
     latent = q * idf[:, None].astype(np.float32)
     z = np.stack([latent[t].sum(axis=0) for _, t in bench.value.items]) if bench.value.items else np.zeros((0, q.shape[1]))
     z = (z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-    rare = [(u := np.unique(t), idf[u] / idf[u].sum()) for _, t in bench.value.items]
+    rare = [(*(u := np.unique(t, return_counts=True)), idf[u[0]] / idf[u[0]].sum()) for _, t in bench.value.items]
     # what each class asks of a stretch at least: words of its items, and the most that each term can add to an item's share
     least = {}
     for size, members in by_class.items():
         share = np.zeros(len(idf))
         for i in members:
-            np.maximum.at(share, *rare[i])
+            np.maximum.at(share, rare[i][0], rare[i][2])
         least[size] = (SUBSEQUENCE * min(len(bench.value.items[i][1]) for i in members), share)
     shared = terms.sparkSession.sparkContext.broadcast((latent, z, rare, least))
 
@@ -237,7 +250,7 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
             begin = np.repeat(starts, ends - starts)
             end = np.repeat(ends, ends - starts)
             place = np.arange(n) - begin
-            terms_at = t[t > 0]
+            terms_at, number = t[t > 0], np.zeros(len(latent), np.int32)
             n_known = np.concatenate([[0], np.cumsum(t > 0)])
             best: dict[tuple[int, int], tuple] = {}
             for size, members in by_class.items():
@@ -251,17 +264,20 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
                 at, to, lo, hi = at[ok], to[ok], lo[ok], hi[ok]
                 ka, kb = n_known[lo], n_known[hi]
                 for idx in members if len(at) else ():
-                    # the item's words in reach of a window, and their weight, bound the subsequence and the answer's share: drop what can't reach both
-                    item = items[idx][1]
-                    value = np.zeros(len(latent))
-                    value[rare[idx][0]] = rare[idx][1]
-                    value = value[terms_at]
-                    part = np.concatenate([[0], np.cumsum(value)])
-                    rows = np.flatnonzero(part[kb] - part[ka] >= ANSWER - 1e-6)
+                    # the item's words in reach of a window bound the subsequence and the answer's share: drop what can't reach both
+                    item, (uniq, count, weight) = items[idx][1], rare[idx]
+                    number[uniq] = np.arange(1, len(uniq) + 1)
+                    local = number[terms_at]
+                    number[uniq] = 0
+                    held = np.concatenate([[0], np.cumsum(local > 0, dtype=np.int32)])
+                    rows = np.flatnonzero(held[kb] - held[ka] >= SUBSEQUENCE * len(item))
+                    if not len(rows):
+                        continue
+                    overlap, share = _common(local, ka[rows], kb[rows], count, weight)
+                    ok = (overlap >= SUBSEQUENCE * len(item)) & (share >= ANSWER - 1e-6)
+                    rows, overlap = rows[ok], overlap[ok]
                     if not len(rows):
                         continue
-                    held = np.concatenate([[0], np.cumsum(value > 0)])
-                    rows = rows[held[kb[rows]] - held[ka[rows]] >= SUBSEQUENCE * len(item)]
                     cos = np.zeros(len(rows), np.float32)
                     for a in range(0, len(rows), 1 << 12):
                         wa, wb = at[rows[a : a + (1 << 12)]], to[rows[a : a + (1 << 12)]]
@@ -278,12 +294,12 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
                             continue
                         text = t[lo[row] : hi[row]]
                         for alike, share, nearest in ((lcs, SUBSEQUENCE, COSINE), (in_parts, IN_PARTS, PARTS_COSINE)):
-                            if cos[c] < nearest:
+                            if cos[c] < nearest or overlap[c] < share * len(item):
                                 break
                             length, p, q2 = alike(item, text)
                             if length < share * len(item):
                                 continue
-                            answer = float(rare[idx][1][np.isin(rare[idx][0], text[p:q2])].sum())
+                            answer = float(weight[np.isin(uniq, text[p:q2])].sum())
                             if answer >= ANSWER:
                                 if length > best.get((d, idx), (0,))[0]:
                                     best[d, idx] = (length, float(cos[c]), answer, int(lo[row]) + p - int(starts[d]))
@@ -322,13 +338,13 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all their columns, that hold no benchmark item. Rows of one id go together, as do rows with a null id and the same text."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit("null id"), F.col("text").cast("string")))
     has_id = F.col("doc_id").isNotNull()
-    with_ids, without = docs.where(has_id), docs.where(~has_id).withColumn("_key", key)
+    with_ids, without = docs.where(has_id), docs.where(~has_id).withColumn("_text_key", key)
     held = leaks(with_ids, benchmark).select("doc_id").distinct()
     kept = with_ids.join(held, "doc_id", "left_anti").select(*docs.columns)
     if without.isEmpty():
         return kept
-    also = leaks(without.withColumn("doc_id", F.col("_key")).select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
-    return kept.unionByName(without.join(also, "_key", "left_anti").select(*docs.columns))
+    also = leaks(without.withColumn("doc_id", F.col("_text_key")).select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("_text_key")).distinct()
+    return kept.unionByName(without.join(also, "_text_key", "left_anti").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ def sentence(r, n):
 
 def tables(spark, tmp_path):
     r = random.Random(5)
-    items = [(i, sentence(r, r.randint(12, 40)).capitalize() + ".") for i in range(12)] + [(90, None), (91, ""), (92, "too short")]
+    items = [(i, sentence(r, r.randint(12, 40)).capitalize() + ".") for i in range(12)] + [(90, None), (91, ""), (92, "too short"), (93, "What is nitrous oxide?"), (94, "the of")]
     docs = [(i, sentence(r, r.randint(30, 300)), "en", "s", 0, 0.5) for i in range(60)]
     leaks = {}
     for k in range(12):
@@ -31,6 +31,8 @@ def tables(spark, tmp_path):
         leaks[100 + k] = k
     docs += [(200, docs[0][1], "en", "s", 0, 0.0), (201, docs[1][1] + " tail", None, None, None, None), (202, docs[2][1][:400] + sentence(r, 80), "en", "s", 7, None), (203, None, "en", None, None, None), (204, "", None, None, None, None), (205, "1 2 3", "en", "s", 1, 1.0), (0, docs[0][1], "en", "s", 0, 0.5), (206, items[0][1], "en", "s", 0, 0.5)]
     leaks[206] = 0
+    docs += [(207, sentence(r, 40) + " so, what is NITROUS oxide " + sentence(r, 9), "en", "s", 0, 0.5), (208, "The of!", "en", "s", 1, 0.5), (209, "the of the", "en", "s", 1, 0.5)]
+    leaks |= {207: 93, 208: 94}
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, cosine double").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     return leaks
@@ -44,6 +46,75 @@ def test_decontamination(spark, tmp_path):
     assert D.leaks(docs.where("false"), bench).count() == 0 and D.leaks(docs, bench.where("false")).count() == 0
 
 
+def planted(seed, n_items=40):
+    """Items hidden in other words, by kind of edit."""
+    r = random.Random(seed)
+    items = [sentence(r, r.randint(15, 40)).split() for _ in range(n_items)]
+    other = sentence(r, 3000).split()
+
+    def edit(words, share):
+        out = []
+        for w in words:
+            x = r.random()
+            out += [r.choice(other)] if x < share / 2 else [] if x < share else [w]
+        return out
+
+    swap = lambda w: w[len(w) // 2 :] + w[: len(w) // 2]
+    kinds = {"exact": lambda w: w, "30 % edited": lambda w: edit(w, 0.3), "halves swapped": swap, "swapped, 10 % edited": lambda w: edit(swap(w), 0.1)}
+    docs, truth = [], {}
+    for kind, f in kinds.items():
+        for i, w in enumerate(items):
+            at = r.randint(0, 240)
+            hay = [r.choice(other) for _ in range(240)]
+            truth[len(docs)] = (kind, i)
+            docs.append((len(docs), " ".join(hay[:at] + f(w) + hay[at:])))
+    docs += [(len(docs) + i, " ".join(r.choice(other) for _ in range(r.randint(20, 300)))) for i in range(60)]
+    return [" ".join(w) for w in items], docs, truth
+
+
+def test_recall_by_kind_of_edit(spark):
+    items, docs, truth = planted(7)
+    hits = {(h.doc_id, h.item_id) for h in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    for kind in {k for k, _ in truth.values()}:
+        of = [(d, i) for d, (k, i) in truth.items() if k == kind]
+        assert sum(x in hits for x in of) >= (1 if kind == "exact" else 0.9) * len(of), kind
+    assert hits <= {(d, i) for d, (_, i) in truth.items()}
+
+
+def test_search_against_brute_force(spark):
+    """Every window at every place, without the latent space: what the query finds is there, and of what is there it finds nine tenths or more."""
+    import numpy as np
+
+    items, docs, _ = planted(8, 6)
+    bench = D.Benchmark([(i, t.encode()) for i, t in enumerate(items)])
+    terms = [bench.number(D.words_of([t.encode()]).hash()) for _, t in docs]
+    lots = [t[a : a + D.PASSAGE] for t in terms for a in range(0, len(t), D.PASSAGE)]
+    df = np.bincount(np.concatenate([np.unique(x[x > 0]) for x in lots]), minlength=len(bench.vocabulary) + 1)
+    idf = np.log((1 + len(lots)) / (1 + df)) + 0.1
+    want = set()
+    for d, t in enumerate(terms):
+        for i, item in bench.items:
+            share = {x: idf[x] / idf[np.unique(item)].sum() for x in np.unique(item)}
+            for a in range(0, len(t), 2):
+                text = t[a : a + len(item) * 3 // 2]
+                if sum(share.get(x, 0) for x in set(text.tolist())) < D.ANSWER:
+                    continue
+                for alike, least in ((D.lcs, D.SUBSEQUENCE), (D.in_parts, D.IN_PARTS)):
+                    n, p, q = alike(item, text)
+                    if n >= least * len(item) and sum(share.get(x, 0) for x in set(text[p:q].tolist())) >= D.ANSWER:
+                        want.add((d, i))
+    hits = {(h.doc_id, h.item_id) for h in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    assert len(want) >= 20 and hits <= want and len(hits) >= 0.9 * len(want)
+
+
+def test_rows_with_a_null_id_are_cleaned(spark):
+    items, docs, truth = planted(9, 5)
+    d = spark.createDataFrame([(None, t, 1) for _, t in docs], "doc_id long, text string, _key int")
+    left = [r.text for r in D.clean(d, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()]
+    gone = [t for i, t in docs if i in truth and truth[i][0] == "exact"]
+    assert not set(gone) & set(left) and all(t in left for i, t in docs if i not in truth)
+
+
 def test_common_words_among_foreign_ones_are_found(spark):
     words = "the of and that with her was ing not for are".split()
     foreign = lambda i, n: " ".join(f"x{i}q{k}" for k in range(n))
