@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.registry import FEATURES, query
@@ -40,10 +40,24 @@ def normal_p(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
-def zscore(value: str, window, sample_sd: bool = True) -> Column:
-    """O122: null where the sd is 0; sample or population sd by name."""
-    sd = F.stddev_samp(value) if sample_sd else F.stddev_pop(value)
-    return F.try_divide(F.col(value) - F.avg(value).over(window), F.nullif(sd.over(window), F.lit(0.0)))
+def zscore(value: str, window, sample_sd: bool = True, log1p: bool = False) -> Column:
+    """O122: null where the sd is 0; sample or population sd by name; with log1p of ln(1 + value), where a negative value is an error."""
+    v = F.col(value)
+    if log1p:
+        v = F.when(v < 0, F.raise_error(F.lit(f"{value}: log1p of a negative value")).cast("double")).otherwise(F.log1p(v))
+    sd = F.stddev_samp(v) if sample_sd else F.stddev_pop(v)
+    return F.try_divide(v - F.avg(v).over(window), F.nullif(sd.over(window), F.lit(0.0)))
+
+
+def one_hot(df: DataFrame, train: DataFrame, columns: list[str], most: int = 1000) -> DataFrame:
+    """O124: a 0/1 column for each level of a column but the first, in sorted order; levels are those of the training rows (at most `most` a column, or an error). Levels that training rows lack, and nulls, are 0 throughout."""
+    out = [F.col(c) for c in df.columns if c not in columns]
+    for c in columns:
+        levels = sorted(r[0] for r in train.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().limit(most + 1).collect())
+        if len(levels) > most:
+            raise ValueError(f"{c} has more than {most} levels")
+        out += [F.coalesce((F.col(c).cast("string") == x).cast("int"), F.lit(0)).alias(f"{c}_{x}") for x in levels[1:]]
+    return df.select(*out)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -149,3 +163,16 @@ def _o131(t):
     n = F.count_if(F.col("value") > 50)
     q = [F.percentile("value", F.lit(p)) for p in (0.5, 0.25, 0.75)]
     return t("events").groupBy("event_type").agg(F.format_string("%d (%.1f%%)", n, 100.0 * n / F.count(F.lit(1))).alias("n_pct"), F.format_string("%.4f (%.4f-%.4f)", *q).alias("spread"))
+
+
+@query("o122_log1p_zscore", f"WITH {FEATURES}, f AS (SELECT patient_id, feature, ln(1 + value) AS v FROM features) SELECT patient_id, feature, round((v - avg(v) OVER w) / nullif(stddev_pop(v) OVER w, 0), 5) AS z FROM f WINDOW w AS (PARTITION BY feature)")
+def _o122_log1p(t):
+    from pyspark.sql import Window
+
+    return t.features().select("patient_id", "feature", F.round(zscore("value", Window.partitionBy("feature"), sample_sd=False, log1p=True), 5).alias("z"))
+
+
+@query("o124_one_hot", "SELECT o_orderkey, (o_orderstatus = 'O')::INT AS \"o_orderstatus_O\", (o_orderstatus = 'P')::INT AS \"o_orderstatus_P\" FROM orders")
+def _o124_levels(t):
+    o = t("orders").select("o_orderkey", "o_orderstatus")
+    return one_hot(o, o.where("o_orderkey % 2 = 0"), ["o_orderstatus"])

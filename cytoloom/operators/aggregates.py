@@ -104,6 +104,23 @@ def consensus(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.avg("rho").alias("consensus_rho"), F.count("rho").alias("support"), F.stddev_pop("rho").alias("rho_sd"), pos.alias("n_pos"), neg.alias("n_neg"), F.try_divide(F.greatest(pos, neg), pos + neg).alias("sign_consistency"))
 
 
+def combine_repeats(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """O149: mean and sample sd of each metric over the repeats of a key, and how many repeats have it."""
+    return df.groupBy(*keys).agg(*[x for m in metrics for x in (F.avg(m).alias(m), F.stddev_samp(m).alias(f"{m}_sd"), F.count(m).alias(f"{m}_n"))])
+
+
+def distances(pairs: DataFrame, mode: str = "signed") -> DataFrame:
+    """O176: distance of each ordered pair of features from the correlations of unordered ones (a, b, rho): signed 1 - rho, absolute 1 - |rho|, or rows: 1 - the Spearman correlation of the two rows of the correlation matrix (with itself 1). Within 0 and 2, a missing correlation counts as 0."""
+    rho = F.coalesce("rho", F.lit(0.0))
+    both = pairs.select("a", "b", rho.alias("rho")).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), rho.alias("rho")))
+    if mode == "rows":
+        own = both.select("a").distinct().select("a", F.col("a").alias("b"), F.lit(1.0).alias("rho"))
+        rows = both.unionByName(own).select(F.col("a").alias("feature"), F.col("b").alias("patient_id"), F.col("rho").alias("value"))
+        return distances(spearman_pairs(rows, [], 1))
+    value = F.abs("rho") if mode == "absolute" else F.col("rho")
+    return both.select("a", "b", F.least(F.greatest(1 - value, F.lit(0.0)), F.lit(2.0)).alias("distance"))
+
+
 def kaplan_meier(df: DataFrame, keys: list[str]) -> DataFrame:
     """O088: the product-limit estimate at each event time, and the median survival time (null if not reached)."""
     w = Window.partitionBy(*keys)
@@ -240,3 +257,26 @@ def _o113(t):
     s, c = t("supplier"), t("customer")
     n = lambda d, op: d.agg(F.lit(op).alias("op"), F.count(F.lit(1)).alias("n"))
     return n(s.select("s_nationkey").union(c.select("c_nationkey")).distinct(), "union").union(n(s.select("s_suppkey").intersect(c.select("c_custkey")), "intersect")).union(n(c.select("c_custkey").exceptAll(s.select("s_suppkey")), "except"))
+
+
+@query("o072_all_region", f"WITH {CELLS} SELECT sample_id, coalesce(region, 'All') AS region, phenotype, count(*) AS n FROM cells GROUP BY GROUPING SETS ((sample_id, region, phenotype), (sample_id, phenotype))")
+def _o072(t):
+    return composition(t.cells(), ["sample_id"]).select("sample_id", "region", "phenotype", "n")
+
+
+@query("o149_repeat_combiner", "SELECT event_type, round(avg(v), 6) AS v, round(stddev_samp(v), 6) AS v_sd, count(v) AS v_n FROM (SELECT event_type, user_id % 5 AS repeat, avg(value) AS v FROM events GROUP BY ALL) GROUP BY 1")
+def _o149(t):
+    r = t("events").groupBy("event_type", (F.col("user_id") % 5).alias("repeat")).agg(F.avg("value").alias("v"))
+    return combine_repeats(r, ["event_type"], ["v"]).withColumns({c: F.round(c, 6) for c in ("v", "v_sd")})
+
+
+_RHO = f"{_SPEARMAN}, rho AS (SELECT a, b, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 6) AS rho FROM r GROUP BY ALL HAVING count(*) >= 20), bo AS (SELECT a, b, coalesce(rho, 0) AS rho FROM rho UNION ALL SELECT b, a, coalesce(rho, 0) FROM rho)"
+
+
+@query("o176_distances", f"WITH {_RHO}, m AS (SELECT a AS f, b AS p, rho AS v FROM bo UNION ALL SELECT DISTINCT a, a, 1.0 FROM bo), j2 AS (SELECT x.f AS a, y.f AS b, x.v AS va, y.v AS vb FROM m x JOIN m y ON x.p = y.p AND x.f < y.f), r2 AS (SELECT a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM j2), s AS (SELECT a, b, coalesce(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 0) AS rho FROM r2 GROUP BY ALL) SELECT a, b, round(least(greatest(1 - rho, 0), 2), 6) AS distance, 'signed' AS mode FROM bo UNION ALL SELECT a, b, round(1 - abs(rho), 6), 'absolute' FROM bo UNION ALL SELECT a, b, round(least(greatest(1 - rho, 0), 2), 6), 'rows' FROM s UNION ALL SELECT b, a, round(least(greatest(1 - rho, 0), 2), 6), 'rows' FROM s")
+def _o176(t):
+    p, out = _o084(t), None
+    for mode in ("signed", "absolute", "rows"):
+        d = distances(p, mode).select("a", "b", F.round("distance", 6).alias("distance"), F.lit(mode).alias("mode"))
+        out = d if out is None else out.unionByName(d)
+    return out

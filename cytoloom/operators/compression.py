@@ -85,6 +85,36 @@ def cut_tree(merges: list[tuple[int, int, float]], n: int, k: int | None = None,
     return [seen.setdefault(r, len(seen)) for r in roots]
 
 
+def leaf_order(merges: list[tuple[int, int, float]], n: int) -> list[int]:
+    """O180: leaves from left to right under the last merge, each merge's first cluster left."""
+    stack, out = [n + len(merges) - 1] if merges else list(range(n)), []
+    while stack:
+        x = stack.pop()
+        if x < n:
+            out.append(x)
+        else:
+            stack += [merges[x - n][1], merges[x - n][0]]
+    return out
+
+
+def module_names(merges: list[tuple[int, int, float]], n: int, labels: list[int]) -> list[str]:
+    """O180: M01, M02 and so on, by the first leaf of each cluster in dendrogram order."""
+    seen: dict[int, str] = {}
+    for leaf in leaf_order(merges, n):
+        seen.setdefault(labels[leaf], f"M{len(seen) + 1:02d}")
+    return [seen[x] for x in labels]
+
+
+def microfamilies(names: list[str], family: dict[str, str], rho: dict[tuple[str, str], float], score: dict[str, float], least: float) -> dict[str, tuple[str, str]]:
+    """O173: of each feature its family and its representative: families by parsed key, components of pairs in one family with rho of at least `least`, and of each the member of the best score, the least name of equals."""
+    edges = [(a, b) for (a, b), r in rho.items() if r >= least and family.get(a) == family.get(b) and a in family and b in family]
+    label = component_labels(names, edges)
+    best: dict[str, str] = {}
+    for x in sorted(names, key=lambda x: (-score[x], x)):
+        best.setdefault(label[x], x)
+    return {x: (family[x], best[label[x]]) for x in names}
+
+
 def silhouette(d: np.ndarray, labels: list[int]) -> float:
     """O178: mean silhouette from distances; a lone member scores 0."""
     lab, s = np.array(labels), []
@@ -138,7 +168,7 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def _pairs(t) -> DataFrame:
-    f = t.features().withColumn("root", F.substring_index("feature", "_", 1))
+    f = t.features().select("patient_id", "feature", F.round("value", 6).alias("value"), F.substring_index("feature", "_", 1).alias("root"))
     return spearman_pairs(f, ["root"], 5).select("root", "a", "b", F.round("rho", 9).alias("rho"))
 
 
@@ -156,7 +186,10 @@ def _o163(t):
     return _per_root(t, lambda names, rho: zip(names, greedy_novelty(names, rho, 0.15), strict=True), "root string, feature string, novel boolean", ["root", "feature", "novel"])
 
 
-@query("o164_graph_components")
+_ROOTS = f"{FEATURES}, ff AS (SELECT patient_id, split_part(feature, '_', 1) AS root, feature, round(value, 6) AS value FROM features), j AS (SELECT a.root, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.root = b.root AND a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT root, a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM j), rho AS (SELECT root, a, b, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 9) AS rho FROM r GROUP BY ALL HAVING count(*) >= 5)"
+
+
+@query("o164_graph_components", f"WITH RECURSIVE {_ROOTS}, n AS (SELECT root, a AS x FROM rho UNION SELECT root, b FROM rho), e AS (SELECT root, a AS x, b AS y FROM rho WHERE abs(rho) >= 0.2 UNION SELECT root, b, a FROM rho WHERE abs(rho) >= 0.2), c AS (SELECT root, x, x AS m FROM n UNION SELECT e.root, e.y, c.m FROM c JOIN e ON e.root = c.root AND e.x = c.x WHERE c.m < e.y) SELECT root, x AS feature, min(m) AS component FROM c GROUP BY ALL")
 def _o164(t):
     return _per_root(t, lambda names, rho: component_labels(names, [k for k, r in rho.items() if abs(r) >= 0.2]).items(), "root string, feature string, component string", ["root", "feature", "component"])
 
@@ -203,3 +236,14 @@ def _o182(t):
 @query("o187_adjusted_rand", "WITH n AS (SELECT p_type AS a, p_brand AS b, count(*) AS n FROM part GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2) AS nij, sum(n) AS t FROM n), y AS (SELECT sum(n * (n - 1) / 2) AS ai FROM (SELECT sum(n) AS n FROM n GROUP BY a)), z AS (SELECT sum(n * (n - 1) / 2) AS bj FROM (SELECT sum(n) AS n FROM n GROUP BY b)) SELECT round((nij - ai * bj / (t * (t - 1) / 2)) / ((ai + bj) / 2 - ai * bj / (t * (t - 1) / 2)), 9) AS ari FROM x, y, z")
 def _o187(t):
     return adjusted_rand(t("part"), "p_type", "p_brand").select(F.round("ari", 9).alias("ari"))
+
+
+@query("o180_module_names")
+def _o180(t):
+    def fn(names, rho):
+        d = np.array([[0.0 if x == y else 1 - rho.get((min(x, y), max(x, y)), 0.0) for y in names] for x in names])
+        merges = linkage(d)
+        labels = cut_tree(merges, len(names), k=min(4, len(names)))
+        return zip(names, module_names(merges, len(names), labels), [leaf_order(merges, len(names)).index(i) for i in range(len(names))], strict=True)
+
+    return _per_root(t, fn, "root string, feature string, module string, place int", ["root", "feature", "module", "place"])

@@ -17,6 +17,12 @@ def combine_calls(calls: DataFrame, keys: list[str], marker: str, positive: str,
     return g.select(*keys, F.when(F.size("s") == 0, "ALL_NEG").otherwise(F.array_join("s", ";")).alias("combo"), F.size("s").alias("n_positive"), "any_blank")
 
 
+def combine_calls_by_row(calls: DataFrame, keys: list[str], order: list[str], marker: str, positive: str, blank: str) -> DataFrame:
+    """O022: as combine_calls, but the first row of a key in each marker's file meets the first of the others, the second the second and so on, so repeated keys stay rows of their own. `order` is the order of rows in the files."""
+    w = Window.partitionBy(marker, *keys).orderBy(*order)
+    return combine_calls(calls.withColumn("occurrence", F.row_number().over(w)), [*keys, "occurrence"], marker, positive, blank)
+
+
 def coordinate(text: Column) -> Column:
     """O023: the last `[x,y]` token, as x_y; null if there is none."""
     last = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\[\s*(\d+)\s*,\s*(\d+)\s*\]"), F.lit(0)), F.lit(-1))
@@ -164,3 +170,9 @@ def _o043(t):
 @query("o044_predictive_gate", f"WITH {EVIDENCE} SELECT feature, CASE WHEN transform = 0 THEN oof >= 0.6 AND sd <= 0.3 ELSE oof >= 0.55 END AS passes FROM evidence")
 def _o044(t):
     return t.evidence().select("feature", F.when(F.col("transform") == 0, (F.col("oof") >= 0.6) & (F.col("sd") <= 0.3)).otherwise(F.col("oof") >= 0.55).alias("passes"))
+
+
+@query("o022_row_aligned_merge", "WITH e AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS occurrence FROM events) SELECT user_id, occurrence::INT AS occurrence, coalesce(string_agg(DISTINCT event_type, ';' ORDER BY event_type) FILTER (WHERE value > 50), 'ALL_NEG') AS combo, count(DISTINCT event_type) FILTER (WHERE value > 50) AS n_positive, bool_or(value < 5) AS any_blank FROM e GROUP BY ALL")
+def _o022(t):
+    e = t("events").select("user_id", "event_id", "event_type", (F.col("value") > 50).alias("pos"), (F.col("value") < 5).alias("blank"))
+    return combine_calls_by_row(e, ["user_id"], ["event_id"], "event_type", "pos", "blank")

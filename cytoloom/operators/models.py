@@ -397,3 +397,9 @@ def _o160(t):
     f = t("events").select("user_id", (F.col("value") - 50).alias("v"))
     m = f.groupBy("user_id").agg(F.signum(F.avg("v")).alias("s"))
     return f.join(m, "user_id").groupBy("user_id").agg(F.round(F.avg((F.signum("v") == F.col("s")).cast("double")), 9).alias("consistency"), F.first(-F.col("s")).alias("favourable"))
+
+
+@query("o146_nested_models")
+def _o146(t):
+    both = lambda df, keys, kind: fit_models(df, keys, kind, ["nation"]).where("variant = 'combined'").select(F.col(keys[0]).alias("context"), F.lit(kind).alias("kind"), "n", "lrt_df", "lrt_p")
+    return both(_brands(t), ["feature"], "logistic").unionByName(both(_cohorts(t), ["cohort"], "cox"))

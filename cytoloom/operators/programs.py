@@ -13,7 +13,7 @@ from ..functions.scalars import zscore
 from ..plans.registry import EVIDENCE, FEATURES, query
 from ..sources.scratch import new_path
 from .aggregates import spearman_pairs
-from .compression import _pairs, component_labels, cut_tree, greedy_compression, greedy_novelty, linkage, silhouette
+from .compression import _pairs, component_labels, cut_tree, greedy_compression, greedy_novelty, linkage, microfamilies, silhouette
 from .windows import percentile_rank
 
 #: Weights of the K score, the greatest K to choose, and how near the best a smaller K must come.
@@ -277,10 +277,8 @@ def _o172(t):
 @query("o173_microfamilies")
 def _o173(t):
     def fn(names, rho):
-        for fam in sorted({x[:-1] for x in names}):
-            own = [x for x in names if x[:-1] == fam]
-            lab = component_labels(own, [k for k, r in rho.items() if k[0] in own and k[1] in own and r >= 0.1])
-            yield from ((x, fam, lab[x]) for x in own)
+        central = {x: sum(abs(r) for k, r in rho.items() if x in k) for x in names}
+        return ((x, *y) for x, y in microfamilies(names, {x: x[:-1] for x in names}, rho, central, 0.1).items())
 
     return _in_roots(t, fn, "root string, feature string, family string, representative string")
 

@@ -235,11 +235,11 @@ def _o085(t):
     return a.join(b, "patient_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o087_support_filter")
+@query("o087_support_filter", f"WITH {FEATURES}, c AS (SELECT s_suppkey AS patient_id, s_nationkey % 2 AS cohort FROM supplier), ff AS (SELECT patient_id, feature, round(value, 6) AS value, cohort FROM features JOIN c USING (patient_id) WHERE value > 24), j AS (SELECT a.cohort, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT cohort, a, b, rank() OVER (PARTITION BY cohort, a, b ORDER BY va) + (count(*) OVER (PARTITION BY cohort, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY cohort, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY cohort, a, b, vb) - 1) / 2.0 AS rb FROM j), p AS (SELECT cohort, a, b, covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0) AS rho FROM r GROUP BY ALL HAVING count(*) >= 2), q AS (SELECT a, b, avg(rho) AS rho, count(rho) >= 1 AS ok FROM p GROUP BY ALL), keep AS (SELECT f FROM (SELECT a AS f, ok FROM q UNION ALL SELECT b, ok FROM q) GROUP BY f HAVING avg(ok::INT) >= 0.5) SELECT a, b, round(CASE WHEN ok THEN rho ELSE 0 END, 6) AS rho FROM q WHERE a IN (SELECT f FROM keep) AND b IN (SELECT f FROM keep)")
 def _o087(t):
     s = t("supplier").select(F.col("s_suppkey").alias("patient_id"), (F.col("s_nationkey") % 2).alias("cohort"))
-    f = t.features().where("feature LIKE 'qty%' AND value > 24").join(s, "patient_id")
-    return support_filter(consensus(spearman_pairs(f, ["cohort"], 2)), 1, 0.5)
+    f = t.features().where("value > 24").withColumn("value", F.round("value", 6)).join(s, "patient_id")
+    return support_filter(consensus(spearman_pairs(f, ["cohort"], 2)), 1, 0.5).withColumn("rho", F.round("rho", 6))
 
 
 @query("o089_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")

@@ -57,7 +57,7 @@ def infiltration(pairs: DataFrame, base: list[str], immune: list[str], group: st
 
 
 def nearest(q: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Distance of each q to the nearest p other than its own place in p (-1: none); infinite if there is none. Points lie in squares of about two; rings of squares are searched until none nearer can follow."""
+    """Distance of each q to the nearest p other than its own place in p (-1: none); infinite if there is none. Points lie in squares of about two; rings of squares are searched until none nearer can follow, and places far from all points are compared with each."""
     best = np.full(len(q), np.inf)
     if not len(p):
         return best
@@ -70,8 +70,8 @@ def nearest(q: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
     o = np.argsort(key, kind="stable")
     key, places = key[o], p[o]
     home = np.floor((q - low) / side).astype(np.int64)
-    left, last = np.arange(len(q)), int(np.abs(np.concatenate([home - cell.min(axis=0), home - cell.max(axis=0)])).max()) + 1
-    for ring in range(last + 1):
+    left = np.arange(len(q))
+    for ring in range(9):
         for i in range(-ring, ring + 1):
             for j in range(-ring, ring + 1) if abs(i) == ring else (-ring, ring):
                 at = home[left] + (i, j)
@@ -88,6 +88,11 @@ def nearest(q: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
         left = left[best[left] > (ring * side) ** 2]
         if not len(left):
             break
+    for i in range(0, len(left), 256):
+        some = left[i : i + 256]
+        d = ((q[some, None] - p[None]) ** 2).sum(axis=2)
+        d[own[some, None] == np.arange(len(p))[None]] = np.inf
+        best[some] = d.min(axis=1)
     return np.sqrt(best)
 
 

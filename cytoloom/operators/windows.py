@@ -140,3 +140,8 @@ def _o110(t):
     g = t.evidence().withColumn("thr", F.explode(F.array(*map(F.lit, (0.1, 0.2, 0.3, 0.5))))).where("sd <= thr")
     m = top_k(g, ["context", "thr"], [F.desc("oof"), F.col("feature")], 10).groupBy("context", "thr").agg(F.round(F.avg("oof"), 9).alias("m"))
     return m.withColumn("best", F.max("m").over(Window.partitionBy("context"))).where("m >= 0.95 * best").groupBy("context").agg(F.min("thr").alias("threshold"))
+
+
+@query("o102_keep_first", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) = 1")
+def _o102(t):
+    return keep_first(t("orders"), ["o_custkey"], [F.col("o_orderdate"), F.col("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import FEATURES, query
@@ -88,6 +88,86 @@ def backfill(df: DataFrame, columns: dict[str, list[str]]) -> DataFrame:
     return df.select(*[pick([c, *names]).alias(c) for c, names in columns.items()])
 
 
+def cohort_prefix(path: Column, known: list[str]) -> Column:
+    """O002: what stands before `_Core[` in a file's name, less a trailing ` (n)`; of known prefixes the first that it starts with, else null."""
+    name = F.element_at(F.split(path, "/"), -1)
+    stem = F.trim(F.regexp_replace(F.split(name, r"_Core\[")[0], r" \(\d+\)$", ""))
+    return F.when(name.contains("_Core["), F.coalesce(*[F.when(stem.startswith(k), F.lit(k)) for k in known], F.lit(None).cast("string")))
+
+
+def core_key(path: Column, suffix: str) -> Column:
+    """O002: a file's name less a suffix; null if it has another one."""
+    name = F.element_at(F.split(path, "/"), -1)
+    return F.when(name.endswith(suffix), F.substring(name, F.lit(1), F.length(name) - len(suffix)))
+
+
+def files_of(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """O002, O009: files below a folder whose names match, by Spark's own listing (no content is read): file, modified, bytes."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    return f.select(F.col("path").alias("file"), F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def bundle_index(files: DataFrame, kinds: list[str], column: str = "file") -> DataFrame:
+    """O009: result bundles: files named <key>__<kind>.csv by key, whether each kind is there, and how many files repeat a kind. Of repeated ones the first path counts."""
+    name = F.element_at(F.split(F.col(column), "/"), -1)
+    pattern = rf"^(.+)__({'|'.join(kinds)})\.csv$"
+    f = files.where(name.rlike(pattern)).select(F.regexp_extract(name, pattern, 1).alias("bundle"), F.regexp_extract(name, pattern, 2).alias("kind"), F.col(column).alias("file"))
+    one = f.groupBy("bundle", "kind").agg(F.min("file").alias("file"), F.count(F.lit(1)).alias("n"))
+    return one.groupBy("bundle").agg(*[F.max(F.when(F.col("kind") == k, F.col("file"))).alias(k) for k in kinds], F.sum(F.col("n") - 1).alias("n_duplicates"), (F.count(F.lit(1)) == len(kinds)).alias("complete"))
+
+
+def standardise(df: DataFrame, targets: dict[str, list[str]], coalesced: set[str] = frozenset(), numeric: set[str] = frozenset(), inferred: dict[str, Column] | None = None) -> DataFrame:
+    """O011: each target from the first alias that is a column (matched without case), or row by row from all of them for `coalesced` ones; else from `inferred`; else null. Numeric targets become null where they are no number."""
+    have = {c.lower(): c for c in df.columns}
+    out = []
+    for name, aliases in targets.items():
+        found = [F.col(f"`{have[x.lower()]}`") for x in [name, *aliases] if x.lower() in have]
+        found = [c.cast("string").try_cast("double") if name in numeric else c.cast("string") for c in found]
+        use = found if name in coalesced else found[:1]
+        guess = (inferred or {}).get(name, F.lit(None))
+        out.append(F.coalesce(*use, guess.cast("double" if name in numeric else "string")).alias(name))
+    return df.select(*out)
+
+
+def write_parts(df: DataFrame, path: str, rows_per_file: int = 1_000_000, merge: bool = False) -> bool:
+    """O015: parquet parts of at most rows_per_file rows, or one file; done before, nothing is written (a folder with Spark's success mark is done, one without it is an error). Returns whether it wrote."""
+    spark = df.sparkSession
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        return False
+    (df.coalesce(1) if merge else df).write.mode("errorifexists").option("maxRecordsPerFile", 0 if merge else rows_per_file).parquet(path)
+    return True
+
+
+@query("o002_file_names", "WITH f AS (SELECT c_custkey, 'runs/a/' || c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' (2)' ELSE '' END || CASE WHEN c_custkey % 5 = 0 THEN '_slide' ELSE '_Core[1,' || c_nationkey || ',B]' END || '_[100,20]' || CASE WHEN c_custkey % 7 = 0 THEN '.log' ELSE '_cells.txt' END AS p FROM customer) SELECT c_custkey, CASE WHEN contains(p, '_Core[') THEN CASE WHEN p LIKE 'runs/a/BUILD%' THEN 'BUILD' WHEN p LIKE 'runs/a/MACHINERY%' THEN 'MACHINERY' END END AS cohort, CASE WHEN p LIKE '%_cells.txt' THEN left(p[8:], length(p) - 17) END AS core FROM f")
+def _o002(t):
+    n = F.col("c_custkey")
+    p = F.concat(F.lit("runs/a/"), "c_mktsegment", F.when(n % 3 == 0, " (2)").otherwise(""), F.when(n % 5 == 0, "_slide").otherwise(F.concat(F.lit("_Core[1,"), F.col("c_nationkey").cast("string"), F.lit(",B]"))), F.lit("_[100,20]"), F.when(n % 7 == 0, ".log").otherwise("_cells.txt"))
+    return t("customer").withColumn("p", p).select("c_custkey", cohort_prefix(F.col("p"), ["BUILD", "MACHINERY"]).alias("cohort"), core_key(F.col("p"), "_cells.txt").alias("core"))
+
+
+@query("o009_bundle_index", "WITH k AS (SELECT s_suppkey, unnest(['summary', 'folds', 'oof']) AS kind FROM supplier), f AS (SELECT 'x/ctx' || s_suppkey || '__' || kind || '.csv' AS file, 'ctx' || s_suppkey AS bundle, kind FROM k WHERE NOT (kind = 'oof' AND s_suppkey % 4 = 0) UNION ALL SELECT 'y/ctx' || s_suppkey || '__folds.csv', 'ctx' || s_suppkey, 'folds' FROM supplier WHERE s_suppkey % 3 = 0) SELECT bundle, min(file) FILTER (WHERE kind = 'summary') AS summary, min(file) FILTER (WHERE kind = 'folds') AS folds, min(file) FILTER (WHERE kind = 'oof') AS oof, (count(*) - count(DISTINCT kind))::BIGINT AS n_duplicates, count(DISTINCT kind) = 3 AS complete FROM f GROUP BY 1")
+def _o009(t):
+    s, kinds = t("supplier"), ["summary", "folds", "oof"]
+    name = lambda top, k: F.concat(F.lit(f"{top}/ctx"), F.col("s_suppkey").cast("string"), F.lit("__"), k, F.lit(".csv")).alias("file")
+    every = s.select("s_suppkey", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).where("NOT (kind = 'oof' AND s_suppkey % 4 = 0)").select(name("x", F.col("kind")))
+    return bundle_index(every.unionByName(s.where("s_suppkey % 3 = 0").select(name("y", F.lit("folds")))).unionByName(s.select(F.lit("z/readme.txt").alias("file"))), kinds)
+
+
+@query("o011_standardise", "SELECT c_custkey::VARCHAR AS patient, coalesce(CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END, c_nationkey) AS metric, 'ctx' AS context, NULL::DOUBLE AS absent, TRY_CAST(c_mktsegment AS DOUBLE) AS odd FROM customer")
+def _o011(t):
+    c = t("customer").select(F.col("c_custkey").alias("Patient_ID"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("oof_auc"), F.col("c_nationkey").alias("AUC"), F.col("c_mktsegment").alias("odd"))
+    return standardise(c, {"patient": ["patient_id", "id"], "metric": ["oof_auc", "auc"], "context": [], "absent": ["nowhere"], "odd": []}, {"metric"}, {"metric", "absent", "odd"}, {"context": F.lit("ctx")})
+
+
+@query("o015_part_sink", "SELECT s_suppkey, s_name FROM supplier")
+def _o015(t):
+    path, s = new_path(t.spark, "parts"), t("supplier").select("s_suppkey", "s_name")
+    if not write_parts(s, path, 10) or write_parts(s.where("false"), path):
+        raise RuntimeError("a finished sink was written again")
+    return t.spark.read.parquet(path)
+
+
 @query("o001_cell_export_scan", "SELECT event_id AS cell_id, user_id AS sample_name, value AS x FROM events WHERE event_id % 10 <> 0")
 def _o001(t):
     e = t("events").select(F.col("event_id").cast("string").alias("﻿Cell ID "), F.col("user_id").alias("Sample Name"), F.when(F.col("event_id") % 10 == 0, F.lit("n/a")).otherwise(F.col("value").cast("string")).alias(" Cell X Position"))

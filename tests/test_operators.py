@@ -7,8 +7,10 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from compare import TABLES, rows
+from cytoloom.functions import scalars
 from cytoloom.operators import aggregates, cohorts, compression, joins, models, programs, shaping, spatial
 from cytoloom.plans import registry
 from cytoloom.sources import tables
@@ -280,3 +282,51 @@ def test_chunk_scan_prunes_folders(spark, tmp_path):
     spark.createDataFrame([("x", 1.0, "c0", "P", 1), ("y", 2.0, "c1", "Q", 2)], "cell_id string, x double, cohort string, panel string, chunk int").write.partitionBy("cohort", "panel", "chunk").option("sep", "\t").option("header", True).csv(f"{tmp_path}/c")
     d = shaping.chunk_scan(spark, f"{tmp_path}/c", "cell_id string, x double, cohort string, panel string, chunk int", ["Q"])
     assert [r.cell_id for r in d.collect()] == ["y"] and "PartitionFilters: [isnotnull(panel" in d._jdf.queryExecution().toString()
+
+
+def test_dendrogram_order_and_names():
+    d = np.abs(np.subtract.outer([0, 10, 1, 11, 30], [0, 10, 1, 11, 30])).astype(float)
+    m = compression.linkage(d)
+    order = compression.leaf_order(m, 5)
+    assert sorted(order) == [0, 1, 2, 3, 4] and abs(order.index(0) - order.index(2)) == 1 and abs(order.index(1) - order.index(3)) == 1
+    names = compression.module_names(m, 5, compression.cut_tree(m, 5, k=3))
+    assert names[0] == names[2] and names[1] == names[3] and names[order[0]] == "M01" and set(names) == {"M01", "M02", "M03"}
+
+
+def test_microfamilies_keep_the_best_member():
+    family = {"a1": "a", "a2": "a", "a3": "a", "b1": "b"}
+    rho = {("a1", "a2"): 0.9, ("a2", "b1"): 0.9, ("a1", "a3"): 0.1}
+    got = compression.microfamilies(list(family), family, rho, {"a1": 1, "a2": 3, "a3": 2, "b1": 9}, 0.5)
+    assert got == {"a1": ("a", "a2"), "a2": ("a", "a2"), "a3": ("a", "a3"), "b1": ("b", "b1")}
+
+
+def test_one_hot_takes_the_levels_of_training_rows(spark):
+    d = spark.createDataFrame([(1, "x"), (2, "y"), (3, "z"), (4, "new"), (5, None)], "k long, v string")
+    got = sorted(tuple(r) for r in scalars.one_hot(d, d.where("k < 4"), ["v"]).collect())
+    assert got == [(1, 0, 0), (2, 1, 0), (3, 0, 1), (4, 0, 0), (5, 0, 0)]
+    with pytest.raises(ValueError):
+        scalars.one_hot(d, d, ["v"], most=2)
+
+
+def test_log1p_of_a_negative_value_is_an_error(spark):
+    from pyspark.sql import Window
+
+    d = spark.createDataFrame([(1, 2.0), (2, -1.0)], "k long, v double")
+    with pytest.raises(Exception, match="negative"):
+        d.select(scalars.zscore("v", Window.partitionBy(), log1p=True)).collect()
+
+
+def test_files_are_listed_without_being_read(spark, tmp_path):
+    for n in ("A (2)_Core[1,2]_x.txt", "sub/B_Core[3,4]_x.txt", "sub/C.log"):
+        (tmp_path / n).parent.mkdir(exist_ok=True)
+        (tmp_path / n).write_text("abc")
+    f = tables.files_of(spark, str(tmp_path), "*.txt")
+    got = sorted(tuple(r) for r in f.select(tables.cohort_prefix(F.col("file"), ["A", "B"]), tables.core_key(F.col("file"), "_x.txt"), "bytes").collect())
+    assert len(got) == 2 and {r[0] for r in got} == {"A", "B"} and all(r[2] == 3 for r in got)
+
+
+def test_unfinished_parts_are_an_error(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    with pytest.raises(Exception, match="already exists"):
+        tables.write_parts(spark.range(3), str(tmp_path / "p"))
+    assert tables.write_parts(spark.range(30), str(tmp_path / "q"), merge=True) and len(list((tmp_path / "q").glob("*.parquet"))) == 1
