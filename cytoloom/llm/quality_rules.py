@@ -1,9 +1,10 @@
 """Operator 6. Quality rules: rule bitmask ledger.
 
-Each text is measured once; `ledger` stores the measurements and one failure bit for each rule. Policies are versioned masks over those
-bits, so a policy is applied, or a rule left out, without reading texts again. `ablations` adds up bit patterns.
+Each text is measured once; the ledger has its measurements and one failure bit for each rule, and `stored` writes it to the shared folder.
+Policies are versioned masks over those bits, so a policy is applied, or a rule left out, without reading texts again. `ablations` adds up bit patterns.
 
-Null and empty texts have no words and fail the base rule. An empty table gives no rows; repeated rows are judged alike.
+Null and empty texts have no words and fail the base rule. An empty table gives no rows; repeated rows are judged alike, and a null doc_id stays
+null. Texts of any length are measured whole. Extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import ByteWords, blocks, table, text_bytes
+from .base import ByteWords, blocks, materialise, table, text_bytes
 
 _MEASURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 SYMBOLS = b"#*$%&|<>"
@@ -98,6 +99,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).withColumn("failed", bits.cast("long"))
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger, written and read again: what policies and ablations are computed from."""
+    return materialise(ledger(docs), "ledger")
+
+
 def passes(version: str = CURRENT) -> Column:
     return F.col("failed").bitwiseAND(F.lit(mask_of(version))) == 0
 
@@ -113,7 +119,7 @@ def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = ~passes("base")
-    return ledger(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes().alias("kept"), "n_lines", "failed")
+    return stored(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), passes().alias("kept"), "n_lines", "failed")
 
 
 ORACLE = r"""

@@ -9,7 +9,9 @@ candidate. Inside each block of a file pointer jumping contracts a candidate to
 the file's start; the true entry of each block then marks the reachable records. What isn't reachable is payload, and is glued back.
 
 Null html is an empty payload. An empty table gives no archives and no rows. A repeated row (page_id and payload) repeats the response,
-so both are responses. A null page_id is written as none and counts as the largest: it revisits a response if there is one.
+so both are responses. A null page_id is written as none and counts as the largest: it revisits a response if there is one. Payloads of any length
+up to Spark's 2 GB a value are written and read whole. Extra columns, whatever their names, are left out. `query` fails if a payload that was read
+back differs from the digest written with it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ END = "\r\n\r\n"
 REVISIT_BYTES = 100
 #: Up to so many digests that occur twice (about 100 bytes each) their table is broadcast, and payloads stay where they are; beyond, both sides are shuffled.
 BROADCAST_ROWS = 200_000
+#: Names of archives that go into a filter.
+FEW = 200
 
 
 def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -140,8 +144,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     r = found.join(good, ["file", "m"], "left_semi")
     revisit = F.col("record_type") == "revisit"
     out = lambda d: d.select("page_id", "record_type", "refers_to", F.when(revisit, F.col("said_bytes")).otherwise(F.col("read_bytes")).alias("payload_bytes"), F.when(revisit, F.col("said_digest")).otherwise(F.col("read_digest")).alias("payload_digest"), F.when(revisit, F.lit(True)).otherwise(F.col("read_digest") == F.col("said_digest")).alias("digest_ok"))
-    cut = [x[0] for x in r.where("NOT whole").select("file").distinct().collect()]  # names of archives, of which there are as many as tasks wrote
-    if not cut:
+    cut = r.where("NOT whole").select("file").distinct()
+    if cut.isEmpty():
         return out(r)
     return out(r.where("whole")).unionByName(out(_glue(spark, path, cut, good).withColumn("read_digest", digest).withColumn("read_bytes", n)))
 
@@ -156,9 +160,11 @@ def reachable(found: DataFrame) -> DataFrame:
     return chain.groupBy("file", "block").cogroup(placed.groupBy("file", "block")).applyInPandas(_mark, "file string, m long")
 
 
-def _glue(spark: SparkSession, path: str, files: list[str], good: DataFrame) -> DataFrame:
-    """Records whose payload holds version lines: payloads put together from the segments up to the successor. Only files that have such records are read again."""
-    s = _located(segments(spark, path).where(F.col("file").isin(files)).drop("payload")).join(good.withColumn("hit", F.lit(True)), ["file", "m"], "left")
+def _glue(spark: SparkSession, path: str, cut: DataFrame, good: DataFrame) -> DataFrame:
+    """Records whose payload holds version lines: payloads put together from the segments up to the successor. Up to FEW files with such records are named to the scan, which reads no others; more are joined."""
+    s, names = segments(spark, path).drop("payload"), [x[0] for x in cut.limit(FEW + 1).collect()]
+    s = s.where(F.col("file").isin(names)) if len(names) <= FEW else s.join(cut, "file", "left_semi")
+    s = _located(s).join(good.withColumn("hit", F.lit(True)), ["file", "m"], "left")
     s = s.where("NOT whole OR hit IS NULL").withColumn("owner", F.last(F.when(F.col("hit"), F.col("m")), ignorenulls=True).over(Window.partitionBy("file").orderBy("m")))
     fields = ["record_type", "page_id", "said_digest", "said_bytes", "refers_to", "body", "length"]
     g = s.where("owner IS NOT NULL").groupBy("file", "owner").agg(F.sort_array(F.collect_list(F.struct("m", "value"))).alias("p"), *[F.min_by(c, "m").alias(c) for c in fields])
@@ -174,7 +180,9 @@ def round_trip(pages: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    r = round_trip(table(spark, sf_dir, "pages"))
+    digest = F.when(F.col("digest_ok"), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))))
+    return r.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 ORACLE = """
