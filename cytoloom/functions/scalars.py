@@ -66,8 +66,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def vector_hash(values: Column) -> Column:
-    """O126: sha1 of values as text with twelve decimals."""
-    return F.sha1(F.array_join(F.transform(values, lambda v: F.format_string("%.12f", v)), ",").cast("binary"))
+    """O126: sha1 of values to twelve decimals, as text: whole numbers of 10^-12, since engines print the same double in unlike ways near a half."""
+    return F.sha1(F.array_join(F.transform(values, lambda v: F.floor(v * 1e12 + 0.5).cast("string")), ",").cast("binary"))
 
 
 def feature_parts(c: Column) -> Column:
@@ -157,7 +157,7 @@ def _o124(t):
     return c.join(m, F.lit(True)).select("c_custkey", *[(F.col("c_mktsegment") == s).cast("int").alias(f"seg_{s.lower()}") for s in ("BUILDING", "MACHINERY")], F.coalesce("n", "m").cast("double").alias("nation"))
 
 
-@query("o126_vector_hash", "SELECT vec_id, sha1(array_to_string(list_transform(embedding, lambda v: printf('%.12f', v::DOUBLE)), ',')) AS h FROM embeddings")
+@query("o126_vector_hash", "SELECT vec_id, sha1(array_to_string(list_transform(embedding, lambda v: floor(v::DOUBLE * 1e12::DOUBLE + 0.5::DOUBLE)::BIGINT::VARCHAR), ',')) AS h FROM embeddings")
 def _o126(t):
     return t("embeddings").select("vec_id", vector_hash(F.transform("embedding", lambda v: v.cast("double"))).alias("h"))
 
