@@ -54,10 +54,10 @@ def fold() -> np.ndarray:
 
 def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols of all texts, one blank between runs of letters and around each text; the text of each symbol; letters of each text."""
-    joined = "\x00".join(texts)
+    joined = "\x00".join([*texts, ""])  # every text ends in a separator, the last one too
     cp = np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")
     s = fold()[cp]
-    doc = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))[: len(s)]
+    doc = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
     letters = np.bincount(doc[s != 0], minlength=len(texts))
     keep = s != 0
     keep[1:] |= keep[:-1]  # the first blank after a word

@@ -115,6 +115,51 @@ def test_kneser_ney_sums_to_one():
     assert total == pytest.approx([1, 1], abs=1e-4)
 
 
+def test_language_scores_against_plain_kneser_ney():
+    """Cross-entropies of the arrays against a recursion over dictionaries, symbol by symbol."""
+    r = np.random.default_rng(5)
+    said = {"a": ["abra cadabra, Abracadabra!", "a barber had a bar"], "b": ["banana bandana nab", "an anna and a nanna"], "c": ["x y z zyx yxz"]}
+    m = language_id.fit([(k, t) for k, v in said.items() for t in v])
+    texts = ["abra banana", "Zebra and x", "a", "été über", *["".join(r.choice(list("abcdnrxyz ,é"), 30)) for _ in range(20)]]
+    letters = lambda t: [int(x) for x in language_id.symbols([t])[0]]
+    grams = lambda s, n: [tuple(([0] * 3 + s)[i + 4 - n : i + 4]) for i in range(len(s))]
+    vocabulary = len({x for v in said.values() for t in v for x in letters(t)}) + 1
+    got = m.score(texts)[0]
+    for j, lang in enumerate(m.langs):
+        counts = {4: Counter(g for t in said[lang] for g in grams(letters(t), 4))}
+        for n in (3, 2, 1):
+            counts[n] = Counter(g[1:] for g in counts[n + 1])
+        off = {}
+        for n, c in counts.items():
+            n1, n2 = (sum(v == k for v in c.values()) for k in (1, 2))
+            off[n] = min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 and n2 else 0.5
+
+        def p(g):
+            n = len(g)
+            c = counts[n]
+            if n == 1:
+                return max(c[g] - off[1], 0) / c.total() + off[1] * len(c) / c.total() / vocabulary
+            same = [v for k, v in c.items() if k[:-1] == g[:-1]]
+            low = p(g[1:])
+            return max(c[g] - off[n], 0) / sum(same) + off[n] * len(same) / sum(same) * low if same else low
+
+        for i, t in enumerate(texts):
+            s = letters(t)
+            assert got[i, j] == pytest.approx(-sum(np.log2(p(g)) for g in grams(s, 4)) / len(s), rel=1e-4)
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    """The bound of the sample is on characters, not on the length of a text."""
+    long = lambda i, w: " ".join(np.random.default_rng(i).choice(w, 15_000))
+    en, de = "the of and that with her was ing".split(), "der und nicht ein mit schön für war".split()
+    rows = [(i, long(i, en), "en") for i in range(12)] + [(100 + i, long(i, de)[:300], "de") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()} == {i: x for i, _, x in rows}
+    assert {x for x, _ in language_id.sample(d, max_chars=1000)} == {"en", "de"} and sum(len(t) for x, t in language_id.sample(d, max_chars=1000) if x == "en") <= 2000
+    nobody = d.selectExpr("doc_id", "text", "CAST(NULL AS string) AS lang")
+    assert language_id.accepted(nobody.unionByName(spark.createDataFrame([(1, "12", None), (2, None, None)], nobody.schema))).count() == len(rows)
+
+
 def test_rule_ledger(spark):
     got = quality_rules.ledger(docs(spark)).collect()
     for r in got:
