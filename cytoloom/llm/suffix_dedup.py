@@ -9,8 +9,9 @@ The index is a `Family` of levels in the shared folder, each a table sorted by (
 of rising ids. 1. A batch is packed into compressed chunks, a table bucketed by chunk that stays beside the levels. 2. Its suffix array (of each
 chunk the distinct entries, least document first) is dealt to the levels' buckets and merge-scanned against all levels at once: buckets are read
 where they lie, only the batch is shuffled. An entry found in a level or under a smaller id is covered whole; first entries become the new
-level. 3. First entries whose suffix start also has other continuations match in part, at the edges of copies. Their bytes, and those that
-level entries point to, are dealt by a longer start (33 or 34 bytes, of the side on which a window reaches further) and compared window by window.
+level. 3. First entries whose suffix start also has other continuations match in part, at the edges of copies, if a longer start agrees too (33 or
+34 bytes, of the side on which a window reaches further; a 16-bit digest of each tells most chance meetings apart). Their bytes, and those that
+level entries point to, are dealt by that longer start and compared window by window.
 4. Chunks turn what was found into removed runs. Before a batch is scanned, the newest levels merge while one is less than twice the size of the next, so n
 batches leave about log2(n) levels. `Family.open` takes an index up again in another session.
 
@@ -73,7 +74,7 @@ def _prefix(buf: np.ndarray) -> np.ndarray:
 
 
 def entries(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The sparse suffix array of concatenated documents, in text order: document, first window, number of windows, bytes before the minimiser, digest of the suffix's start (32 bits), digest of the bytes covered (64 bits)."""
+    """The sparse suffix array of concatenated documents, in text order: document, first window, number of windows, bytes before the minimiser, digest of the suffix's start (32 bits), digest of the bytes covered (64 bits), and of the two longer starts (16 bits each, 0 where no window reaches that side)."""
     _, _, inverse = _tables()
     out: list[tuple] = []
     low = np.uint64((1 << 24) - 1)
@@ -103,12 +104,22 @@ def entries(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         whole = (s[first + count + WIDTH - 1] - s[first]) * inverse[first] * _C1
         whole ^= whole >> np.uint64(31)
         whole = (whole + (at[first] - first).astype(np.uint64)) * _C2
-        out.append((doc[first], a + first, count, at[first] - first, (h[at[first]] >> np.uint64(32)).astype(np.uint32), whole ^ (whole >> np.uint64(29))))
+        p = at[first]
+        sides = _longer(s, inverse, p - SIDE, GRAM + SIDE, first <= p - SIDE) << np.uint32(16) | _longer(s, inverse, p, WIDTH - SIDE + 1, first + count > p - SIDE + 1)
+        out.append((doc[first], a + first, count, p - first, (h[p] >> np.uint64(32)).astype(np.uint32), whole ^ (whole >> np.uint64(29)), sides))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint32, np.uint64))
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, np.uint32, np.uint64, np.uint32))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _longer(s: np.ndarray, inverse: np.ndarray, at: np.ndarray, n: int, reached: np.ndarray) -> np.ndarray:
+    """16-bit digests, from 1, of n bytes from each place; 0 where they aren't reached."""
+    at = np.where(reached, at, 0)
+    x = (s[np.minimum(at + n, len(s) - 1)] - s[at]) * inverse[at] * _C1
+    x ^= x >> np.uint64(30)
+    return np.where(reached, (x * _C2 >> np.uint64(48)) % np.uint64(65535) + np.uint64(1), 0).astype(np.uint32)
+
+
 class Text:
     """A chunk's documents."""
 
@@ -123,7 +134,7 @@ class Chunk(Text):
 
     def __init__(self, ids: bytes, sizes: bytes, text: bytes):
         super().__init__(ids, sizes, text)
-        doc, self.at, self.count, self.before, self.gram, self.whole = entries(np.frombuffer(self.raw, np.uint8), self.ends)
+        doc, self.at, self.count, self.before, self.gram, self.whole, self.sides = entries(np.frombuffer(self.raw, np.uint8), self.ends)
         self.owner = self.ids[doc]
         self.order = np.lexsort((self.owner, self.whole, self.gram))
         g, w = self.gram[self.order], self.whole[self.order]
@@ -135,8 +146,8 @@ class Chunk(Text):
 
 
 _STORE = "batch int, chunk long, ids binary, sizes binary, text binary, rest binary"
-_ENTRY = "gram int, whole long, doc long, chunk long, spot long"
-_FOUND = "gram int, whole long, chunk long, spot long, kind int"
+_ENTRY = "gram int, whole long, doc long, chunk long, spot long, sides int"
+_FOUND = "gram int, whole long, chunk long, spot long, sides int, kind int"
 _PARTS = "ext long, doc long, chunk long, at long, text binary"
 _MASKS = "chunk long, at long, mask long"
 
@@ -211,7 +222,7 @@ def _send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = Chunk(r["ids"], r["sizes"], r["text"])
         u = np.sort(c.rep)
         spot = c.at[u] << _AT | c.before[u] << _N | (c.count[u] - 1)
-        yield _columns(_ENTRY, c.gram[u].view(np.int32), c.whole[u].view(np.int64), c.owner[u], np.full(len(u), r["chunk"]), spot)
+        yield _columns(_ENTRY, c.gram[u].view(np.int32), c.whole[u].view(np.int64), c.owner[u], np.full(len(u), r["chunk"]), spot, c.sides[u].view(np.int32))
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.RecordBatch]]:
@@ -227,10 +238,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[pa.
 
 
 def _scan(batch: int, rows: int = ROWS):
-    """Merge scan of a bucket: entries of the batch and of all levels in the order of (gram, whole, document). Kinds of rows given: 0 new to the index, 1 covered whole, 2 of the batch and 3 of a level where one suffix start has several continuations."""
+    """Merge scan of a bucket: entries of the batch and of all levels in the order of (gram, whole, document). Kinds of rows given: 0 new to the index, 1 covered whole, 2 of the batch and 3 of a level where one suffix start has several continuations and a longer start (sides: 1 left, 2 right) is shared by some."""
 
     def step(cols: tuple[np.ndarray, ...], end: int) -> Iterator[pa.RecordBatch]:
-        gram, whole, doc, chunk, spot = cols
+        gram, whole, doc, chunk, spot, sides = cols
         level = chunk >> _BATCH != batch
         edge = np.ones(len(gram), bool)
         edge[1:] = gram[1:] != gram[:-1]
@@ -239,26 +250,36 @@ def _scan(batch: int, rows: int = ROWS):
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
         covered = ~level & ~new & (level[first] | (doc > doc[first]))
         alive = ~level & ~covered
-        kind = np.full(len(gram), -1, np.int32)
-        kind[covered] = 1
-        start = np.flatnonzero(edge)
-        size = np.diff(np.append(start, len(gram)))
-        several = np.repeat((np.add.reduceat(new.astype(np.int64), start) > 1) & (np.add.reduceat(alive.astype(np.int64), start) > 0), size)
         done = np.arange(len(gram)) < end
-        kind[done & several & alive] = 2
-        kind[done & several & level & new] = 3
-        p = np.flatnonzero(kind > 0)
+        p = np.flatnonzero(covered)
         if len(p):
             zero = np.zeros(len(p), np.int64)
-            yield _columns(_FOUND, zero.astype(np.int32), zero, chunk[p], spot[p], kind[p])
+            yield _columns(_FOUND, zero.astype(np.int32), zero, chunk[p], spot[p], zero.astype(np.int32), np.ones(len(p), np.int32))
         p = np.flatnonzero(done & alive & new)
         if len(p):
-            yield _columns(_FOUND, gram[p], whole[p], chunk[p], spot[p], np.zeros(len(p), np.int32))
+            yield _columns(_FOUND, gram[p], whole[p], chunk[p], spot[p], sides[p], np.zeros(len(p), np.int32))
+        start = np.flatnonzero(edge)
+        group = np.cumsum(edge) - 1
+        several = (np.add.reduceat(new.astype(np.int64), start) > 1) & (np.add.reduceat(alive.astype(np.int64), start) > 0)
+        c = np.flatnonzero(done & several[group] & (alive | (level & new)))
+        if len(c):
+            shared = np.zeros(len(c), np.int32)
+            for side in (1, 2):  # which longer starts stand in several continuations, one of them the batch's
+                longer = sides[c].view(np.uint32) >> np.uint32(16 * (2 - side)) & np.uint32(0xFFFF)
+                key = group[c] << 16 | longer
+                o = np.argsort(key, kind="stable")
+                cut = np.flatnonzero(np.concatenate([[True], key[o][1:] != key[o][:-1]]))
+                ok = (np.add.reduceat(new[c][o].astype(np.int64), cut) > 1) & (np.add.reduceat(alive[c][o].astype(np.int64), cut) > 0)
+                shared[o] |= np.where(np.repeat(ok, np.diff(np.append(cut, len(o)))) & (longer[o] > 0), np.int32(side), np.int32(0))
+            c, shared = c[shared > 0], shared[shared > 0]
+        if len(c):
+            zero = np.zeros(len(c), np.int64)
+            yield _columns(_FOUND, zero.astype(np.int32), zero, chunk[c], spot[c], shared, np.where(level[c], 3, 2).astype(np.int32))
         keep = np.flatnonzero(~done & ~covered)
-        return tuple(c[keep] for c in cols)
+        return tuple(x[keep] for x in cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = tuple(np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64, np.int64))
+        held = tuple(np.zeros(0, t) for t in (np.int32, np.int64, np.int64, np.int64, np.int64, np.int32))
         for part in _gathered(batches, rows):
             held = tuple(np.concatenate([x, *(b.column(i).to_numpy() for b in part)]) for i, x in enumerate(held))
             if len(held[0]):
@@ -276,14 +297,15 @@ def _ask(batch: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _rows(batches):
             t = Text(r["ids"], r["sizes"], r["text"])
-            spot = np.unique(r["spots"].to_numpy(zero_copy_only=False))
+            spot, of = np.unique(r["spots"].field(0).to_numpy(zero_copy_only=False), return_index=True)
+            sides = r["spots"].field(1).to_numpy(zero_copy_only=False)[of]
             at, before, count = spot >> _AT, spot >> _N & ((1 << _N) - 1), (spot & ((1 << _N) - 1)) + 1
             owner = t.ids[np.searchsorted(t.ends, at, "right")] if r["chunk"] >> _BATCH == batch else np.full(len(at), EARLIER)
             p = at + before
             cut = np.clip(p - SIDE + 1, at, at + count)
             out: list[tuple] = []
-            for lo, hi, a, b in ((at, cut, p - SIDE, p + GRAM), (cut, at + count, p, p + WIDTH - SIDE + 1)):
-                k = np.flatnonzero(hi > lo)
+            for side, lo, hi, a, b in ((1, at, cut, p - SIDE, p + GRAM), (2, cut, at + count, p, p + WIDTH - SIDE + 1)):
+                k = np.flatnonzero((hi > lo) & (sides & side > 0))
                 out += [(xxhash.xxh64_intdigest(t.raw[x:y]) - (1 << 63), o, r["chunk"], f, t.raw[f : g + WIDTH - 1]) for x, y, o, f, g in zip(a[k].tolist(), b[k].tolist(), owner[k].tolist(), lo[k].tolist(), hi[k].tolist(), strict=True)]
             if out:
                 yield _arrow(out, _PARTS)
@@ -440,7 +462,7 @@ class Family:
         return self.tables[name]
 
     def _level(self, name: str) -> DataFrame:
-        return self._table(f"{name}/kind=0", "gram int, whole long, chunk long, spot long", "gram")
+        return self._table(f"{name}/kind=0", "gram int, whole long, chunk long, spot long, sides int", "gram")
 
     def chunks(self, batch: int) -> DataFrame:
         name = dict(self.stores)[batch]
@@ -472,7 +494,7 @@ class Family:
         while len(self.levels) > 1 and self.levels[-2][1] < 2 * self.levels[-1][1]:
             (a, n), (b, m) = self.levels[-2:]
             name = f"level-{uuid.uuid4().hex[:8]}"
-            both = self._together([self._level(x).select("gram", "whole", "chunk", "spot", F.lit(0).alias("kind")) for x in (a, b)])
+            both = self._together([self._level(x).select("gram", "whole", "chunk", "spot", "sides", F.lit(0).alias("kind")) for x in (a, b)])
             self._write(both.sortWithinPartitions("gram", "whole"), name, "gram", "kind")
             self.levels[-2:] = [(name, n + m)]
             self._save()
@@ -485,7 +507,7 @@ class Family:
         with _setting(spark, "spark.sql.sources.bucketing.autoBucketedScan.enabled", "false"):  # else bucketed tables under a union are read without their buckets
             self._merge()
             mine = self.chunks(batch).select("chunk", "ids", "sizes", "text").mapInArrow(_send, _ENTRY).repartition(self.buckets, "gram")
-            levels = [self._level(n).select("gram", "whole", F.lit(int(EARLIER)).alias("doc"), "chunk", "spot") for n, _ in self.levels]
+            levels = [self._level(n).select("gram", "whole", F.lit(int(EARLIER)).alias("doc"), "chunk", "spot", "sides") for n, _ in self.levels]
             name = f"level-{uuid.uuid4().hex[:8]}"
             with _setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "32768"):
                 self._write(self._together([mine, *levels]).sortWithinPartitions("gram", "whole", "doc", "chunk").mapInArrow(_scan(batch), _FOUND), name, "gram", "kind")
@@ -495,8 +517,8 @@ class Family:
             if size:
                 self.levels.append((name, size))
             self._save()
-            spots = lambda kinds: found.where(kinds).groupBy("chunk").agg(F.collect_list("spot").alias("spots"))
-            asked = lambda b: self.chunks(b).select("chunk", "ids", "sizes", "text").join(spots(f"kind >= 2 AND shiftright(chunk, {_BATCH}) = {b}"), "chunk")  # noqa: E731  each chunk table by itself: only the places are shuffled
+            spots = lambda kinds, what="spot": found.where(kinds).groupBy("chunk").agg(F.collect_list(what).alias("spots"))
+            asked = lambda b: self.chunks(b).select("chunk", "ids", "sizes", "text").join(spots(f"kind >= 2 AND shiftright(chunk, {_BATCH}) = {b}", F.struct("spot", "sides")), "chunk")  # noqa: E731  each chunk table by itself: only the places are shuffled
             parts = reduce(DataFrame.unionByName, [asked(b).mapInArrow(_ask(batch), _PARTS) for b, _ in self.stores if b <= batch])
             masks = materialise(parts.repartition(self.buckets, "ext").sortWithinPartitions("ext", "doc").mapInArrow(_compare(), _MASKS), "masks")
         masks = masks.groupBy("chunk").agg(F.collect_list(F.struct("at", "mask")).alias("masks"))

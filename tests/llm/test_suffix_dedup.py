@@ -60,7 +60,7 @@ def test_scan_in_small_steps():
     r = np.random.default_rng(3)
     n = 3000
     level = r.random(n) < 0.4
-    cols = {"gram": r.integers(0, 40, n), "whole": r.integers(0, 30, n), "doc": np.where(level, S.EARLIER, r.integers(0, 9, n)), "chunk": np.where(level, 1, 5 << S._BATCH), "spot": np.arange(n)}
+    cols = {"gram": r.integers(0, 40, n), "whole": r.integers(0, 30, n), "doc": np.where(level, S.EARLIER, r.integers(0, 9, n)), "chunk": np.where(level, 1, 5 << S._BATCH), "spot": np.arange(n), "sides": r.integers(0, 3, n) << 16 | r.integers(0, 3, n)}
     rows = sorted(zip(*(c.tolist() for c in cols.values()), strict=True))
     seen, keep = set(), []
     for x in rows:  # a level holds an entry once
@@ -68,12 +68,12 @@ def test_scan_in_small_steps():
             keep.append(x)
         if x[3] == 1:
             seen.add(x[:2])
-    t = pa.table({k: pa.array(v, pa.int32() if k == "gram" else pa.int64()) for k, v in zip(cols, zip(*keep, strict=True), strict=True)})
+    t = pa.table({k: pa.array(v, pa.int32() if k in ("gram", "sides") else pa.int64()) for k, v in zip(cols, zip(*keep, strict=True), strict=True)})
     found = []
     for size, rows_at_once in ((7, 5), (100, 300), (5000, 10000)):
         out = S._scan(5, rows_at_once)(iter(t.to_batches(max_chunksize=size)))
         found.append(sorted(tuple(y.values()) for b in out for y in b.to_pylist()))
-    assert found[0] == found[1] == found[2] and {x[4] for x in found[0]} == {0, 1, 2, 3}
+    assert found[0] == found[1] == found[2] and {x[5] for x in found[0]} == {0, 1, 2, 3}
 
 
 def test_a_family_outlives_its_session(spark):
