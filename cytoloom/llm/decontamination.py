@@ -29,7 +29,7 @@ from .base import ByteWords, blocks, materialise, table, text_bytes
 
 MIN_WORDS, BLOCK_WORDS = 5, 500_000
 #: Words in a passage of the TF-IDF matrix; rank of the latent space; columns of the sketch beyond it; seed of the sketch.
-PASSAGE, RANK, OVERSAMPLE, SEED = 32, 40, 10, 7
+PASSAGE, RANK, OVERSAMPLE, SEED = 32, 32, 8, 7
 #: Least cosine, least subsequence (as a share of the item) and least share of its weight among the terms of the matched stretch.
 COSINE, SUBSEQUENCE, ANSWER = 0.5, 0.45, 0.45
 #: Words of a segment at least, segments at most, and least sum of their subsequences (as a share of the item) and cosine where the item's own falls short.
@@ -191,14 +191,32 @@ def in_parts(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     return sum(g[0] for g in got), min(g[1] for g in got), max(g[2] for g in got)
 
 
-def _common(local: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of stretches [a, b) of an item's word numbers (0 for other words): words in common with the item, each as often as in both, and the weight of the item's words that stand there. Both bound what a subsequence or the answer check can reach."""
+class Flags:
+    """Counts of flagged places up to any place: a byte each, eight at a time."""
+
+    _below = np.array([(1 << 8 * i) - 1 for i in range(8)], np.uint64)
+
+    def __init__(self, flags: np.ndarray):
+        self.words = np.append(flags, np.zeros(16 - len(flags) % 8, np.uint8)).view("<u8")
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int32)])
+
+    def at_most(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A bound from above on the flags in [8a, 8b)."""
+        return self.before[b] - self.before[a]
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        up_to = lambda x: self.before[x >> 3] + np.bitwise_count(self.words[x >> 3] & self._below[x & 7])
+        return up_to(b) - up_to(a)
+
+
+def _common(number: np.ndarray, terms: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches [a, b) of terms, of which an item's have numbers (0 for other words): words in common with the item, each as often as in both, and the weight of the item's words that stand there. Both bound what a subsequence or the answer check can reach."""
     overlap, share = np.empty(len(a), np.int64), np.empty(len(a))
     for i in range(0, len(a), 4096):
         k = b[i : i + 4096] - a[i : i + 4096]
         first = np.cumsum(k) - k
         row = np.repeat(np.arange(len(k)), k)
-        key = row * (len(count) + 1) + local[np.arange(k.sum()) + np.repeat(a[i : i + 4096] - first, k)]
+        key = row * (len(count) + 1) + number[terms[np.arange(k.sum()) + np.repeat(a[i : i + 4096] - first, k)]]
         n = np.bincount(key, minlength=len(k) * (len(count) + 1)).reshape(len(k), -1)[:, 1:]
         overlap[i : i + 4096], share[i : i + 4096] = np.minimum(n, count).sum(axis=1), (n > 0) @ weight
     return overlap, share
@@ -250,30 +268,34 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
             begin = np.repeat(starts, ends - starts)
             end = np.repeat(ends, ends - starts)
             place = np.arange(n) - begin
-            terms_at, number = t[t > 0], np.zeros(len(latent), np.int32)
+            terms_at, number, flag = t[t > 0], np.zeros(len(latent), np.int32), np.zeros(len(latent), np.uint8)
             n_known = np.concatenate([[0], np.cumsum(t > 0)])
             best: dict[tuple[int, int], tuple] = {}
             for size, members in by_class.items():
-                at = np.flatnonzero(place % max(1, size // 8) == 0)
+                at = np.flatnonzero(place % max(1, size // 6) == 0)
                 to = np.minimum(at + size, end[at])
                 lo, hi = np.maximum(begin[at], at - size // 4), np.minimum(end[at], to + size // 4)
                 n_words, share = least[size]
-                held = np.concatenate([[0], np.cumsum(share[t] > 0)])
-                part = np.concatenate([[0], np.cumsum(share[t])])
+                value = share.take(t, mode="clip")
+                held = np.concatenate([[0], np.cumsum(value > 0, dtype=np.int32)])
+                part = np.concatenate([[0], np.cumsum(value)])
                 ok = (held[hi] - held[lo] >= n_words) & (part[hi] - part[lo] >= ANSWER - 1e-6) & (to - at >= size // 2)
                 at, to, lo, hi = at[ok], to[ok], lo[ok], hi[ok]
                 ka, kb = n_known[lo], n_known[hi]
+                ca, cb = ka >> 3, (kb + 7) >> 3
                 for idx in members if len(at) else ():
                     # the item's words in reach of a window bound the subsequence and the answer's share: drop what can't reach both
                     item, (uniq, count, weight) = items[idx][1], rare[idx]
-                    number[uniq] = np.arange(1, len(uniq) + 1)
-                    local = number[terms_at]
-                    number[uniq] = 0
-                    held = np.concatenate([[0], np.cumsum(local > 0, dtype=np.int32)])
-                    rows = np.flatnonzero(held[kb] - held[ka] >= SUBSEQUENCE * len(item))
+                    flag[uniq] = 1
+                    own = Flags(flag.take(terms_at, mode="clip"))
+                    flag[uniq] = 0
+                    rows = np.flatnonzero(own.at_most(ca, cb) >= SUBSEQUENCE * len(item))
+                    rows = rows[own.between(ka[rows], kb[rows]) >= SUBSEQUENCE * len(item)]
                     if not len(rows):
                         continue
-                    overlap, share = _common(local, ka[rows], kb[rows], count, weight)
+                    number[uniq] = np.arange(1, len(uniq) + 1)
+                    overlap, share = _common(number, terms_at, ka[rows], kb[rows], count, weight)
+                    number[uniq] = 0
                     ok = (overlap >= SUBSEQUENCE * len(item)) & (share >= ANSWER - 1e-6)
                     rows, overlap = rows[ok], overlap[ok]
                     if not len(rows):
