@@ -26,6 +26,7 @@ whatever their names, are left out by `digests` and `deduplicate` and carried by
 from __future__ import annotations
 
 import hashlib
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -441,7 +442,7 @@ class Family:
 
     def _save(self) -> None:
         rows = [("level", i, n, s) for i, (n, s) in enumerate(self.levels)] + [("store", i, n, b) for i, (b, n) in enumerate(self.stores)]
-        version = 2 * len(self.stores) + len(self.levels) + uuid.uuid1().time
+        version = time.time_ns()  # the latest manifest counts; it is written when all that it names is
         out = self.spark.createDataFrame([(version, *r, self.buckets) for r in rows], "version long, kind string, place int, name string, size long, buckets int")
         out.coalesce(1).write.mode("append").json(f"{self.path}/manifest")
 
