@@ -98,8 +98,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size_column: int = 1) -> Iterator[pa.RecordBatch]:
-    """Batches cut into runs of rows with about BLOCK_BYTES of text each, so memory follows no batch setting."""
+def blocks(batches: Iterator[pa.RecordBatch], size_column: int = 1, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut into runs of rows with about `limit` bytes of text each, so memory follows no batch setting."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -107,7 +107,7 @@ def blocks(batches: Iterator[pa.RecordBatch], size_column: int = 1) -> Iterator[
         off = np.frombuffer(col.buffers()[1], dtype=np.int32 if pa.types.is_string(col.type) or pa.types.is_binary(col.type) else np.int64)[col.offset : col.offset + len(col) + 1]
         at = 0
         while at < len(col):
-            to = max(at + 1, int(np.searchsorted(off, off[at] + BLOCK_BYTES, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at)
             at = to
     trim()
