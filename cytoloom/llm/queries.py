@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_quotes, decontamination, language_id, licence_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, vector_codes, warc
+from . import byte_bpe, chat_quotes, collocations, decontamination, language_id, licence_scan, ngram_join, packing, quality_rules, suffix_dedup, token_counts, vector_codes, warc
 
 
 def _pipeline(spark, sf_dir):
@@ -24,6 +24,7 @@ def queries() -> dict:
         "op9_grouped_prefix_join": ngram_join.query,
         "op10_warc_chain": warc.query,
         "op11_vantage_codes": vector_codes.query,
+        "op12_suffix_sigma": collocations.query,
         "op13_recursive_bpe": byte_bpe.query,
         "pipeline": _pipeline,
     }
@@ -37,4 +38,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_grouped_prefix_join": ngram_join.ORACLE,
         "op10_warc_chain": warc.ORACLE,
         "op11_vantage_codes": vector_codes.oracle(),
+        "op12_suffix_sigma": collocations.ORACLE,
     }
