@@ -70,41 +70,6 @@ def vector_hash(values: Column) -> Column:
     return F.sha1(F.array_join(F.transform(values, lambda v: F.floor(v * 1e12 + 0.5).cast("string")), ",").cast("binary"))
 
 
-def feature_parts(c: Column) -> Column:
-    """O128: type, subject, object, compartment and summary of a feature name. Grammars, first match wins: Distance_<stat>_<a>_to_<b>; <compartment>__<count|prop|ratio>__<a>[__over__<b>]; triad_<region>_<centre>_<n1>_<n2>; inter_<stat>_<a>__<b>__<region>; and, in any case of letters, infiltration_<a>__<region>__<stat>; ripley_<a>__<region>__<stat>; <diversity>_<basis>__<region>__<stat>."""
-    place, stat = "(All|Tumor|Stroma|Epi)", "(min|mean|median|max|pct_non_na)"
-    forms = [("nn", r"^Distance_(?<s>[A-Za-z0-9]+)_(.+)_to_(.+)$", (2, 3, None, 1)), ("composition", r"^([A-Za-z]+)__(count|prop|ratio)__(.+?)(?:__over__(.+))?$", (3, 4, 1, 2)), ("triad", r"^triad_([A-Za-z]+)_([^_]+)_([^_]+_[^_]+)$", (2, 3, 1, None)), ("interaction", r"^inter_(diff|z|p)_(.+?)__(.+?)__([A-Za-z]+)$", (2, 3, 4, 1)),
-             ("infiltration", rf"(?i)^infiltration_(.+?)__{place}__{stat}$", (1, None, 2, 3)), ("ripley", rf"(?i)^ripley_(.+?)__{place}__(at\d+|peak_abs|auc)$", (1, None, 2, 3)), ("diversity", rf"(?i)^(richness|shannon|simpson|renyi|hill|quadratic|rao|modularity)_(.+?)__{place}__{stat}$", (1, 2, 3, 4))]
-    out = F.lit(None)
-    for kind, pattern, at in reversed(forms):
-        pattern = pattern.replace("(?<s>", "(")
-        part = lambda i: F.nullif(F.regexp_extract(c, pattern, i), F.lit("")) if i else F.lit(None).cast("string")  # noqa: B023, E731
-        s = F.struct(F.lit(kind).alias("kind"), part(at[0]).alias("subject"), part(at[1]).alias("object"), part(at[2]).alias("compartment"), part(at[3]).alias("summary"))
-        out = F.when(c.rlike(pattern), s).otherwise(out)
-    return out
-
-
-def entity_parts(token: Column, cells: list[str]) -> Column:
-    """O128: cell and state of an entity: the longest known cell that the token is or starts with, and what follows its underscores. A token without a known cell is a state alone."""
-    low, out = F.lower(F.trim(token)), F.struct(F.lit(None).cast("string").alias("cell"), F.nullif(F.trim(token), F.lit("")).alias("state"))
-    for c in sorted(cells, key=lambda x: (len(x), x)):
-        rest = F.ltrim(F.substring(F.trim(token), F.lit(len(c) + 1), F.length(token)), F.lit("_"))
-        out = F.when((low == c.lower()) | low.startswith(f"{c.lower()}_"), F.struct(F.lit(c).alias("cell"), F.nullif(rest, F.lit("")).alias("state"))).otherwise(out)
-    return out
-
-
-def measure_parameters(basis: Column) -> Column:
-    """O128: order q, alpha, graph and edge correction that a measure's name states; null where it doesn't."""
-    part = lambda p: F.nullif(F.regexp_extract(basis, rf"(?i)(?:^|_){p}(?:_|$)", 1), F.lit(""))
-    return F.struct(part(r"q([0-9.]+)").try_cast("double").alias("q"), part(r"alpha([0-9.]+)").try_cast("double").alias("alpha"), F.lower(part("(radius|contact|knn)")).alias("graph"), F.lower(part("(translation|border|ripley|none)")).alias("correction"))
-
-
-def semantic_key(parts: Column) -> Column:
-    """O128: one key for names that mean the same: kind, entities (of an interaction in sorted order), compartment and summary."""
-    two = F.filter(F.array(parts["subject"], parts["object"]), lambda x: x.isNotNull())
-    return F.lower(F.concat_ws("|", parts["kind"], F.array_join(F.when(parts["kind"] == "interaction", F.array_sort(two)).otherwise(two), "+"), parts["compartment"], parts["summary"]))
-
-
 @query("o116_sanitise", "SELECT p_partkey, trim(regexp_replace(replace(replace(p_name || ' +/-' || p_type, '+', 'pos'), '-', 'neg'), '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug FROM part")
 def _o116(t):
     return t("part").select("p_partkey", sanitise(F.concat("p_name", F.lit(" +/-"), "p_type")).alias("slug"))
@@ -168,13 +133,6 @@ def _o127(t):
     return t("part").select("p_partkey", F.round(jaccard(a, b), 9).alias("j"))
 
 
-@query("o128_feature_parser", "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'nn' WHEN 1 THEN 'composition' WHEN 2 THEN 'composition' WHEN 3 THEN 'interaction' END AS kind, CASE WHEN p_partkey % 5 < 4 THEN p_type END AS subject, CASE p_partkey % 5 WHEN 0 THEN p_brand WHEN 2 THEN p_brand WHEN 3 THEN p_brand END AS object, CASE p_partkey % 5 WHEN 0 THEN 'Mean' WHEN 1 THEN 'prop' WHEN 2 THEN 'ratio' WHEN 3 THEN 'z' END AS summary FROM part")
-def _o128(t):
-    k = F.col("p_partkey") % 5
-    name = F.when(k == 0, F.concat(F.lit("Distance_Mean_"), "p_type", F.lit("_to_"), "p_brand")).when(k == 1, F.concat(F.lit("Epi__prop__"), "p_type")).when(k == 2, F.concat(F.lit("All__ratio__"), "p_type", F.lit("__over__"), "p_brand")).when(k == 3, F.concat(F.lit("inter_z_"), "p_type", F.lit("__"), "p_brand", F.lit("__All"))).otherwise("odd name")
-    return t("part").select("p_partkey", feature_parts(name).alias("f")).select("p_partkey", "f.kind", "f.subject", "f.object", "f.summary")
-
-
 @query("o129_keys_and_ids", """SELECT p_partkey, '{"brand":"' || p_brand || '","size":' || p_size || '}' AS key, p_type || '|' || p_brand || '|' || p_name AS uid, p_name AS feature FROM part""")
 def _o129(t):
     uid = F.concat_ws("|", "p_type", "p_brand", "p_name")
@@ -199,11 +157,3 @@ def _o122_log1p(t):
 def _o124_levels(t):
     o = t("orders").select("o_orderkey", "o_orderstatus")
     return one_hot(o, o.where("o_orderkey % 2 = 0"), ["o_orderstatus"])
-
-
-@query("o128_measure_names", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'infiltration' WHEN 1 THEN 'ripley' WHEN 2 THEN 'diversity' ELSE 'interaction' END AS kind, CASE p_partkey % 4 WHEN 0 THEN 'SMALL' WHEN 1 THEN 'LARGE' END AS cell, CASE p_partkey % 4 WHEN 0 THEN 'PD1_' || p_brand WHEN 2 THEN 'renyi' WHEN 3 THEN 'x' END AS state, CASE WHEN p_partkey % 4 = 2 THEN 0.5 END AS q, CASE WHEN p_partkey % 4 = 2 THEN 'radius' END AS graph, lower(CASE p_partkey % 4 WHEN 0 THEN 'infiltration|SMALL__PD1_' || p_brand || '|Tumor|mean' WHEN 1 THEN 'ripley|LARGE|All|at40' WHEN 2 THEN 'diversity|renyi+type_q0.5_radius|Epi|median' ELSE 'interaction|a' || p_size || '+x|All|z' END) AS key FROM part")
-def _o128_measures(t):
-    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
-    name = F.when(k == 0, F.concat(F.lit("infiltration_SMALL__PD1_"), "p_brand", F.lit("__Tumor__mean"))).when(k == 1, "Ripley_LARGE__All__at40").when(k == 2, "renyi_type_q0.5_radius__Epi__median").otherwise(F.concat(F.lit("inter_z_x__a"), size, F.lit("__All")))
-    p = t("part").select("p_partkey", feature_parts(name).alias("f")).withColumn("e", entity_parts(F.col("f.subject"), ["SMALL", "LARGE", "LARGE_B"])).withColumn("m", measure_parameters(F.col("f.object")))
-    return p.select("p_partkey", "f.kind", "e.cell", "e.state", "m.q", "m.graph", semantic_key(F.col("f")).alias("key"))
