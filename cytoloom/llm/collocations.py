@@ -1,9 +1,9 @@
 """Operator 12. Phrase collocation mining by suffix-sigma.
 
-Each task cuts texts into pieces and words and counts, block by block, the suffixes that start at each word, truncated to max_n words. These rows
-are dealt by ranges of (language, first word, further words), so that a frequent first word, or pair, lies in as many tasks as it needs, and are
-sorted in reverse lexicographic order. A stack of the open prefixes, one a length, then counts all prefixes in one pass: rows that share a
-prefix follow each other, and a prefix is done when a row without it comes. Prefixes at the edge of a range are partial counts, added up
+Each task cuts texts into pieces and words and counts, block by block, the suffixes that start at each word, truncated to max_n words. They are
+shuffled by language and first word; where that is a hot prefix (more than one occurrence in SHARE), by language and two words, and so on. Tasks
+sort them in reverse lexicographic order. A stack of the open prefixes, one a length, then counts all prefixes in one pass: rows that share a
+prefix follow each other, and a prefix is done when a row without it comes. Hot prefixes, which several tasks count in part, are added up
 afterwards. Candidates then look up the counts of their parts by joins, and the lowest-scoring cut counts.
 
 Words are [^ \\t]+ between [.,;:!?\\n-\\r], A-Z lower-cased. A null language is `und`; null and empty texts have no words; repeated rows count as
@@ -13,6 +13,7 @@ no rows. Texts of any length are taken whole. No columns but lang and text are r
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,12 +22,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import blocks, materialise, table, trim
+from .base import blocks, materialise, mix, table, trim
 
 MAX_N, MIN_COUNT, COVERED, TOP = 3, 10, 50, 2000
 #: Bytes of text whose suffixes a worker counts at once.
 BLOCK = 4 << 20
-#: Rows of the count sorted at once in one task for each language's report: a first cut by parts.
+#: Rows that the stack takes on together.
+ROWS = 1 << 15
+#: A prefix is hot if more than one occurrence in so many has it, so that each length has fewer hot prefixes than this; blocks report those with a fifth of that share.
+SHARE = 1000
+#: Parts of a partition that keys are dealt to.
+DEALT = 64
+#: A language's report is sorted in one task after so many parts of it have been cut to its length.
 SALTS = 64
 
 _BREAKS, _BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -35,136 +42,226 @@ _KIND[list(_BREAKS)] = 2
 _KIND[list(_BLANKS)] = 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Ends a language and each word of a key. No text has the first, no word the second, so the keys that start with a prefix lie together in byte order.
+END_LANG, END_WORD = b"\xff", b" "
+
+
+class Words:
+    """The words of a block of texts: sorted distinct words, languages, and for each occurrence its language and the codes of the words from there on (the last code of all: none)."""
+
+    def __init__(self, texts: list[bytes], langs: pa.Array, max_n: int):
+        buf = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+        kind = _KIND[buf]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], kind > 0])))
+        start, end = edge[0::2], edge[1::2]
+        offset = np.concatenate([[0], np.cumsum(end - start)])
+        found = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(buf[kind == 0].tobytes())]).dictionary_encode()
+        order = pc.array_sort_indices(found.dictionary).to_numpy()
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.words, self.none = found.dictionary.take(pa.array(order)), len(order)
+        code = rank[found.indices.to_numpy(zero_copy_only=False)]
+        piece = np.cumsum(kind == 2)[start]
+        row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+        names = langs.dictionary_encode()
+        self.langs = [x.encode() for x in names.dictionary.to_pylist()]
+        self.lang = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
+        self.level = [code]
+        for i in range(1, max_n):
+            after = np.full(len(code), self.none)
+            if i < len(code):
+                after[:-i] = np.where(piece[i:] == piece[:-i], code[i:], self.none)
+            self.level.append(after)
+
+    def distinct(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """One occurrence of each distinct (language, next `size` words) and their numbers, in order of the words."""
+        key, span = self.lang, max(1, len(self.langs))
+        for x in self.level[:size]:
+            if span * (self.none + 1) >= 1 << 62:
+                seen, key = np.unique(key, return_inverse=True)
+                span = len(seen)
+            key, span = key * (self.none + 1) + x, span * (self.none + 1)
+        _, first, n = np.unique(key, return_index=True, return_counts=True)
+        return first, n
+
+    def keys(self, at: np.ndarray, size: int) -> pa.Array:
+        """Language and `size` words of occurrences as bytes, each with its end."""
+        langs = pa.array([x + END_LANG for x in self.langs], pa.large_binary())
+        spelled = pc.binary_join_element_wise(self.words, pa.scalar(b"", pa.large_binary()), pa.scalar(END_WORD, pa.large_binary()))
+        spelled = pa.concat_arrays([spelled, pa.array([b""], pa.large_binary())])
+        return pc.binary_join_element_wise(langs.take(pa.array(self.lang[at])), *(spelled.take(pa.array(x[at])) for x in self.level[:size]), pa.scalar(b"", pa.large_binary()))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], max_n: int) -> Iterator[Words]:
+    for b in blocks(batches, 1, BLOCK):
+        yield Words([x or b"" for x in b.column(1).to_pylist()], b.column(0), max_n)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def hot_prefixes(docs: DataFrame, max_n: int = MAX_N) -> set[bytes]:
+    """Keys of prefixes, shorter than max_n, that more than one word's occurrence in SHARE starts with: fewer than SHARE for each length."""
 
-
-def _words(max_n: int) -> list[str]:
-    return [f"w{i}" for i in range(1, max_n + 1)]
-
-
-def count_block(texts: list[bytes], langs: pa.Array, max_n: int) -> pa.RecordBatch:
-    """(lang, w1 to w<max_n>, n): the truncated suffixes of a block and their counts; words that a suffix lacks are empty."""
-    buf = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
-    kind = _KIND[buf]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], kind > 0])))
-    start, end = edge[0::2], edge[1::2]
-    offset = np.concatenate([[0], np.cumsum(end - start)])
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offset.astype(np.int64)), pa.py_buffer(buf[kind == 0].tobytes())]).dictionary_encode()
-    none = len(words.dictionary)  # the index of the missing word
-    code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    piece = np.cumsum(kind == 2)[start]
-    row = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
-    names = langs.dictionary_encode()
-    own = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-    level = [code]
-    for i in range(1, max_n):
-        nxt = np.full(len(code), none)
-        if i < len(code):
-            nxt[:-i] = np.where(piece[i:] == piece[:-i], code[i:], none)
-        level.append(nxt)
-    key, span = own, max(1, len(names.dictionary))
-    for x in level:
-        if span * (none + 1) >= 1 << 62:
-            distinct, key = np.unique(key, return_inverse=True)
-            span = len(distinct)
-        key, span = key * (none + 1) + x, span * (none + 1)
-    _, first, n = np.unique(key, return_index=True, return_counts=True)
-    spelled = pa.concat_arrays([words.dictionary, pa.array([b""], pa.large_binary())]).cast(pa.large_string()).cast(pa.string())
-    cols = [names.dictionary.take(pa.array(own[first])), *(spelled.take(pa.array(x[first])) for x in level), pa.array(n.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(cols, ["lang", *_words(max_n), "n"])
-
-
-def suffixes(docs: DataFrame, max_n: int = MAX_N) -> DataFrame:
-    """Truncated suffixes with their counts by block, written to the shared folder."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w in _blocks(batches, max_n):
+            total = len(w.lang)
+            yield pa.RecordBatch.from_arrays([pa.array([b""], pa.binary()), pa.array([total], pa.int64())], ["key", "n"])
+            for size in range(1, max_n):
+                first, n = w.distinct(size)
+                first, n = first[n * 5 * SHARE > total], n[n * 5 * SHARE > total]
+                yield pa.RecordBatch.from_arrays([w.keys(first, size).cast(pa.binary()), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    # a key with fewer words than its size ends a piece: it is a whole suffix, which no further word could split
+    counts = materialise(_texts(docs).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")), "prefixes")
+    total = counts.where(F.octet_length("key") == 0).agg(F.sum("n")).first()[0] or 0
+    return {bytes(r.key) for r in counts.where((F.octet_length("key") > 0) & (F.col("n") * SHARE > total)).select("key").collect()}
+
+
+def _dealt(w: Words, at: np.ndarray, hot: set[bytes], parts: int) -> np.ndarray:
+    """Where suffixes go: a hash of the language and first word, and of a further word as long as what is before it is a hot prefix."""
+    crc = np.append(np.fromiter((zlib.crc32(x) for x in w.words.to_pylist()), np.uint64, w.none), np.uint64(0))
+    place = {x: i for i, x in enumerate(w.words.to_pylist())} if hot else {}
+    langs = {x: i for i, x in enumerate(w.langs)}
+    h = np.array([zlib.crc32(x) for x in w.langs], np.uint64)[w.lang[at]]
+    prefix, span, go = w.lang[at], max(1, len(w.langs)), np.ones(len(at), bool)
+    for size, level in enumerate(w.level, 1):
+        x = level[at]
+        h[go] = mix(h[go] * np.uint64(31) + crc[x[go]])
+        if size == len(w.level) or span > (1 << 62) // (w.none + 1):
+            break
+        prefix, span = prefix * (w.none + 1) + x, span * (w.none + 1)
+        here = []
+        for key in hot:
+            lang, _, text = key.partition(END_LANG)
+            words = text.split(END_WORD)[:-1]
+            if len(words) == size and lang in langs and all(y in place for y in words):
+                k = langs[lang]
+                for y in words:
+                    k = k * (w.none + 1) + place[y]
+                here.append(k)
+        go = go & np.isin(prefix, here)
+    return (h % np.uint64(parts)).astype(np.int32)
+
+
+def suffixes(docs: DataFrame, hot: set[bytes], parts: int, max_n: int = MAX_N) -> DataFrame:
+    """(dealt, key, n): truncated suffixes with their counts by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, 1, BLOCK):
-            yield count_block([x or b"" for x in b.column(1).to_pylist()], b.column(0), max_n)
+        for w in _blocks(batches, max_n):
+            first, n = w.distinct(max_n)
+            yield pa.RecordBatch.from_arrays([pa.array(_dealt(w, first, hot, parts)), w.keys(first, max_n).cast(pa.binary()), pa.array(n.astype(np.int32))], ["dealt", "key", "n"])
 
-    schema = ", ".join(["lang string", *(f"{w} string" for w in _words(max_n)), "n long"])
-    own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").cast("binary").alias("text"))
-    return materialise(own.mapInArrow(run, schema), "suffixes")
+    return _texts(docs).mapInArrow(run, "dealt int, key binary, n int")
 
 
 class Stack:
-    """Open prefixes of sorted suffixes, one for each number of words (0: the language alone), and their counts so far."""
-
-    def __init__(self, max_n: int, least: int):
-        self.max_n, self.least = max_n, least
-        self.last: list[str] | None = None
-        self.open = [0] * (max_n + 1)
-        self.edge = [True] * (max_n + 1)  # whether the open prefix is the first of its length here, so that another task may have more of it
-
-    def push(self, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        """Takes rows on, all of a batch at once; gives the prefixes that end in it."""
-        n = b.column(self.max_n + 1).to_numpy()
-        changed = np.zeros(len(n), bool)
-        for i in range(self.max_n + 1):
-            col = b.column(i)
-            new = np.empty(len(n), bool)
-            new[0] = self.last is None or col[0].as_py() != self.last[i]
-            new[1:] = pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
-            changed = changed | new
-            at = np.flatnonzero(changed)
-            if not len(at):
-                self.open[i] += int(n.sum())
-                continue
-            if self.last is not None:
-                yield from self._close(i, self.last, self.open[i] + int(n[: at[0]].sum()))
-            sums = np.add.reduceat(n, at)
-            first = 0
-            if self.last is None and len(at) > 1:  # the first prefix of the range
-                yield from self._close(i, [c[0].as_py() for c in b.columns[: self.max_n + 1]], int(sums[0]))
-                first = 1
-            done, total = at[first:-1], sums[first:-1]
-            if len(done):
-                self.edge[i] = False
-                fine = total >= (self.least if i else 0)
-                if i:
-                    fine &= pc.not_equal(col, "").to_numpy(zero_copy_only=False)[done]
-                done, total = done[fine], total[fine]
-                if len(done):
-                    take = pa.array(done)
-                    none = pa.array([""] * len(done), pa.string())
-                    yield self._batch([b.column(j).take(take) if j <= i else none for j in range(self.max_n + 1)], pa.array(total.astype(np.int64)))
-            self.open[i] = int(sums[-1])
-            if self.last is not None or len(at) > 1:
-                self.edge[i] = False
-        self.last = [c[len(n) - 1].as_py() for c in b.columns[: self.max_n + 1]]
-
-    def _batch(self, cols: list[pa.Array], n: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([*cols, n], ["lang", *_words(self.max_n), "n"])
-
-    def _close(self, i: int, prefix: list[str], n: int, end: bool = False) -> Iterator[pa.RecordBatch]:
-        if (i == 0 or prefix[i]) and (self.edge[i] or end or i == 0 or n >= self.least):
-            yield self._batch([pa.array([x if j <= i else ""], pa.string()) for j, x in enumerate(prefix)], pa.array([n], pa.int64()))
-        self.edge[i] = False
-
-    def finish(self) -> Iterator[pa.RecordBatch]:
-        """What is open at the end of the range: partial counts."""
+    """Open prefixes of sorted keys, one for each number of words (0: the language alone), with their counts so far. Takes a batch's rows on together."""
+
+    def __init__(self, max_n: int, least: int, hot: set[bytes]):
+        self.max_n, self.least, self.hot = max_n, least, hot
+        self.open: list[tuple[bytes, int] | None] = [None] * (max_n + 1)
+
+    def push(self, keys: list[bytes], n: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Prefixes that end in these rows, and their counts."""
+        done: list[tuple[bytes, int]] = []
+        data = np.frombuffer(b"".join(keys), np.uint8)
+        size = np.fromiter(map(len, keys), np.int64, len(keys))
+        start = np.cumsum(size) - size
+        ends = np.flatnonzero((data == END_LANG[0]) | (data == END_WORD[0])) + 1
+        own = np.searchsorted(ends, start, "right")
+        count = np.searchsorted(ends, start + size, "right") - own
+        same = _common(data, start, size)  # bytes that a row shares with the one before
+        lead = self.last_common(keys[0])
+        same[0] = lead
         for i in range(self.max_n + 1):
-            if self.last is not None:
-                yield from self._close(i, self.last, self.open[i], end=True)
+            has = np.flatnonzero(count > i)
+            if len(has):
+                length = ends[own[has] + i] - start[has]
+                # a row without such a prefix stands between rows of unlike ones only
+                new = np.flatnonzero(same[has] < length)
+                old = self.open[i]
+                rows = n[has]
+                before = int(rows[: new[0] if len(new) else len(rows)].sum())
+                if old is not None:
+                    old = self.open[i] = (old[0], old[1] + before)
+                if len(new):
+                    if old is not None:
+                        done.append(old)
+                    sums = np.add.reduceat(rows, new)
+                    fine = sums[:-1] >= self.least if i else sums[:-1] >= 0
+                    key = lambda k: keys[has[new[k]]][: length[new[k]]]  # noqa: B023, E731
+                    done += [(key(k), int(sums[k])) for k in np.flatnonzero(fine)]
+                    if len(self.hot):  # hot prefixes may be rare here
+                        done += [(key(k), int(sums[k])) for k in np.flatnonzero(~fine) if key(k) in self.hot]
+                    self.open[i] = (key(len(new) - 1), int(sums[-1]))
+        self.last = keys[-1]
+        return self._out(done)
+
+    last: bytes | None = None
+
+    def last_common(self, key: bytes) -> int:
+        if self.last is None:
+            return 0
+        return next((i for i, (a, b) in enumerate(zip(self.last, key)) if a != b), min(len(self.last), len(key)))
+
+    def _out(self, done: list[tuple[bytes, int]]) -> tuple[list[bytes], list[int]]:
+        done = [(k, n) for k, n in done if n >= self.least or k.endswith(END_LANG) or k in self.hot]
+        return [k for k, _ in done], [n for _, n in done]
+
+    def finish(self) -> tuple[list[bytes], list[int]]:
+        done = [x for x in self.open if x is not None]
+        self.open = [None] * (self.max_n + 1)
+        return self._out(done)
+
+
+def _common(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row and the one before; 0 for the first."""
+    out = np.zeros(len(start), np.int64)
+    at = np.arange(1, len(start))
+    most = np.minimum(size[1:], size[:-1])
+    k = 0
+    while len(at):
+        at = at[most[at - 1] > k]
+        at = at[data[start[at] + k] == data[start[at - 1] + k]]
+        k += 1
+        out[at] = k
+    return out
 
 
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, size, f): phrases of up to max_n words that occur at least `least` times, and for each language the number of all words (empty phrase, size 0)."""
-    words, rows = _words(max_n), suffixes(docs, max_n)
+    spark = docs.sparkSession
+    hot = hot_prefixes(docs, max_n)
+    parts = DEALT * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = suffixes(docs, hot, parts, max_n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = Stack(max_n, least)
+        stack = Stack(max_n, least, hot)
+        out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.binary()), pa.array(x[1], pa.int64())], ["key", "f"])
+        keys: list[bytes] = []
+        n: list[np.ndarray] = []
         for b in batches:
-            if b.num_rows:
-                yield from stack.push(b)
-        yield from stack.finish()
+            keys += b.column(0).to_pylist()
+            n.append(b.column(1).to_numpy().astype(np.int64))
+            if len(keys) >= ROWS:
+                yield out(stack.push(keys, np.concatenate(n)))
+                keys, n = [], []
+        if keys:
+            yield out(stack.push(keys, np.concatenate(n)))
+        yield out(stack.finish())
         trim()
 
-    order = [F.col(c).desc() for c in ["lang", *words]]
-    schema = ", ".join(["lang string", *(f"{w} string" for w in words), "n long"])
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, schema)
-    whole = parts.groupBy("lang", *words).agg(F.sum("n").alias("f"))
-    spelled = F.filter(F.array(*words), lambda w: w != "")
-    out = whole.select("lang", F.concat_ws(" ", spelled).alias("phrase"), F.size(spelled).alias("size"), "f")
-    return materialise(out.where((F.col("size") == 0) | (F.col("f") >= least)), "phrases")
+    counted = rows.repartition("dealt").select("key", "n").sortWithinPartitions(F.col("key").desc()).mapInArrow(run, "key binary, f long")
+    whole = counted.groupBy("key").agg(F.sum("f").alias("f"))
+    # the language ends at the only byte that no text has
+    at = F.locate("FF", F.regexp_replace(F.hex("key"), "(..)", "$1 ")).alias("at")
+    named = whole.select("key", "f", ((at - 1) / 3).cast("int").alias("len"))
+    phrase = F.rtrim(F.expr("CAST(substring(key, len + 2) AS STRING)"), F.lit(" "))
+    out = named.select(F.expr("CAST(substring(key, 1, len) AS STRING)").alias("lang"), phrase.alias("phrase"), "f")
+    out = out.withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
+    return materialise(out.where((F.col("size") == 0) | (F.col("f") >= least)).select("lang", "phrase", "size", "f"), "phrases")
 
 
 def _cut(lo, n):

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -61,40 +62,43 @@ def test_against_counters(spark, how):
     assert got and got == sorted(plain(rows, **how))
 
 
-def test_hot_first_word_over_many_ranges(spark):
-    """Far more ranges than first words, so that prefixes of every length cross their edges."""
-    rows = [("the cat sat. the cat ran. the the the", "en")] * 30 + corpus(9, 60)
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "37")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        assert run(spark, rows) == sorted(plain(rows))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+def test_hot_prefixes_are_split(spark, monkeypatch):
+    """Nearly every prefix is hot and counted in part by several tasks."""
+    monkeypatch.setattr(C, "SHARE", 30)
+    rows = [("the cat sat. the cat ran. the the the", "en")] * 30 + [("the cat sat", "fr")] * 9 + corpus(9, 60)
+    d = spark.createDataFrame([(i, t, lang, "x", 1, 2) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    hot = C.hot_prefixes(d)
+    assert b"en\xffthe " in hot and b"en\xffthe cat " in hot
+    assert run(spark, rows) == sorted(plain(rows))
 
 
-def test_stack_over_any_batches_and_ranges():
+def test_hot_keys_go_apart():
+    w = C.Words([b"the a. the b. the c c. the d. of a. of b"], pa.array(["en"]), 3)
+    first, _ = w.distinct(3)
+    words = [k.as_py() for k in w.keys(first, 3)]
+    cold, split = C._dealt(w, first, set(), 1 << 30), C._dealt(w, first, {b"en\xffthe "}, 1 << 30)
+    the = [i for i, k in enumerate(words) if k.startswith(b"en\xffthe ")]
+    of = [i for i, k in enumerate(words) if k.startswith(b"en\xffof ")]
+    assert len({cold[i] for i in the}) == 1 and len({split[i] for i in the}) == 4 and len({split[i] for i in of}) == 1
+
+
+def test_stack_over_any_batches():
     r = random.Random(4)
-    rows = sorted(((r.choice("xy"), *[r.choice("abc") if i < m else "" for i in range(3)], r.randrange(1, 4)) for m in r.choices([1, 2, 3], k=400)), reverse=True)
+    rows = sorted(((r.choice("xy"), *[r.choice(["a", "a\x01", "ab", "é"]) for i in range(m)], r.randrange(1, 4)) for m in r.choices([1, 2, 3], k=400)), key=str, reverse=True)
     want = Counter()
     for lang, *ws, n in rows:
-        for i in range(4):
-            if i == 0 or ws[i - 1]:
-                want[(lang, *ws[:i], *[""] * (3 - i))] += n
-    for _ in range(30):
-        cuts = sorted(r.choices(range(1, len(rows)), k=r.randrange(8)))
-        got = Counter()
-        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-            stack, out, at = C.Stack(3, 1), [], a
-            while at < b:
-                m = min(b, at + r.randrange(1, 60))
-                cols = list(zip(*rows[at:m], strict=True))
-                out += stack.push(pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:4]), pa.array(cols[4], pa.int64())], ["lang", "w1", "w2", "w3", "n"]))
-                at = m
-            for x in [*out, *stack.finish()]:
-                for row in zip(*x.to_pydict().values(), strict=True):
-                    got[row[:4]] += row[4]
+        for i in range(len(ws) + 1):
+            want[lang.encode() + C.END_LANG + b"".join(w.encode() + b" " for w in ws[:i])] += n
+    keys = sorted(((lang.encode() + C.END_LANG + b"".join(w.encode() + b" " for w in ws), n) for lang, *ws, n in rows), reverse=True)
+    for _ in range(40):
+        stack, got, at = C.Stack(3, 1, set()), Counter(), 0
+        while at < len(keys):
+            part = keys[at : at + r.randrange(1, 60)]
+            at += len(part)
+            for k, n in zip(*stack.push([k for k, _ in part], np.array([n for _, n in part])), strict=True):
+                got[k] += n
+        for k, n in zip(*stack.finish(), strict=True):
+            got[k] += n
         assert got == want
 
 
