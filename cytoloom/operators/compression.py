@@ -192,17 +192,6 @@ def _o164(t):
     return _per_root(t, lambda names, rho: component_labels(names, [k for k, r in rho.items() if abs(r) >= 0.2]).items(), "root string, feature string, component string", ["root", "feature", "component"])
 
 
-@query("o167_greedy_compression")
-def _o167(t):
-    return _per_root(t, lambda names, rho: greedy_compression(names, dict.fromkeys(names, 0.0), rho, 0.1, 0.005).items(), "root string, feature string, representative string", ["root", "feature", "representative"])
-
-
-@query("o166_exact_duplicates", "WITH v AS (SELECT p_partkey, p_brand, sha1(concat_ws('|', p_type, p_size)) AS h FROM part) SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, h) AS kept FROM v")
-def _o166(t):
-    v = t("part").withColumn("h", F.sha1(F.concat_ws("|", "p_type", "p_size").cast("binary")))
-    return v.select("p_partkey", F.min("p_partkey").over(Window.partitionBy("p_brand", "h")).alias("kept"))
-
-
 @query("o169_cap_grid", f"WITH {EVIDENCE}, r AS (SELECT context, oof, row_number() OVER (PARTITION BY context ORDER BY oof DESC, feature) AS k FROM evidence) SELECT context, cap::INT AS cap, thr::DOUBLE AS thr, count(*) AS n, count(*) BETWEEN 5 AND 30 AS passes FROM r JOIN (SELECT unnest([10, 20, 40]) AS cap) ON k <= cap JOIN (SELECT unnest([0.2, 0.5, 0.8]) AS thr) ON oof >= thr GROUP BY ALL")
 def _o169(t):
     r = t.evidence().withColumn("k", F.row_number().over(Window.partitionBy("context").orderBy(F.desc("oof"), "feature")))
