@@ -28,7 +28,7 @@ MAX_N, MIN_COUNT, COVERED, TOP = 3, 10, 50, 2000
 #: Bytes of text whose suffixes a worker counts at once.
 BLOCK = 4 << 20
 #: Rows that the stack takes on together.
-ROWS = 1 << 15
+ROWS = 1 << 16
 #: A prefix is hot if more than one occurrence in so many has it, so that each length has fewer hot prefixes than this; blocks report those with a fifth of that share.
 SHARE = 1000
 #: Parts of a partition that keys are dealt to.
@@ -161,47 +161,45 @@ class Stack:
 
     def __init__(self, max_n: int, least: int, hot: set[bytes]):
         self.max_n, self.least, self.hot = max_n, least, hot
+        self.hot_sizes = {k.count(END_WORD) for k in hot}
+        self.last: bytes | None = None
         self.open: list[tuple[bytes, int] | None] = [None] * (max_n + 1)
 
-    def push(self, keys: list[bytes], n: np.ndarray) -> tuple[list[bytes], list[int]]:
-        """Prefixes that end in these rows, and their counts."""
+    def push(self, data: np.ndarray, offset: np.ndarray, n: np.ndarray) -> tuple[list[bytes], list[int]]:
+        """Prefixes that end in these rows, and their counts. Row i's key is data[offset[i]:offset[i + 1]]."""
         done: list[tuple[bytes, int]] = []
-        data = np.frombuffer(b"".join(keys), np.uint8)
-        size = np.fromiter(map(len, keys), np.int64, len(keys))
-        start = np.cumsum(size) - size
+        start, size = offset[:-1], np.diff(offset)
         ends = np.flatnonzero((data == END_LANG[0]) | (data == END_WORD[0])) + 1
-        own = np.searchsorted(ends, start, "right")
-        count = np.searchsorted(ends, start + size, "right") - own
+        bound = np.searchsorted(ends, offset, "right")
+        own, count = bound[:-1], np.diff(bound)
         same = _common(data, start, size)  # bytes that a row shares with the one before
-        lead = self.last_common(keys[0])
-        same[0] = lead
+        same[0] = self._shared(data[: size[0]].tobytes())
         for i in range(self.max_n + 1):
             has = np.flatnonzero(count > i)
             if len(has):
                 length = ends[own[has] + i] - start[has]
                 # a row without such a prefix stands between rows of unlike ones only
                 new = np.flatnonzero(same[has] < length)
-                old = self.open[i]
-                rows = n[has]
-                before = int(rows[: new[0] if len(new) else len(rows)].sum())
+                old, rows = self.open[i], n[has]
                 if old is not None:
-                    old = self.open[i] = (old[0], old[1] + before)
+                    old = self.open[i] = (old[0], old[1] + int(rows[: new[0] if len(new) else len(rows)].sum()))
                 if len(new):
                     if old is not None:
                         done.append(old)
                     sums = np.add.reduceat(rows, new)
-                    fine = sums[:-1] >= self.least if i else sums[:-1] >= 0
-                    key = lambda k: keys[has[new[k]]][: length[new[k]]]  # noqa: B023, E731
+                    at = start[has[new]]
+                    to = at + length[new]
+                    key = lambda k: data[at[k] : to[k]].tobytes()  # noqa: B023, E731
+                    fine = sums[:-1] >= (self.least if i else 0)
                     done += [(key(k), int(sums[k])) for k in np.flatnonzero(fine)]
-                    if len(self.hot):  # hot prefixes may be rare here
-                        done += [(key(k), int(sums[k])) for k in np.flatnonzero(~fine) if key(k) in self.hot]
+                    if i in self.hot_sizes:  # hot prefixes may be rare here
+                        done += [(x, int(sums[k])) for k in np.flatnonzero(~fine) if (x := key(k)) in self.hot]
                     self.open[i] = (key(len(new) - 1), int(sums[-1]))
-        self.last = keys[-1]
+        self.last = data[start[-1] : offset[-1]].tobytes()
         return self._out(done)
 
-    last: bytes | None = None
-
-    def last_common(self, key: bytes) -> int:
+    def _shared(self, key: bytes) -> int:
+        """Bytes that a key shares with the last one pushed."""
         if self.last is None:
             return 0
         return next((i for i, (a, b) in enumerate(zip(self.last, key)) if a != b), min(len(self.last), len(key)))
@@ -217,19 +215,30 @@ class Stack:
 
 
 def _common(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row and the one before; 0 for the first."""
+    """Length of the common prefix of each row and the one before; 0 for the first. Eight bytes at a time."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
     out = np.zeros(len(start), np.int64)
-    at = np.arange(1, len(start))
     most = np.minimum(size[1:], size[:-1])
-    k = 0
+    at, k = np.arange(1, len(start)), 0
     while len(at):
-        at = at[most[at - 1] > k]
-        at = at[data[start[at] + k] == data[start[at - 1] + k]]
-        k += 1
-        out[at] = k
+        unlike = eight[start[at] + k] ^ eight[start[at - 1] + k]
+        low = unlike & (~unlike + np.uint64(1))  # the lowest bit that differs
+        out[at] = np.where(unlike == 0, k + 8, k + (np.frexp(low.astype(np.float64))[1] - 1) // 8)
+        at = at[(unlike == 0) & (most[at - 1] > k + 8)]
+        k += 8
+    out[1:] = np.minimum(out[1:], most)
     return out
 
 
+def _columns(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of the keys in a row, their offsets, and the counts."""
+    keys = pa.concat_arrays([b.column(0).cast(pa.large_binary()) for b in batches])
+    offset = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    data = np.frombuffer(keys.buffers()[2], np.uint8)[offset[0] : offset[-1]]
+    return data, offset - offset[0], np.concatenate([b.column(1).to_numpy() for b in batches]).astype(np.int64)
+
+
 def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT) -> DataFrame:
     """(lang, phrase, size, f): phrases of up to max_n words that occur at least `least` times, and for each language the number of all words (empty phrase, size 0)."""
     spark = docs.sparkSession
@@ -240,16 +249,14 @@ def phrase_counts(docs: DataFrame, max_n: int = MAX_N, least: int = MIN_COUNT) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stack = Stack(max_n, least, hot)
         out = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.binary()), pa.array(x[1], pa.int64())], ["key", "f"])
-        keys: list[bytes] = []
-        n: list[np.ndarray] = []
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            keys += b.column(0).to_pylist()
-            n.append(b.column(1).to_numpy().astype(np.int64))
-            if len(keys) >= ROWS:
-                yield out(stack.push(keys, np.concatenate(n)))
-                keys, n = [], []
-        if keys:
-            yield out(stack.push(keys, np.concatenate(n)))
+            held.append(b)
+            if sum(x.num_rows for x in held) >= ROWS:
+                yield out(stack.push(*_columns(held)))
+                held = []
+        if sum(x.num_rows for x in held):
+            yield out(stack.push(*_columns(held)))
         yield out(stack.finish())
         trim()
 

@@ -95,13 +95,22 @@ def test_stack_over_any_batches():
         while at < len(keys):
             part = keys[at : at + r.randrange(1, 60)]
             at += len(part)
-            for k, n in zip(*stack.push([k for k, _ in part], np.array([n for _, n in part])), strict=True):
+            b = pa.RecordBatch.from_arrays([pa.array([k for k, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int32())], ["key", "n"])
+            for k, n in zip(*stack.push(*C._columns([b.slice(0, 1), b.slice(1)])), strict=True):
                 got[k] += n
         for k, n in zip(*stack.finish(), strict=True):
             got[k] += n
         assert got == want
 
 
+def test_common_prefixes():
+    r = random.Random(6)
+    keys = sorted(bytes(r.choices(b"ab\xff", k=r.randrange(1, 40))) for _ in range(500))
+    size = np.array([len(k) for k in keys])
+    got = C._common(np.frombuffer(b"".join(keys), np.uint8), np.cumsum(size) - size, size)
+    assert got.tolist() == [0, *(next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in zip(keys, keys[1:]))]
+
+
 def test_empty_and_rare(spark):
     assert run(spark, []) == [] and run(spark, [(None, "en"), ("", None)]) == [] and run(spark, [("one two " * 9, "en")]) == []
     long = [("alpha beta " * 60000, "en")]
