@@ -15,7 +15,8 @@ from ..sources.scratch import new_path
 from .aggregates import average_rank, consensus, spearman_pairs
 from .labels import canonical
 from .models import _cohorts, _fields, _over_repeats, _variants, concordant, cox, folds
-from .spatial import nearest_distances, radius_pairs
+from .neighbours import nearest_distances
+from .spatial import radius_pairs
 from .windows import keep_first
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import CELLS, query
+from .neighbours import nearest_distances
 
 
 def _half(cells: DataFrame, side, keys: list[str], cols: list[str]) -> DataFrame:
@@ -56,64 +57,6 @@ def infiltration(pairs: DataFrame, base: list[str], immune: list[str], group: st
     return e.select(group, "a", (F.col("i") / (F.col("b") + 1)).alias("ratio"))
 
 
-def nearest(q: np.ndarray, p: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Distance of each q to the nearest p other than its own place in p (-1: none); infinite if there is none. Points lie in squares of about two; rings of squares are searched until none nearer can follow, and places far from all points are compared with each."""
-    best = np.full(len(q), np.inf)
-    if not len(p):
-        return best
-    low = p.min(axis=0)
-    extent = np.maximum(p.max(axis=0) - low, 1e-9)
-    side = max(np.sqrt(extent.prod() * 2 / len(p)), extent.max() / 1e6)
-    cell = np.floor((p - low) / side).astype(np.int64)
-    rows = int(cell[:, 1].max()) + 1
-    key = cell[:, 0] * rows + cell[:, 1]
-    o = np.argsort(key, kind="stable")
-    key, places = key[o], p[o]
-    home = np.floor((q - low) / side).astype(np.int64)
-    left = np.arange(len(q))
-    for ring in range(9):
-        for i in range(-ring, ring + 1):
-            for j in range(-ring, ring + 1) if abs(i) == ring else (-ring, ring):
-                at = home[left] + (i, j)
-                ok = np.flatnonzero((at[:, 0] >= 0) & (at[:, 1] >= 0) & (at[:, 1] < rows))
-                k = at[ok, 0] * rows + at[ok, 1]
-                lo, hi, who = np.searchsorted(key, k), np.searchsorted(key, k, "right"), left[ok]
-                while len(who):  # the next point of each square
-                    some = lo < hi
-                    lo, hi, who = lo[some], hi[some], who[some]
-                    d = ((q[who] - places[lo]) ** 2).sum(axis=1)
-                    d[o[lo] == own[who]] = np.inf
-                    best[who] = np.minimum(best[who], d)
-                    lo = lo + 1
-        left = left[best[left] > (ring * side) ** 2]
-        if not len(left):
-            break
-    for i in range(0, len(left), 256):
-        some = left[i : i + 256]
-        d = ((q[some, None] - p[None]) ** 2).sum(axis=2)
-        d[own[some, None] == np.arange(len(p))[None]] = np.inf
-        best[some] = d.min(axis=1)
-    return np.sqrt(best)
-
-
-def nearest_distances(cells: DataFrame, group: str = "sample_id") -> DataFrame:
-    """O056, O134: distance from each cell to the nearest other cell of each label, by rings of grid squares. A group's cells meet in a task, with time and memory in proportion to them."""
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        xy, lab = pdf[["x", "y"]].to_numpy(float), pdf["phenotype"].to_numpy()
-        out = []
-        for to in sorted(set(lab)):
-            at = np.flatnonzero(lab == to)
-            own = np.full(len(xy), -1)
-            own[at] = np.arange(len(at))
-            best = nearest(xy, xy[at], own)
-            ok = np.isfinite(best)
-            out.append(pd.DataFrame({group: pdf[group].to_numpy()[ok], "pa": lab[ok], "pb": to, "distance": best[ok]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({group: [], "pa": [], "pb": [], "distance": []})
-
-    return cells.select(group, "x", "y", "phenotype").groupBy(group).applyInPandas(one, f"{group} long, pa string, pb string, distance double")
-
-
 def permutation_scores(cells: DataFrame, pairs: DataFrame, n_perm: int = 50, seed: int = 1, group: str = "sample_id") -> DataFrame:
     """O140: observed share of neighbours of a label around a label, less its mean under shuffled labels, and z. Shuffles are seeded by the group."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from compare import TABLES, rows
 from cytoloom.functions import scalars
-from cytoloom.operators import aggregates, cohorts, compression, joins, models, programs, shaping, spatial
+from cytoloom.operators import aggregates, cohorts, compression, joins, models, neighbours, programs, shaping, spatial
 from cytoloom.plans import registry
 from cytoloom.sources import tables
 
@@ -100,7 +100,7 @@ def test_nearest_by_rings():
         own = np.concatenate([np.arange(len(p))[::2], np.full(30, -1)])
         d = np.sqrt(((q[:, None] - p[None]) ** 2).sum(axis=2))
         d[own[:, None] == np.arange(len(p))[None]] = np.inf
-        assert spatial.nearest(q, p, own) == pytest.approx(d.min(axis=1))
+        assert np.sqrt(neighbours.nearest(q, p, own)) == pytest.approx(d.min(axis=1))
 
 
 def test_diversity_of_three_orders(spark):
