@@ -134,7 +134,7 @@ def coherence_null(similar: DataFrame, labels: DataFrame, by: list[str], value:
                     continue
                 raw = mean(cluster)
                 for i in range(int(key[-1]), n_perm, blocks):
-                    r = np.random.default_rng([seed, i, zlib.crc32(repr((*key[:-1], x["k"])).encode())])
+                    r = np.random.default_rng([seed, i, zlib.crc32("|".join(map(str, (*key[:-1], x["k"]))).encode())])
                     null = mean(r.permutation(cluster))
                     out.append((*key[:-1], x["k"], null, int(null >= raw - 1e-12)))
         return pd.DataFrame(out, columns=[*by, k, "null", "ge"])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,25 +56,6 @@ def infiltration(pairs: DataFrame, base: list[str], immune: list[str], group: st
     return e.select(group, "a", (F.col("i") / (F.col("b") + 1)).alias("ratio"))
 
 
-def permutation_scores(cells: DataFrame, pairs: DataFrame, n_perm: int = 50, seed: int = 1, group: str = "sample_id") -> DataFrame:
-    """O140: observed share of neighbours of a label around a label, less its mean under shuffled labels, and z. Shuffles are seeded by the group."""
-
-    def run(key: tuple, c: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        names, code = np.unique(c["phenotype"].to_numpy().astype(str), return_inverse=True)
-        place = {x: i for i, x in enumerate(c["cell_id"])}
-        a, b, k = e["a"].map(place).to_numpy(int), e["b"].map(place).to_numpy(int), len(names)
-        share = lambda z: (t := np.bincount(z[a] * k + z[b], minlength=k * k).reshape(k, k).astype(float)) / np.maximum(t.sum(axis=1, keepdims=True), 1)
-        seen, rng = share(code), np.random.default_rng([seed, int(key[0])])
-        perm = np.stack([share(rng.permutation(code)) for _ in range(n_perm)])
-        diff, sd = seen - perm.mean(axis=0), perm.std(axis=0, ddof=1)
-        i, j = np.divmod(np.arange(k * k), k)
-        z = np.divide(diff, sd, out=np.full_like(diff, np.nan), where=sd > 0)
-        return pd.DataFrame({group: key[0], "pa": names[i], "pb": names[j], "observed": seen.ravel(), "diff": diff.ravel(), "z": z.ravel()})
-
-    order = cells.select(group, "cell_id", "phenotype")
-    return order.groupBy(group).cogroup(pairs.toDF("g", "a", "b", "pa", "pb").groupBy("g")).applyInPandas(run, f"{group} long, pa string, pb string, observed double, diff double, z double")
-
-
 def ripley(cells: DataFrame, radii: list[float], group: str = "sample_id", label: str = "phenotype", min_points: int = 3) -> DataFrame:
     """O142: Ripley's K of each label with translation correction, and its deviation from randomness (K - pi r^2).
 
@@ -150,12 +130,6 @@ def _o139(t):
     return c.where(F.col("phenotype").isin(base)).join(r, ["sample_id", "cell_id"], "left").groupBy("sample_id").agg(F.round(F.avg(F.coalesce("ratio", F.lit(0.0))), 9).alias("ratio"))
 
 
-@query("o140_interaction_permutations")
-def _o140(t):
-    c = t.cells()
-    return permutation_scores(c, radius_pairs(c, 2.0))
-
-
 _RIPLEY = f"{CELLS}, bx AS (SELECT sample_id, max(x) - min(x) AS w, max(y) - min(y) AS h FROM cells GROUP BY 1 HAVING max(x) > min(x) AND max(y) > min(y)), rr AS (SELECT *, list_filter([2.0::DOUBLE, 4, 6], lambda r: r <= 0.45 * least(w, h)) AS fit, least(w, h) AS s FROM bx), rad AS (SELECT *, CASE WHEN len(fit) > 0 THEN fit ELSE [s * 0.025, s * 0.05, s * 0.1] END AS radii FROM rr), nn AS (SELECT sample_id, phenotype, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) >= 3), ea AS (SELECT sample_id, phenotype, n, w, h, unnest(radii) AS radius FROM nn JOIN rad USING (sample_id)), pp AS (SELECT a.sample_id, a.phenotype, abs(a.x - b.x) AS dx, abs(a.y - b.y) AS dy FROM cells a JOIN cells b ON a.sample_id = b.sample_id AND a.phenotype = b.phenotype AND a.cell_id <> b.cell_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36), kk AS (SELECT sample_id, phenotype, radius, n, w * h / n * (w * h / n) * coalesce((SELECT sum(1 / greatest((w - dx) * (h - dy), 1e-12)) FROM pp WHERE pp.sample_id = ea.sample_id AND pp.phenotype = ea.phenotype AND dx * dx + dy * dy <= radius * radius), 0) AS k FROM ea)"
 
 
