@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .base import blocks, table, trim
 
 #: Bytes of text, and code points of a slice of a long text, that are encoded at once.
-BLOCK, SLICE = 4 << 20, 1 << 20
+BLOCK, SLICE = 2 << 20, 1 << 20
 #: Words whose ids a worker keeps; tokens that are decoded at once.
-KNOWN, DECODE_ROWS = 1 << 19, 1 << 20
+KNOWN, DECODE_ROWS = 1 << 18, 1 << 19
 
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: White_Space of Unicode.
@@ -142,21 +142,30 @@ class Coder:
 
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        ranks = self.ranks
         self.con = duckdb.connect(config={"threads": 1, "temp_directory": ""})
-        self.con.register("v", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "spelling": pa.array(list(ranks), pa.binary())}))
-        self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM v")
-        cut = [(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        restless = {x for left, right, k in cut for x in (left, right) if k < x}
-        left, right, merged = zip(*cut, strict=True) if cut else ((), (), ())
-        self.con.register("m", pa.table({"l": pa.array(left, pa.int64()), "r": pa.array(right, pa.int64()), "id": pa.array(merged, pa.int32()), "calm": pa.array([k not in restless for k in merged], pa.bool_())}))
-        self.con.execute("CREATE TABLE merges AS SELECT (l << 32) + r AS pair, id, calm FROM m")
-        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self._put("vocabulary", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "spelling": pa.array(list(self.ranks), pa.binary())}))
+        self.byte: np.ndarray | None = None
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
 
+    def _put(self, name: str, rows: pa.Table) -> None:
+        self.con.register("rows", rows)
+        self.con.execute(f"CREATE TABLE {name} AS SELECT * FROM rows")
+        self.con.unregister("rows")
+
+    def _merges(self) -> None:
+        """The merge table: pairs of tokens whose bytes together are a token. Only workers that encode need it."""
+        ranks = self.ranks
+        cut = np.array([(ranks[t[:i]], ranks[t[i:]], k) for t, k in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks], np.int64).reshape(-1, 3)
+        left, right, merged = cut.T
+        restless = np.union1d(left[merged < left], right[merged < right])
+        self._put("merges", pa.table({"pair": (left << 32) + right, "id": merged.astype(np.int32), "calm": ~np.isin(merged, restless)}))
+        self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+
     def _contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of words (little-endian unsigned 32-bit) by the recursive query."""
+        if self.byte is None:
+            self._merges()
         size = np.fromiter(map(len, words), np.int64, len(words))
         w = np.repeat(np.arange(len(words), dtype=np.int32), size)
         g = np.arange(len(w)) + w  # positions of a word follow each other, those of two words never do
