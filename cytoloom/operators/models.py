@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import PATIENTS, query
@@ -311,15 +311,50 @@ def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     return d.groupBy(*keys).agg(F.try_divide(F.sum(F.when(F.col(positive), F.col("_r"))) - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"), F.try_divide(F.sum(F.when(F.col(positive), F.col("_tp") / F.col("_n"))), n1).alias("average_precision"), sens.alias("sensitivity"), spec.alias("specificity"), ((sens + spec) / 2).alias("balanced_accuracy"))
 
 
-def concordance(df: DataFrame, keys: list[str], score: str) -> DataFrame:
-    """O151: share of comparable pairs (the earlier time an event) whose higher score fails first; equal scores count half. A cohort's times are sorted once, no pair is a row. Rows with a null are left out; cohorts without comparable pairs give no row."""
+#: Quantiles that cut times and scores into blocks.
+BLOCKS = 64
+
+
+def _block(x: str, bounds: str) -> Column:
+    """The block of a value: odd ones hold one bound each, even ones what lies between two."""
+    return 2 * F.size(F.filter(bounds, lambda b: b < F.col(x))) + F.array_contains(bounds, F.col(x)).cast("int")
 
-    def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        p = p.dropna()
-        won, pairs = concordant(p["time"].to_numpy(float), p["event"].to_numpy(bool), p[score].to_numpy(float))
-        return pd.DataFrame([[*key, won / pairs, pairs]] if pairs else [], columns=[*keys, "c_index", "n_pairs"])
 
-    return df.select(*keys, "time", "event", score).groupBy(*keys).applyInPandas(lambda key, p: run(key, p[["time", "event", score]]), _fields(df, keys) + "c_index double, n_pairs long")
+def concordance(df: DataFrame, keys: list[str], score: str, blocks: int = BLOCKS) -> DataFrame:
+    """O151: share of comparable pairs (the earlier time an event) whose higher score fails first; equal scores count half. Rows with a null are left out; cohorts without comparable pairs give no row.
+
+    Times and scores are cut at their quantiles. Pairs in unlike blocks of both are counted from the numbers of rows in each pair of blocks; the
+    others inside their block of times, or of scores, one block a task. A value that many rows share is a quantile and so a block of its own,
+    which needs no rows: equal times aren't comparable, equal scores count half. So no cohort is gathered and no pair is a row.
+    """
+    x = df.select(*keys, F.col("time").cast("double").alias("time"), F.col("event").cast("boolean").alias("event"), F.col(score).cast("double").alias("score")).where("time IS NOT NULL AND event IS NOT NULL AND score IS NOT NULL AND NOT isnan(time) AND NOT isnan(score)")
+    at = F.array(*(F.lit(i / blocks) for i in range(blocks + 1)))
+    cut = x.groupBy(*keys).agg(*(F.array_distinct(F.percentile_approx(c, at, F.lit(100 * blocks))).alias(f"{c}_at") for c in ("time", "score")))
+    r = x.join(cut, keys).select(*keys, "time", "event", "score", _block("time", "time_at").alias("tb"), _block("score", "score_at").alias("sb"))
+    fields, names = _fields(df, keys), [*keys, "won", "pairs"]
+    table = r.groupBy(*keys, "tb", "sb").agg(F.count(F.lit(1)).alias("n"), F.count_if("event").alias("e"))
+
+    def across(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+        n, e = (np.zeros((2 * blocks + 3, 2 * blocks + 3)) for _ in range(2))
+        n[p["tb"], p["sb"]], e[p["tb"], p["sb"]] = p["n"], p["e"]
+        later = n.sum(axis=0) - np.cumsum(n, axis=0)
+        lower = np.cumsum(later, axis=1) - later
+        won = (e * lower).sum() + (e * later)[:, 1::2].sum() / 2
+        return pd.DataFrame([[*key, won, int((e.sum(axis=1) * later.sum(axis=1)).sum())]], columns=names)
+
+    def inside(time: str):
+        def run(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
+            won, pairs = concordant(p[time].to_numpy(float), p["event"].to_numpy(bool), p["score"].to_numpy(float))
+            return pd.DataFrame([[*key[:-1], won, pairs if time == "time" else 0]], columns=names)
+
+        return run
+
+    schema = fields + "won double, pairs long"
+    parts = table.groupBy(*keys).applyInPandas(across, schema)
+    parts = parts.unionByName(r.where("sb % 2 = 0").groupBy(*keys, "sb").applyInPandas(inside("tb"), schema))
+    parts = parts.unionByName(r.where("tb % 2 = 0").groupBy(*keys, "tb").applyInPandas(inside("time"), schema))
+    out = parts.groupBy(*keys).agg(F.sum("won").alias("won"), F.sum("pairs").alias("n_pairs")).where("n_pairs > 0")
+    return out.select(*keys, (F.col("won") / F.col("n_pairs")).alias("c_index"), "n_pairs")
 
 
 _SHIFT = ["n", "mean", "median", "sd", "dz", "fraction_up", "fraction_down", "t_p", "wilcoxon_p", "median_low", "median_high"]
