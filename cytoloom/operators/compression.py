@@ -49,21 +49,42 @@ def greedy_compression(order: list[str], oof: dict[str, float], rho: dict[tuple[
 
 
 def linkage(d: np.ndarray, method: str = "average") -> list[tuple[int, int, float]]:
-    """O177: agglomerative merges (cluster, cluster, height) of a distance matrix; ties take the least pair."""
+    """O177: agglomerative merges (cluster, cluster, height) of a distance matrix, from the lowest up; in each the cluster of the least member comes first.
+
+    Chains of nearest neighbours: from any cluster to its nearest one and on, until two are nearest to each other, which merge whatever else
+    does. So each merge costs a few rows, O(n^2) in all. Of equally near clusters the one before in the chain is taken, then the first; equal
+    heights keep the order in which their merges were found.
+    """
     n = len(d)
     d = d.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, name, out = np.ones(n), list(range(n)), []
-    for step in range(n - 1):
-        i, j = divmod(int(np.argmin(d)), n)
-        i, j = min(i, j), max(i, j)
-        out.append((name[i], name[j], float(d[i, j])))
+    size, there, chain, found = np.ones(n), np.ones(n, bool), [], []
+    for _ in range(n - 1):
+        if not chain:
+            chain.append(int(np.argmax(there)))
+        while True:
+            row = d[chain[-1]]
+            j = int(np.argmin(row))
+            if len(chain) > 1 and row[chain[-2]] <= row[j]:
+                break
+            chain.append(j)
+        i, j = sorted((chain.pop(), chain.pop()))
+        found.append((i, j, float(d[i, j])))
         row = np.maximum(d[i], d[j]) if method == "complete" else (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = row, row
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        name[i] = n + step
+        there[j] = False
+    parent, name, out = list(range(n)), list(range(n)), []
+    for step, (i, j, h) in enumerate(sorted(found, key=lambda m: m[2])):
+        while parent[i] != i:
+            i = parent[i]
+        while parent[j] != j:
+            j = parent[j]
+        i, j = min(i, j), max(i, j)
+        out.append((name[i], name[j], h))
+        parent[j], name[i] = i, n + step
     return out
 
 

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path under spark.checkpoint.dir (a temporary folder only where that is unset), removed when the driver ends."""
+    """A path under spark.checkpoint.dir, removed when the driver ends. Where that is unset, in a temporary folder if Spark runs in one process, as in tests; else an error, since executors can't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="cytoloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/cytoloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
