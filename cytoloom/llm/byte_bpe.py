@@ -33,7 +33,7 @@ from .base import blocks, table, trim
 #: Bytes of text, and code points of a slice of a long text, that are encoded at once.
 BLOCK, SLICE = 2 << 20, 1 << 20
 #: Words whose ids a worker keeps; tokens that are decoded at once.
-KNOWN, DECODE_ROWS = 1 << 18, 1 << 19
+KNOWN, DECODE_ROWS = 1 << 19, 1 << 19
 
 LETTER, NUMBER, SPACE = 1, 2, 3
 #: White_Space of Unicode.
