@@ -11,17 +11,6 @@ from ..plans.registry import EVIDENCE, FEATURES, query
 from .aggregates import spearman_pairs
 
 
-def greedy_novelty(order: list[str], rho: dict[tuple[str, str], float], limit: float) -> list[bool]:
-    """O163: in rank order, novel if |rho| with every accepted feature is under the limit; an unknown rho counts as novel."""
-    accepted, out = [], []
-    for u in order:
-        new = all(abs(r) < limit for v in accepted if (r := rho.get((min(u, v), max(u, v)))) is not None)
-        out.append(new)
-        if new:
-            accepted.append(u)
-    return out
-
-
 def component_labels(nodes: list[str], edges: list[tuple[str, str]]) -> dict[str, str]:
     """O164, O173: the least member of each node's component."""
     parent = {n: n for n in nodes}
@@ -200,11 +189,6 @@ def _per_root(t, fn, schema: str, columns: list[str]) -> DataFrame:
     return _pairs(t).groupBy("root").applyInPandas(run, schema)
 
 
-@query("o163_greedy_novelty")
-def _o163(t):
-    return _per_root(t, lambda names, rho: zip(names, greedy_novelty(names, rho, 0.15), strict=True), "root string, feature string, novel boolean", ["root", "feature", "novel"])
-
-
 _ROOTS = f"{FEATURES}, ff AS (SELECT patient_id, split_part(feature, '_', 1) AS root, feature, round(value, 6) AS value FROM features), j AS (SELECT a.root, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.root = b.root AND a.patient_id = b.patient_id AND a.feature < b.feature), r AS (SELECT root, a, b, rank() OVER (PARTITION BY a, b ORDER BY va) + (count(*) OVER (PARTITION BY a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY a, b ORDER BY vb) + (count(*) OVER (PARTITION BY a, b, vb) - 1) / 2.0 AS rb FROM j), rho AS (SELECT root, a, b, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 9) AS rho FROM r GROUP BY ALL HAVING count(*) >= 5)"
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +11,7 @@ from ..functions.scalars import zscore
 from ..plans.registry import EVIDENCE, FEATURES, query
 from ..sources.scratch import new_path
 from .aggregates import spearman_pairs
-from .compression import _pairs, component_labels, cut_tree, greedy_compression, greedy_novelty, linkage, microfamilies, silhouette
+from .compression import _pairs, cut_tree, greedy_compression, linkage, microfamilies, silhouette
 from .windows import percentile_rank
 
 #: Weights of the K score, the greatest K to choose, and how near the best a smaller K must come.
@@ -23,25 +21,6 @@ K_MAX, K_NEAR = 10, 0.90
 PROFILES = {"strict": 0.90, "balanced": 0.80, "permissive": 0.70}
 
 
-def depth_diagnostics(names: list[str], rho: dict[tuple[str, str], float], limit: float, most: int = 50) -> list[tuple]:
-    """O165: for each depth of the ranked candidates: pairs known and redundant, candidates in redundant pairs, components, novel candidates so far, yield, and whether the last is novel."""
-    order = names[:most]
-    flags, out = greedy_novelty(order, rho, limit), []
-    known = high = 0
-    involved: set[str] = set()
-    for n, u in enumerate(order, 1):
-        for v in order[: n - 1]:
-            r = rho.get((min(u, v), max(u, v)))
-            known += r is not None
-            if r is not None and abs(r) >= limit:
-                high += 1
-                involved |= {u, v}
-        parts = len(set(component_labels(order[:n], [(a, b) for a, b in combinations(order[:n], 2) if abs(rho.get((min(a, b), max(a, b)), 0)) >= limit]).values()))
-        new = sum(flags[:n])
-        out.append((n, known, high, len(involved), parts, new, new / n, flags[n - 1]))
-    return out
-
-
 def recommended_caps(diag: DataFrame, key: str, window: int = 5, most_new: int = 2) -> DataFrame:
     """O165: for each profile the shallowest depth with the most novel candidates among depths of enough yield (1 if there is none); the elbow where two windows in a row add few; the lesser of the balanced cap and the elbow; and whether that is the deepest looked at."""
     w = Window.partitionBy(key).orderBy("depth")
@@ -225,24 +204,12 @@ def _in_roots(t, fn, schema: str) -> DataFrame:
     return _pairs(t).groupBy("root").applyInPandas(run, schema)
 
 
-_DEPTH = "root string, depth int, n_pairs int, n_redundant int, n_involved int, n_components int, n_novel int, novelty_yield double, is_novel boolean"
-
-
-@query("o165_depth_diagnostics")
-def _o165(t):
-    return _in_roots(t, lambda names, rho: depth_diagnostics(names, rho, 0.15), _DEPTH)
-
-
-@query("o165_cap_recommendation")
-def _o165b(t):
-    return recommended_caps(_in_roots(t, lambda names, rho: depth_diagnostics(names, rho, 0.15), _DEPTH), "root")
-
-
 @query("o168_hierarchical_simplification")
 def _o168(t):
     def fn(names, rho):
         tens, units = ({x: f(int(x.split("#")[1])) for x in names} for f in (lambda n: n // 10, lambda n: n % 10))
-        return simplify(names, dict.fromkeys(names, 0.0), rho, [(tens, units), (units, tens)], 0.05, 0.005).items()
+        central = {x: round(sum(abs(r) for k, r in rho.items() if x in k) / len(names), 6) for x in names}
+        return simplify(names, central, rho, [(tens, units), (units, tens)], 0.05, 0.03).items()
 
     return _in_roots(t, fn, "root string, feature string, representative string")
 

@@ -69,7 +69,6 @@ def test_linkage_and_cut():
 
 def test_greedy_passes():
     rho = {("a", "b"): 0.9, ("a", "c"): 0.1}
-    assert compression.greedy_novelty(["a", "b", "c"], rho, 0.5) == [True, False, True]
     assert compression.greedy_compression(["a", "b", "c"], {"a": 0.7, "b": 0.7, "c": 0.7}, rho, 0.8, 0.01) == {"a": "a", "b": "a", "c": "c"}
     assert compression.component_labels(list("abc"), [("a", "b")]) == {"a": "a", "b": "a", "c": "c"}
 
@@ -217,11 +216,6 @@ def test_simplify_follows_chains():
     assert lossy == {"a": "a", "b": "a"}  # the simpler one loses too much; the greedy pass keeps the better one
 
 
-def test_depth_diagnostics():
-    rows = programs.depth_diagnostics(["a", "b", "c"], {("a", "b"): 0.9, ("b", "c"): 0.1}, 0.5)
-    assert rows == [(1, 0, 0, 0, 1, 1, 1.0, True), (2, 1, 1, 2, 1, 1, 0.5, False), (3, 2, 1, 2, 2, 2, 2 / 3, True)]
-
-
 def test_cap_recommendation(spark):
     novel = [True] * 4 + [False] * 12
     rows = [("r", i + 1, min(i + 1, 4), min(i + 1, 4) / (i + 1), x) for i, x in enumerate(novel)]
