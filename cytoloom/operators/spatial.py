@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import CELLS, query
@@ -56,13 +56,34 @@ def infiltration(pairs: DataFrame, base: list[str], immune: list[str], group: st
     return e.select(group, "a", (F.col("i") / (F.col("b") + 1)).alias("ratio"))
 
 
-def ripley(cells: DataFrame, radii: list[float], group: str = "sample_id", label: str = "phenotype", min_points: int = 3) -> DataFrame:
-    """O142: Ripley's K of each label with translation correction, and its deviation from randomness (K - pi r^2).
+# Edge corrections and modes, in the order in which they are tried.
+CORRECTIONS, MODES = ["translation", "border", "ripley", "none"], ["csr-deviation", "K", "L"]
+
+
+def _arc(x: str, y: str, d: Column) -> Column:
+    """Share of the circle of radius d around (x, y) that lies in the window: what the four sides cut off, less what two sides cut off both, at corners nearer than d."""
+    to = [F.col(x) - F.col("x0"), F.col("y1") - F.col(y), F.col("x1") - F.col(x), F.col(y) - F.col("y0")]  # sides in turn
+    cut = [F.when(e < d, F.acos(F.greatest(e / d, F.lit(-1.0)))).otherwise(0.0) for e in to]
+    out = 2 * (cut[0] + cut[1] + cut[2] + cut[3])
+    for i in range(4):
+        j = (i + 1) % 4
+        out = out - F.when((to[i] * to[i] + to[j] * to[j] < d * d), cut[i] + cut[j] - F.lit(np.pi / 2)).otherwise(0.0)
+    return 1 - out / (2 * np.pi)
+
+
+def ripley(cells: DataFrame, radii: list[float], group: str = "sample_id", label: str = "phenotype", min_points: int = 3, correction: str = "translation") -> DataFrame:
+    """O142: Ripley's K of each label and its deviation from randomness (K - pi r^2).
 
     The window is the bounding box of all cells of the group. Radii up to .45 of its shorter side count; where none does, 2.5, 5 and 10 % of that side.
     Labels of fewer than min_points cells, and groups without extent, are left out. Pairs come from grid squares of the largest radius, so no group is gathered in a task.
+
+    correction: `translation` weighs a pair by the window's overlap with itself moved by the pair's offset; `ripley` by the shares of the circles
+    around each point through the other one that lie in the window; `none` not at all; `border` counts only points that are a radius away from
+    all sides (null where there are none).
     """
-    box = cells.groupBy(group).agg((F.max("x") - F.min("x")).alias("w"), (F.max("y") - F.min("y")).alias("h")).where("w > 0 AND h > 0")
+    if correction not in CORRECTIONS:
+        raise ValueError(f"correction: one of {', '.join(CORRECTIONS)}")
+    box = cells.groupBy(group).agg(*(f(c).alias(n) for f, c, n in ((F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1")))).withColumn("w", F.col("x1") - F.col("x0")).withColumn("h", F.col("y1") - F.col("y0")).where("w > 0 AND h > 0")
     side = F.least("w", "h")
     fit = F.filter(F.array(*[F.lit(float(r)) for r in radii]), lambda r: (r > 0) & (r <= 0.45 * side))
     box = box.withColumn("radii", F.when(F.size(fit) > 0, fit).otherwise(F.array(side * 0.025, side * 0.05, side * 0.1))).withColumn("most", F.array_max("radii"))
@@ -70,14 +91,43 @@ def ripley(cells: DataFrame, radii: list[float], group: str = "sample_id", label
     dx, dy = F.abs(F.col("x_a") - F.col("x_b")), F.abs(F.col("y_a") - F.col("y_b"))
     c = cells.select(group, label, "cell_id", "x", "y").join(each.select(group, label, "most"), [group, label])
     p = _half(c, F.col("most"), [group, label, "most"], ["cell_id", "x", "y"]).withColumn("d2", dx * dx + dy * dy).where("d2 <= most * most")
-    p = p.join(box.select(group, "w", "h", "radii"), group).select(group, label, "d2", (2 / F.greatest((F.col("w") - dx) * (F.col("h") - dy), F.lit(1e-12))).alias("weight"), F.explode("radii").alias("radius")).where("d2 <= radius * radius")
-    s = p.groupBy(group, label, "radius").agg(F.sum("weight").alias("s"))
+    p = p.join(box.drop("most"), group)
+    inner = lambda x, y: F.least(F.col(x) - F.col("x0"), F.col("x1") - F.col(x), F.col(y) - F.col("y0"), F.col("y1") - F.col(y))
+    d = F.greatest(F.sqrt("d2"), F.lit(1e-300))
+    weight = {
+        "translation": 2 / F.greatest((F.col("w") - dx) * (F.col("h") - dy), F.lit(1e-12)),
+        "ripley": 1 / F.greatest(_arc("x_a", "y_a", d), F.lit(1e-12)) + 1 / F.greatest(_arc("x_b", "y_b", d), F.lit(1e-12)),
+        "none": F.lit(2.0),
+        "border": F.when(inner("x_a", "y_a") >= F.col("radius"), 1.0).otherwise(0.0) + F.when(inner("x_b", "y_b") >= F.col("radius"), 1.0).otherwise(0.0),
+    }[correction]
+    at_radius = p.withColumn("radius", F.explode("radii")).where("d2 <= radius * radius")
+    s = at_radius.select(group, label, "radius", weight.alias("weight")).groupBy(group, label, "radius").agg(F.sum("weight").alias("s"))
     out = each.select(group, label, "n", "w", "h", F.explode("radii").alias("radius")).join(s, [group, label, "radius"], "left")
-    area = F.col("w") * F.col("h") / F.col("n")
-    out = out.withColumn("k", area * area * F.coalesce("s", F.lit(0.0)))
+    area, total = F.col("w") * F.col("h"), F.coalesce("s", F.lit(0.0))
+    if correction == "border":
+        far = cells.select(group, label, "x", "y").join(box, group).withColumn("radius", F.explode("radii")).where(inner("x", "y") >= F.col("radius")).groupBy(group, label, "radius").agg(F.count(F.lit(1)).alias("m"))
+        out = out.join(far, [group, label, "radius"], "left").withColumn("k", F.when(F.col("m") > 0, area / F.col("n") * total / F.col("m")))
+    elif correction == "translation":
+        out = out.withColumn("k", (area / F.col("n")) * (area / F.col("n")) * total)
+    else:
+        out = out.withColumn("k", area / F.col("n") / F.col("n") * total)
     return out.select(group, label, "radius", "n", "k", (F.col("k") - F.lit(np.pi) * F.col("radius") * F.col("radius")).alias("deviation"))
 
 
+def ripley_rescue(cells: DataFrame, radii: list[float], group: str = "sample_id", label: str = "phenotype", min_points: int = 3, corrections: list[str] | None = None, modes: list[str] | None = None) -> DataFrame:
+    """O142: (group, label, correction, mode, radius, value): of each label the first correction, and of it the first mode, with a finite value at any radius. Modes: csr-deviation (K - pi r^2), K, and L (the root of K / pi)."""
+    k, out = F.col("k"), None
+    value = {"csr-deviation": F.col("deviation"), "K": k, "L": F.sqrt(k / np.pi)}
+    for i, correction in enumerate(corrections or CORRECTIONS):
+        r = ripley(cells, radii, group, label, min_points, correction)
+        tried = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(correction).alias("correction"), F.lit(m).alias("mode"), value[m].alias("value")) for j, m in enumerate(modes or MODES)))
+        r = r.select(group, label, "radius", F.explode(tried).alias("t"))
+        out = r if out is None else out.unionByName(r)
+    fine = F.col("t.value").isNotNull() & ~F.isnan("t.value") & (F.abs("t.value") < float("inf"))
+    best = F.min(F.when(fine, F.struct("t.i", "t.j"))).over(Window.partitionBy(group, label))
+    return out.withColumn("best", best).where((F.col("t.i") == F.col("best.i")) & (F.col("t.j") == F.col("best.j"))).select(group, label, "t.correction", "t.mode", "radius", "t.value")
+
+
 def ripley_summary(k: DataFrame, at: float, group: str = "sample_id", label: str = "phenotype") -> DataFrame:
     """O142: of each label's deviations the one at the radius nearest to `at` (the smaller of two), the largest by size, and the area under them by trapezoids."""
     w = Window.partitionBy(group, label).orderBy("radius")
@@ -141,3 +191,16 @@ def _o142(t):
 @query("o142_ripley_summary", f"WITH {_RIPLEY}, d AS (SELECT sample_id, phenotype, radius, k - pi() * radius * radius AS d FROM kk), s AS (SELECT *, (radius - lag(radius) OVER o) * (d + lag(d) OVER o) / 2 AS st FROM d WINDOW o AS (PARTITION BY sample_id, phenotype ORDER BY radius)) SELECT sample_id, phenotype, round(arg_min(d, abs(radius - 4)), 4) AS at_radius, round(arg_max(d, abs(d)), 4) AS peak, round(coalesce(sum(st), 0), 4) AS area FROM s GROUP BY ALL")
 def _o142_summary(t):
     return ripley_summary(ripley(t.cells(), [2.0, 4.0, 6.0]), 4.0).withColumns({c: F.round(c, 4) for c in ("at_radius", "peak", "area")})
+
+
+_EDGE = "list_reduce([" + ", ".join(f"CASE WHEN {e} < d THEN 2 * acos(greatest({e} / d, -1)) ELSE 0 END" for e in ("l", "u", "r", "b")) + "], lambda p, q: p + q)"
+_CORNER = " + ".join(f"CASE WHEN {p} * {p} + {q} * {q} < d * d THEN CASE WHEN {p} < d THEN acos(greatest({p} / d, -1)) ELSE 0 END + CASE WHEN {q} < d THEN acos(greatest({q} / d, -1)) ELSE 0 END - pi() / 2 ELSE 0 END" for p, q in (("l", "u"), ("u", "r"), ("r", "b"), ("b", "l")))
+
+
+@query("o142_ripley_corrections", f"WITH {_RIPLEY.replace('max(x) - min(x) AS w', 'min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, max(x) - min(x) AS w')}, far AS (SELECT c.sample_id, c.phenotype, c.cell_id, x - x0 AS l, y1 - y AS u, x1 - x AS r, y - y0 AS b, x, y FROM cells c JOIN bx USING (sample_id)), op AS (SELECT a.sample_id, a.phenotype, a.l, a.u, a.r, a.b, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM far a JOIN far b ON a.sample_id = b.sample_id AND a.phenotype = b.phenotype AND a.cell_id <> b.cell_id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 36), wt AS (SELECT *, 1 - ({_EDGE} - ({_CORNER})) / (2 * pi()) AS arc FROM op), sm AS (SELECT e.sample_id, e.phenotype, e.radius, count(*) AS s_none, sum(1 / greatest(arc, 1e-12)) AS s_ripley, count(*) FILTER (WHERE least(l, u, r, b) >= radius) AS s_border FROM ea e JOIN wt ON wt.sample_id = e.sample_id AND wt.phenotype = e.phenotype AND d * d <= radius * radius * (1 + 1e-12) GROUP BY ALL), inn AS (SELECT e.sample_id, e.phenotype, e.radius, count(*) AS m FROM ea e JOIN far ON far.sample_id = e.sample_id AND far.phenotype = e.phenotype AND least(l, u, r, b) >= radius GROUP BY ALL) SELECT ea.sample_id, ea.phenotype, ea.radius, round(w * h / n / n * coalesce(s_none, 0), 4) AS none, round(w * h / n / n * coalesce(s_ripley, 0), 4) AS ripley, round(CASE WHEN m > 0 THEN w * h / n * coalesce(s_border, 0) / m END, 4) AS border FROM ea LEFT JOIN sm ON sm.sample_id = ea.sample_id AND sm.phenotype = ea.phenotype AND sm.radius = ea.radius LEFT JOIN inn ON inn.sample_id = ea.sample_id AND inn.phenotype = ea.phenotype AND inn.radius = ea.radius")
+def _o142_corrections(t):
+    out, c = None, t.cells()
+    for x in ("none", "ripley", "border"):
+        k = ripley(c, [2.0, 4.0, 6.0], correction=x).select("sample_id", "phenotype", "radius", F.round("k", 4).alias(x))
+        out = k if out is None else out.join(k, ["sample_id", "phenotype", "radius"])
+    return out
