@@ -54,13 +54,14 @@ def project_filters(df: DataFrame, wanted: dict[str, list]) -> DataFrame:
     return df.where(reduce(Column.__and__, conds)) if conds else df
 
 
-def numeric_like(df: DataFrame, reserved: list[str]) -> list[str]:
-    """O042: non-reserved columns of which a value is a number; one aggregate over the columns of text."""
+def numeric_like(df: DataFrame, reserved: list[str]) -> DataFrame:
+    """O042: (name, n_numbers) of the non-reserved columns that are numbers, or texts of which a value is one; one aggregate over the columns, a row for each."""
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields if f.name not in reserved}
-    text = [c for c, k in kinds.items() if k == "string"]
-    n = df.agg(*[F.count(number(F.col(f"`{c}`"))).alias(c) for c in text]).first() if text else {}
-    real = ("double", "float", "bigint", "int", "smallint", "tinyint")
-    return [c for c, k in kinds.items() if k in real or k.startswith("decimal") or (c in text and n[c] > 0)]
+    real = lambda k: k in ("double", "float", "bigint", "int", "smallint", "tinyint") or k.startswith("decimal")
+    numbers = lambda c, k: F.count(F.col(f"`{c}`") if real(k) else number(F.col(f"`{c}`")))
+    some = [F.struct(F.lit(c).alias("name"), F.lit(real(k)).alias("typed"), numbers(c, k).alias("n_numbers")) for c, k in kinds.items() if real(k) or k == "string"]
+    one = df.agg(*(x.alias(f"_{i}") for i, x in enumerate(some)))
+    return one.select(F.inline(F.array(*(F.col(f"_{i}") for i in range(len(some)))))).where("typed OR n_numbers > 0").drop("typed")
 
 
 def covariates(df: DataFrame, names: list[str], most_missing: float = 0.5) -> DataFrame:
@@ -192,10 +193,10 @@ def _o040(t):
     return project_filters(t("part"), {"p_brand": ["Brand#11", "Brand#12", "Brand#23"], "p_size": [1, 2, 3, 4, 5, 10, 20], "p_type": [], "absent": ["x"]}).select("p_partkey")
 
 
-@query("o042_numeric_like", "SELECT unnest(['s_acctbal', 's_nationkey', 'mixed']) AS name")
+@query("o042_numeric_like", "SELECT 's_acctbal' AS name, count(s_acctbal) AS n_numbers FROM supplier UNION ALL SELECT 's_nationkey', count(s_nationkey) FROM supplier UNION ALL SELECT 'mixed', count(*) FILTER (WHERE s_suppkey % 3 = 0) FROM supplier")
 def _o042(t):
     s = t("supplier").withColumn("mixed", F.when(F.col("s_suppkey") % 3 == 0, F.col("s_suppkey").cast("string")).otherwise("n/a")).withColumn("words", F.lit("n/a")).select("s_suppkey", "s_nationkey", "s_acctbal", "mixed", "words")
-    return t.spark.createDataFrame([(x,) for x in numeric_like(s, ["s_suppkey"])], "name string")
+    return numeric_like(s, ["s_suppkey"])
 
 
 @query("o046_left_join_suffix", "SELECT o_orderkey, o_totalprice AS amount, c_acctbal AS amount_clinical FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c ON c_custkey = o_custkey")

@@ -53,9 +53,9 @@ def _o047(t):
     return join_validated(t("orders"), c, ["o_custkey"]).select("o_orderkey", "o_totalprice", "c_mktsegment")
 
 
-@query("o048_full_outer_join", "WITH a AS (SELECT l_suppkey AS k, count(*) AS na FROM lineitem WHERE l_quantity > 49 GROUP BY 1), b AS (SELECT s_suppkey AS k, s_acctbal FROM supplier WHERE s_acctbal > 0) SELECT k, na, s_acctbal FROM a FULL JOIN b USING (k)")
+@query("o048_full_outer_join", "WITH a AS (SELECT l_suppkey AS k, count(*) AS na FROM lineitem GROUP BY 1 HAVING count(*) % 3 <> 0), b AS (SELECT s_suppkey AS k, s_acctbal FROM supplier WHERE s_acctbal > 0) SELECT k, na, s_acctbal FROM a FULL JOIN b USING (k)")
 def _o048(t):
-    a = t("lineitem").where("l_quantity > 49").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("na"))
+    a = t("lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.count(F.lit(1)).alias("na")).where("na % 3 <> 0")
     return a.join(t("supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), "s_acctbal"), "k", "full_outer")
 
 
@@ -73,11 +73,11 @@ def _o051(t):
     return c.select("c_custkey", key.alias("k")).join(m, "k", "left").select("c_custkey", F.coalesce("matched", F.lit(False)).alias("matched"))
 
 
-@query("o052_grid_zero_fill", "SELECT s.s_suppkey, p.p_type, count(l_partkey) AS n FROM supplier s CROSS JOIN (SELECT DISTINCT p_type FROM part) p LEFT JOIN (SELECT l_suppkey, l_partkey, p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 45) l ON l.l_suppkey = s.s_suppkey AND l.p_type = p.p_type GROUP BY ALL")
+@query("o052_grid_zero_fill", "WITH p AS (SELECT p_partkey, p_brand || '/' || p_type AS kind FROM part) SELECT s.s_suppkey, p.kind, count(l_partkey) AS n FROM supplier s CROSS JOIN (SELECT DISTINCT kind FROM p) p LEFT JOIN (SELECT l_suppkey, l_partkey, kind FROM lineitem JOIN p ON p_partkey = l_partkey) l ON l.l_suppkey = s.s_suppkey AND l.kind = p.kind GROUP BY ALL")
 def _o052(t):
-    p = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
-    n = t("lineitem").where("l_quantity > 45").join(p, "l_partkey").groupBy(F.col("l_suppkey").alias("s_suppkey"), "p_type").agg(F.count(F.lit(1)).alias("n"))
-    return complete_grid(n, t("supplier").select("s_suppkey"), p.select("p_type"), "n")
+    p = t("part").select(F.col("p_partkey").alias("l_partkey"), F.concat_ws("/", "p_brand", "p_type").alias("kind"))
+    n = t("lineitem").join(p, "l_partkey").groupBy(F.col("l_suppkey").alias("s_suppkey"), "kind").agg(F.count(F.lit(1)).alias("n"))
+    return complete_grid(n, t("supplier").select("s_suppkey"), p.select("kind"), "n")
 
 
 @query("o053_semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FLAGSHIP = "o070_region_label_counts"
-MODULES = ["cytoloom.sources.tables", "cytoloom.operators.labels", "cytoloom.operators.joins", "cytoloom.operators.aggregates", "cytoloom.operators.windows", "cytoloom.functions.scalars", "cytoloom.functions.feature_grammar", "cytoloom.operators.spatial", "cytoloom.operators.interactions", "cytoloom.operators.models", "cytoloom.operators.compression", "cytoloom.operators.reports", "cytoloom.operators.cohorts", "cytoloom.operators.programs", "cytoloom.operators.semantics", "cytoloom.operators.microcompression", "cytoloom.operators.grid", "cytoloom.operators.depth", "cytoloom.operators.shaping", "cytoloom.streaming.arrivals"]
+MODULES = ["cytoloom.sources.tables", "cytoloom.operators.labels", "cytoloom.operators.joins", "cytoloom.operators.aggregates", "cytoloom.operators.windows", "cytoloom.functions.scalars", "cytoloom.functions.feature_grammar", "cytoloom.operators.spatial", "cytoloom.operators.interactions", "cytoloom.operators.models", "cytoloom.operators.compression", "cytoloom.operators.reports", "cytoloom.operators.review", "cytoloom.operators.cohorts", "cytoloom.operators.programs", "cytoloom.operators.semantics", "cytoloom.operators.microcompression", "cytoloom.operators.grid", "cytoloom.operators.depth", "cytoloom.operators.shaping", "cytoloom.streaming.arrivals"]
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 

@@ -212,14 +212,23 @@ def _o016(t):
     return t.spark.read.parquet(path).groupBy("chunk", "cohort").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("o017_run_config", "SELECT 10::BIGINT AS k_max, 'screen' AS name, 0.9::DOUBLE AS near")
+def array_index(contexts: DataFrame, keys: list[str]) -> DataFrame:
+    """O017: a manifest of the work to do: array_id from 0 over the sorted different contexts, with the rows of each. Contexts are numbered apart from the rows."""
+    n = contexts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
+    return n.withColumn("array_id", F.row_number().over(Window.orderBy(*keys)) - 1).select("array_id", *keys, "n_rows")
+
+
+@query("o017_run_config", "SELECT row_number() OVER (ORDER BY p_brand, p_type)::INT - 1 AS array_id, p_brand, p_type, n_rows, 10::BIGINT AS k_max, 'screen' AS name, 0.9::DOUBLE AS near FROM (SELECT p_brand, p_type, count(*) AS n_rows FROM part GROUP BY ALL)")
 def _o017(t):
-    return save_config(t.spark, {"name": "screen", "k_max": 10, "near": 0.9}, new_path(t.spark, "config"))
+    """The manifest of the parts' brands and types and the run's configuration, each written and read back."""
+    config = save_config(t.spark, {"name": "screen", "k_max": 10, "near": 0.9}, new_path(t.spark, "config"))
+    m = t.spark.read.parquet(write_table(array_index(t("part"), ["p_brand", "p_type"]), new_path(t.spark, "manifest") + "/m.parquet"))
+    return m.join(F.broadcast(config), F.lit(True))  # one row
 
 
-@query("o018_square_matrix", f"WITH {FEATURES}, f AS (SELECT feature, round(avg(value), 6) AS m FROM features WHERE feature LIKE 'qty%' GROUP BY 1) SELECT a.feature AS uid_a, b.feature AS uid_b, round(a.m * b.m, 4) AS value FROM f a, f b")
+@query("o018_square_matrix", f"WITH {FEATURES}, f AS (SELECT feature, round(avg(value), 6) AS m FROM features GROUP BY 1) SELECT a.feature AS uid_a, b.feature AS uid_b, round(a.m * b.m, 4) AS value FROM f a, f b")
 def _o018(t):
-    f = t.features().where("feature LIKE 'qty%'").groupBy("feature").agg(F.round(F.avg("value"), 6).alias("m"))
+    f = t.features().groupBy("feature").agg(F.round(F.avg("value"), 6).alias("m"))
     g = f.select(F.col("feature").alias("uid_b"), F.col("m").alias("mb"))
     sq = f.crossJoin(F.broadcast(g)).select(F.col("feature").alias("uid_a"), "uid_b", F.round(F.col("m") * F.col("mb"), 4).alias("value"))
     return t.spark.read.parquet(write_table(sq, new_path(t.spark, "square") + "/m.parquet"))
