@@ -166,6 +166,11 @@ def _lengths(bits: list[bytes]) -> dict[int, np.ndarray]:
     return {int(x): np.flatnonzero(n == x) for x in np.unique(n)}
 
 
+def _apart(a: int, b: int, threshold: int) -> bool:
+    """Whether sets whose bitmaps have these lengths are too unlike in size to link: lengths are powers of two, so they may differ up to twice as much as the sizes."""
+    return threshold * max(a, b) >= 200 * min(a, b)
+
+
 _DOCS = "doc_id long, mark long, n long, node long, grp long, bits binary, tokens binary"
 
 
@@ -308,8 +313,8 @@ def _tiles(mixed: DataFrame, nodes: DataFrame, nearest: bool, threshold: int = T
         right = _lengths(bits[k:])
         for lu, iu in _lengths(bits[:k]).items():
             for lv, iv in right.items():
-                if max(lu, lv) > 2 * min(lu, lv):
-                    continue  # sizes too far apart to link
+                if _apart(lu, lv, threshold):
+                    continue
                 iv = iv + k
                 bu, bv = (_matrix([bits[r] for r in i], min(lu, lv)) for i in (iu, iv))
                 step = max(1, (1 << 20) // max(1, len(iv) * bv.shape[1]))

@@ -129,3 +129,15 @@ def test_every_link_is_given(spark, size, threshold):
     meets = lambda x, y: bool(x and y) and 100 * len(x & y) >= threshold * len(x | y)
     assert len(got) == len(set(got)) == sum(meets(x, y) for i, x in enumerate(different) for y in different[:i])
     assert of.count() == sum(bool(s) for s in sets) and of.select("node").distinct().count() == len(set(sets) - {frozenset()})
+
+
+@pytest.mark.parametrize("threshold", [10, 30, 50, 80, 85, 100])
+def test_lengths_of_sets_that_may_link(threshold):
+    """No two sizes that may link have bitmaps whose lengths are told apart."""
+    length = lambda n: 1 << (2 * n - 1).bit_length()
+    sizes = [n for k in range(1, 12) for n in (2**k - 1, 2**k, 2**k + 1, 3 * 2**k // 2)]
+    for a in sizes:
+        for b in sizes:
+            if 100 * min(a, b) >= threshold * max(a, b):
+                assert not J._apart(length(a), length(b), threshold)
+    assert J._apart(64, 256, 80) and not J._apart(64, 128, 80) and not J._apart(1024, 4096, 30)
