@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import EVIDENCE, query
+from ..sources import scratch
 
 # The grid, the quotas of exceptional features and the guardrails.
 CAPS, RHOS = list(range(10, 210, 10)), [round(0.85 + 0.01 * i, 2) for i in range(11)]
@@ -97,9 +98,10 @@ def _candidates(t) -> tuple[DataFrame, DataFrame]:
 def _o169_grid(t):
     """Cells of 20 caps and 11 limits for each panel, with support sets and guardrails."""
     e, pairs = _candidates(t)
+    e = scratch.kept(e, "candidates")
     kept = kept_at(e.select("panel", "context", "feature", "place"), pairs, ["panel", "context"], RHOS)
-    rows = cells(kept, CAPS).join(e.drop("place"), ["panel", "context", "feature"])
-    s = support(rows)
+    rows = scratch.kept(cells(kept, CAPS).join(e.drop("place"), ["panel", "context", "feature"]), "cells")
+    s = scratch.kept(support(rows), "support")
     return grid_metrics(rows, s).withColumns({c: F.round(c, 9) for c in ("support", "coverage", "single")})
 
 

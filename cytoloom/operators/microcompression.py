@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import feature_grammar as grammar
 from ..plans.registry import query
-from ..sources.scratch import new_path
+from ..sources.scratch import kept
 from .aggregates import spearman_pairs
 
 # The passes' limits.
@@ -94,7 +94,7 @@ def compress(registry: DataFrame, values: DataFrame, by: list[str], atol: float
     Three passes, each over what the one before left: equal vectors of one meaning; mean and median of one measure; what else has one meaning.
     The registry has a `place` (evidence_order). Each pass's decisions are written to the shared folder, since the next ones build on them.
     """
-    spark, active, decisions = registry.sparkSession, registry, None
+    active, decisions = registry, None
     extra = {"rho": "double", "n": "long", "oof_loss": "double"}
     side = lambda x: active.select(*by, F.col("feature").alias(x), F.col("oof").alias(f"o{x}"))
     for rule in ("equal_vectors", "mean_and_median", "same_meaning"):
@@ -108,9 +108,7 @@ def compress(registry: DataFrame, values: DataFrame, by: list[str], atol: float
             pairs = alike(active, values, by, "exact_key", *residual, min_n)
         pairs = pairs.select(*by, "key", "a", "b", *(F.col(c).cast(t).alias(c) for c, t in extra.items()))
         gone = greedy_representatives(pairs, active, by).select(*by, "feature", F.lit(rule).alias("rule"), "representative", *extra)
-        path = new_path(spark, rule)
-        gone.write.parquet(path)
-        gone = spark.read.schema(gone.schema).parquet(path)
+        gone = kept(gone, rule)
         active = active.join(gone.select(*by, "feature"), [*by, "feature"], "left_anti")
         decisions = gone if decisions is None else decisions.unionByName(gone)
     out = registry.join(decisions, [*by, "feature"], "left").withColumn("final", F.coalesce("representative", "feature"))
@@ -139,10 +137,11 @@ def _registry(t) -> tuple[DataFrame, DataFrame]:
     word = F.array(*(F.lit(w) for w in _WORDS))[F.col("brand") % len(_WORDS)]
     name = F.concat(F.lit("infiltration_"), word, F.lit("__"), F.when(F.col("brand") < 30, "All").otherwise("Tumor"), F.lit("__"), "stat")
     v = v.select("root", "patient_id", F.concat_ws("|", "brand", "stat", "copy").alias("feature"), name.alias("name"), "value")
+    v = kept(v, "values")
     r = v.groupBy("root", "feature", "name").agg(F.round(F.stddev_samp("value") / F.avg("value"), 6).alias("oof"), F.count(F.lit(1)).alias("filled"))
     r = grammar.parse_features(r.withColumns({"src": F.lit("phenotype_only"), "grp": F.lit("athena")}), "name", "src", "grp")
     r = parsed_registry(r).select("root", "feature", "name", "oof", "filled", "exact_key", "summary_key", "summary")
-    return evidence_order(r, ["root"], [F.desc_nulls_last("oof"), F.desc("filled")]), v
+    return kept(evidence_order(r, ["root"], [F.desc_nulls_last("oof"), F.desc("filled")]), "registry"), v
 
 
 _VECTORS = """b AS MATERIALIZED (SELECT l_returnflag AS root, l_suppkey AS patient_id, regexp_extract(p_brand, '(\\d+)', 1)::INT AS brand, avg(l_quantity) AS mean, median(l_quantity) AS median, min(l_quantity)::DOUBLE AS min, max(l_quantity)::DOUBLE AS max FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.scratch import new_path
+from ..sources.scratch import kept
 
 #: Mean number of cells of a tile.
 TILE = 20_000
@@ -113,7 +113,7 @@ def nearest_distances(cells: DataFrame, group: str = "sample_id", tile: int = TI
     side = lambda i, o, s: (F.when(F.col(i) == 0, -far).otherwise(F.col(o) + F.col(i) * F.col(s)), F.when(F.col(i) == F.col("k") - 1, far).otherwise(F.col(o) + (F.col(i) + 1) * F.col(s)))
     (a, b), (e, d) = side("ix", "x0", "w"), side("iy", "y0", "h")
     tiled = tiled.select(group, "ix", "iy", a.alias("a"), b.alias("b"), e.alias("c"), d.alias("d"), "labels", "cell_id", "x", "y", "phenotype")
-    found = _kept(tiled.groupBy(group, "ix", "iy", "a", "b", "c", "d", "labels").applyInPandas(_search_tile(group, columns), schema), "tiles")
+    found = kept(tiled.groupBy(group, "ix", "iy", "a", "b", "c", "d", "labels").applyInPandas(_search_tile(group, columns), schema), "tiles")
     grid = _grids(c.join(box.where(F.col("n") > tile).select(group), group, "left_semi"), box, group)
     settled = [found.where("sure AND d2 < double('infinity')").select(group, "pa", "pb", "d2")]
     targets = c.withColumnRenamed("phenotype", "pb").join(grid, [group, "pb"])
@@ -129,7 +129,7 @@ def nearest_distances(cells: DataFrame, group: str = "sample_id", tile: int = TI
         inner = lambda v, o, h: F.least(F.col(v) - F.col(o) - F.col(h) * F.col("side"), F.col(o) + (F.col(h) + 1) * F.col("side") - F.col(v))
         reach = (F.least(inner("x", "x0", "hx"), inner("y", "y0", "hy")) + high * F.col("side")) * (1 - 1e-9)
         covered = (F.col("hx") - high <= 0) & (F.col("hy") - high <= 0) & (F.col("hx") + high >= F.col("nx")) & (F.col("hy") + high >= F.col("ny"))
-        out = _kept(out.withColumn("sure", covered | ((reach > 0) & (F.col("d2") <= reach * reach))), "ring")
+        out = kept(out.withColumn("sure", covered | ((reach > 0) & (F.col("d2") <= reach * reach))), "ring")
         settled.append(out.where("sure AND d2 < double('infinity')").select(group, "pa", "pb", "d2"))
         left = out.where("NOT sure").drop("sure")
         if left.isEmpty():
@@ -148,10 +148,3 @@ def _grids(cells: DataFrame, box: DataFrame, group: str) -> DataFrame:
     side = F.greatest(F.sqrt(w * h / F.col("m")), w / 4096, h / 4096, F.lit(1e-9))
     g = n.join(box.select(group, "x0", "x1", "y0", "y1"), group).withColumn("side", side)
     return g.select(group, "pb", "x0", "y0", "side", F.floor(w / F.col("side")).alias("nx"), F.floor(h / F.col("side")).alias("ny"))
-
-
-def _kept(df: DataFrame, tag: str) -> DataFrame:
-    """Written to the shared folder and read back, since the next round builds on it."""
-    path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

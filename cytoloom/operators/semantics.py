@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import feature_grammar as grammar
 from ..plans.registry import FEATURES, query
+from ..sources.scratch import kept
 from .aggregates import spearman_pairs
 
 # What tells features of a source apart, and the weights of the parts of similarity.
@@ -247,7 +248,7 @@ def _features(t) -> DataFrame:
     p = grammar.parse_features(grammar.planted_names(t("part")), "name", "src", "grp").where("parsed.kind IS NOT NULL")
     o = F.col("parsed")
     feature = F.concat_ws("|", o["source"], o["group"], o["kind"], o["subtype"], grammar._entities(o), grammar._params(o), F.coalesce(o["compartment"], F.lit("-")), F.coalesce(o["summary"], F.lit("-")))
-    return p.groupBy(o["source"].alias("root"), feature.alias("feature")).agg(F.min("p_partkey").cast("long").alias("number"), F.first("parsed").alias("parsed"))
+    return kept(p.groupBy(o["source"].alias("root"), feature.alias("feature")).agg(F.min("p_partkey").cast("long").alias("number"), F.first("parsed").alias("parsed")), "features")
 
 
 @query("o127_ontology_similarity", f"{_ONTOLOGY}, two AS (SELECT root, a AS feature, primitive, metric, tissue_aware, metric_aware FROM sims UNION ALL SELECT root, b, primitive, metric, tissue_aware, metric_aware FROM sims) SELECT root, feature, count(*) AS near, round(sum(primitive), 6) AS primitive, round(sum(metric), 6) AS metric, round(sum(tissue_aware), 6) AS tissue_aware, round(sum(metric_aware), 6) AS metric_aware, round(max(metric_aware), 6) AS nearest FROM two WHERE metric_aware > 0 GROUP BY ALL")
@@ -259,20 +260,21 @@ def _o127(t):
     return two.groupBy("root", "feature").agg(F.count(F.lit(1)).alias("near"), *(F.round(F.sum(c), 6).alias(c) for c in sums), F.round(F.max("metric_aware"), 6).alias("nearest"))
 
 
-def _modules(t) -> DataFrame:
+def _modules(features: DataFrame) -> DataFrame:
     """Labels of the parsed names for K of 2 to 6: the least part's key modulo K."""
-    return _features(t).select("root", "feature", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("k"), "number").select("root", "feature", "k", (F.col("number") % F.col("k")).alias("cluster"))
+    return features.select("root", "feature", F.explode(F.sequence(F.lit(2), F.lit(6))).alias("k"), "number").select("root", "feature", "k", (F.col("number") % F.col("k")).alias("cluster"))
 
 
 @query("o178_semantic_coherence", f"{_ONTOLOGY}, lab AS (SELECT root, feature, k, number % k AS cluster FROM toks, (SELECT unnest(range(2, 7)) AS k)), n AS (SELECT root, k, sum(n * (n - 1) / 2)::BIGINT AS pairs_within, sum(n) AS n FROM (SELECT root, k, cluster, count(*) AS n FROM lab GROUP BY ALL) GROUP BY ALL), i AS (SELECT root, x.k, sum(metric_aware) AS inside FROM sims JOIN lab x USING (root) JOIN lab y USING (root) WHERE x.feature = a AND y.feature = b AND x.k = y.k AND x.cluster = y.cluster GROUP BY ALL), s AS (SELECT root, sum(metric_aware) AS total FROM sims GROUP BY root) SELECT n.root, n.k, pairs_within, round(coalesce(inside, 0) / nullif(pairs_within, 0), 6) AS raw, round(coalesce(total, 0) / nullif(n * (n - 1) / 2, 0), 6) AS null_mean, round(coalesce(inside, 0) / nullif(pairs_within, 0) - coalesce(total, 0) / nullif(n * (n - 1) / 2, 0), 6) AS enrichment FROM n LEFT JOIN i ON n.root = i.root AND n.k = i.k LEFT JOIN s ON n.root = s.root")
 def _o178_coherence(t):
-    s = ontology_similarity(_features(t), ["root"])
-    return semantic_coherence(s, _modules(t), ["root"], "metric_aware").select("root", "k", "pairs_within", *(F.round(c, 6).alias(c) for c in ("raw", "null_mean", "enrichment")))
+    f = _features(t)
+    return semantic_coherence(ontology_similarity(f, ["root"]), _modules(f), ["root"], "metric_aware").select("root", "k", "pairs_within", *(F.round(c, 6).alias(c) for c in ("raw", "null_mean", "enrichment")))
 
 
 @query("o178_coherence_null")
 def _o178_null(t):
-    return coherence_null(ontology_similarity(_features(t), ["root"]), _modules(t), ["root"], "metric_aware")
+    f = _features(t)
+    return coherence_null(kept(ontology_similarity(f, ["root"]), "similarity"), _modules(f), ["root"], "metric_aware")
 
 
 @query("o178_cohort_reproducibility", f"WITH {FEATURES}, c AS (SELECT s_suppkey AS patient_id, s_nationkey % 3 AS cohort FROM supplier), ff AS (SELECT patient_id, feature, string_split(feature, '_')[1] AS root, round(value, 6) AS value, cohort FROM features JOIN c USING (patient_id)), j AS (SELECT a.cohort, a.root, a.feature AS a, b.feature AS b, a.value AS va, b.value AS vb FROM ff a JOIN ff b ON a.patient_id = b.patient_id AND a.root = b.root AND a.feature < b.feature), r AS (SELECT *, rank() OVER (PARTITION BY cohort, a, b ORDER BY va) + (count(*) OVER (PARTITION BY cohort, a, b, va) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY cohort, a, b ORDER BY vb) + (count(*) OVER (PARTITION BY cohort, a, b, vb) - 1) / 2.0 AS rb FROM j), p AS (SELECT cohort, root, a, b, round(covar_pop(ra, rb) / nullif(stddev_pop(ra) * stddev_pop(rb), 0), 9) AS rho FROM r GROUP BY ALL HAVING count(*) >= 5), lab AS (SELECT feature, k, right(feature, 1)::INT % k AS cluster FROM (SELECT DISTINCT feature FROM features), (SELECT unnest(range(2, 6)) AS k)), m AS (SELECT root, x.k, x.cluster, cohort, avg(rho) AS rho FROM p JOIN lab x ON x.feature = a JOIN lab y ON y.feature = b AND x.k = y.k AND x.cluster = y.cluster WHERE rho IS NOT NULL GROUP BY ALL), o AS (SELECT root, k, cluster, bool_and(rho > 0) AS positive, coalesce(stddev_samp(rho), 0) AS sd FROM m GROUP BY ALL), o2 AS (SELECT root, k, avg(positive::INT) AS share_modules_positive, median(sd) AS median_sd FROM o GROUP BY ALL) SELECT root, k, round(median(rho), 6) AS median_rho, round(quantile_cont(rho, 0.25), 6) AS q25_rho, round(avg((rho > 0)::INT), 6) AS share_positive, round(any_value(share_modules_positive), 6) AS share_modules_positive, round(any_value(median_sd), 6) AS median_sd FROM m JOIN o2 USING (root, k) GROUP BY ALL")

@@ -226,11 +226,11 @@ def _o017(t):
     return m.join(F.broadcast(config), F.lit(True))  # one row
 
 
-@query("o018_square_matrix", f"WITH {FEATURES}, f AS (SELECT feature, round(avg(value), 6) AS m FROM features GROUP BY 1) SELECT a.feature AS uid_a, b.feature AS uid_b, round(a.m * b.m, 4) AS value FROM f a, f b")
+@query("o018_square_matrix", f"WITH {FEATURES}, f AS (SELECT feature, round(avg(value), 6) AS m FROM features GROUP BY 1) SELECT a.feature AS uid_a, b.feature AS uid_b, a.m * b.m AS value FROM f a, f b")
 def _o018(t):
     f = t.features().groupBy("feature").agg(F.round(F.avg("value"), 6).alias("m"))
     g = f.select(F.col("feature").alias("uid_b"), F.col("m").alias("mb"))
-    sq = f.crossJoin(F.broadcast(g)).select(F.col("feature").alias("uid_a"), "uid_b", F.round(F.col("m") * F.col("mb"), 4).alias("value"))
+    sq = f.crossJoin(F.broadcast(g)).select(F.col("feature").alias("uid_a"), "uid_b", (F.col("m") * F.col("mb")).alias("value"))
     return t.spark.read.parquet(write_table(sq, new_path(t.spark, "square") + "/m.parquet"))
 
 
