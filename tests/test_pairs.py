@@ -4,7 +4,22 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoloom.operators import programs
+from cytoloom.operators import joins, programs
+
+
+def test_gaps(spark):
+    r = np.random.default_rng(2)
+    rows = [("x", int(i), float(v)) for i, v in zip(r.integers(0, 60, 90), r.integers(0, 20, 90) / 8, strict=True)]
+    rows += [("x", 3, None), ("x", None, 1.0), (None, 1, 1.0), ("lone", 1, 1.0), ("same", 1, 1.0), ("same", 1, 2.0), ("void", 1, None), ("void", 2, 1.0)]
+    got = {x.k: (x.n_pairs, x.gap) for x in joins.pair_gaps(spark.createDataFrame(rows, "k string, i int, v double"), ["k"], "i", "v").collect()}
+    pairs = [(a[2], b[2]) for a in rows for b in rows if a[0] == b[0] == "x" and a[1] is not None and b[1] is not None and a[1] < b[1]]
+    assert got == {"x": (len(pairs), pytest.approx(sum(abs(a - b) for a, b in pairs if a is not None and b is not None))), "void": (1, None)}
+
+
+def test_gaps_of_a_long_key(spark):
+    n = 300_000
+    got = joins.pair_gaps(spark.range(n).selectExpr("1 AS k", "id AS i", "CAST(id AS double) AS v"), ["k"], "i", "v").first()
+    assert (got.n_pairs, got.gap) == (n * (n - 1) // 2, pytest.approx(n * (n * n - 1) / 6))
 
 
 @pytest.mark.parametrize("block", [1, 7, 256])
