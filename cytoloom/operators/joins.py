@@ -64,6 +64,19 @@ def pair_gaps(df: DataFrame, keys: list[str], item: str, value: str) -> DataFram
     return both.where("n_pairs > 0").select(*keys, "n_pairs", F.when(F.col("_known") > 0, F.col("gap")).alias("gap"))
 
 
+def rescues(df: DataFrame, keys: list[str], item: str, level: str, value: str, most: int, loss: float, context: str) -> DataFrame:
+    """O059: (context, item, simpler): for each item the `most` best items of its keys on lower levels (greatest value, then least item) that lose no more than `loss`, to six places. context: one of keys.
+
+    Of a level's lower items only the `most` best count, since a better one never loses more: they are found once a level, and no other pair is a row.
+    """
+    b = df.where(F.col(value).isNotNull()).select(*keys, F.col(level).alias("_level"), F.col(item).alias("simpler"), F.col(value).alias("_value"))
+    best = lambda d, by: d.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("_value"), "simpler"))).where(F.col("_k") <= most).drop("_k")
+    tops = best(b, [*keys, "_level"]).withColumnRenamed("_level", "_lower")
+    below = best(df.select(*keys, level).distinct().join(tops, keys).where(F.col("_lower") < F.col(level)), [*keys, level]).drop("_lower")
+    j = df.join(below, [*keys, level]).where(F.round(F.col(value) - F.col("_value"), 6) <= loss)
+    return best(j, [context, item]).select(context, item, "simpler")
+
+
 @query("o045_inner_join", "SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def _o045(t):
     return t("customer").join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
@@ -127,7 +140,4 @@ def _o058(t):
 
 @query("o059_rescue_join", f"WITH {EVIDENCE}, j AS (SELECT a.context, a.feature, b.feature AS simpler, row_number() OVER (PARTITION BY a.context, a.feature ORDER BY b.oof DESC, b.feature) AS k FROM evidence a JOIN evidence b ON a.context = b.context AND a.source = b.source AND b.transform < a.transform AND round(a.oof - b.oof, 6) <= 0.05) SELECT context, feature, simpler FROM j WHERE k <= 2")
 def _o059(t):
-    a = t.evidence()
-    b = a.select("context", "source", F.col("feature").alias("simpler"), F.col("transform").alias("bt"), F.col("oof").alias("bo"))
-    j = a.join(b, ["context", "source"]).where("bt < transform AND round(oof - bo, 6) <= 0.05")
-    return j.withColumn("k", F.row_number().over(Window.partitionBy("context", "feature").orderBy(F.desc("bo"), "simpler"))).where("k <= 2").select("context", "feature", "simpler")
+    return rescues(t.evidence(), ["context", "source"], "feature", "transform", "oof", 2, 0.05, "context")

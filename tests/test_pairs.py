@@ -22,6 +22,24 @@ def test_gaps_of_a_long_key(spark):
     assert (got.n_pairs, got.gap) == (n * (n - 1) // 2, pytest.approx(n * (n * n - 1) / 6))
 
 
+def test_rescues(spark):
+    r = np.random.default_rng(4)
+    rows = [(str(c), str(s), i, int(t), float(v)) for i, (c, s, t, v) in enumerate(zip(r.integers(0, 2, 120), r.integers(0, 2, 120), r.integers(0, 4, 120), r.integers(0, 12, 120) / 20, strict=True))]
+    rows += [("0", "0", 200, 0, None), ("0", "0", 201, None, 0.9), (None, "0", 202, 0, 0.9), ("0", "0", 5, 3, 0.2)]
+    got = {(x.c, x.i, x.simpler) for x in joins.rescues(spark.createDataFrame(rows, "c string, s string, i int, t int, v double"), ["c", "s"], "i", "t", "v", 2, 0.05, "c").collect()}
+    want = set()
+    for key in {(a[0], a[2]) for a in rows}:
+        ok = [b for a in rows if (a[0], a[2]) == key for b in rows if a[0] is not None and a[:2] == b[:2] and None not in (a[3], b[3], a[4], b[4]) and b[3] < a[3] and round(a[4] - b[4], 6) <= 0.05]
+        want |= {(*key, b[2]) for b in sorted(ok, key=lambda b: (-b[4], b[2]))[:2]}
+    assert got == want
+
+
+def test_rescues_of_a_long_key(spark):
+    d = spark.range(200_000).selectExpr("'c' AS c", "'s' AS s", "id AS i", "id % 2 AS t", "0.5D AS v")
+    got = joins.rescues(d, ["c", "s"], "i", "t", "v", 2, 0.05, "c")
+    assert got.count() == 200_000 and {x.simpler for x in got.select("simpler").distinct().collect()} == {0, 2}
+
+
 @pytest.mark.parametrize("block", [1, 7, 256])
 def test_means_inside_modules(spark, block):
     r = np.random.default_rng(5)
