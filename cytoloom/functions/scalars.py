@@ -14,6 +14,12 @@ def sanitise(c: Column) -> Column:
     return F.btrim(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), F.lit("_"))
 
 
+def rounded(c: Column | str, places: int) -> Column:
+    """A number to so many places as SQL engines round doubles: the product with a power of ten, to the nearest whole number (halves away from zero), over it. F.round rounds the number's decimal form, which differs where a half is meant."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c * 10.0**places) / 10.0**places
+
+
 def number(c: Column) -> Column:
     """O118: a number from text with commas or a percent sign; null where there is none or it is infinite or not a number."""
     x = F.regexp_replace(F.trim(c), "[,%]", "").try_cast("double")
