@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import PATIENTS, query
+from ..sources.scratch import kept
 from .aggregates import average_rank, ranks
 
 
@@ -329,7 +330,8 @@ def concordance(df: DataFrame, keys: list[str], score: str, blocks: int = BLOCKS
     """
     x = df.select(*keys, F.col("time").cast("double").alias("time"), F.col("event").cast("boolean").alias("event"), F.col(score).cast("double").alias("score")).where("time IS NOT NULL AND event IS NOT NULL AND score IS NOT NULL AND NOT isnan(time) AND NOT isnan(score)")
     at = F.array(*(F.lit(i / blocks) for i in range(blocks + 1)))
-    cut = x.groupBy(*keys).agg(*(F.array_distinct(F.percentile_approx(c, at, F.lit(100 * blocks))).alias(f"{c}_at") for c in ("time", "score")))
+    # written once: quantiles of another run may differ by the order in which parts come in, and all counts need the same blocks
+    cut = kept(x.groupBy(*keys).agg(*(F.array_distinct(F.percentile_approx(c, at, F.lit(100 * blocks))).alias(f"{c}_at") for c in ("time", "score"))), "cuts")
     r = x.join(cut, keys).select(*keys, "time", "event", "score", _block("time", "time_at").alias("tb"), _block("score", "score_at").alias("sb"))
     fields, names = _fields(df, keys), [*keys, "won", "pairs"]
     table = r.groupBy(*keys, "tb", "sb").agg(F.count(F.lit(1)).alias("n"), F.count_if("event").alias("e"))
