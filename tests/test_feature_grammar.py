@@ -75,3 +75,13 @@ def test_keys(read):
     assert a.state_key == c.state_key and a.state_key != d.state_key and a.compartment_key == d.compartment_key and len({x.compartment_key for x in (a, b, c, d, e)}) == 2
     f, g = read([("phenotype_only", NN, "nk_to_b_cell_SD"), ("phenotype_only", NN, "nk_to_b_cell_Mean")])
     assert f.metric_key == g.metric_key and f.state_key != g.state_key
+
+
+def test_names_are_made_once_a_make(spark):
+    from pyspark.sql import functions as F
+
+    part = spark.range(40_000).selectExpr("id AS p_partkey", "CAST(id % 5 AS int) AS p_size")
+    once = G.planted_once(part, F.count(F.lit(1)).alias("n"))
+    by = lambda d, n, k: {(r.src, r.grp, r.name): (r.n, r.k) for r in d.groupBy("src", "grp", "name").agg(n.alias("n"), k.alias("k")).collect()}
+    assert once.count() <= 360 * 5
+    assert by(once, F.sum("n"), F.min("p_partkey")) == by(G.planted_names(part), F.count(F.lit(1)), F.min("p_partkey"))
