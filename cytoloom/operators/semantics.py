@@ -245,7 +245,7 @@ _ONTOLOGY = f"""{grammar._said()}, feats AS MATERIALIZED (
 
 def _features(t) -> DataFrame:
     """The parsed names of parts, once for each meaning; number: the least part that has it."""
-    p = grammar.parse_features(grammar.planted_names(t("part")), "name", "src", "grp").where("parsed.kind IS NOT NULL")
+    p = grammar.parse_features(grammar.planted_once(t("part")), "name", "src", "grp").where("parsed.kind IS NOT NULL")
     o = F.col("parsed")
     feature = F.concat_ws("|", o["source"], o["group"], o["kind"], o["subtype"], grammar._entities(o), grammar._params(o), F.coalesce(o["compartment"], F.lit("-")), F.coalesce(o["summary"], F.lit("-")))
     return kept(p.groupBy(o["source"].alias("root"), feature.alias("feature")).agg(F.min("p_partkey").cast("long").alias("number"), F.first("parsed").alias("parsed")), "features")
