@@ -79,6 +79,25 @@ def _search_tile(group: str, columns: list[str]):
     return run
 
 
+def _search_whole(group: str):
+    """A whole group's cells against each other: labels and distances squared, a row for each cell and label that has another cell."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        xy = pdf[["x", "y"]].to_numpy(float)
+        names, code = np.unique(pdf["phenotype"].to_numpy(str), return_inverse=True)
+        pa, pb, out = [], [], []
+        for to in range(len(names)):
+            at = np.flatnonzero(code == to)
+            own = np.full(len(xy), -1)
+            own[at] = np.arange(len(at))
+            d2 = nearest(xy, xy[at], own)
+            ok = np.isfinite(d2)
+            pa, pb, out = [*pa, code[ok]], [*pb, np.full(int(ok.sum()), to)], [*out, d2[ok]]
+        return pd.DataFrame({group: key[0], "pa": names[np.concatenate(pa)], "pb": names[np.concatenate(pb)], "d2": np.concatenate(out)})
+
+    return run
+
+
 def _ring(at: str, low: int, high: int) -> Column:
     """Squares around a square (`at`x, `at`y), further than `low` and no further than `high`, inside the label's grid."""
     span = lambda c, n: F.sequence(F.greatest(F.col(f"{at}{c}") - high, F.lit(0)), F.least(F.col(f"{at}{c}") + high, F.col(n)))
@@ -101,8 +120,7 @@ def nearest_distances(cells: DataFrame, group: str = "sample_id", tile: int = TI
     schema = f"{group} {kind[group]}, cell_id {kind['cell_id']}, x double, y double, pa string, pb string, d2 double, sure boolean"
     most = c.groupBy(group).agg(n).agg(F.max("n")).first()[0] or 0
     if most <= tile:  # every group is one tile
-        whole = c.withColumns({k: F.lit(0.0) for k in ("ix", "iy", "a", "b", "c", "d")}).withColumn("labels", F.array().cast("array<string>"))
-        found = whole.groupBy(group, "ix", "iy", "a", "b", "c", "d", "labels").applyInPandas(_search_tile(group, columns), schema)
+        found = c.select(group, "x", "y", "phenotype").groupBy(group).applyInPandas(_search_whole(group), f"{group} {kind[group]}, pa string, pb string, d2 double")
         return found.select(group, "pa", "pb", F.sqrt("d2").alias("distance"))
     k = F.ceil(F.sqrt(F.col("n") / tile)).cast("int")
     cut = box.select(group, k.alias("k"), "x0", "y0", F.greatest((F.col("x1") - F.col("x0")) / k, F.lit(1e-9)).alias("w"), F.greatest((F.col("y1") - F.col("y0")) / k, F.lit(1e-9)).alias("h"), F.when(k > 1, F.col("labels")).otherwise(F.array().cast("array<string>")).alias("labels"))

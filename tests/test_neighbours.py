@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from cytoloom.operators import neighbours
@@ -42,3 +43,11 @@ def test_against_all_distances(spark, tile):
 
 def test_empty(spark):
     assert neighbours.nearest_distances(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_whole_groups_carry_no_ids():
+    """Before, a group in one tile gave its cells' ids and places again for each label."""
+    pdf = pd.DataFrame({"g": 7, "x": [0.0, 3.0, 0.0], "y": [0.0, 4.0, 1.0], "phenotype": ["s", "t", "s"]})
+    got = neighbours._search_whole("g")((7,), pdf)
+    assert list(got.columns) == ["g", "pa", "pb", "d2"]
+    assert sorted(map(tuple, got.to_numpy().tolist())) == [(7, "s", "s", 1.0), (7, "s", "s", 1.0), (7, "s", "t", 18.0), (7, "s", "t", 25.0), (7, "t", "s", 18.0)]
