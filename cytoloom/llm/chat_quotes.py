@@ -1,11 +1,12 @@
 """Operator 3. Chat formatting: quotation linking.
 
 Each line's nested quote level (`>` marks) is parsed; a run of lines of one level is a passage. A passage is normalised with its lines joined, so
-that a quote which a mail client wrapped anew is still the same text, and is looked up by units: its sentences, its single lines, and a fixed
-quarter of its runs of SHINGLE words (chosen by their digest, so the same ones on both sides; they find quotes that start or end within a sentence).
+that a quote which a mail client wrapped anew is still the same text, and is looked up by units: its sentences, its single lines, and its runs
+of SHINGLE words (they find quotes that start or end within a sentence). The query looks up every run. The SQL, and `threads` without every_run, look
+up a fixed quarter, chosen by digest; these come first in both, so a passage that links by the SQL links to the same message in the query.
 Units of unquoted text index the messages that wrote them (per unit only the earliest message of a conversation, and of all, so a phrase that
 a third of all messages share is one row); units of quoted passages are joined to that index, in their own conversation first. A passage links where
-its first linked unit does, sentences before lines before word runs. The message of the shallowest and latest-standing passage that links is
+its first linked unit does, sentences before lines before word runs (that quarter, then the rest). The message of the shallowest and latest-standing passage that links is
 the parent. Root and depth come from pointer jumping; the place in reply order (parent before its replies, replies by turn) from list ranking
 along the tour of each thread, by pointer jumping too, so neither needs a whole thread in one task.
 
@@ -52,28 +53,29 @@ def parse(messages: DataFrame) -> DataFrame:
     return m.select("conv_id", "turn", "role", F.filter(F.split(F.array_join(marked, ""), "\x01"), lambda x: x != "").alias("passages"), F.btrim(F.array_join(plain, "\n"), F.lit(" \t\r\n")).alias("text"))
 
 
-def _units(body: Column) -> Column:
-    """(kind, place, text) of a passage: sentences, lines, runs of words."""
-    some = lambda a, kind: F.filter(F.transform(a, lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("place"), _normal(x).alias("unit"))), lambda u: u["unit"].rlike(r"\p{L}.*\p{L}|\p{N}"))
+def _units(body: Column, every_run: bool) -> Column:
+    """(kind, place, text) of a passage: sentences, lines, runs of words: those that the SQL looks up (kind 2) and, with every_run, the rest (kind 3)."""
+    some = lambda a, kind: F.filter(F.transform(a, lambda x, i: F.struct(kind(x).alias("kind"), i.alias("place"), _normal(x).alias("unit"))), lambda u: u["unit"].rlike(r"\p{L}.*\p{L}|\p{N}"))
     words = F.split(_normal(body), " ")
     n = F.greatest(F.size(words) - SHINGLE + 1, F.lit(0))
     runs = F.slice(words, 1, n)
     for i in range(1, SHINGLE):
         runs = F.zip_with(runs, F.slice(words, i + 1, n), lambda x, y: F.concat(x, F.lit(" "), y))
-    kept = F.filter(runs, lambda x: F.substring(F.md5(x.cast("binary")), 1, 1) < "4")
-    return F.concat(some(F.split(body, SENTENCE), 0), some(F.split(body, "[\x03\x04]"), 1), some(kept, 2))
+    first = lambda x: F.when(F.substring(F.md5(x.cast("binary")), 1, 1) < "4", 2).otherwise(3)
+    units = F.concat(some(F.split(body, SENTENCE), lambda _: F.lit(0)), some(F.split(body, "[\x03\x04]"), lambda _: F.lit(1)), some(runs, first))
+    return units if every_run else F.filter(units, lambda u: u["kind"] < 3)
 
 
-def _passages(parsed: DataFrame) -> DataFrame:
+def _passages(parsed: DataFrame, every_run: bool) -> DataFrame:
     """Units of all passages: (conv_id, turn, pos, level, kind, place, k1, k2, n_words)."""
     one = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.posexplode("passages").alias("pos", "p"))
-    u = one.select("conv_id", "turn", "pos", F.substring_index("p", "\x02", 1).cast("int").alias("level"), F.explode(_units(F.substring_index("p", "\x02", -1))).alias("u"))
+    u = one.select("conv_id", "turn", "pos", F.substring_index("p", "\x02", 1).cast("int").alias("level"), F.explode(_units(F.substring_index("p", "\x02", -1), every_run)).alias("u"))
     return u.select("conv_id", "turn", "pos", "level", "u.kind", "u.place", F.xxhash64("u.unit").alias("k1"), F.xxhash64(F.lit(7), "u.unit").alias("k2"), (F.length("u.unit") - F.length(F.translate("u.unit", " ", "")) + 1).alias("n_words"))
 
 
-def link(parsed: DataFrame) -> DataFrame:
+def link(parsed: DataFrame, every_run: bool = False) -> DataFrame:
     """(conv_id, turn, parent_conv, parent_turn, n_quoted, n_linked) of messages that quote; the counts are of passages."""
-    units = _passages(parsed)
+    units = _passages(parsed, every_run)
     quoted = materialise(units.where("level > 0"), "quoted")
     key = ["k1", "k2"]
     own = units.where("level = 0").join(quoted.select(key).distinct(), key, "left_semi")  # only what is quoted somewhere is indexed
@@ -124,23 +126,23 @@ def places(links: DataFrame, deep: DataFrame) -> DataFrame:
     return deep.join(ranked, ["conv_id", "turn"]).join(total, ["root_conv", "root_turn"]).select("conv_id", "turn", (F.col("total") - F.col("n")).alias("reply_order"))
 
 
-def threads(messages: DataFrame) -> DataFrame:
+def threads(messages: DataFrame, every_run: bool = False) -> DataFrame:
     """One row a message, without quotes. Ordered by (root_conv, root_turn, reply_order) the rows of one root_conv are a conversation in reply order."""
     parsed = parse(messages)
-    links = materialise(link(parsed), "quotes")
+    links = materialise(link(parsed, every_run), "quotes")
     deep = materialise(depths(links), "depths")
     m = parsed.drop("passages").join(links, ["conv_id", "turn"], "left").join(deep, ["conv_id", "turn"], "left").join(places(links, deep), ["conv_id", "turn"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return m.select("conv_id", "turn", "role", "text", "parent_conv", "parent_turn", F.coalesce("root_conv", "conv_id").alias("root_conv"), F.coalesce("root_turn", "turn").alias("root_turn"), zero("depth"), zero("reply_order"), zero("n_quoted"), zero("n_linked"))
 
 
-def conversations(messages: DataFrame) -> DataFrame:
+def conversations(messages: DataFrame, every_run: bool = False) -> DataFrame:
     """The rows of `threads`, each conversation in one partition and there in reply order; a long one is streamed, not collected."""
-    return threads(messages).repartition("root_conv").sortWithinPartitions("root_conv", "root_turn", "reply_order")
+    return threads(messages, every_run).repartition("root_conv").sortWithinPartitions("root_conv", "root_turn", "reply_order")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return threads(table(spark, sf_dir, "conversations"))
+    return threads(table(spark, sf_dir, "conversations"), every_run=True)
 
 
 _Q = lambda s: "'" + s.replace("'", "''") + "'"

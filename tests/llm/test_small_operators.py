@@ -306,6 +306,20 @@ def test_quotation_links(spark):
     assert chat_quotes.threads(m.where("false")).count() == 0
 
 
+def test_quotation_query_looks_up_every_run(spark, tmp_path):
+    """A quote cut within a sentence, none of whose runs is in the quarter that the SQL looks up; and one that both link, to the same message."""
+    chosen = lambda w: hashlib.md5(" ".join(w).encode()).hexdigest()[0] < "4"
+    words = [f"v{i}" for i in range(200)]
+    a = next(i for i in range(1, 190) if not any(chosen(words[i + j : i + j + 5]) for j in range(3)))
+    b = next(i for i in range(1, 190) if chosen(words[i : i + 5]))
+    rows = [(1, 0, "u", " ".join(words)), (1, 1, "u", "> " + " ".join(words[a : a + 7]) + "\nyes"), (1, 2, "u", "> " + " ".join(words[b : b + 5]) + "\nno")]
+    m = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    m.write.parquet(str(tmp_path / "conversations.parquet"))
+    linked = lambda d: {r.turn: (r.parent_turn, r.n_linked) for r in d.collect()}
+    assert linked(chat_quotes.link(chat_quotes.parse(m))) == {1: (None, 0), 2: (0, 1)}
+    assert linked(chat_quotes.query(spark, str(tmp_path))) == {0: (None, 0), 1: (0, 1), 2: (0, 1)}
+
+
 def test_quotation_links_against_their_sql(spark):
     import duckdb
 
