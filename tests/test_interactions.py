@@ -59,6 +59,22 @@ def test_scores_for_any_number_of_blocks(spark, monkeypatch, edges):
     assert all(got[k] == pytest.approx(v) for k, v in want.items())
 
 
+def test_edges_are_counted_where_they_are_found(spark, monkeypatch):
+    """60 cells in one spot have 1,770 edges: a line a label crosses the network, however many edges and samples are counted at once. Before, each edge was shuffled both ways."""
+    rows = [(g, f"c{i}", 1.0, i / 1000, "nk" if i % 3 else "t") for g in (1, 2, 3) for i in range(60)]
+    d = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = {(g, *k): v for g in (1, 2, 3) for k, v in plain(rows, g, 1.0, 5, 1).items()}
+    for counts in (4_000_000, 1):
+        monkeypatch.setattr(I, "COUNTS", counts)
+        out = I.permutation_scores(d, 1.0, 5)
+        got = {(r.sample_id, r.pa, r.pb): (r.observed, r.diff, r.z) for r in out.collect()}
+        assert set(got) == set(want) and all(got[k][:2] == pytest.approx(want[k][:2]) for k in want)
+        assert "CoGroup" not in out._jdf.queryExecution().executedPlan().toString()
+    points = d.selectExpr("sample_id", "x", "y", "row_number() OVER (PARTITION BY sample_id ORDER BY cell_id) - 1L AS cell", "int(phenotype = 't') AS code", "array(40L, 20L) AS n")
+    lines = I._tiled(points, ["sample_id"], I.F.lit(1.0), whole=I.F.lit(True)).mapInArrow(*I._counting(points.schema["sample_id"], 5, 1))
+    assert lines.count() == 6
+
+
 def test_pair_modes_and_guards(spark):
     d = spark.createDataFrame(cells(), SCHEMA)
     pairs = lambda **how: {(r.pa, r.pb) for r in I.permutation_scores(d, 1.5, 3, **how).collect()}
