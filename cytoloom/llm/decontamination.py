@@ -102,8 +102,12 @@ def weights(terms: DataFrame, n_terms: int, wide: bool) -> np.ndarray:
             if len(t):
                 p = _passages(t, ends)
                 n += int(p[-1]) + 1
-                key = np.unique(p * (n_terms + 1) + t)
-                df += np.bincount(key % (n_terms + 1), minlength=n_terms + 1)
+                first = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
+                row = np.zeros((len(first), PASSAGE), np.uint32 if wide else np.uint16)  # a passage's terms side by side, to be sorted and told apart
+                row[p, np.arange(len(t)) - np.repeat(first, np.diff(np.append(first, len(t))))] = t
+                row.sort(axis=1)
+                new = np.concatenate([row[:, :1], row[:, 1:] * (row[:, 1:] != row[:, :-1])], axis=1)
+                df += np.bincount(new.ravel(), minlength=n_terms + 1)
         df[0] = n  # place 0 carries the number of passages
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], ["term", "n"])
@@ -138,7 +142,7 @@ def basis(terms: DataFrame, idf: np.ndarray, wide: bool, rank: int = RANK) -> tu
                 first = np.flatnonzero(np.concatenate([[True], pk[1:] != pk[:-1]]))
                 row = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(pk))))
                 z = np.add.reduceat(om[tk], first, axis=0)
-                o = np.argsort(tk, kind="stable")
+                o = np.argsort(tk if wide else tk.astype(np.uint16), kind="stable")  # numbers of 16 bits are sorted by their digits
                 s = tk[o]
                 cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
                 y[s[cut]] += np.add.reduceat(z[row[o]], cut, axis=0) * w[s[cut], None]
@@ -209,14 +213,13 @@ class Flags:
         return up_to(b) - up_to(a)
 
 
-def _common(number: np.ndarray, terms: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of stretches [a, b) of terms, of which an item's have numbers (0 for other words): words in common with the item, each as often as in both, and the weight of the item's words that stand there. Both bound what a subsequence or the answer check can reach."""
+def _common(numbers: np.ndarray, a: np.ndarray, b: np.ndarray, count: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of stretches [a, b) of numbers of an item's terms (0 for other words): words in common with the item, each as often as in both, and the weight of the item's words that stand there. Both bound what a subsequence or the answer check can reach."""
     overlap, share = np.empty(len(a), np.int64), np.empty(len(a))
     for i in range(0, len(a), 4096):
         k = b[i : i + 4096] - a[i : i + 4096]
         first = np.cumsum(k) - k
-        row = np.repeat(np.arange(len(k)), k)
-        key = row * (len(count) + 1) + number[terms[np.arange(k.sum()) + np.repeat(a[i : i + 4096] - first, k)]]
+        key = np.repeat(np.arange(len(k)) * (len(count) + 1), k) + numbers[np.arange(k.sum()) + np.repeat(a[i : i + 4096] - first, k)]
         n = np.bincount(key, minlength=len(k) * (len(count) + 1)).reshape(len(k), -1)[:, 1:]
         overlap[i : i + 4096], share[i : i + 4096] = np.minimum(n, count).sum(axis=1), (n > 0) @ weight
     return overlap, share
@@ -267,12 +270,14 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
             starts = np.concatenate([[0], ends[:-1]])
             begin = np.repeat(starts, ends - starts)
             end = np.repeat(ends, ends - starts)
-            place = np.arange(n) - begin
-            terms_at, number, flag = t[t > 0], np.zeros(len(latent), np.int32), np.zeros(len(latent), np.uint8)
+            terms_at = t[t > 0]
+            number = np.zeros(len(latent), np.uint8 if max((len(x[0]) for x in rare), default=0) < 256 else np.int32)
             n_known = np.concatenate([[0], np.cumsum(t > 0)])
             best: dict[tuple[int, int], tuple] = {}
             for size, members in by_class.items():
-                at = np.flatnonzero(place % max(1, size // 6) == 0)
+                step = max(1, size // 6)
+                many = -(-(ends - starts) // step)
+                at = np.arange(many.sum()) * step + np.repeat(starts - (np.cumsum(many) - many) * step, many)
                 to = np.minimum(at + size, end[at])
                 lo, hi = np.maximum(begin[at], at - size // 4), np.minimum(end[at], to + size // 4)
                 n_words, share = least[size]
@@ -286,16 +291,15 @@ def search(terms: DataFrame, bench, idf: np.ndarray, q: np.ndarray, wide: bool)
                 for idx in members if len(at) else ():
                     # the item's words in reach of a window bound the subsequence and the answer's share: drop what can't reach both
                     item, (uniq, count, weight) = items[idx][1], rare[idx]
-                    flag[uniq] = 1
-                    own = Flags(flag.take(terms_at, mode="clip"))
-                    flag[uniq] = 0
+                    number[uniq] = np.arange(1, len(uniq) + 1)
+                    numbers = number.take(terms_at, mode="clip")
+                    number[uniq] = 0
+                    own = Flags((numbers > 0).view(np.uint8))
                     rows = np.flatnonzero(own.at_most(ca, cb) >= SUBSEQUENCE * len(item))
                     rows = rows[own.between(ka[rows], kb[rows]) >= SUBSEQUENCE * len(item)]
                     if not len(rows):
                         continue
-                    number[uniq] = np.arange(1, len(uniq) + 1)
-                    overlap, share = _common(number, terms_at, ka[rows], kb[rows], count, weight)
-                    number[uniq] = 0
+                    overlap, share = _common(numbers, ka[rows], kb[rows], count, weight)
                     ok = (overlap >= SUBSEQUENCE * len(item)) & (share >= ANSWER - 1e-6)
                     rows, overlap = rows[ok], overlap[ok]
                     if not len(rows):

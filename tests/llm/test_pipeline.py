@@ -115,6 +115,27 @@ def test_rows_with_a_null_id_are_cleaned(spark):
     assert not set(gone) & set(left) and all(t in left for i, t in docs if i not in truth)
 
 
+def test_weights_count_a_term_once_a_passage(spark):
+    """Narrow and wide numbers, passages cut short by a document's end, empty documents. The bounds take the item's numbers where they stand (before, two lookups a word)."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    texts = [r.integers(0, 9, n) for n in (0, 1, 31, 32, 33, 200, 0, 64)]
+    df, n = np.zeros(10), 0
+    for t in texts:
+        for a in range(0, len(t), D.PASSAGE):
+            n += 1
+            df[np.unique(t[a : a + D.PASSAGE])] += 1
+    want = np.log((1 + n) / (1 + df)) + 0.1
+    want[0], want[9] = 0, want[1:9].max()
+    for wide in (False, True):
+        terms = spark.createDataFrame([(i, bytearray(t.astype("<u4" if wide else "<u2").tobytes())) for i, t in enumerate(texts)], "doc_id long, terms binary").repartition(2)
+        assert np.allclose(D.weights(terms, 9, wide), want)
+    numbers, count, weight = np.array([1, 0, 2, 2, 1, 0, 0], np.uint8), np.array([1, 3]), np.array([0.25, 0.75])
+    overlap, share = D._common(numbers, np.array([0, 1, 5]), np.array([5, 4, 7]), count, weight)
+    assert overlap.tolist() == [3, 2, 0] and share.tolist() == [1.0, 0.75, 0.0]
+
+
 def test_common_words_among_foreign_ones_are_found(spark):
     words = "the of and that with her was ing not for are".split()
     foreign = lambda i, n: " ".join(f"x{i}q{k}" for k in range(n))
